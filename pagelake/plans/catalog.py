@@ -188,3 +188,261 @@ def q_page_labels(spark, sf):
     t = F.coalesce(F.col("title"), F.lit(""))
     from ..functions.html import trim_ws
     return m.select("page_id", "key", "label", trim_ws(t).rlike(P.generic_title).alias("generic_title"))
+
+
+# ------------------------------------------------------------ link graph ---
+def linked_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages whose menu also links two other stored pages (by their raw URL):
+    page i -> page (2i+1) mod n and page (3i+2) mod n.  This gives the link
+    graph internal edges; both lookups are equi-joins on page_id."""
+    p = pages(spark, sf)
+    n = p.count()
+    t = p.select(F.col("page_id").alias("tid"), F.col("url").alias("turl"))
+    a = (p.withColumn("t1", (F.col("page_id") * 2 + 1) % F.lit(n))
+          .withColumn("t2", (F.col("page_id") * 3 + 2) % F.lit(n)))
+    a = (a.join(t.withColumnRenamed("tid", "t1").withColumnRenamed("turl", "u1"), "t1", "left")
+          .join(t.withColumnRenamed("tid", "t2").withColumnRenamed("turl", "u2"), "t2", "left"))
+    extra = F.concat(F.lit('<a href="'), F.coalesce("u1", F.lit("")), F.lit('">next</a><a href="'),
+                     F.coalesce("u2", F.lit("")), F.lit('">more</a></nav>'))
+    return a.select("page_id", "url", F.replace(F.col("html"), F.lit("</nav>"), extra).alias("html"))
+
+
+D_LINKED = """
+linked AS (
+  SELECT p.page_id, p.url,
+    replace(p.html, '</nav>', '<a href="' || coalesce(a.url, '') || '">next</a><a href="' || coalesce(b.url, '') || '">more</a></nav>') AS html
+  FROM pages p
+  LEFT JOIN pages a ON a.page_id = (p.page_id * 2 + 1) % (SELECT count(*) FROM pages)
+  LEFT JOIN pages b ON b.page_id = (p.page_id * 3 + 2) % (SELECT count(*) FROM pages)
+)"""
+
+_NON_NAV = " AND ".join(f"NOT starts_with(href, {D.q(x)})" for x in X.NON_NAV_PREFIXES)
+D_EDGES = f"""
+pc AS (SELECT page_id, html, {D.sel(D.canon_cols('url', 'pu'))} FROM linked),
+raw AS (
+  SELECT page_id, pu, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*href="([^"]*)"', 1)) AS href0,
+    generate_subscripts(regexp_extract_all(html, '(?is)<a\\s[^>]*href="([^"]*)"', 1), 1) AS pos
+  FROM pc
+),
+res AS (
+  SELECT page_id, pu, pos, {D.sel(D.resolve_cols('href', 'pu', 'abs'), D.canon_cols('abs', 'dst'))}
+  FROM (SELECT *, {D.decode('href0')} AS href FROM raw) WHERE href <> '' AND {_NON_NAV}
+),
+edges AS (
+  SELECT page_id, pu, dst, row_number() OVER (PARTITION BY page_id ORDER BY min(pos)) - 1 AS seq
+  FROM res GROUP BY page_id, pu, dst
+)"""
+
+
+@register("link_edges", f"WITH {D_LINKED}, {D_EDGES} SELECT page_id, seq, dst FROM edges")
+def q_link_edges(spark, sf):
+    return X.link_edges(linked_pages(spark, sf), P).select("page_id", "seq", "dst")
+
+
+@register("same_site_links", f"""WITH {D_LINKED}, {D_EDGES}
+SELECT page_id, seq, dst, lower(regexp_extract(dst, {D.q(D.URI)}, 3)) = lower(regexp_extract(pu, {D.q(D.URI)}, 3)) AS same_site
+FROM edges""")
+def q_same_site_links(spark, sf):
+    e = X.link_edges(linked_pages(spark, sf), P)
+    return e.select("page_id", "seq", "dst", U.same_site(F.col("dst"), F.col("page_url")).alias("same_site"))
+
+
+def _d_target(u: str) -> str:
+    return (f"coalesce(url_decode(replace(regexp_extract({u}, {D.q(D.URI)}, 4) || CASE WHEN regexp_extract({u}, {D.q(D.URI)}, 6) <> '' "
+            f"THEN '?' || regexp_extract({u}, {D.q(D.URI)}, 6) ELSE '' END, '+', '%2B')), '')")
+
+
+def _d_any(t: str, pats) -> str:
+    return "(" + " OR ".join(f"regexp_matches({t}, {D.q(x)})" for x in pats) + ")"
+
+
+@register("scope_filter", f"""WITH {D_LINKED}, {D_EDGES}
+SELECT page_id, seq, dst,
+  lower(regexp_extract(dst, {D.q(D.URI)}, 3)) = lower(regexp_extract(pu, {D.q(D.URI)}, 3))
+    AND NOT {_d_any(_d_target('dst'), P.exclude)} AND {_d_any(_d_target('dst'), P.include)} AS in_scope,
+  {_d_any(_d_target('dst'), P.exclude)} AS excluded
+FROM edges""")
+def q_scope_filter(spark, sf):
+    e = X.link_edges(linked_pages(spark, sf), P)
+    return e.select("page_id", "seq", "dst",
+                    S.in_scope(F.col("dst"), P, base=F.col("page_url")).alias("in_scope"),
+                    S.excluded(F.col("dst"), P).alias("excluded"))
+
+
+@register("build_prune", f"""
+SELECT count(*) FILTER (WHERE NOT ex) AS kept, count(*) FILTER (WHERE ex) AS skipped FROM (
+  SELECT {_d_any(_d_target('c'), P.exclude)} AS ex FROM (SELECT {D.sel(D.canon_cols('url', 'c'))} FROM pages))
+""")
+def q_build_prune(spark, sf):
+    p = X.with_page_url(pages(spark, sf, html=False), P)
+    ex = S.excluded(F.col("page_url"), P)
+    return p.agg(F.count_if(~ex).alias("kept"), F.count_if(ex).alias("skipped"))
+
+
+def stored_page_map(spark: SparkSession, sf: str) -> DataFrame:
+    """(url, path) of stored pages kept by the build prune."""
+    p = X.with_page_url(pages(spark, sf, html=False), P)
+    p = S.prune_excluded(p, P, "page_url")
+    return p.select(F.col("page_url").alias("url"), U.page_path(F.col("page_url")).alias("path"))
+
+
+D_MAP = f"""
+pmap AS (
+  SELECT c AS url, pp AS path FROM (SELECT {D.sel(D.canon_cols('url', 'c'), D.page_path('c', 'pp'))} FROM pages)
+  WHERE NOT {_d_any(_d_target('c'), P.exclude)}
+)"""
+
+
+@register("link_resolution", f"""WITH {D_LINKED}, {D_EDGES}, {D_MAP}
+SELECT e.page_id, e.seq, e.dst, m.path AS target_path, m.path IS NOT NULL AS internal
+FROM edges e LEFT JOIN pmap m ON m.url = e.dst""")
+def q_link_resolution(spark, sf):
+    from ..operators import links as L
+    e = X.link_edges(linked_pages(spark, sf), P).select("page_id", "seq", "dst")
+    return L.resolution(e, stored_page_map(spark, sf)).select("page_id", "seq", "dst", "target_path", "internal")
+
+
+@register("already_stored", f"""WITH {D_LINKED}, {D_EDGES},
+st AS (SELECT DISTINCT c AS url FROM (SELECT {D.sel(D.canon_cols('url', 'c'))} FROM pages))
+SELECT DISTINCT e.dst, st.url IS NOT NULL AS is_stored FROM edges e LEFT JOIN st ON st.url = e.dst""")
+def q_already_stored(spark, sf):
+    from ..operators import links as L
+    e = X.link_edges(linked_pages(spark, sf), P).select("dst").distinct()
+    st = X.with_page_url(pages(spark, sf, html=False), P).select(F.col("page_url").alias("url"))
+    return L.stored_flags(e, st)
+
+
+@register("frontier_new", f"""WITH {D_LINKED}, {D_EDGES},
+st AS (SELECT DISTINCT c AS url FROM (SELECT {D.sel(D.canon_cols('url', 'c'))} FROM pages)),
+sc AS (
+  SELECT e.*, sha1(pu) AS src_key FROM edges e
+  WHERE lower(regexp_extract(dst, {D.q(D.URI)}, 3)) = lower(regexp_extract(pu, {D.q(D.URI)}, 3))
+    AND NOT {_d_any(_d_target('dst'), P.exclude)} AND {_d_any(_d_target('dst'), P.include)}
+),
+nw AS (SELECT dst AS url, min((src_key, seq)) AS first FROM sc WHERE dst NOT IN (SELECT url FROM st) GROUP BY dst)
+SELECT url, row_number() OVER (ORDER BY first) AS rank FROM nw""")
+def q_frontier_new(spark, sf):
+    from ..operators import frontier as FR
+    e = X.link_edges(linked_pages(spark, sf), P)
+    st = X.with_page_url(pages(spark, sf, html=False), P).select(F.col("page_url").alias("url"))
+    return FR.new_urls(e, st, P)
+
+
+# ---------------------------------------------------------------- ledger ---
+LEDGER_URL = "https://ledger.example.org/user/"
+# events -> transitions: signup=add, view=claim, purchase=complete,
+# error=fail, click=retry (every transition counts as moved).
+KIND_OF_EVENT = {"signup": "add", "view": "claim", "purchase": "complete", "error": "fail", "click": "retry"}
+
+
+def transition_log(spark: SparkSession, sf: str) -> DataFrame:
+    ev = read(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "value")
+    kind = F.create_map(*[x for kv in KIND_OF_EVENT.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
+    return ev.select(F.concat(F.lit(LEDGER_URL), F.col("user_id").cast("string")).alias("url"),
+                     F.element_at(kind, F.col("event_type")).alias("kind"),
+                     F.col("ts"), F.col("event_id").alias("tid"), F.lit(True).alias("moved"),
+                     F.col("value"))
+
+
+_KCASE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KIND_OF_EVENT.items()) + " END"
+D_LEDGER = f"""
+lg AS (SELECT '{LEDGER_URL}' || CAST(user_id AS VARCHAR) AS url, {_KCASE} AS kind, ts, event_id AS tid, value FROM events),
+lk AS (
+  SELECT url,
+    max((ts, tid)) FILTER (WHERE kind = 'add') AS l_add,
+    max((ts, tid)) FILTER (WHERE kind = 'claim') AS l_claim,
+    max((ts, tid)) FILTER (WHERE kind = 'complete') AS l_complete,
+    max((ts, tid)) FILTER (WHERE kind = 'fail') AS l_fail,
+    max((ts, tid)) FILTER (WHERE kind = 'retry') AS l_retry,
+    max(((ts, tid), kind)) FILTER (WHERE kind IN ('add', 'recover', 'retry', 'stale')) AS l_entry
+  FROM lg GROUP BY url
+),
+st AS (
+  SELECT url,
+    l_complete IS NOT NULL AS completed,
+    l_fail IS NOT NULL AND (l_complete IS NULL OR l_fail > l_complete) AND (l_retry IS NULL OR l_fail > l_retry) AS error,
+    l_claim IS NOT NULL AND (l_complete IS NULL OR l_claim > l_complete) AND (l_fail IS NULL OR l_claim > l_fail) AS in_flight,
+    l_entry IS NOT NULL AND (l_claim IS NULL OR l_entry[1] > l_claim) AS pending,
+    l_claim[1] AS last_claim_ts, l_entry[2] AS entry_kind, l_entry[1] AS entry_seq
+  FROM lk
+)"""
+
+
+def ledger_states(spark, sf):
+    from ..operators import ledger as LG
+    return LG.fold(transition_log(spark, sf))
+
+
+@register("ledger_fold", f"""WITH {D_LEDGER}
+SELECT url, completed, error, in_flight, pending, CASE WHEN in_flight THEN last_claim_ts END AS claimed_at, entry_kind
+FROM st""")
+def q_ledger_fold(spark, sf):
+    return ledger_states(spark, sf).select("url", "completed", "error", "in_flight", "pending", "claimed_at", "entry_kind")
+
+
+@register("ledger_stats", f"""WITH {D_LEDGER}
+SELECT *, pending + in_flight AS remaining,
+  round(100.0 * completed / greatest(1, completed + pending + in_flight), 1) AS progress_pct
+FROM (SELECT count(*) FILTER (WHERE pending) AS pending, count(*) FILTER (WHERE in_flight) AS in_flight,
+  count(*) FILTER (WHERE completed) AS completed, count(*) FILTER (WHERE error) AS errors FROM st)""")
+def q_ledger_stats(spark, sf):
+    from ..operators import ledger as LG
+    return LG.stats(ledger_states(spark, sf))
+
+
+@register("claim_batch", f"""WITH {D_LEDGER}
+SELECT row_number() OVER (ORDER BY f, fs DESC NULLS LAST, bs ASC NULLS LAST, url) AS rank, url FROM (
+  SELECT url, CASE WHEN entry_kind IN ('recover', 'stale') THEN 0 ELSE 1 END AS f,
+    CASE WHEN entry_kind IN ('recover', 'stale') THEN entry_seq END AS fs,
+    CASE WHEN entry_kind NOT IN ('recover', 'stale') THEN entry_seq END AS bs
+  FROM st WHERE pending ORDER BY f, fs DESC NULLS LAST, bs ASC NULLS LAST, url LIMIT 16)""")
+def q_claim_batch(spark, sf):
+    from ..operators import ledger as LG
+    return LG.claim_batch(ledger_states(spark, sf), 16)
+
+
+@register("recover_in_flight", f"""WITH {D_LEDGER}
+SELECT url, NOT completed AND NOT pending AS moved FROM st WHERE in_flight""")
+def q_recover_in_flight(spark, sf):
+    from ..operators import ledger as LG
+    return LG.recover_in_flight(ledger_states(spark, sf))
+
+
+@register("retry_errors", f"""WITH {D_LEDGER}
+SELECT url, NOT completed AND NOT pending AS moved FROM st WHERE error""")
+def q_retry_errors(spark, sf):
+    from ..operators import ledger as LG
+    return LG.retry_errors(ledger_states(spark, sf))
+
+
+@register("lease_expiry", f"""WITH {D_LEDGER}
+SELECT url, last_claim_ts AS claimed_at, age_sec FROM (
+  SELECT url, last_claim_ts, (epoch_us((SELECT max(ts) FROM events)) - epoch_us(last_claim_ts)) / 1e6 AS age_sec
+  FROM st WHERE in_flight) WHERE age_sec > 300""")
+def q_lease_expiry(spark, sf):
+    from ..operators import ledger as LG
+    now = read(spark, sf, "events", "ts").agg(F.max("ts")).first()[0]
+    return LG.lease_expiry(ledger_states(spark, sf), F.lit(now), 300)
+
+
+@register("seen_set", f"""WITH {D_LEDGER}
+SELECT url, pending OR completed OR error AS seen_reference FROM st WHERE pending OR completed OR error OR in_flight""")
+def q_seen_set(spark, sf):
+    from ..operators import ledger as LG
+    return LG.seen_set(ledger_states(spark, sf))
+
+
+@register("fetch_outcomes", f"""WITH {D_LEDGER},
+lf AS (SELECT url, arg_max(value, (ts, tid)) AS v FROM lg WHERE kind = 'fail' GROUP BY url)
+SELECT st.url, 400 + CAST(floor(lf.v) AS INTEGER) AS status, 'http-' || CAST(400 + CAST(floor(lf.v) AS INTEGER) AS VARCHAR) AS message
+FROM st JOIN lf ON lf.url = st.url WHERE st.error""")
+def q_fetch_outcomes(spark, sf):
+    """FLT-11: failed fetches as 'http-<code>' (code = 400 + whole part of
+    the failing event's value)."""
+    log = transition_log(spark, sf)
+    st = ledger_states(spark, sf).where("error").select("url")
+    lf = log.where(F.col("kind") == "fail").groupBy("url").agg(
+        F.max_by("value", F.struct("ts", "tid")).alias("v"))
+    code = (F.lit(400) + F.floor("v").cast("int")).cast("int")
+    return st.join(lf, "url").select("url", code.alias("status"),
+                                     F.concat(F.lit("http-"), code.cast("string")).alias("message"))

@@ -99,7 +99,7 @@ FORUM = SiteProfile(
 # as the category id and the last nav entry as the paginator.
 ARTICLES = SiteProfile(
     base_url=None,
-    include=(r"/en/",),
+    include=(r"/en/", r"^/[^/]+$"),
     exclude=FORUM_EXCLUDE + (r"/\d+\.html$",),
     strip_query_keys=TRACKING_KEYS,
     token_attr="lang",
