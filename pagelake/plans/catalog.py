@@ -446,3 +446,247 @@ def q_fetch_outcomes(spark, sf):
     code = (F.lit(400) + F.floor("v").cast("int")).cast("int")
     return st.join(lf, "url").select("url", code.alias("status"),
                                      F.concat(F.lit("http-"), code.cast("string")).alias("message"))
+
+
+# --------------------------------------------------------------- privacy ---
+def _duck_rule(pat: str) -> str:
+    return pat.replace("(?U)", "")
+
+
+def _d_scrub(expr: str, rules) -> str:
+    for _, pat, repl in rules:
+        expr = f"regexp_replace({expr}, {D.q(_duck_rule(pat))}, {D.q(repl)}, 'g')"
+    return expr
+
+
+def _pii_rules():
+    from ..functions import pii as PII
+    return PII.TEST_RULES
+
+
+@register("pii_scrub", f"""SELECT doc_id, {_d_scrub('text', __import__('pagelake.functions.pii', fromlist=['x']).TEST_RULES)} AS text FROM documents""")
+def q_pii_scrub(spark, sf):
+    from ..operators import privacy as PR
+    d = read(spark, sf, "documents", "doc_id", "text")
+    return PR.scrub_text(d, "text", _pii_rules())
+
+
+def _d_report() -> str:
+    rules = _pii_rules()
+    cols, expr = [], "text"
+    for name, pat, repl in rules:
+        cols.append(f"CAST(len(regexp_extract_all({expr}, {D.q(_duck_rule(pat))})) AS BIGINT) AS n_{name}")
+        expr = f"regexp_replace({expr}, {D.q(_duck_rule(pat))}, {D.q(repl)}, 'g')"
+    cond = " OR ".join(f"n_{n} > 0" for n, _, _ in rules)
+    return f"SELECT * FROM (SELECT doc_id, {', '.join(cols)} FROM documents) WHERE {cond}"
+
+
+@register("pii_report", _d_report())
+def q_pii_report(spark, sf):
+    from ..operators import privacy as PR
+    d = read(spark, sf, "documents", "doc_id", "text")
+    return PR.pii_report(d, "doc_id", "text", _pii_rules())
+
+
+_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
+
+@register("email_decode", f"""
+SELECT doc_id, pos, email, token, decoded, decoded = email AS roundtrip, restored FROM (
+  SELECT *, 'mailto:' || email AS plain,
+    array_to_string(list_transform(string_split(plain, ''), lambda c: chr(ascii(c) + 1)), '') AS token,
+    array_to_string(list_transform(string_split(token, ''), lambda c: chr(ascii(c) - 1)), '') AS dec0,
+    CASE WHEN lower(left(dec0, 6)) = 'mailto' THEN regexp_replace(substr(dec0, 7), '^[:;+* \\x{{A0}}]+', '') ELSE dec0 END AS dec1,
+    CASE WHEN strpos(dec1, '@') > 0 THEN dec1 END AS decoded,
+    CASE WHEN strpos(replace(email, '@', ' at '), '@') = 0 THEN replace(replace(email, '@', ' at '), ' at ', '@') END AS restored
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, {D.q(_EMAIL)})) AS email,
+          generate_subscripts(regexp_extract_all(text, {D.q(_EMAIL)}), 1) - 1 AS pos FROM documents))
+""")
+def q_email_decode(spark, sf):
+    """PRV-4/5 round trip: every address found in the documents is encoded
+    as a shifted mailto token and decoded back; the visible ' at ' form is
+    restored as well."""
+    from ..functions import pii as PII
+    d = read(spark, sf, "documents", "doc_id", "text")
+    e = d.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(_EMAIL), 0)).alias("pos", "email"))
+    e = e.withColumn("token", PII.shift_chars(F.concat(F.lit("mailto:"), F.col("email")), 1))
+    e = e.withColumn("decoded", PII.decode_mail_token(F.col("token"), -1))
+    vis = F.replace(F.col("email"), F.lit("@"), F.lit(" at "))
+    return e.select("doc_id", "pos", "email", "token", "decoded", (F.col("decoded") == F.col("email")).alias("roundtrip"),
+                    PII.email_from_visible(vis).alias("restored"))
+
+
+@register("email_redact", f"""
+SELECT page_id, html2 AS html, CAST(len(regexp_extract_all(html2, '\\[email hidden\\]')) - len(regexp_extract_all(html, '\\[email hidden\\]')) AS BIGINT) AS n_redacted FROM (
+  SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(html,
+    '(?is)<(?:span|a|div)\\b[^>]*\\sdata-mail-token\\s*=[^>]*>.*?</(?:span|a|div)\\s*>', '[email hidden]', 'g'),
+    '(?is)<(?:span|a|div)\\b[^>]*\\sdata-mail-vector\\s*=[^>]*>.*?</(?:span|a|div)\\s*>', '[email hidden]', 'g'),
+    '(?is)<a\\b[^>]*\\shref\\s*=\\s*["'']?mailto:[^>]*>.*?</a\\s*>', '[email hidden]', 'g') AS html2 FROM pages)
+""")
+def q_email_redact(spark, sf):
+    from ..operators import privacy as PR
+    from ..profile import FORUM
+    p = pages(spark, sf).select("page_id", "html")
+    r = p.withColumn("html2", PR.redact_emails(F.col("html"), FORUM))
+    return r.select("page_id", F.col("html2").alias("html"),
+                    PR.count_redactions(F.col("html"), F.col("html2")).cast("bigint").alias("n_redacted"))
+
+
+@register("strip_blocks", """
+SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<div class="ad">.*?</div\\s*>', '', 'g'),
+  '(?is)<script\\b[^>]*>.*?</script\\s*>', '', 'g') AS html FROM pages
+""")
+def q_strip_blocks(spark, sf):
+    from ..operators import privacy as PR
+    p = pages(spark, sf).select("page_id", "html")
+    return p.select("page_id", PR.strip_blocks(F.col("html"), P).alias("html"))
+
+
+# Fixture responses next to the stored pages: an expired session (401), a
+# forbidden page, a login form, a logged-in page with only a logout form.
+LOGIN_FIXTURES = [
+    (-1, 401, "text/html", "<html><body>expired</body></html>"),
+    (-2, 403, "text/html", "<html><body>forbidden</body></html>"),
+    (-3, 200, "text/html; charset=utf-8",
+     '<form action="/board?logintype=login"><input type="text" name="user"><input type="password" name="pass"></form>'),
+    (-4, 200, "text/html", '<form action="/board?logintype=logout" class="login_form"><input type="submit" value="Log out"></form>'),
+    (-5, 200, "application/json", '{"pass": 1}'),
+]
+
+
+@register("login_wall", """
+WITH r AS (
+  SELECT page_id, 200 AS status, 'text/html' AS content_type, html FROM pages
+  UNION ALL SELECT * FROM (VALUES
+    (-1, 401, 'text/html', '<html><body>expired</body></html>'),
+    (-2, 403, 'text/html', '<html><body>forbidden</body></html>'),
+    (-3, 200, 'text/html; charset=utf-8', '<form action="/board?logintype=login"><input type="text" name="user"><input type="password" name="pass"></form>'),
+    (-4, 200, 'text/html', '<form action="/board?logintype=logout" class="login_form"><input type="submit" value="Log out"></form>'),
+    (-5, 200, 'application/json', '{"pass": 1}')) v(page_id, status, content_type, html)
+)
+SELECT page_id, status IN (401, 403) OR (status = 200 AND contains(lower(content_type), 'html')
+  AND coalesce(regexp_matches(html, '(?is)<input\\b[^>]*\\sname\\s*=\\s*["'']?pass["''\\s/>]'), false)) AS login_wall FROM r
+""")
+def q_login_wall(spark, sf):
+    from ..operators import privacy as PR
+    p = pages(spark, sf).select("page_id", F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), "html")
+    fx = spark.createDataFrame(LOGIN_FIXTURES, "page_id bigint, status int, content_type string, html string")
+    r = p.unionByName(fx)
+    return r.select("page_id", PR.login_wall(F.col("status"), F.col("content_type"), F.col("html")).alias("login_wall"))
+
+
+# ----------------------------------------------------------------- posts ---
+POSTS_PER_PAGE = 20
+FORUM_URL = "https://forum.example.org/board/topic/"
+
+
+def topic_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations rendered as paginated forum topics (20 posts a page):
+    conv = topic, turn = post, role = author; the post time is the time of
+    the event whose id equals the conversation id.  Pages are bounded, so a
+    very long conversation never becomes one huge row."""
+    from ..functions.text import html_escape
+    c = read(spark, sf, "conversations", "conv_id", "turn", "role", "text")
+    ev = read(spark, sf, "events", "event_id", "ts").select(
+        F.col("event_id").alias("conv_id"), F.date_format("ts", "dd-MM-yyyy HH:mm").alias("ts_text"))
+    c = c.join(ev, "conv_id", "left")
+    chunk = F.concat(F.lit('<li class="post" data-post-id="'), F.col("conv_id").cast("string"), F.lit("-"),
+                     F.col("turn").cast("string"), F.lit('"><div class="post-byline">Posted '),
+                     F.coalesce("ts_text", F.lit("")), F.lit(" by "), html_escape(F.col("role")),
+                     F.lit('</div><div class="post-body">'), html_escape(F.col("text")), F.lit("</div></li>"))
+    c = c.withColumn("page_no", (F.floor(F.col("turn") / POSTS_PER_PAGE) + 1).cast("bigint"))
+    g = c.groupBy("conv_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("turn", chunk.alias("c")))).alias("cs"))
+    cid = F.col("conv_id").cast("string")
+    html = F.concat(F.lit("<html><head><title>Topic "), cid, F.lit(" - Community Board</title></head><body>"),
+                    F.lit('<ul class="forum-crumbs"><li><a href="/board">Board</a></li><li>Topic '), cid,
+                    F.lit('</li></ul><ul class="posts">'), F.array_join(F.transform("cs", lambda x: x["c"]), ""),
+                    F.lit("</ul></body></html>"))
+    url = F.concat(F.lit(FORUM_URL), cid, F.lit("/page/"), F.col("page_no").cast("string"))
+    return g.select((F.col("conv_id") * 1000 + F.col("page_no")).alias("page_id"), url.alias("url"), html.alias("html"))
+
+
+_D_POSTS = f"""
+cp AS (
+  SELECT c.conv_id, c.turn, c.role, c.text, c.conv_id * 1000 + (c.turn // {POSTS_PER_PAGE}) + 1 AS page_id,
+    '{FORUM_URL}' || CAST(c.conv_id AS VARCHAR) || '/page/' || CAST((c.turn // {POSTS_PER_PAGE}) + 1 AS VARCHAR) AS url,
+    strftime(e.ts, '%d-%m-%Y %H:%M') AS ts_text
+  FROM conversations c LEFT JOIN events e ON e.event_id = c.conv_id
+),
+po AS (
+  SELECT page_id, url, sha1(url) AS key, conv_id, turn,
+    row_number() OVER (PARTITION BY page_id ORDER BY turn) - 1 AS pos,
+    CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS post_id,
+    nullif({D.trim_ws('role')}, '') AS author,
+    ts_text AS timestamp,
+    {D.trim_ws('text')} AS t0,
+    CASE WHEN length(t0) > 280 THEN left(t0, 280) || '…' ELSE t0 END AS text_excerpt
+  FROM cp
+)"""
+
+
+def forum_posts(spark, sf):
+    from ..profile import FORUM
+    return X.posts(topic_pages(spark, sf), FORUM)
+
+
+@register("posts", f"WITH {_D_POSTS} SELECT page_id, pos, post_id, author, timestamp, text_excerpt FROM po")
+def q_posts(spark, sf):
+    return forum_posts(spark, sf).select("page_id", "pos", "post_id", "author", "timestamp", "text_excerpt")
+
+
+@register("page_dates", f"""WITH {_D_POSTS}
+SELECT page_id, strftime(min(try_strptime(timestamp, '%d-%m-%Y %H:%M')), '%Y-%m-%d %H:%M') AS date FROM po GROUP BY page_id""")
+def q_page_dates(spark, sf):
+    d = IX.page_dates(forum_posts(spark, sf))
+    return d.select("page_id", F.date_format("date", "yyyy-MM-dd HH:mm").alias("date"))
+
+
+def forum_author_posts(spark, sf):
+    from ..operators import authors as A
+    from ..profile import FORUM
+    tp = X.with_page_url(topic_pages(spark, sf), FORUM)
+    tp = S.prune_excluded(tp, FORUM, "page_url")
+    kept = tp.select("key", F.col("page_url").alias("url"), U.page_path(F.col("page_url")).alias("path"),
+                     X.title_expr(F.col("html")).alias("title"))
+    return A.author_posts(forum_posts(spark, sf), kept, FORUM)
+
+
+_D_AP = f"""
+ap AS (
+  SELECT author, key, pos, regexp_replace(substr(url, strpos(url, '/board/')), '^/+', '') || '.html' AS path,
+    'Topic ' || CAST(conv_id AS VARCHAR) || ' - Community Board' AS title,
+    coalesce(timestamp, '') AS ts, left(coalesce(text_excerpt, ''), 200) AS excerpt
+  FROM po WHERE author IS NOT NULL AND trim(author) <> ''
+)"""
+
+
+@register("author_posts", f"WITH {_D_POSTS}, {_D_AP} SELECT author, key, pos, path, title, ts, excerpt FROM ap")
+def q_author_posts(spark, sf):
+    return forum_author_posts(spark, sf)
+
+
+@register("author_index", f"""WITH {_D_POSTS}, {_D_AP}
+SELECT author, n_posts,
+  'authors/' || left(CASE WHEN b = '' THEN 'author' ELSE b END, 40) || '-' || left(sha1(author), 6) || '.html' AS slug,
+  row_number() OVER (ORDER BY author) AS rank
+FROM (SELECT author, count(*) AS n_posts,
+  lower(regexp_replace(regexp_replace(author, '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS b FROM ap GROUP BY author)""")
+def q_author_index(spark, sf):
+    from ..operators import authors as A
+    return A.author_index(forum_author_posts(spark, sf)).select("author", "n_posts", "slug", "rank")
+
+
+@register("author_pages")
+def q_author_pages(spark, sf):
+    from ..operators import authors as A
+    return A.author_pages(forum_author_posts(spark, sf))
+
+
+@register("excerpts", f"""
+SELECT doc_id, CASE WHEN length(text) > 280 THEN left(text, 280) || '…' ELSE text END AS excerpt,
+  left(text, 200) AS short, CASE WHEN length(text) > 80 THEN left(text, 80) || '…' ELSE text END AS description
+FROM documents""")
+def q_excerpts(spark, sf):
+    d = read(spark, sf, "documents", "doc_id", "text")
+    return d.select("doc_id", T.truncate(F.col("text"), 280).alias("excerpt"),
+                    F.substring("text", 1, 200).alias("short"), T.truncate(F.col("text"), 80).alias("description"))
