@@ -690,3 +690,150 @@ def q_excerpts(spark, sf):
     d = read(spark, sf, "documents", "doc_id", "text")
     return d.select("doc_id", T.truncate(F.col("text"), 280).alias("excerpt"),
                     F.substring("text", 1, 200).alias("short"), T.truncate(F.col("text"), 80).alias("description"))
+
+
+# ------------------------------------------------------- more extraction ---
+_NAV = D.inner("html", r"<nav\b[^>]*>", r"</nav>")
+_NAV_A = r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a\s*>'
+D_NAV = f"""
+nv AS (
+  SELECT page_id, pu, unnest(regexp_extract_all(nav, {D.q(_NAV_A)}, 1)) AS href0,
+    unnest(regexp_extract_all(nav, {D.q(_NAV_A)}, 2)) AS inner0,
+    generate_subscripts(regexp_extract_all(nav, {D.q(_NAV_A)}, 1), 1) - 1 AS seq
+  FROM (SELECT page_id, {_NAV} AS nav, {D.sel(D.canon_cols('url', 'pu'))} FROM {{src}})
+),
+nvr AS (
+  SELECT page_id, seq, {D.text('inner0')} AS text, {D.sel(D.resolve_cols(D.decode('href0'), 'pu', 'abs'), D.canon_cols('abs', 'dst'))}
+  FROM nv WHERE href0 <> ''
+)"""
+
+
+@register("nav_links", f"""WITH {D_LINKED}, {D_NAV.replace('{src}', 'linked')}
+SELECT page_id, seq, dst, text FROM nvr""")
+def q_nav_links(spark, sf):
+    return X.nav_links(linked_pages(spark, sf), P)
+
+
+@register("page_breadcrumb", f"""WITH {D_NAV.replace('{src}', 'pages')}
+SELECT p.page_id, coalesce(array_to_string(list(text ORDER BY seq) FILTER (WHERE text <> ''), ' > '), '') AS crumbs,
+  count(*) FILTER (WHERE text <> '') AS n_crumbs
+FROM pages p LEFT JOIN nvr ON nvr.page_id = p.page_id GROUP BY p.page_id""")
+def q_page_breadcrumb(spark, sf):
+    p = pages(spark, sf)
+    bc = X.crumbs_expr(F.col("html"), P.breadcrumb_block, P.breadcrumb_end)
+    return p.select("page_id", F.array_join(bc, " > ").alias("crumbs"), F.size(bc).cast("bigint").alias("n_crumbs"))
+
+
+@register("pagination_next", f"""WITH {D_LINKED}, {D_NAV.replace('{src}', 'linked')}
+SELECT l.page_id, arg_max(dst, seq) AS next_url FROM linked l LEFT JOIN nvr ON nvr.page_id = l.page_id GROUP BY l.page_id""")
+def q_pagination_next(spark, sf):
+    lp = X.with_page_url(linked_pages(spark, sf), P)
+    return lp.select("page_id", X.next_page(F.col("html"), F.col("page_url"), P).alias("next_url"))
+
+
+@register("page_attr_first", """
+SELECT page_id, nullif(regexp_extract(html, '(?is)\\slang\\s*=\\s*"([^"]*)"', 1), '') AS token,
+  CAST(len(regexp_extract_all(html, '(?is)\\sdata-endpoint\\s*=')) AS INTEGER) AS n_endpoints FROM pages""")
+def q_page_attr_first(spark, sf):
+    p = X.with_page_url(pages(spark, sf), P)
+    h = F.col("html")
+    return p.select("page_id", X.first_token(h, P).alias("token"),
+                    F.size(X.endpoints(h, F.col("page_url"), P)).alias("n_endpoints"))
+
+
+@register("attachment_edges", f"""WITH {D_LINKED},
+pc AS (SELECT page_id, html, {D.sel(D.canon_cols('url', 'pu'))} FROM linked),
+raw AS (
+  SELECT page_id, pu, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*href="([^"]*)"', 1)) AS href0,
+    generate_subscripts(regexp_extract_all(html, '(?is)<a\\s[^>]*href="([^"]*)"', 1), 1) AS pos FROM pc),
+att AS (SELECT page_id, pos, {D.sel(D.resolve_cols(D.decode('href0'), 'pu', 'abs'), D.canon_cols('abs', 'dst'))}
+  FROM raw WHERE href0 <> '' AND ({' OR '.join(f"contains(href0, {D.q(d)})" for d in P.upload_dirs)}))
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS seq, dst FROM att""")
+def q_attachment_edges(spark, sf):
+    return X.attachment_edges(linked_pages(spark, sf), P)
+
+
+def catlist_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Each page's menu re-rendered as a category list: the page language is
+    the group, every menu link a category (id = position, topic count and
+    description from the link text)."""
+    from ..functions.text import html_escape
+    lp = linked_pages(spark, sf)
+    a = F.filter(X.H.anchors(X.H.inner(F.col("html"), P.nav_block, P.nav_end)), lambda x: x["has_href"])
+    items = F.transform(a, lambda x, i: F.concat(
+        F.lit('<li class="cat-item"><h3><a href="'), html_escape(x["href"]), F.lit('">'), html_escape(x["text"]),
+        F.lit('</a></h3><span class="topic-count">'), F.length(x["text"]).cast("string"), F.lit(" topics</span>"),
+        F.lit('<span data-cat-id="'), i.cast("string"), F.lit('"></span><p class="cat-desc">About '),
+        html_escape(x["text"]), F.lit("</p></li>")))
+    lang = X.H.attr(F.concat(F.lit(" "), F.regexp_extract("html", r"(?is)<html\b([^>]*)>", 1)), "lang")
+    html = F.concat(F.lit('<ul class="groups"><li class="cat-group"><h2>'), lang, F.lit("</h2><ul>"),
+                    F.array_join(items, ""), F.lit("</ul></li></ul>"))
+    return lp.select("page_id", "url", html.alias("html"))
+
+
+@register("category_list", f"""WITH {D_LINKED}, {D_NAV.replace('{src}', 'linked')}
+SELECT n.page_id, 0 AS gpos, seq AS cpos, regexp_extract(l.html, '(?is)<html\\b[^>]*\\slang\\s*=\\s*"([^"]*)"', 1) AS "group",
+  text AS title, dst AS url, CAST(seq AS VARCHAR) AS cat_id, CAST(length(text) AS BIGINT) AS topic_count, 'About ' || text AS description
+FROM nvr n JOIN linked l ON l.page_id = n.page_id""")
+def q_category_list(spark, sf):
+    from ..profile import FORUM
+    prof = FORUM.with_(strip_query_keys=P.strip_query_keys)
+    return X.categories(catlist_pages(spark, sf), prof).select(
+        "page_id", F.col("gpos").cast("int").alias("gpos"), F.col("cpos").cast("int").alias("cpos"), "group",
+        "title", "url", "cat_id", "topic_count", "description")
+
+
+def sitemap_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """A sitemap document per page listing its menu targets as <loc> entries."""
+    lp = X.link_edges(linked_pages(spark, sf), P)
+    g = lp.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("seq", "dst"))).alias("l"))
+    body = F.array_join(F.transform("l", lambda x: F.concat(F.lit("<url><loc>"), x["dst"], F.lit("</loc></url>"))), "")
+    return g.select("page_id", F.concat(F.lit('<?xml version="1.0"?><urlset>'), body, F.lit("</urlset>")).alias("text"))
+
+
+@register("sitemap_urls", f"""WITH {D_LINKED}, {D_EDGES}
+SELECT page_id, seq AS loc_pos, dst AS url FROM edges""")
+def q_sitemap_urls(spark, sf):
+    from ..operators import discover as DS
+    s = DS.sitemap_locs(sitemap_docs(spark, sf))
+    return s.select("page_id", F.col("loc_pos").alias("loc_pos"),
+                    U.canonical(F.col("loc"), P.strip_query_keys).alias("url"))
+
+
+@register("seed_frontier", f"""
+SELECT url, row_number() OVER (ORDER BY o, url) AS rank FROM (
+  SELECT c AS url, min(page_id) AS o FROM (SELECT page_id, {D.sel(D.canon_cols('url', 'c'))} FROM pages
+  WHERE contains(url, 'utm_source=feed')) GROUP BY c)""")
+def q_seed_frontier(spark, sf):
+    """SRC-7: feed entries (raw URLs carrying utm_source=feed) are the seeds."""
+    from ..operators import discover as DS
+    seeds = pages(spark, sf, html=False).where(F.col("url").contains("utm_source=feed"))
+    return DS.seed_frontier(seeds, P, "page_id")
+
+
+def _initcap_sql(e: str) -> str:
+    return (f"array_to_string(list_transform(string_split({e}, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')")
+
+
+@register("discover_merge", f"""WITH {D_LINKED}, {D_NAV.replace('{src}', 'linked')}, {D_EDGES},
+src AS (
+  SELECT dst AS url, text AS title, page_id * 100000 + seq AS seq, 0 AS s FROM nvr
+  UNION ALL SELECT dst, {_initcap_sql("trim(regexp_replace(list_filter(string_split(dst, '/'), lambda x: x <> '')[-1], '[-_]+', ' ', 'g'))")}, page_id * 100000 + seq, 1 FROM edges
+  UNION ALL SELECT dst, text, page_id * 100000 + seq, 2 FROM nvr
+),
+best AS (SELECT url, arg_min((title, s), (s, seq)) AS b FROM src GROUP BY url)
+SELECT url, b[1] AS title, ['catlist', 'sitemap', 'menu'][b[2] + 1] AS source, row_number() OVER (ORDER BY url) AS rank FROM best""")
+def q_discover_merge(spark, sf):
+    """WIN-4 + P-9: category list > sitemap > menu, first wins; by URL."""
+    from ..operators import discover as DS
+    from ..profile import FORUM
+    prof = FORUM.with_(strip_query_keys=P.strip_query_keys)
+    cats = X.categories(catlist_pages(spark, sf), prof).select(
+        "url", "title", (F.col("page_id") * 100000 + F.col("cpos")).alias("seq"))
+    sm = DS.sitemap_locs(sitemap_docs(spark, sf)).select(
+        U.canonical(F.col("loc"), P.strip_query_keys).alias("url"),
+        (F.col("page_id") * 100000 + F.col("loc_pos")).alias("seq"))
+    sm = sm.withColumn("title", U.title_from_url(F.col("url")))
+    menu = X.nav_links(linked_pages(spark, sf), P).select(
+        F.col("dst").alias("url"), F.col("text").alias("title"), (F.col("page_id") * 100000 + F.col("seq")).alias("seq"))
+    return DS.merge_sources(cats, sm, menu).select("url", "title", "source", "rank")
