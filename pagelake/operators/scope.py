@@ -42,3 +42,72 @@ def in_scope(url: Column, profile: SiteProfile, base: Column | None = None,
 def prune_excluded(df: DataFrame, profile: SiteProfile, url_col: str = "url", extra_exclude=()) -> DataFrame:
     """FLT-6: drop excluded stored pages (the store itself is untouched)."""
     return df.where(~excluded(F.col(url_col), profile, extra_exclude))
+
+
+BROADCAST_ROWS = 100_000
+
+
+def category_patterns(seeds: DataFrame, profile: SiteProfile, url_col: str = "url") -> DataFrame:
+    """FLT-5: from each seed's category id derive that category's pattern and
+    the topic pattern; the user's include patterns come first (order col)."""
+    t = U.scope_target(F.col(url_col))
+    cid = F.regexp_extract(t, profile.category_seed, 1)
+    cats = seeds.select(cid.alias("cid")).where(F.col("cid") != "").distinct()
+    pats = cats.select(F.replace(F.lit(profile.category_pattern), F.lit("{id}"), F.col("cid")).alias("pattern"),
+                       F.lit(1).alias("grp"))
+    return pats.unionByName(cats.limit(1).select(F.lit(profile.topic_pattern).alias("pattern"), F.lit(2).alias("grp")))
+
+
+def match_patterns(df: DataFrame, patterns: DataFrame, url_col: str = "url") -> DataFrame:
+    """Rows of ``df`` with an ``in_scope`` flag: some pattern (regex search)
+    is found in the decoded path?query.  The pattern table is broadcast when
+    its size is below BROADCAST_ROWS (checked); larger tables are matched in
+    chunks of that size, each broadcast, so no single task holds them all."""
+    n = patterns.count()
+    if n == 0:
+        raise ValueError("no seed yields a category pattern")
+    tagged = df.withColumn("_t", U.scope_target(F.col(url_col))).withColumn("_rid", F.monotonically_increasing_id())
+    tagged = tagged.checkpoint(eager=True) if n > BROADCAST_ROWS else tagged
+    pats = patterns.select("pattern")
+    if n <= BROADCAST_ROWS:
+        chunks = [pats]
+    else:
+        k = (n + BROADCAST_ROWS - 1) // BROADCAST_ROWS
+        numbered = pats.withColumn("_c", F.abs(F.xxhash64("pattern")) % k).checkpoint(eager=True)
+        chunks = [numbered.where(F.col("_c") == i).select("pattern") for i in range(k)]
+    hits = None
+    for c in chunks:
+        h = tagged.join(F.broadcast(c), F.expr("_t RLIKE pattern"), "left_semi").select("_rid")
+        hits = h if hits is None else hits.unionByName(h)
+    flagged = tagged.join(hits.distinct().withColumn("in_scope", F.lit(True)), "_rid", "left")
+    return flagged.withColumn("in_scope", F.coalesce("in_scope", F.lit(False))).drop("_t", "_rid")
+
+
+def robots_allowed(pages: DataFrame, rules: DataFrame, agent: str, url_col: str = "url") -> DataFrame:
+    """FLT-9: a URL is allowed unless the first matching rule of its host's
+    applicable group disallows it.  ``rules``: (host, agent, rule_no, allow,
+    path_prefix) with host '*' for every host.  The group is the rules
+    naming ``agent`` when any exist for the host, else the '*' rules; host
+    rules come before '*' rules, then rule_no; no rule = allowed."""
+    p = pages.withColumn("_host", U.host(F.col(url_col))).withColumn("_t", U.scope_target(F.col(url_col)))
+    p = p.withColumn("_hk", F.explode(F.array(F.col("_host"), F.lit("*"))))
+    r = rules.select(F.col("host").alias("_hk"), F.col("agent").alias("_agent"), "rule_no", "allow", "path_prefix")
+    r = F.broadcast(r) if rules.count() <= BROADCAST_ROWS else r
+    j = p.join(r, "_hk", "left")
+    ours = F.col("_agent") == agent
+    matched = F.col("_t").startswith(F.col("path_prefix"))
+    keys = [c for c in pages.columns]
+    g = j.groupBy(*keys).agg(
+        F.max(F.coalesce(ours, F.lit(False))).alias("_has_ours"),
+        F.min_by(F.struct(ours.alias("o"), F.col("allow").alias("a")),
+                 F.struct(F.when(matched & ours, 0).when(matched & (F.col("_agent") == "*"), 1).otherwise(2),
+                          (F.col("_hk") == "*"), F.col("rule_no"))).alias("_ours_first"),
+        F.min_by(F.col("allow"), F.struct(F.when(matched & (F.col("_agent") == "*"), 0).otherwise(1),
+                                          (F.col("_hk") == "*"), F.col("rule_no"))).alias("_star_allow"),
+        F.max(matched & (F.col("_agent") == "*")).alias("_star_hit"),
+        F.max(matched & ours).alias("_ours_hit"),
+    )
+    allowed = (F.when(F.col("_has_ours"), F.when(F.coalesce("_ours_hit", F.lit(False)), F.col("_ours_first.a")).otherwise(F.lit(True)))
+               .otherwise(F.when(F.coalesce("_star_hit", F.lit(False)), F.col("_star_allow")).otherwise(F.lit(True))))
+    return g.select(*keys, allowed.alias("allowed")).withColumn(
+        "reason", F.when(~F.col("allowed"), F.lit("robots-disallowed")))

@@ -837,3 +837,101 @@ def q_discover_merge(spark, sf):
     menu = X.nav_links(linked_pages(spark, sf), P).select(
         F.col("dst").alias("url"), F.col("text").alias("title"), (F.col("page_id") * 100000 + F.col("seq")).alias("seq"))
     return DS.merge_sources(cats, sm, menu).select("url", "title", "source", "rank")
+
+
+# --------------------------------------------------------------- closure ---
+def closure_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored in-scope edges of the linked pages (multi-site: include and
+    exclude patterns only), with a first-seen order key."""
+    e = X.link_edges(linked_pages(spark, sf), P)
+    t = U.scope_target(F.col("dst"))
+    ok = U.let(t, lambda x: S.any_match(x, P.include) & ~S.any_match(x, P.exclude))
+    return e.where(ok).select(F.col("page_url").alias("src"), "dst",
+                              F.struct(F.col("page_id"), F.col("seq")).alias("k"))
+
+
+@register("crawl_closure", f"""WITH RECURSIVE {D_LINKED}, {D_EDGES},
+se AS (SELECT pu AS src, dst FROM edges
+  WHERE NOT {_d_any(_d_target('dst'), P.exclude)} AND {_d_any(_d_target('dst'), P.include)}),
+seeds AS (SELECT DISTINCT c AS url FROM (SELECT {D.sel(D.canon_cols('url', 'c'))} FROM pages WHERE contains(url, 'utm_source=feed'))),
+r(url, depth) USING KEY (url) AS (
+  SELECT url, 0 FROM seeds
+  UNION SELECT se.dst, r.depth + 1 FROM r JOIN se ON se.src = r.url
+    WHERE NOT EXISTS (SELECT 1 FROM recurring.r rr WHERE rr.url = se.dst)
+)
+SELECT url, depth FROM r""")
+def q_crawl_closure(spark, sf):
+    from ..operators import closure as CL
+    seeds = X.with_page_url(pages(spark, sf, html=False).where(F.col("url").contains("utm_source=feed")), P)
+    res = CL.crawl_closure(seeds.select(F.col("page_url").alias("url")), closure_edges(spark, sf))
+    return res.select("url", "depth")
+
+
+# ------------------------------------------------------------- rewriting ---
+@register("page_rewrite", f"""WITH {D_LINKED}, {D_MAP},
+pc AS (SELECT page_id, html, {D.sel(D.canon_cols('url', 'pu'), D.page_path('pu', 'path'))} FROM linked
+  WHERE NOT {_d_any(_d_target('pu'), P.exclude)}),
+pieces AS (SELECT page_id, pu, path, unnest(string_split(html, 'href="')) AS piece,
+  generate_subscripts(string_split(html, 'href="'), 1) - 1 AS i, string_split(html, 'href="') AS arr FROM pc),
+refs AS (SELECT *, split_part(piece, '"', 1) AS ref,
+  i > 0 AND regexp_matches(arr[i] || 'href="', '(?is)<(?:a|img|link|script|source)\\b[^<>]*\\s(?:href|src)="$') AS tag_ok FROM pieces),
+res AS (SELECT r.*, m.path AS target FROM (
+  SELECT *, {D.sel(D.resolve_cols('ref', 'pu', 'abs'), D.canon_cols('abs', 'dst'))} FROM refs) r
+  LEFT JOIN pmap m ON m.url = r.dst AND r.tag_ok AND r.ref <> '' AND {' AND '.join(f"NOT starts_with(r.ref, {D.q(x)})" for x in X.NON_ASSET_PREFIXES)})
+SELECT page_id, path,
+  array_to_string(list(CASE WHEN target IS NULL THEN piece
+    ELSE repeat('../', length(path) - length(replace(path, '/', ''))) || target || substr(piece, length(ref) + 1) END ORDER BY i), 'href="') AS html,
+  CAST(count(target) AS INTEGER) AS n_rewritten
+FROM res GROUP BY page_id, path""")
+def q_page_rewrite(spark, sf):
+    from ..operators import links as L
+    lp = X.with_page_url(linked_pages(spark, sf), P)
+    lp = S.prune_excluded(lp, P, "page_url").select("page_id", "page_url", U.page_path(F.col("page_url")).alias("path"), "html")
+    return L.rewrite_pages(lp, stored_page_map(spark, sf), P).select("page_id", "path", "html", "n_rewritten")
+
+
+# ----------------------------------------------------------------- scope ---
+AGENT = "pagelake"
+# Robots rules of the check: every host disallows /es/ except /es/1..., and
+# /de/9...; one host disallows /en/; our own agent group on another host.
+ROBOTS_RULES = [
+    ("*", "*", 1, True, "/es/1"),
+    ("*", "*", 2, False, "/es/"),
+    ("*", "*", 3, False, "/de/9"),
+    ("blog.ththan.example.net", "*", 1, False, "/en/"),
+    ("thther.example.org", AGENT, 1, False, "/fr/"),
+]
+
+
+@register("robots_policy", f"""
+WITH pc AS (SELECT page_id, c AS url, lower(regexp_extract(c, {D.q(D.URI)}, 3)) AS host, {_d_target('c')} AS t
+  FROM (SELECT page_id, {D.sel(D.canon_cols('url', 'c'))} FROM pages)),
+r AS (SELECT * FROM (VALUES {', '.join(f"({D.q(h)}, {D.q(a)}, {n}, {str(al).lower()}, {D.q(pf)})" for h, a, n, al, pf in ROBOTS_RULES)}) v(host, agent, rule_no, allow, path_prefix)),
+j AS (SELECT pc.page_id, pc.url, r.*, starts_with(pc.t, r.path_prefix) AS m, r.host = '*' AS wild
+  FROM pc LEFT JOIN r ON r.host = pc.host OR r.host = '*'),
+g AS (SELECT page_id, url, bool_or(coalesce(agent = '{AGENT}', false)) AS has_ours,
+  arg_min(allow, (wild, rule_no)) FILTER (WHERE m AND agent = '{AGENT}') AS ours_allow,
+  arg_min(allow, (wild, rule_no)) FILTER (WHERE m AND agent = '*') AS star_allow
+  FROM j GROUP BY page_id, url)
+SELECT page_id, url, CASE WHEN has_ours THEN coalesce(ours_allow, true) ELSE coalesce(star_allow, true) END AS allowed,
+  CASE WHEN NOT (CASE WHEN has_ours THEN coalesce(ours_allow, true) ELSE coalesce(star_allow, true) END) THEN 'robots-disallowed' END AS reason
+FROM g""")
+def q_robots_policy(spark, sf):
+    p = X.with_page_url(pages(spark, sf, html=False), P).select("page_id", F.col("page_url").alias("url"))
+    rules = spark.createDataFrame(ROBOTS_RULES, "host string, agent string, rule_no int, allow boolean, path_prefix string")
+    return S.robots_allowed(p, rules, AGENT)
+
+
+@register("category_scope", f"""
+WITH pc AS (SELECT page_id, c AS url, {_d_target('c')} AS t FROM (SELECT page_id, url AS raw, {D.sel(D.canon_cols('url', 'c'))} FROM pages)),
+seeds AS (SELECT * FROM pc WHERE page_id IN (SELECT page_id FROM pages WHERE contains(url, 'utm_source=feed'))),
+pats AS (SELECT DISTINCT replace({D.q(P.category_pattern)}, '{{id}}', regexp_extract(t, {D.q(P.category_seed)}, 1)) AS pattern FROM seeds
+  WHERE regexp_extract(t, {D.q(P.category_seed)}, 1) <> '' UNION SELECT {D.q(P.topic_pattern)})
+SELECT page_id, url, EXISTS (SELECT 1 FROM pats WHERE regexp_matches(pc.t, pats.pattern)) AS in_scope FROM pc""")
+def q_category_scope(spark, sf):
+    """FLT-5: feed entries are the seeds; their language segment is the
+    category; every stored page is tested against the derived patterns."""
+    p = X.with_page_url(pages(spark, sf, html=False), P)
+    seeds = p.where(F.col("url").contains("utm_source=feed")).select(F.col("page_url").alias("url"))
+    pats = S.category_patterns(seeds, P)
+    return S.match_patterns(p.select("page_id", F.col("page_url").alias("url")), pats)
