@@ -35,6 +35,15 @@ def with_page_url(pages: DataFrame, profile: SiteProfile, url_col: str = "url")
             .withColumn("key", U.url_key(F.col("page_url"))))
 
 
+def latest_per_key(df: DataFrame, order_col: str = "page_id") -> DataFrame:
+    """SNK-1 / WIN-2: one stored page per key, the last write (highest
+    ``order_col``) wins.  A ``max_by`` aggregation combines map-side, so a
+    key repeated in a third of the rows still costs one small buffer."""
+    cols = [c for c in df.columns if c != "key"]
+    best = df.groupBy("key").agg(F.max_by(F.struct(*cols), F.col(order_col)).alias("_r"))
+    return best.select("key", *[F.col(f"_r.{c}").alias(c) for c in cols])
+
+
 def site_base(profile: SiteProfile) -> Column:
     """Base URL used for the same-site test: the profile's, else the page's own."""
     return F.lit(profile.base_url) if profile.base_url else F.col("page_url")

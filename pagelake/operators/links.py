@@ -14,10 +14,10 @@ def resolution(edges: DataFrame, page_map: DataFrame, asset_map: DataFrame | Non
     """JOIN-6: canonical target -> bundle path; pages first, then assets,
     else external (left unchanged).  Maps are (url, path) frames; both joins
     are equi-joins on the URL, so AQE picks broadcast or shuffle by size."""
-    pm = page_map.select(F.col("url").alias("dst"), F.col("path").alias("page_path"))
+    pm = page_map.select(F.col("url").alias("dst"), F.col("path").alias("page_path")).dropDuplicates(["dst"])
     out = edges.join(pm, "dst", "left")
     if asset_map is not None:
-        am = asset_map.select(F.col("url").alias("dst"), F.col("path").alias("asset_path"))
+        am = asset_map.select(F.col("url").alias("dst"), F.col("path").alias("asset_path")).dropDuplicates(["dst"])
         out = out.join(am, "dst", "left")
         tgt = F.coalesce("page_path", "asset_path")
     else:

@@ -77,7 +77,7 @@ def page_meta(spark: SparkSession, sf: str) -> DataFrame:
     """Stored page records for the index jobs: canonical url, key, title,
     breadcrumb, bundle path and date.  A page's post date text is the
     matching event's time (event_id = page_id) shown as dd-MM-yyyy HH:mm."""
-    p = X.with_page_url(pages(spark, sf), P)
+    p = X.latest_per_key(X.with_page_url(pages(spark, sf), P))
     recs = p.select("page_id", F.col("page_url").alias("url"), "key",
                     X.record_title(F.col("html"), P).alias("title"),
                     X.record_breadcrumb(F.col("html"), P).alias("breadcrumb"))
@@ -111,7 +111,9 @@ meta AS (
       {crumbs}[-1] AS lastc,
       try_strptime(strftime(e.ts, '%d-%m-%Y %H:%M'), '%d-%m-%Y %H:%M') AS date,
       regexp_extract(u, {D.q(D.URI)}, 4) || CASE WHEN regexp_extract(u, {D.q(D.URI)}, 6) <> '' THEN '?' || regexp_extract(u, {D.q(D.URI)}, 6) ELSE '' END AS tgt
-    FROM pages p LEFT JOIN events e ON e.event_id = p.page_id
+    FROM (SELECT * FROM pages WHERE page_id IN (
+      SELECT max(page_id) FROM (SELECT page_id, {D.sel(D.canon_cols('url', 'c'))} FROM pages) GROUP BY c)) p
+    LEFT JOIN events e ON e.event_id = p.page_id
   ) WHERE NOT ({excl})
 ),
 cls AS (
@@ -283,12 +285,12 @@ def stored_page_map(spark: SparkSession, sf: str) -> DataFrame:
     """(url, path) of stored pages kept by the build prune."""
     p = X.with_page_url(pages(spark, sf, html=False), P)
     p = S.prune_excluded(p, P, "page_url")
-    return p.select(F.col("page_url").alias("url"), U.page_path(F.col("page_url")).alias("path"))
+    return p.select(F.col("page_url").alias("url"), U.page_path(F.col("page_url")).alias("path")).distinct()
 
 
 D_MAP = f"""
 pmap AS (
-  SELECT c AS url, pp AS path FROM (SELECT {D.sel(D.canon_cols('url', 'c'), D.page_path('c', 'pp'))} FROM pages)
+  SELECT DISTINCT c AS url, pp AS path FROM (SELECT {D.sel(D.canon_cols('url', 'c'), D.page_path('c', 'pp'))} FROM pages)
   WHERE NOT {_d_any(_d_target('c'), P.exclude)}
 )"""
 
