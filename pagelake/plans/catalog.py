@@ -937,3 +937,165 @@ def q_category_scope(spark, sf):
     seeds = p.where(F.col("url").contains("utm_source=feed")).select(F.col("page_url").alias("url"))
     pats = S.category_patterns(seeds, P)
     return S.match_patterns(p.select("page_id", F.col("page_url").alias("url")), pats)
+
+
+# ------------------------------------------------------- store / upserts ---
+def _scratch(spark: SparkSession, name: str) -> str:
+    import uuid
+    from ..session import scratch_path
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+@register("scan_pages", f"""
+SELECT sha1(c) AS key, url, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes FROM (SELECT url, html, {D.sel(D.canon_cols('url', 'c'))} FROM pages)""")
+def q_scan_pages(spark, sf):
+    p = X.with_page_url(pages(spark, sf), P)
+    return p.select("key", "url", F.octet_length("html").cast("bigint").alias("n_bytes"))
+
+
+def snapshots(spark: SparkSession, sf: str):
+    """Prior store = every page (deduplicated per key); the new fetch skips
+    the '#top' variants and returns changed markup for 'page=2' URLs."""
+    p = X.latest_per_key(X.with_page_url(pages(spark, sf), P))
+    prior = p.select("key", F.col("page_url").alias("url"), "html", F.lit(1).alias("version"))
+    raw = X.with_page_url(pages(spark, sf).where(~F.col("url").contains("#top")), P)
+    html2 = F.when(F.col("url").contains("page=2"), F.concat(F.col("html"), F.lit("<!-- rev 2 -->"))).otherwise(F.col("html"))
+    fetched = X.latest_per_key(raw.select("page_id", "key", F.col("page_url").alias("page_url"), html2.alias("html")))
+    fetched = fetched.select("key", F.col("page_url").alias("url"), "html", F.lit(2).alias("version"))
+
+    def validators(df):
+        sha = F.sha1(F.encode("html", "UTF-8"))
+        return df.select("key", "url", F.substring(sha, 1, 16).alias("etag"), F.lit(None).cast("string").alias("last_modified"),
+                         sha.alias("content_sha"), "version")
+    return validators(prior), validators(fetched)
+
+
+D_SNAP = f"""
+pk AS (SELECT page_id, url AS raw, html, {D.sel(D.canon_cols('url', 'c'))} FROM pages),
+prior AS (SELECT sha1(c) AS key, c AS url, sha1(html) AS content_sha, left(sha1(html), 16) AS etag
+  FROM pk WHERE page_id IN (SELECT max(page_id) FROM pk GROUP BY c)),
+fk AS (SELECT page_id, c, CASE WHEN contains(raw, 'page=2') THEN html || '<!-- rev 2 -->' ELSE html END AS html
+  FROM pk WHERE NOT contains(raw, '#top')),
+fetched AS (SELECT sha1(c) AS key, c AS url, sha1(html) AS content_sha, left(sha1(html), 16) AS etag
+  FROM fk WHERE page_id IN (SELECT max(page_id) FROM fk GROUP BY c))"""
+
+
+@register("incremental_diff", f"""WITH {D_SNAP}
+SELECT f.key, f.url, CASE WHEN p.key IS NULL THEN 'new' WHEN p.etag = f.etag AND p.content_sha = f.content_sha THEN 'unchanged'
+  ELSE 'changed' END AS change FROM fetched f LEFT JOIN prior p ON p.key = f.key""")
+def q_incremental_diff(spark, sf):
+    from ..operators import incremental as INC
+    prior, fetched = snapshots(spark, sf)
+    return INC.diff(prior, fetched)
+
+
+@register("page_upsert", f"""WITH {D_SNAP}
+SELECT key, arg_max(url, v) AS url, max(v) AS version, arg_max(content_sha, v) AS content_sha FROM (
+  SELECT key, url, content_sha, 1 AS v FROM prior UNION ALL SELECT key, url, content_sha, 2 FROM fetched) GROUP BY key""")
+def q_page_upsert(spark, sf):
+    from ..operators import incremental as INC
+    prior, fetched = snapshots(spark, sf)
+    cols = ["key", "url", "version", "content_sha"]
+    return INC.upsert(prior.select(*cols), fetched.select(*cols)).select(*cols)
+
+
+@register("unchanged_relink", f"""WITH linked AS (SELECT page_id, url, html FROM pages), {D_EDGES}, {D_SNAP},
+un AS (SELECT f.key FROM fetched f JOIN prior p ON p.key = f.key WHERE p.etag = f.etag AND p.content_sha = f.content_sha),
+st AS (SELECT DISTINCT sha1(c) AS key, c AS url FROM pk)
+SELECT DISTINCT e.dst AS url FROM edges e JOIN un ON un.key = sha1(e.pu)
+WHERE lower(regexp_extract(dst, {D.q(D.URI)}, 3)) = lower(regexp_extract(pu, {D.q(D.URI)}, 3))
+  AND NOT {_d_any(_d_target('dst'), P.exclude)} AND {_d_any(_d_target('dst'), P.include)}
+  AND e.dst NOT IN (SELECT url FROM st)""")
+def q_unchanged_relink(spark, sf):
+    """JOIN-5 + SET-3: links (and endpoints) stored for unchanged pages are
+    re-queued when in scope and not yet seen."""
+    from ..operators import incremental as INC
+    prior, fetched = snapshots(spark, sf)
+    unchanged = INC.diff(prior, fetched).where(F.col("change") == "unchanged").select("key")
+    p = X.with_page_url(pages(spark, sf), P)
+    stored = p.select("key", "page_url", F.concat(X.link_targets(F.col("html"), F.col("page_url"), P),
+                                                  X.endpoints(F.col("html"), F.col("page_url"), P)).alias("l"))
+    e = stored.join(unchanged, "key", "left_semi").select("page_url", F.explode("l").alias("dst"))
+    e = e.where(S.in_scope(F.col("dst"), P, base=F.col("page_url")))
+    seen = p.select(F.col("page_url").alias("url"))
+    return e.select(F.col("dst").alias("url")).distinct().join(seen.distinct(), "url", "left_anti")
+
+
+@register("ledger_roundtrip", f"""WITH {D_LEDGER}
+SELECT url, completed, error, in_flight, pending, CASE WHEN in_flight THEN last_claim_ts END AS claimed_at, entry_kind FROM st""")
+def q_ledger_roundtrip(spark, sf):
+    """SNK-4 + SRC-5: the folded ledger is written as a committed snapshot
+    version in the shared folder and read back."""
+    from ..sources import store as ST
+    root = _scratch(spark, "ledger")
+    ST.write_version(q_ledger_fold(spark, sf), root)
+    return ST.read_latest(spark, root)
+
+
+def attachment_assets(spark: SparkSession, sf: str) -> DataFrame:
+    e = X.attachment_edges(linked_pages(spark, sf), P).select(F.col("dst").alias("url")).distinct()
+    return e.select("url", U.url_key(F.col("url")).alias("key"), F.lit("text/html").alias("content_type"))
+
+
+@register("manifest_assets", f"""WITH {D_LINKED},
+pc AS (SELECT page_id, html, {D.sel(D.canon_cols('url', 'pu'))} FROM linked),
+raw AS (SELECT page_id, pu, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*href="([^"]*)"', 1)) AS href0 FROM pc),
+att AS (SELECT DISTINCT dst AS url FROM (SELECT {D.sel(D.resolve_cols(D.decode('href0'), 'pu', 'abs'), D.canon_cols('abs', 'dst'))}
+  FROM raw WHERE href0 <> '' AND ({' OR '.join(f"contains(href0, {D.q(d)})" for d in P.upload_dirs)})))
+SELECT url, sha1(url) AS key, CASE WHEN regexp_extract(p, '\\.([A-Za-z0-9]{{1,5}})$', 1) <> '' THEN '.' || lower(regexp_extract(p, '\\.([A-Za-z0-9]{{1,5}})$', 1)) ELSE '.html' END AS ext,
+  CASE WHEN p2 = '' OR ends_with(p2, '/') THEN 'assets/' || sha1(url) || ext
+       WHEN qq <> '' THEN regexp_replace(p2, '\\.[^./]+$', '') || '~' || left(sha1(url), 10) || ext ELSE p2 END AS path
+FROM (SELECT url, regexp_extract(url, {D.q(D.URI)}, 4) AS p, regexp_replace(regexp_extract(url, {D.q(D.URI)}, 4), '^/+', '') AS p2,
+  regexp_extract(url, {D.q(D.URI)}, 6) AS qq FROM att)""")
+def q_manifest_assets(spark, sf):
+    """SNK-2/SNK-3 -> SRC-2 -> P-7/P-8: attachment targets are recorded as
+    assets in a JSON-lines manifest (twice, plus page lines and a broken
+    line), read back with malformed lines skipped and the last record per
+    URL kept, then mapped to bundle paths."""
+    from ..sources import store as ST
+    root = _scratch(spark, "manifest")
+    a = attachment_assets(spark, sf)
+    rec = a.select(F.lit("asset").alias("type"), "url", "key", U.guess_ext(F.col("url"), F.col("content_type")).alias("ext"),
+                   "content_type")
+    ST.append_manifest(rec.withColumn("seq", F.lit(1).cast("bigint")), root)
+    ST.append_manifest(rec.withColumn("seq", F.lit(2).cast("bigint")), root)
+    pages_rec = X.with_page_url(pages(spark, sf, html=False), P).select(
+        F.lit("page").alias("type"), F.col("page_url").alias("url"), "key", F.lit(None).cast("string").alias("ext"),
+        F.lit("text/html").alias("content_type"), F.lit(3).cast("bigint").alias("seq"))
+    ST.append_manifest(pages_rec, root)
+    spark.createDataFrame([("{broken line",)], "value string").write.mode("append").text(root)
+    m = ST.read_manifest_assets(spark, root)
+    return m.select("url", "key", "ext", U.asset_path(F.col("url"), F.col("ext")).alias("path"))
+
+
+def bundle_table(spark: SparkSession, sf: str) -> str:
+    from ..operators import bundle as B
+    from ..operators import links as L
+    lp = X.with_page_url(linked_pages(spark, sf), P)
+    lp = S.prune_excluded(lp, P, "page_url")
+    lp = lp.select("page_id", "page_url", U.page_path(F.col("page_url")).alias("path"), "html",
+                   X.record_title(F.col("html"), P).alias("title"))
+    rw = L.rewrite_pages(lp.drop("title"), stored_page_map(spark, sf), P).join(
+        lp.select("page_id", "title", F.col("page_url").alias("url")), "page_id")
+    topics = IX.topic_index(IX.classify(page_meta(spark, sf), P))
+    entries = B.page_entries(rw).unionByName(B.home_entries(topics, "Archive", "Topics"))
+    root = _scratch(spark, "bundle")
+    entries.write.mode("overwrite").parquet(root)
+    return root
+
+
+@register("bundle_entries")
+def q_bundle_entries(spark, sf):
+    """SNK-5: entries written as parquet and read back."""
+    e = spark.read.parquet(bundle_table(spark, sf))
+    return e.select("path", "title", "mimetype", F.octet_length("content").cast("bigint").alias("n_bytes"), "is_front")
+
+
+@register("bundle_verify")
+def q_bundle_verify(spark, sf):
+    """SNK-6 + JOIN-11: re-read the written bundle, require entries and the
+    main entry (index.html)."""
+    from ..operators import bundle as B
+    v = B.verify(spark.read.parquet(bundle_table(spark, sf)), "index.html")
+    B.check(v)
+    return v
