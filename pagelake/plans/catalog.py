@@ -1099,3 +1099,80 @@ def q_bundle_verify(spark, sf):
     v = B.verify(spark.read.parquet(bundle_table(spark, sf)), "index.html")
     B.check(v)
     return v
+
+
+# ------------------------------------------------------------- streaming ---
+def _events_files(spark, sf, root):
+    from ..streaming import streams as SS
+    ev = read(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "value")
+    return SS.split_files(ev, root, 4, "ts"), ev.schema
+
+
+def _to_log(batch: DataFrame) -> DataFrame:
+    kind = F.create_map(*[x for kv in KIND_OF_EVENT.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
+    return batch.select(F.concat(F.lit(LEDGER_URL), F.col("user_id").cast("string")).alias("url"),
+                        F.element_at(kind, F.col("event_type")).alias("kind"),
+                        F.col("ts"), F.col("event_id").alias("tid"), F.lit(True).alias("moved"))
+
+
+_LEDGER_OUT = ["url", "completed", "error", "in_flight", "pending", "claimed_at", "entry_kind"]
+
+
+@register("stream_ledger", ORACLES["ledger_fold"])
+def q_stream_ledger(spark, sf):
+    """STM-2: events arrive as four files, one micro-batch each."""
+    from ..streaming import streams as SS
+    src, schema = _events_files(spark, sf, _scratch(spark, "events-src"))
+    state = _scratch(spark, "ledger-state")
+    SS.ledger_fold_stream(spark, src, schema, _to_log, state, _scratch(spark, "ckpt"))
+    return SS.ledger_state(spark, state).select(*_LEDGER_OUT)
+
+
+@register("stream_stats", ORACLES["ledger_stats"])
+def q_stream_stats(spark, sf):
+    """STM-4: progress numbers of the streamed ledger."""
+    from ..operators import ledger as LG
+    from ..streaming import streams as SS
+    src, schema = _events_files(spark, sf, _scratch(spark, "events-src"))
+    state = _scratch(spark, "ledger-state")
+    SS.ledger_fold_stream(spark, src, schema, _to_log, state, _scratch(spark, "ckpt"))
+    return LG.stats(SS.ledger_state(spark, state))
+
+
+@register("stream_resume", ORACLES["ledger_fold"])
+def q_stream_resume(spark, sf):
+    """STM-5: the stream stops after the first half of the files, more files
+    land, the stream restarts from its checkpoint and ends with the batch
+    result (nothing lost, nothing counted twice)."""
+    from ..streaming import streams as SS
+    ev = read(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "value")
+    src = _scratch(spark, "events-src")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    mid = ev.agg(F.percentile_approx(us, 0.5, 10000)).first()[0]
+    ev.where(us <= F.lit(mid)).repartitionByRange(2, "ts").write.mode("overwrite").parquet(src)
+    state, ckpt = _scratch(spark, "ledger-state"), _scratch(spark, "ckpt")
+    SS.ledger_fold_stream(spark, src, ev.schema, _to_log, state, ckpt)
+    ev.where(us > F.lit(mid)).repartitionByRange(2, "ts").write.mode("append").parquet(src)
+    SS.ledger_fold_stream(spark, src, ev.schema, _to_log, state, ckpt)
+    return SS.ledger_state(spark, state).select(*_LEDGER_OUT)
+
+
+@register("stream_frontier", f"SELECT url FROM ({ORACLES['frontier_new']})")
+def q_stream_frontier(spark, sf):
+    """STM-1: linked pages arrive as four files; discovered in-scope URLs
+    that are neither stored nor queued join the frontier."""
+    from ..streaming import streams as SS
+    lp = linked_pages(spark, sf)
+    src = SS.split_files(lp, _scratch(spark, "pages-src"), 4, "page_id")
+    seen_root = _scratch(spark, "seen")
+
+    def to_edges(batch):
+        e = X.link_edges(batch, P)
+        return e.where(S.in_scope(F.col("dst"), P, base=F.col("page_url"))).select("page_url", "dst") \
+            .unionByName(X.with_page_url(batch, P).select("page_url", F.lit(None).cast("string").alias("dst"))) \
+            .where(F.col("dst").isNotNull() | F.col("page_url").isNotNull())
+
+    SS.frontier_stream(spark, src, lp.schema, to_edges, seen_root, _scratch(spark, "ckpt"))
+    from ..sources import store as ST
+    seen = ST.read_latest(spark, seen_root)
+    return seen.where(F.col("origin") == "queued").where(F.col("url").isNotNull()).select("url")
