@@ -1176,3 +1176,72 @@ def q_stream_frontier(spark, sf):
     from ..sources import store as ST
     seen = ST.read_latest(spark, seen_root)
     return seen.where(F.col("origin") == "queued").where(F.col("url").isNotNull()).select("url")
+
+
+# ------------------------------------------------------------ more ledger --
+# Scope of the ledger site: user pages, accounts 100-149 retired (excluded).
+LEDGER_SCOPE = ARTICLES.with_(include=(r"^/user/\d+$",), exclude=(r"^/user/1\d\d$",))
+
+
+@register("scope_recheck", f"""WITH {D_LEDGER}
+SELECT url, regexp_matches(regexp_extract(url, {D.q(D.URI)}, 4), '^/user/1\\d\\d$') AS skipped,
+  CASE WHEN regexp_matches(regexp_extract(url, {D.q(D.URI)}, 4), '^/user/1\\d\\d$') THEN 0 END AS status
+FROM st WHERE pending""")
+def q_scope_recheck(spark, sf):
+    """FLT-8: pending URLs are re-tested against the current scope at
+    dequeue; those now out of scope complete with status 0 (skipped)."""
+    st = ledger_states(spark, sf).where("pending")
+    ok = S.in_scope(F.col("url"), LEDGER_SCOPE, base=F.col("url"))
+    return st.select("url", (~ok).alias("skipped"), F.when(~ok, F.lit(0)).alias("status"))
+
+
+@register("batch_report", f"""WITH {D_LEDGER},
+b AS (SELECT url FROM st WHERE pending ORDER BY CASE WHEN entry_kind IN ('recover', 'stale') THEN 0 ELSE 1 END,
+  CASE WHEN entry_kind IN ('recover', 'stale') THEN entry_seq END DESC NULLS LAST,
+  CASE WHEN entry_kind NOT IN ('recover', 'stale') THEN entry_seq END ASC NULLS LAST, url LIMIT 16)
+SELECT count(*) AS n_batch, count(*) FILTER (WHERE url IN (SELECT url FROM st WHERE completed)) AS n_accepted FROM b""")
+def q_batch_report(spark, sf):
+    """JOIN-10 + AGG-11: of the claimed batch, the finished URLs are
+    reported (semi-join with completed) and acknowledged with counts."""
+    from ..operators import ledger as LG
+    st = ledger_states(spark, sf)
+    batch = LG.claim_batch(st, 16)
+    flagged = batch.join(st.where("completed").select("url", F.lit(True).alias("done")), "url", "left")
+    return flagged.agg(F.count(F.lit(1)).alias("n_batch"), F.count_if(F.coalesce("done", F.lit(False))).alias("n_accepted"))
+
+
+@register("page_records", f"""WITH {_D_POSTS}
+SELECT page_id, url, sha1(url) AS key, 200 AS status, 'text/html' AS content_type,
+  'Topic ' || CAST(any_value(conv_id) AS VARCHAR) || ' - Community Board' AS title,
+  'Board > Topic ' || CAST(any_value(conv_id) AS VARCHAR) AS breadcrumb, 1 AS n_links, 0 AS n_endpoints,
+  CAST(count(*) AS INTEGER) AS n_posts, false AS ajax_fragment
+FROM po GROUP BY page_id, url""")
+def q_page_records(spark, sf):
+    """EXT-15: stored page records of the rendered topic pages."""
+    from ..profile import FORUM
+    r = X.page_records(topic_pages(spark, sf), FORUM)
+    return r.select("page_id", "url", "key", "status", "content_type", "title",
+                    F.array_join("breadcrumb", " > ").alias("breadcrumb"), F.size("links").alias("n_links"),
+                    F.size("ajax_endpoints").alias("n_endpoints"), F.size("posts").alias("n_posts"), "ajax_fragment")
+
+
+@register("asset_upsert", f"""WITH {D_LINKED},
+pc AS (SELECT page_id, html, {D.sel(D.canon_cols('url', 'pu'))} FROM linked),
+raw AS (SELECT page_id, pu, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*href="([^"]*)"', 1)) AS href0 FROM pc),
+att AS (SELECT DISTINCT dst AS url FROM (SELECT {D.sel(D.resolve_cols(D.decode('href0'), 'pu', 'abs'), D.canon_cols('abs', 'dst'))}
+  FROM raw WHERE href0 <> '' AND ({' OR '.join(f"contains(href0, {D.q(d)})" for d in P.upload_dirs)})))
+SELECT sha1(url) AS key, url, CASE WHEN v = 2 THEN 'text/plain' ELSE 'text/html' END AS content_type,
+  CASE WHEN regexp_extract(regexp_extract(url, {D.q(D.URI)}, 4), '\\.([A-Za-z0-9]{{1,5}})$', 1) <> ''
+       THEN '.' || lower(regexp_extract(regexp_extract(url, {D.q(D.URI)}, 4), '\\.([A-Za-z0-9]{{1,5}})$', 1))
+       WHEN v = 2 THEN '.txt' ELSE '.html' END AS ext, v AS version
+FROM (SELECT url, CASE WHEN contains(url, '/fr/1') THEN 2 ELSE 1 END AS v FROM att)""")
+def q_asset_upsert(spark, sf):
+    """SNK-2 + P-8: assets saved twice (re-fetched '/fr/1...' ones come back
+    as text/plain); the last write per key wins and sets the extension."""
+    from ..operators import incremental as INC
+    a = attachment_assets(spark, sf)
+    v1 = a.select("key", "url", F.lit("text/html").alias("content_type"), F.lit(1).alias("version"))
+    v2 = a.where(F.col("url").contains("/fr/1")).select("key", "url", F.lit("text/plain").alias("content_type"),
+                                                        F.lit(2).alias("version"))
+    up = INC.upsert(v1, v2)
+    return up.select("key", "url", "content_type", U.guess_ext(F.col("url"), F.col("content_type")).alias("ext"), "version")
