@@ -52,11 +52,13 @@ def rewrite_pages(pages: DataFrame, page_map: DataFrame, profile: SiteProfile,
     as a ref->path map and applied inside the row, so the HTML itself is
     shuffled at most once (for the join back)."""
     tag_re = r"(?is)<(?:" + "|".join(REWRITE_TAGS) + r")\b[^<>]*\s(?:href|src)=\"$"
-    pieces = ref_parts()
-    refs = pages.select("page_id", "page_url", F.explode(F.filter(F.transform(pieces, lambda x, i: F.struct(
+    # The split array is bound once: the lambda reads the previous piece
+    # from the bound value instead of re-splitting the page per element.
+    refs_arr = U.let(ref_parts(), lambda ps: F.filter(F.transform(ps, lambda x, i: F.struct(
         i.alias("i"), F.substring_index(x, '"', 1).alias("ref"),
-        ((i > 0) & F.element_at(pieces, F.greatest(i, F.lit(1))).rlike(tag_re)).alias("tag_ok"))),
-        lambda r: r["tag_ok"])).alias("r"))
+        ((i > 0) & F.element_at(ps, F.greatest(i, F.lit(1))).rlike(tag_re)).alias("tag_ok"))),
+        lambda r: r["tag_ok"]))
+    refs = pages.select("page_id", "page_url", F.explode(refs_arr).alias("r"))
     refs = refs.select("page_id", "page_url", "r.i", "r.ref").where(
         (F.col("ref") != "") & ~_starts_any(F.col("ref"), NON_ASSET_PREFIXES))
     refs = refs.withColumn("dst", U.canonical(F.col("ref"), profile.strip_query_keys, F.col("page_url")))
