@@ -77,3 +77,40 @@ def rewrite_pages(pages: DataFrame, page_map: DataFrame, profile: SiteProfile,
         F.array_join(F.transform(ref_parts(), piece), ""))
     return joined.select("page_id", "path", new_html.alias("html"),
                          F.coalesce(F.size("m"), F.lit(0)).alias("n_rewritten"))
+
+
+CSS_URL_RE = r"""url\(\s*['"]?([^'")]+)['"]?\s*\)"""
+
+
+def css_refs(css: DataFrame, profile: SiteProfile) -> DataFrame:
+    """EXT-14: ``url(...)`` references of stylesheets (css_url, text): data:
+    and '#' refs skipped, resolved against the stylesheet, distinct,
+    same-origin only (no recursion into further stylesheets)."""
+    refs = F.transform(F.regexp_extract_all(F.col("text"), F.lit(CSS_URL_RE), 1), lambda x: F.trim(x))
+    refs = F.filter(refs, lambda x: ~x.startswith("data:") & ~x.startswith("#"))
+    canon = F.transform(refs, lambda x: U.canonical(x, profile.strip_query_keys, F.col("css_url")))
+    same = F.filter(F.array_distinct(canon), lambda u: U.same_site(u, F.col("css_url")))
+    return css.select("css_url", F.posexplode(same).alias("seq", "ref"))
+
+
+def rewrite_css(css: DataFrame, page_map: DataFrame, profile: SiteProfile, asset_map: DataFrame | None = None) -> DataFrame:
+    """RWR-2: ``url(...)`` refs that resolve to archived entries become
+    paths relative to the stylesheet's bundle path; others stay.  Input
+    (css_url, path, text)."""
+    pieces = F.split(F.col("text"), r"(?i)(?=url\()")
+    refs = css.select("css_url", F.posexplode(pieces).alias("i", "piece")).where(F.col("piece").rlike(r"(?i)^" + CSS_URL_RE))
+    refs = refs.withColumn("ref", F.trim(F.regexp_extract("piece", r"(?i)^" + CSS_URL_RE, 1)))
+    refs = refs.where(~F.col("ref").startswith("data:") & ~F.col("ref").startswith("#"))
+    refs = refs.withColumn("dst", U.canonical(F.col("ref"), profile.strip_query_keys, F.col("css_url")))
+    res = resolution(refs, page_map, asset_map).where("internal")
+    per = res.groupBy("css_url").agg(F.map_from_entries(F.collect_list(F.struct("i", "target_path"))).alias("m"))
+    j = css.join(per, "css_url", "left")
+    up = U.up_prefix(F.col("path"))
+
+    def piece(x, i):
+        t = F.try_element_at(F.col("m"), i)
+        return F.when(t.isNull(), x).otherwise(
+            F.concat(F.lit("url("), up, t, F.lit(")"), F.regexp_replace(x, r"(?i)^" + CSS_URL_RE, "")))
+
+    new = F.when(F.col("m").isNull(), F.col("text")).otherwise(F.array_join(F.transform(pieces, piece), ""))
+    return j.select("css_url", "path", new.alias("text"), F.coalesce(F.size("m"), F.lit(0)).alias("n_rewritten"))

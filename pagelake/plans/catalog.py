@@ -1245,3 +1245,57 @@ def q_asset_upsert(spark, sf):
                                                         F.lit(2).alias("version"))
     up = INC.upsert(v1, v2)
     return up.select("key", "url", "content_type", U.guess_ext(F.col("url"), F.col("content_type")).alias("ext"), "version")
+
+
+# ------------------------------------------------------------ stylesheets --
+def stylesheets(spark: SparkSession, sf: str) -> DataFrame:
+    """Each linked page's inline style plus four url() references: another
+    stored page by absolute URL, a path on the own host, a data: URL and a
+    fragment (the last two are never followed)."""
+    p = pages(spark, sf)
+    n = p.count()
+    t = p.select(F.col("page_id").alias("t1"), F.col("url").alias("u1"))
+    a = p.withColumn("t1", (F.col("page_id") * 2 + 1) % F.lit(n)).join(t, "t1", "left")
+    style = X.H.inner(F.col("html"), r"<style\b[^>]*>", r"</style\s*>")
+    text = F.concat(style, F.lit(' .n{background:url("'), F.coalesce("u1", F.lit("")), F.lit('")}'),
+                    F.lit(" .h{background:url(/img/"), F.col("page_id").cast("string"), F.lit(".png)}"),
+                    F.lit(" .d{background:url(data:image/png;base64,AAAA)} .f{background:url('#top')}"))
+    c = X.with_page_url(a.select("page_id", "url", text.alias("text")), P)
+    return c.select("page_id", F.col("page_url").alias("css_url"), U.page_path(F.col("page_url")).alias("path"), "text")
+
+
+D_CSS = f"""
+pp AS (SELECT p.page_id, p.url, p.html, a.url AS u1 FROM pages p LEFT JOIN pages a ON a.page_id = (p.page_id * 2 + 1) % (SELECT count(*) FROM pages)),
+css AS (SELECT page_id, cu AS css_url, path,
+  {D.inner('html', r'<style\b[^>]*>', r'</style\s*>')} || ' .n{{background:url("' || coalesce(u1, '') || '")}}' ||
+  ' .h{{background:url(/img/' || CAST(page_id AS VARCHAR) || '.png)}}' ||
+  ' .d{{background:url(data:image/png;base64,AAAA)}} .f{{background:url(''#top'')}}' AS text
+  FROM (SELECT *, {D.sel(D.canon_cols('url', 'cu'), D.page_path('cu', 'path'))} FROM pp)),
+cr AS (SELECT css_url, path, text, unnest(regexp_extract_all(text, {D.q(r'''url\(\s*['"]?([^'")]+)['"]?\s*\)''')}, 1)) AS r0,
+  generate_subscripts(regexp_extract_all(text, {D.q(r'''url\(\s*['"]?([^'")]+)['"]?\s*\)''')}, 1), 1) AS pos FROM css),
+crr AS (SELECT css_url, path, pos, r0, {D.sel(D.resolve_cols('trim(r0)', 'css_url', 'abs'), D.canon_cols('abs', 'dst'))}
+  FROM cr WHERE NOT starts_with(trim(r0), 'data:') AND NOT starts_with(trim(r0), '#'))"""
+
+
+@register("css_refs", f"""WITH {D_CSS},
+d AS (SELECT css_url, dst AS ref, min(pos) AS p FROM crr
+  WHERE lower(regexp_extract(dst, {D.q(D.URI)}, 3)) = lower(regexp_extract(css_url, {D.q(D.URI)}, 3)) GROUP BY css_url, dst)
+SELECT css_url, row_number() OVER (PARTITION BY css_url ORDER BY p) - 1 AS seq, ref FROM d""")
+def q_css_refs(spark, sf):
+    from ..operators import links as L
+    return L.css_refs(stylesheets(spark, sf).dropDuplicates(["css_url"]), P)
+
+
+@register("css_rewrite", f"""WITH {D_CSS}, {D_MAP},
+hit AS (SELECT c.css_url, c.r0, m.path AS target FROM crr c JOIN pmap m ON m.url = c.dst)
+SELECT css.css_url, css.path,
+  CASE WHEN h.target IS NULL THEN css.text ELSE replace(css.text, 'url("' || h.r0 || '")',
+    'url(' || repeat('../', length(css.path) - length(replace(css.path, '/', ''))) || h.target || ')') END AS text,
+  CAST(CASE WHEN h.target IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n_rewritten
+FROM (SELECT * FROM css WHERE page_id IN (SELECT max(page_id) FROM css GROUP BY css_url)) css LEFT JOIN hit h ON h.css_url = css.css_url""")
+def q_css_rewrite(spark, sf):
+    from ..operators import links as L
+    css = stylesheets(spark, sf)
+    css = X.latest_per_key(css.withColumn("key", F.col("css_url"))).drop("key")
+    return L.rewrite_css(css.select("css_url", "path", "text"), stored_page_map(spark, sf), P).select(
+        "css_url", "path", "text", "n_rewritten")
