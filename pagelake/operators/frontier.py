@@ -19,4 +19,4 @@ def new_urls(edges: DataFrame, seen: DataFrame, profile: SiteProfile, base_col:
         F.col("dst").alias("url"), F.struct(src_key.alias("k"), F.col("seq").alias("s")).alias("first"))
     firsts = sc.groupBy("url").agg(F.min("first").alias("first"))
     fresh = firsts.join(seen.select("url").distinct(), "url", "left_anti")
-    return global_rank(fresh, F.col("first")).select("url", "rank")
+    return global_rank(fresh, F.col("first"), F.col("url")).select("url", "rank")

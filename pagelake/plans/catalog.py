@@ -322,7 +322,7 @@ sc AS (
     AND NOT {_d_any(_d_target('dst'), P.exclude)} AND {_d_any(_d_target('dst'), P.include)}
 ),
 nw AS (SELECT dst AS url, min((src_key, seq)) AS first FROM sc WHERE dst NOT IN (SELECT url FROM st) GROUP BY dst)
-SELECT url, row_number() OVER (ORDER BY first) AS rank FROM nw""")
+SELECT url, row_number() OVER (ORDER BY first, url) AS rank FROM nw""")
 def q_frontier_new(spark, sf):
     from ..operators import frontier as FR
     e = X.link_edges(linked_pages(spark, sf), P)
@@ -423,8 +423,8 @@ SELECT url, last_claim_ts AS claimed_at, age_sec FROM (
   FROM st WHERE in_flight) WHERE age_sec > 300""")
 def q_lease_expiry(spark, sf):
     from ..operators import ledger as LG
-    now = read(spark, sf, "events", "ts").agg(F.max("ts")).first()[0]
-    return LG.lease_expiry(ledger_states(spark, sf), F.lit(now), 300)
+    now = read(spark, sf, "events", "ts").agg(F.max("ts").cast("string")).first()[0]
+    return LG.lease_expiry(ledger_states(spark, sf), F.lit(now).cast("timestamp_ntz"), 300)
 
 
 @register("seen_set", f"""WITH {D_LEDGER}
