@@ -1266,11 +1266,12 @@ def stylesheets(spark: SparkSession, sf: str) -> DataFrame:
 
 D_CSS = f"""
 pp AS (SELECT p.page_id, p.url, p.html, a.url AS u1 FROM pages p LEFT JOIN pages a ON a.page_id = (p.page_id * 2 + 1) % (SELECT count(*) FROM pages)),
-css AS (SELECT page_id, cu AS css_url, path,
+css0 AS (SELECT page_id, cu AS css_url, path,
   {D.inner('html', r'<style\b[^>]*>', r'</style\s*>')} || ' .n{{background:url("' || coalesce(u1, '') || '")}}' ||
   ' .h{{background:url(/img/' || CAST(page_id AS VARCHAR) || '.png)}}' ||
   ' .d{{background:url(data:image/png;base64,AAAA)}} .f{{background:url(''#top'')}}' AS text
   FROM (SELECT *, {D.sel(D.canon_cols('url', 'cu'), D.page_path('cu', 'path'))} FROM pp)),
+css AS (SELECT * FROM css0 WHERE page_id IN (SELECT max(page_id) FROM css0 GROUP BY css_url)),
 cr AS (SELECT css_url, path, text, unnest(regexp_extract_all(text, {D.q(r'''url\(\s*['"]?([^'")]+)['"]?\s*\)''')}, 1)) AS r0,
   generate_subscripts(regexp_extract_all(text, {D.q(r'''url\(\s*['"]?([^'")]+)['"]?\s*\)''')}, 1), 1) AS pos FROM css),
 crr AS (SELECT css_url, path, pos, r0, {D.sel(D.resolve_cols('trim(r0)', 'css_url', 'abs'), D.canon_cols('abs', 'dst'))}
@@ -1283,7 +1284,8 @@ d AS (SELECT css_url, dst AS ref, min(pos) AS p FROM crr
 SELECT css_url, row_number() OVER (PARTITION BY css_url ORDER BY p) - 1 AS seq, ref FROM d""")
 def q_css_refs(spark, sf):
     from ..operators import links as L
-    return L.css_refs(stylesheets(spark, sf).dropDuplicates(["css_url"]), P)
+    css = X.latest_per_key(stylesheets(spark, sf).withColumn("key", F.col("css_url"))).drop("key")
+    return L.css_refs(css, P)
 
 
 @register("css_rewrite", f"""WITH {D_CSS}, {D_MAP},
@@ -1292,7 +1294,7 @@ SELECT css.css_url, css.path,
   CASE WHEN h.target IS NULL THEN css.text ELSE replace(css.text, 'url("' || h.r0 || '")',
     'url(' || repeat('../', length(css.path) - length(replace(css.path, '/', ''))) || h.target || ')') END AS text,
   CAST(CASE WHEN h.target IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n_rewritten
-FROM (SELECT * FROM css WHERE page_id IN (SELECT max(page_id) FROM css GROUP BY css_url)) css LEFT JOIN hit h ON h.css_url = css.css_url""")
+FROM css LEFT JOIN hit h ON h.css_url = css.css_url""")
 def q_css_rewrite(spark, sf):
     from ..operators import links as L
     css = stylesheets(spark, sf)
