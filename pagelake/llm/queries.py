@@ -7,6 +7,7 @@ from importlib import import_module
 MODULES = {
     "op4_sharding": "sharding",
     "op8_mixing": "mixing",
+    "op10_warc": "warc",
 }
 
 
@@ -17,4 +18,5 @@ def _query(module: str):
 
 
 QUERIES = {name: _query(module) for name, module in MODULES.items()}
-ORACLES: dict[str, str] = {}
+_SQL = ("warc",)
+ORACLES = {name: import_module(f"pagelake.llm.{m}").ORACLE for name, m in MODULES.items() if m in _SQL}
