@@ -6,6 +6,7 @@ from importlib import import_module
 
 MODULES = {
     "op4_sharding": "sharding",
+    "op7_url_filter": "urlfilter",
     "op8_mixing": "mixing",
     "op10_warc": "warc",
 }
@@ -18,5 +19,5 @@ def _query(module: str):
 
 
 QUERIES = {name: _query(module) for name, module in MODULES.items()}
-_SQL = ("warc",)
+_SQL = ("urlfilter", "warc")
 ORACLES = {name: import_module(f"pagelake.llm.{m}").ORACLE for name, m in MODULES.items() if m in _SQL}
