@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = {
+    "op2_quality_rules": "quality",
     "op4_sharding": "sharding",
     "op7_url_filter": "urlfilter",
     "op8_mixing": "mixing",
