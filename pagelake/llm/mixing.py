@@ -28,7 +28,7 @@ from . import common as C
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MOST_ROUNDS = 2
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 TIME_BUCKETS = 4096
 
 
