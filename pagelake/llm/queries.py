@@ -5,8 +5,10 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = {
+    "op1_license_scan": "licenses",
     "op2_quality_rules": "quality",
     "op4_sharding": "sharding",
+    "op5_quality_classifier": "classifier",
     "op7_url_filter": "urlfilter",
     "op8_mixing": "mixing",
     "op10_warc": "warc",
