@@ -7,6 +7,7 @@ from importlib import import_module
 MODULES = {
     "op1_license_scan": "licenses",
     "op2_quality_rules": "quality",
+    "op3_near_duplicates": "neardup",
     "op4_sharding": "sharding",
     "op5_quality_classifier": "classifier",
     "op7_url_filter": "urlfilter",
