@@ -10,6 +10,7 @@ MODULES = {
     "op3_near_duplicates": "neardup",
     "op4_sharding": "sharding",
     "op5_quality_classifier": "classifier",
+    "op6_substring_dedup": "substring",
     "op7_url_filter": "urlfilter",
     "op8_mixing": "mixing",
     "op10_warc": "warc",
