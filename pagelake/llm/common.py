@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window  # noqa: F401
 from pyspark.sql import functions as F
 
 from pagelake.session import ensure_checkpoint_dir

@@ -13,6 +13,7 @@ MODULES = {
     "op6_substring_dedup": "substring",
     "op7_url_filter": "urlfilter",
     "op8_mixing": "mixing",
+    "op9_decontamination": "decontam",
     "op10_warc": "warc",
 }
 
