@@ -4,17 +4,17 @@
    one class; only classes go on, each with a text of one member.
 2. SuperMinHash signatures (``superminhash``), 32 bands of 5 values: two sets
    of similarity 0.8 share no band with probability 3e-6.
-3. In each bucket all members are compared with one of them (its smallest),
-   then, where the links found leave the bucket in several components, with
-   another one.  Links are confirmed on the full sets, read once for each
-   pair of a member and the one it is compared with; a member that many are
-   compared with is copied to several tasks.
-4. What is left are pairs in one bucket, but in different components.  In
-   buckets of ``SMALL`` members at most these pairs are all compared.  In
-   larger ones the members' sets are joined by prefix: two sets of similarity
-   0.8 or more share one of the rarest fifth of their shingles.  Sets that
-   merely share a passage have enough shingles of their own to meet nobody
-   there.  No bucket's pairs are listed as a whole, and none is left out.
+3. In each bucket all members are compared with one of them, its smallest.
+   Links are confirmed on the full sets, read once for each pair; a set that
+   many are compared with is copied to several tasks.
+4. Where these links leave a bucket in several components, its members' sets
+   are joined by prefix: in an order of shingles with rare ones first, two
+   sets of similarity 0.8 or more share a shingle among the first fifth of
+   each, at places that leave enough shingles behind them for the overlap that
+   is needed.  Sets that merely share a passage or a template have enough
+   shingles of their own to meet nobody there, so that no bucket's pairs are
+   listed, and none is left out.  How rare a shingle is comes from a table of
+   ``SLOTS`` counts; any order would be right, a good one is fast.
 5. Components of the links (``components``).
 
 Defined results: texts without words (null, too) have an empty set, are linked
@@ -40,8 +40,9 @@ from . import common as C
 from . import superminhash as S
 from .components import components
 
-SMALL = 64
 PERCENT = 80
+#: Counts that tell rare shingles from frequent ones.
+SLOTS = 1 << 20
 #: Members that one task compares with one set.
 SALT_ROWS = 500
 
@@ -116,38 +117,70 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return rows.mapInArrow(compare, "a long, b long")
 
 
-def with_component(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that lie in two components or more, with component c."""
+def open_members(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(h, c): members of buckets that lie in two components or more, with their component."""
     named = buckets.select("key", "h").join(labels, F.col("h") == F.col("node"), "left").select(
         "key", "h", F.coalesce("root", "h").alias("c"))
-    open_ = (named.groupBy("key").agg(F.min("c").alias("_min"), F.max("c").alias("_max"), F.count("c").alias("members"),
-                                      F.min("h").alias("low"), F.max("h").alias("high"))
-             .filter("_min <> _max").select(F.col("key").alias("_k"), "members", "low", "high"))
-    return named.join(open_, F.col("key") == F.col("_k")).drop("_k")
+    split = (named.groupBy("key").agg(F.min("c").alias("_min"), F.max("c").alias("_max"))
+             .filter("_min <> _max").select(F.col("key").alias("_k")))
+    return named.join(split, F.col("key") == F.col("_k")).select("h", "c").distinct()
+
+
+def shingle_counts(sets: DataFrame, n: int) -> np.ndarray:
+    """How many sets have a shingle of each slot."""
+
+    def count(batches):
+        seen = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for text in b.column("text"):
+                np.add.at(seen, (S.shingle_hashes(S.tokens(text.as_py()), n) % np.uint64(SLOTS)).astype(np.int64), 1)
+        slots = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(slots), "n": pa.array(seen[slots])})
+
+    rows = sets.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    out = np.zeros(SLOTS, np.int64)
+    table = rows.toArrow()
+    out[table.column("slot").to_numpy()] = table.column("n").to_numpy()
+    return out
 
 
 def prefix_pairs(open_: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs of different components that share a shingle of their prefixes, rarest first."""
-    sets = open_.select("h", "c").distinct().join(texts.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h"))
+    """Pairs (a, b) of different components that can be similar, by prefix and place.
 
-    def spread(batches):
+    Of sets that share a shingle, most may be in one component already; pairs
+    are sought between the others and all.
+    """
+    sets = open_.join(texts.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h")).select("h", "c", "text")
+    sets = C.materialised(sets)
+    counts = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets, n))
+
+    def prefix(batches):
         for b in batches:
             for h, c, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                s = S.shingle_hashes(S.tokens(text), n).view(np.int64)
+                s = S.shingle_hashes(S.tokens(text), n)
+                seen = counts.value[(s % np.uint64(SLOTS)).astype(np.int64)]
+                first = np.lexsort((s, seen))[:len(s) - -(-len(s) * percent // 100) + 1]
+                place = np.flatnonzero(seen[first] > 1)
+                first = first[place]
                 yield pa.RecordBatch.from_pydict({
-                    "h": pa.array(np.full(len(s), h), pa.int64()), "c": pa.array(np.full(len(s), c), pa.int64()),
-                    "size": pa.array(np.full(len(s), len(s)), pa.int64()), "s": pa.array(s, pa.int64())})
-
-    rows = sets.select("h", "c", "text").mapInArrow(spread, "h long, c long, size long, s long")
-    df = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("_lo"), F.max("c").alias("_hi"))
-    rows = rows.join(df, "s")
-    rank = F.row_number().over(Window.partitionBy("h").orderBy("df", "s"))
-    own = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
-    rows = rows.withColumn("rank", rank).filter((F.col("rank") <= own) & (F.col("_lo") != F.col("_hi")))
-    x = rows.select("s", F.col("h").alias("a"), F.col("c").alias("ca"), F.col("size").alias("na"))
-    y = rows.select("s", F.col("h").alias("b"), F.col("c").alias("cb"), F.col("size").alias("nb"))
-    return (x.join(y, "s").filter("a < b AND ca <> cb")
-            .filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct())
+                    "h": pa.array(np.full(len(first), h), pa.int64()), "c": pa.array(np.full(len(first), c), pa.int64()),
+                    "size": pa.array(np.full(len(first), len(s)), pa.int64()),
+                    "place": pa.array(place, pa.int64()), "s": pa.array(s.view(np.int64)[first])})
+
+    rows = C.materialised(sets.mapInArrow(prefix, "h long, c long, size long, place long, s long"))
+    most = rows.groupBy("s", "c").count().groupBy("s").agg(
+        F.max_by("c", F.struct("count", "c")).alias("major"), F.count(F.lit(1)).alias("n"))
+    most = most.filter("n > 1").select(F.col("s").alias("_s"), "major")
+    rows = rows.join(most, F.col("s") == F.col("_s")).drop("_s")
+    x = rows.filter("c <> major").select("s", F.col("h").alias("a"), F.col("c").alias("ca"), F.col("size").alias("na"),
+                                         F.col("place").alias("pa"), "major")
+    y = rows.select(F.col("s").alias("_s"), F.col("h").alias("b"), F.col("c").alias("cb"), F.col("size").alias("nb"),
+                    F.col("place").alias("pb"))
+    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    fits = ((100 + percent) * left >= percent * (F.col("na") + F.col("nb")))
+    apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b")))
+    return x.join(y, (F.col("s") == F.col("_s")) & apart & fits).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = S.SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -169,23 +202,9 @@ def near_duplicates(docs: DataFrame, shingle: int = S.SHINGLE, percent: int = PE
     low = buckets.groupBy("key").agg(F.min("h").alias("a")).select(F.col("key").alias("_k"), "a")
     pairs = buckets.join(low, F.col("key") == F.col("_k")).select("a", F.col("h").alias("b"))
     links = C.materialised(confirmed(pairs.filter("a <> b").distinct(), texts, shingle, percent))
-    open_ = C.materialised(with_component(buckets, components(links)))
-    if not open_.isEmpty():
-        named = open_.select("h", "c").distinct()
-        high = open_.select(F.col("high").alias("a"), F.col("h").alias("b"), F.col("c").alias("cb")).filter("a <> b")
-        high = high.join(named.select(F.col("h").alias("_h"), F.col("c").alias("ca")), F.col("a") == F.col("_h"))
-        high = high.filter("ca <> cb").select("a", "b").distinct()
-        links = C.materialised(links.union(confirmed(high, texts, shingle, percent)))
-        open_ = C.materialised(with_component(buckets, components(links)))
+    open_ = C.materialised(open_members(buckets, components(links)))
     if not open_.isEmpty():
-        few = open_.filter(F.col("members") <= SMALL)
-        other = few.select(F.col("key").alias("_k"), F.col("h").alias("b"), F.col("c").alias("cb"), "high")
-        pairs = (few.join(other.drop("high"), F.col("key") == F.col("_k")).filter("h < b AND c <> cb AND h <> low")
-                 .select(F.col("h").alias("a"), "b").distinct())
-        many = open_.filter(F.col("members") > SMALL)
-        if not many.isEmpty():
-            pairs = pairs.union(prefix_pairs(many, texts, shingle, percent)).distinct()
-        links = C.materialised(links.union(confirmed(pairs, texts, shingle, percent)))
+        links = C.materialised(links.union(confirmed(prefix_pairs(open_, texts, shingle, percent), texts, shingle, percent)))
     labels = components(links)
     of = classes.select("h", "first_id").join(labels, F.col("h") == F.col("node"), "left")
     of = of.select("h", "first_id", F.coalesce("root", "h").alias("root"))
