@@ -209,64 +209,100 @@ def aligned(words: list[bytes], item: list[bytes], answer: list[bytes], begin: i
     return lcs(item, part) / len(item), sum(w in have for w in answer) / max(1, len(answer))
 
 
+class Retrieval:
+    """Looks texts up in some blocks' spaces; made once for each task."""
+
+    def __init__(self, spaces: list[dict], idf: np.ndarray, mass: float, cut: float):
+        self.idf, self.mass, self.cut = idf, mass, cut
+        self.spaces = []
+        for s in spaces:
+            table = np.full(HASHED + 1, -1, np.int64)
+            table[s["vocabulary"]] = np.arange(len(s["vocabulary"]))
+            self.spaces.append((s, table))
+
+    def found(self, texts: list[bytes | None]):
+        """(text, item_id, cosine, lcs_share, answer_share) of all candidates."""
+        words = [words_of(t) for t in texts]
+        ids = [hashed(w) for w in words]
+        for s, table in self.spaces:
+            tried = set()
+            for text, item, begin, cosine in candidates(s, table, self.idf, ids, self.mass, self.cut):
+                if (text, item, begin) not in tried:
+                    tried.add((text, item, begin))
+                    shares = aligned(words[text], s["words"][item], s["answers"][item], begin)
+                    yield int(text), s["ids"][item], cosine, *shares
+
+
+def holds(lcs_share, answer_share):
+    """Whether the shares tell that a text holds an item; for numbers and columns."""
+    return (lcs_share >= LCS_SHARE) | ((lcs_share >= PARAPHRASE_SHARE) & (answer_share >= ANSWER_SHARE))
+
+
 def near_items(docs: DataFrame, spaces: list[dict], idf: np.ndarray, mass: float = MASS, cut: float = CUT) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_share of the candidates in ``spaces``."""
     shared = docs.sparkSession.sparkContext.broadcast((spaces, idf))
-    schema = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
+    names = ["doc_id", "item_id", "cosine", "lcs_share", "answer_share"]
 
     def search(batches):
-        spaces, idf = shared.value
-        tables = []
-        for s in spaces:
-            table = np.full(HASHED + 1, -1, np.int64)
-            table[s["vocabulary"]] = np.arange(len(s["vocabulary"]))
-            tables.append(table)
+        look = Retrieval(*shared.value, mass, cut)
         for b in batches:
             for lo in range(0, len(b), TOGETHER):
                 part = b.slice(lo, TOGETHER)
-                words = [words_of(t.as_py()) for t in part.column("text")]
-                ids = [hashed(w) for w in words]
-                out: dict[tuple, list] = {}
-                for s, table in zip(spaces, tables, strict=True):
-                    tried = set()
-                    for text, item, begin, cosine in candidates(s, table, idf, ids, mass, cut):
-                        best = out.setdefault((int(text), s["ids"][item]), [0.0, 0.0, 0.0])
-                        best[0] = max(best[0], cosine)
-                        if (text, item, begin) not in tried:
-                            tried.add((text, item, begin))
-                            found = aligned(words[text], s["words"][item], s["answers"][item], begin)
-                            best[1:] = max(tuple(best[1:]), found)
-                docs_ = part.column("doc_id").to_pylist()
-                rows = [(docs_[t], i, *v) for (t, i), v in out.items()]
+                ids = part.column("doc_id").to_pylist()
+                rows = [(ids[t], *rest) for t, *rest in look.found(part.column("text").to_pylist())]
+                kinds = [pa.int64()] * 2 + [pa.float64()] * 3
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[j] for r in rows], kind) for j, kind in
-                     enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))],
-                    ["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
+                    [pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(search, schema)
+    return rows.mapInArrow(search, "doc_id long, item_id long, cosine double, lcs_share double, answer_share double")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, mass: float = MASS, cut: float = CUT) -> DataFrame:
-    """One row for each document and each item that it holds, with the shares found."""
-    idf = word_weights(docs)
+def spaces_at_once(items: DataFrame, idf: np.ndarray):
+    """The spaces of ``AT_ONCE`` blocks after the other."""
     blocks = C.materialised(latent_blocks(items, idf))
     numbers = sorted(r["block"] for r in blocks.select("block").collect())
-    found = near_items(docs, [], idf).limit(0)
     for at in range(0, len(numbers), AT_ONCE):
         rows = blocks.filter(F.col("block").isin(numbers[at:at + AT_ONCE])).orderBy("block").collect()
-        some = near_items(docs, [pickle.loads(r["space"]) for r in rows], idf, mass, cut)
-        found = some if not at else found.unionByName(some)
-    strong = (F.col("lcs_share") >= LCS_SHARE) | (
-        (F.col("lcs_share") >= PARAPHRASE_SHARE) & (F.col("answer_share") >= ANSWER_SHARE))
-    return found.filter(strong).groupBy("doc_id", "item_id").agg(
+        yield [pickle.loads(r["space"]) for r in rows]
+
+
+def contaminated(docs: DataFrame, items: DataFrame, mass: float = MASS, cut: float = CUT) -> DataFrame:
+    """One row for each document and each item that it holds, with the shares found."""
+    idf = word_weights(docs)
+    found = None
+    for spaces in spaces_at_once(items, idf):
+        some = near_items(docs, spaces, idf, mass, cut)
+        found = some if found is None else found.unionByName(some)
+    if found is None:
+        found = near_items(docs, [], idf).limit(0)
+    return found.filter(holds(F.col("lcs_share"), F.col("answer_share"))).groupBy("doc_id", "item_id").agg(
         *(F.round(F.max(c), 6).alias(c) for c in ("cosine", "lcs_share", "answer_share")))
 
 
-def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item, all their columns as they are."""
-    bad = contaminated(docs, items).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+def cleaner(shared, mass: float, cut: float):
+    """A column function: whether a text holds none of the items of the broadcast spaces."""
+
+    @F.arrow_udf("boolean")
+    def clean(text: pa.Array) -> pa.Array:
+        look = Retrieval(*shared.value, mass, cut)
+        out = np.ones(len(text), bool)
+        for lo in range(0, len(text), TOGETHER):
+            for t, _, _, share, answer in look.found(text.slice(lo, TOGETHER).to_pylist()):
+                if holds(share, answer):
+                    out[lo + t] = False
+        return pa.array(out)
+
+    return clean
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, mass: float = MASS, cut: float = CUT) -> DataFrame:
+    """The rows of ``docs`` that hold no item, all their columns as they are; no text moves."""
+    idf = word_weights(docs)
+    for spaces in spaces_at_once(items, idf):
+        shared = docs.sparkSession.sparkContext.broadcast((spaces, idf))
+        docs = docs.filter(cleaner(shared, mass, cut)(F.col("text").cast("binary")))
+    return docs
 
 
 def query(spark, sf_dir: str) -> DataFrame:
