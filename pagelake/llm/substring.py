@@ -15,6 +15,9 @@ share one: they form a segment.
    an anchor that goes on, the segments stay.  Anchors with more than ``HOT``
    segments are split into single windows first, which go to shards by their
    own hash, and of which only the earliest of equal ones stays in the index.
+   So are anchors that a sample of the documents shows to be frequent, such as
+   a line that many share: their segments are dealt to several tasks in step 1
+   already.  The sample decides on that only, never on a result.
 3. The reported intervals are gathered for each document and its words cut.
 
 Texts are shuffled once, by id.  Nothing is collected.
@@ -44,6 +47,10 @@ from .superminhash import mix, word_hashes
 WINDOW = 20
 GRAM = 6
 HOT = 1000
+#: Anchors with this share of a sample's segments are dealt to SALTS tasks: 2000 at most.
+FREQUENT = 0.0005
+SALTS = 64
+SAMPLE = 50
 #: Segments that are indexed at once.
 CHUNK = 6_000
 #: Words of a document that are cut into segments at once.
@@ -85,8 +92,19 @@ def segments(h: np.ndarray, window: int = WINDOW, gram: int = GRAM):
     return anchor, span_hashes(h, first, first + count + window - 1).view(np.int64), first, count
 
 
-def cut(docs: DataFrame, window: int) -> DataFrame:
-    """anchor, seg, doc_id, at of every segment; at holds text id, start and windows, in this order."""
+def frequent_anchors(docs: DataFrame, window: int) -> frozenset[int]:
+    """Anchors that many segments of a sample have."""
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "tid"), F.lit(SAMPLE)) == 0)
+    counts = C.materialised(cut(some, window, frozenset()).groupBy("anchor").count())
+    whole = counts.agg(F.sum("count")).first()[0] or 0
+    often = counts.filter(F.col("count") >= max(16, whole * FREQUENT))
+    return frozenset(r["anchor"] for r in often.collect())
+
+
+def cut(docs: DataFrame, window: int, frequent: frozenset[int]) -> DataFrame:
+    """anchor, salt, seg, doc_id, at of every segment; at holds text id, start and windows, in
+    this order; salt is 0 but for frequent anchors, where equal segments have equal ones."""
+    often = np.array(sorted(frequent), np.int64)
 
     def rows(batches):
         for b in batches:
@@ -98,22 +116,26 @@ def cut(docs: DataFrame, window: int) -> DataFrame:
                 for lo in range(0, len(h) - window + 1, BLOCK):
                     anchor, seg, first, count = segments(h[lo:lo + BLOCK + window - 1], window)
                     at = (tid.as_py() << 45) | (first + lo) << 11 | count
+                    salt = np.where(np.isin(anchor, often), 1 + seg % SALTS, 0)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor), pa.array(seg), pa.array([doc.as_py()] * len(at), pa.int64()),
-                         pa.array(at)], ["anchor", "seg", "doc_id", "at"])
+                        [pa.array(anchor), pa.array(salt), pa.array(seg),
+                         pa.array([doc.as_py()] * len(at), pa.int64()), pa.array(at)],
+                        ["anchor", "salt", "seg", "doc_id", "at"])
 
-    return docs.mapInArrow(rows, "anchor long, seg long, doc_id long, at long")
+    return docs.mapInArrow(rows, "anchor long, salt long, seg long, doc_id long, at long")
 
 
 def repeats(cuts: DataFrame) -> DataFrame:
     """doc_id and its marks: segments that are repeats, or have to be searched (first: true)."""
-    same = Window.partitionBy("anchor", "seg").orderBy(F.col("doc_id").asc_nulls_first(), "at")
-    group = Window.partitionBy("anchor").orderBy("seg").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = cuts.repartition("anchor").withColumn("first", F.rank().over(same) == 1)
-    rows = (rows.withColumn("others", F.min("seg").over(group) != F.max("seg").over(group))
+    same = Window.partitionBy("anchor", "salt", "seg").orderBy(F.col("doc_id").asc_nulls_first(), "at")
+    group = Window.partitionBy("anchor", "salt").orderBy("seg").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = cuts.repartition("anchor", "salt").withColumn("first", F.rank().over(same) == 1)
+    rows = (rows.withColumn("others", (F.col("salt") > 0) | (F.min("seg").over(group) != F.max("seg").over(group)))
             .withColumn("n", F.count(F.when(F.col("first"), 1)).over(group)))
     rows = rows.filter(~F.col("first") | F.col("others"))
-    mark = F.struct("at", F.col("first"), F.when(F.col("n") > HOT, F.lit(None)).otherwise(F.col("anchor")).alias("anchor"))
+    split = (F.col("salt") > 0) | (F.col("n") > HOT)
+    mark = F.struct("at", F.col("first"), F.when(split, F.lit(None)).otherwise(F.col("anchor")).alias("anchor"))
     return rows.groupBy("doc_id").agg(F.collect_list(mark).alias("marks"))
 
 
@@ -210,7 +232,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                        F.pmod(F.xxhash64("text"), F.lit(1 << 16)).alias("tid"),
                        F.col("text").cast("binary").alias("text"))
     path = scratch_path(spark, f"substring-{uuid.uuid4().hex}")
-    repeats(cut(rows, window)).write.parquet(path)
+    repeats(cut(rows, window, frequent_anchors(rows, window))).write.parquet(path)
     marks = spark.read.parquet(path).withColumnRenamed("doc_id", "_m")
     marked = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("_m")), "left").drop("_m")
     found = searched(to_search(marked, window), window).withColumnRenamed("doc_id", "_f")
