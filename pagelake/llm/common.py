@@ -22,6 +22,13 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def whole_row(df: DataFrame, *without: str) -> Column:
+    """All columns of ``df`` but some, as one struct, whatever their names are."""
+    gone = {c.lower() for c in without}
+    names = [c for c in df.columns if c.lower() not in gone]
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in names])
+
+
 def text_of(col: str = "text") -> Column:
     """The text, a null as the empty text."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -163,9 +163,8 @@ def mix_documents(docs: DataFrame, **params) -> DataFrame:
     sizes = document_sizes(docs)
     queue = (fair_queue(sizes, **params).select(*KEY, "finish")
              .withColumnsRenamed({k: f"_t_{k}" for k in (*KEY,)}))
-    cols = [c for c in docs.columns if c != "finish"]
     text = C.text_of()
-    rows = docs.select(F.struct(*cols).alias("_row"), "doc_id", "source",
+    rows = docs.select(C.whole_row(docs, "finish").alias("_row"), "doc_id", "source",
                        C.n_words(text).alias("size"), F.xxhash64(text).alias("_h"))
     rows = numbered(rows, "_h")
     joined = rows.join(queue, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in KEY])

@@ -223,7 +223,7 @@ def one_of_each(docs: DataFrame, **params) -> DataFrame:
     nameless = F.when(F.col("component_id").isNull(), F.col("h"))
     stay = found.groupBy("component_id", "doc_id", nameless.alias("_n")).agg(F.min("text_id").alias("_t"))
     stay = stay.select(F.col("doc_id").alias("_i"), "_t").distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"),
+    rows = docs.select(C.whole_row(docs).alias("_row"), F.col("doc_id").cast("long").alias("_id"),
                        F.xxhash64("text").alias("_text"))
     rows = rows.join(stay, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_t")))
     first = F.row_number().over(Window.partitionBy("_id", "_text").orderBy(F.lit(0)))

@@ -113,12 +113,12 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.00
     """
     new = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     text = C.text_of()
-    keyed = (docs.drop(*new)
-             .withColumn("_k", sort_key(F.col("doc_id"), text))
-             .withColumn("size", (F.octet_length(text) + 1).cast("long"))
-             .withColumn("text_crc32", F.crc32(text.cast("binary"))))
+    keyed = docs.select(C.whole_row(docs, *new).alias("_row"), F.col("doc_id").alias("_id"),
+                        sort_key(F.col("doc_id"), text).alias("_k"),
+                        (F.octet_length(text) + 1).cast("long").alias("size"),
+                        F.crc32(text.cast("binary")).alias("text_crc32"))
     probed = C.materialised(keyed.select(F.col("_k").alias("k"), "size"))
-    total, rows = (int(x) for x in count_between(probed, [])[0])
+    total = int(count_between(probed, [])[0][0])
     pieces = max(1, -(-total // (n_shards * part_bytes)))
     mean = total / (n_shards * pieces)
     ids = range(1, n_shards * pieces)
@@ -135,13 +135,12 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.00
 
     n = n_shards * pieces
     spread = keyed.withColumn("_p", piece_of("_k")).repartition(n, "_p")
-    in_piece = F.row_number().over(Window.partitionBy("_p").orderBy("_k", "doc_id"))
+    in_piece = F.row_number().over(Window.partitionBy("_p").orderBy("_k", "_id"))
     first = F.lit(start)[F.col("_p")] if n > 1 else F.lit(0)
-    return (spread.withColumn("slot", (first + in_piece - 1).cast("long"))
-            .withColumn("shard", F.floor(F.col("_p") / pieces).cast("int"))
-            .withColumn("law", F.lit("bytes"))
-            .withColumn("grown_shard", F.lit(None).cast("int"))
-            .drop("_k", "_p"))
+    return spread.select(
+        "_row.*", "size", "text_crc32", F.lit("bytes").alias("law"),
+        F.floor(F.col("_p") / pieces).cast("int").alias("shard"),
+        (first + in_piece - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
