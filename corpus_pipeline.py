@@ -21,8 +21,7 @@ def _table(spark, sf_dir, name):
 def quality(spark, docs, sf_dir):
     """Documents that the factorisation machine, fitted on the labels, does not reject."""
     machine = classifier.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    scored = classifier.score_documents(docs, machine)
-    return scored.filter(scored["score"] >= classifier.CUT).drop("score")
+    return docs.filter(classifier.score_of(docs, machine) >= classifier.CUT)
 
 
 def near_duplicates(spark, docs, sf_dir):
@@ -37,7 +36,7 @@ def decontaminate(spark, docs, sf_dir):
 
 def mix(spark, docs, sf_dir):
     """Documents as the mix takes them: none, one or two copies of each, in the mix's order."""
-    return mixing.mix_documents(docs).drop("finish")
+    return mixing.mix_documents(docs, finish=None)
 
 
 def shard(spark, docs, sf_dir):

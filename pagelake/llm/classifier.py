@@ -178,16 +178,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) ->
     return feats, np.array([min(1, max(0, r["quality"])) for r in found], dtype=np.float32)
 
 
-def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
-    """``docs`` with score, from 0 to 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+def scorer(shared):
+    """The broadcast machine as a function of the columns text (binary) and n_chars (double)."""
 
     @F.arrow_udf("double")
     def score(text: pa.Array, n_chars: pa.Array) -> pa.Array:
         feats = [features(t.as_py(), n.as_py()) for t, n in zip(text, n_chars, strict=True)]
         return pa.array(np.round(shared.value.scores(feats), 6), pa.float64())
 
-    return docs.withColumn("score", score(F.col("text").cast("binary"), F.col("n_chars").cast("double")))
+    return score
+
+
+def score_of(docs: DataFrame, machine: Machine) -> Column:
+    """The score of each row of ``docs``, from 0 to 1."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    return scorer(shared)(F.col("text").cast("binary"), F.col("n_chars").cast("double"))
+
+
+def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
+    """``docs`` with score."""
+    return docs.withColumn("score", score_of(docs, machine))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:

@@ -157,18 +157,20 @@ def taken_words(docs: DataFrame, **params) -> DataFrame:
                     F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
 
 
-def mix_documents(docs: DataFrame, **params) -> DataFrame:
-    """The mix itself: the rows of ``docs`` that it takes, each once or more, with
-    ``finish`` as last column, range-sorted by it.  All other columns are as given."""
+def mix_documents(docs: DataFrame, finish: str | None = "finish", **params) -> DataFrame:
+    """The mix itself: the rows of ``docs`` that it takes, each once or more, range-sorted
+    by finish time, which the last column holds under the name given, if one is.  A column
+    of ``docs`` under that name is replaced, all others are as they are."""
     sizes = document_sizes(docs)
     queue = (fair_queue(sizes, **params).select(*KEY, "finish")
              .withColumnsRenamed({k: f"_t_{k}" for k in (*KEY,)}))
     text = C.text_of()
-    rows = docs.select(C.whole_row(docs, "finish").alias("_row"), "doc_id", "source",
+    rows = docs.select(C.whole_row(docs, finish or "").alias("_row"), "doc_id", "source",
                        C.n_words(text).alias("size"), F.xxhash64(text).alias("_h"))
     rows = numbered(rows, "_h")
     joined = rows.join(queue, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in KEY])
-    return joined.orderBy("finish", "doc_id").select("_row.*", "finish")
+    last = [F.col("finish").alias(finish)] if finish else []
+    return joined.orderBy("finish", "doc_id").select("_row.*", *last)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from . import common as C
 BUCKETS = 1 << 14
 MAX_TRUSTED = 20_000
 SMOOTH = 1.0
-THRESHOLD = -0.1
+THRESHOLD = -0.15
 LEAST_WORDS = 20
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
