@@ -4,9 +4,10 @@
    one class; only classes go on, each with a text of one member.
 2. SuperMinHash signatures (``superminhash``), 32 bands of 5 values: two sets
    of similarity 0.8 share no band with probability 3e-6.
-3. In each bucket all members are compared with one of them, its smallest.
-   Links are confirmed on the full sets, read once for each pair; a set that
-   many are compared with is copied to several tasks.
+3. In each bucket all members are compared with one of them, first the one of
+   the smallest id, then, where the links found leave several components, with
+   ``PIVOTS`` others.  Links are confirmed on the full sets, read once for each
+   pair; a set that many are compared with is copied to several tasks.
 4. Where these links leave a bucket in several components, its members' sets
    are joined by prefix: in an order of shingles with rare ones first, two
    sets of similarity 0.8 or more share a shingle among the first fifth of
@@ -41,6 +42,8 @@ from . import superminhash as S
 from .components import components
 
 PERCENT = 80
+#: Members of a bucket that all others are compared with, after the first one.
+PIVOTS = 3
 #: Counts that tell rare shingles from frequent ones.
 SLOTS = 1 << 20
 #: Members that one task compares with one set.
@@ -118,12 +121,21 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
 
 
 def open_members(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(h, c): members of buckets that lie in two components or more, with their component."""
+    """(key, h, c): members of buckets that lie in two components or more, with their component."""
     named = buckets.select("key", "h").join(labels, F.col("h") == F.col("node"), "left").select(
         "key", "h", F.coalesce("root", "h").alias("c"))
     split = (named.groupBy("key").agg(F.min("c").alias("_min"), F.max("c").alias("_max"))
              .filter("_min <> _max").select(F.col("key").alias("_k")))
-    return named.join(split, F.col("key") == F.col("_k")).select("h", "c").distinct()
+    return named.join(split, F.col("key") == F.col("_k")).select("key", "h", "c")
+
+
+def pivot_pairs(members: DataFrame, order) -> DataFrame:
+    """(a, b): each member of a bucket but the first by ``order``, b, with that one, a, if
+    their components differ."""
+    first = members.groupBy("key").agg(F.min_by(F.struct("h", "c"), order).alias("_p"))
+    first = first.select(F.col("key").alias("_k"), "_p")
+    pairs = members.join(first, F.col("key") == F.col("_k")).filter(F.col("c") != F.col("_p.c"))
+    return pairs.select(F.col("_p.h").alias("a"), F.col("h").alias("b")).distinct()
 
 
 def shingle_counts(sets: DataFrame, n: int) -> np.ndarray:
@@ -150,7 +162,8 @@ def prefix_pairs(open_: DataFrame, texts: DataFrame, n: int, percent: int) -> Da
     Of sets that share a shingle, most may be in one component already; pairs
     are sought between the others and all.
     """
-    sets = open_.join(texts.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h")).select("h", "c", "text")
+    sets = open_.select("h", "c").distinct()
+    sets = sets.join(texts.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h")).select("h", "c", "text")
     sets = C.materialised(sets)
     counts = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets, n))
 
@@ -199,12 +212,16 @@ def near_duplicates(docs: DataFrame, shingle: int = S.SHINGLE, percent: int = PE
     class_texts(docs, buckets.select("h", "first_id").distinct(), shingle).write.parquet(path)
     texts = spark.read.parquet(path)
 
-    low = buckets.groupBy("key").agg(F.min("h").alias("a")).select(F.col("key").alias("_k"), "a")
-    pairs = buckets.join(low, F.col("key") == F.col("_k")).select("a", F.col("h").alias("b"))
-    links = C.materialised(confirmed(pairs.filter("a <> b").distinct(), texts, shingle, percent))
-    open_ = C.materialised(open_members(buckets, components(links)))
-    if not open_.isEmpty():
-        links = C.materialised(links.union(confirmed(prefix_pairs(open_, texts, shingle, percent), texts, shingle, percent)))
+    alone = buckets.select("key", "h", "first_id", F.col("h").alias("c"))
+    by_id = F.struct(F.col("first_id").isNull(), "first_id", "h")
+    links = C.materialised(confirmed(pivot_pairs(alone, by_id), texts, shingle, percent))
+    for turn in range(PIVOTS + 1):
+        open_ = C.materialised(open_members(buckets, components(links)))
+        if open_.isEmpty():
+            break
+        pairs = (pivot_pairs(open_, F.struct(F.xxhash64("h", F.lit(turn)), "h")) if turn < PIVOTS
+                 else prefix_pairs(open_, texts, shingle, percent))
+        links = C.materialised(links.union(confirmed(pairs, texts, shingle, percent)))
     labels = components(links)
     of = classes.select("h", "first_id").join(labels, F.col("h") == F.col("node"), "left")
     of = of.select("h", "first_id", F.coalesce("root", "h").alias("root"))
