@@ -6,8 +6,9 @@ windows have equal anchors at the same place, and consecutive windows mostly
 share one: they form a segment.
 
 1. Every document is cut into segments; a narrow row for each goes to the
-   task of its anchor.  Of equal segments all but the earliest are repeats as
-   a whole.  Earliest segments whose anchor also begins other segments go on.
+   task of its anchor; equal ones within a document go anywhere, for all but
+   the first are known to be repeats.  Of equal segments all but the earliest
+   are repeats as a whole.  Earliest segments whose anchor also begins other segments go on.
 2. Those segments' words are shipped to the shard of their anchor.  A shard
    builds an FM-index (``fmindex``) of its segments, streams them through
    backward search and reports the windows that also start earlier.  A shard
@@ -50,6 +51,8 @@ HOT = 1000
 #: Anchors with this share of a sample's segments are dealt to SALTS tasks: 2000 at most.
 FREQUENT = 0.0005
 SALTS = 64
+#: Tasks to which a document's further copies of one segment are dealt.
+AGAIN = 4096
 SAMPLE = 50
 #: Segments that are indexed at once.
 CHUNK = 6_000
@@ -102,8 +105,9 @@ def frequent_anchors(docs: DataFrame, window: int) -> frozenset[int]:
 
 
 def cut(docs: DataFrame, window: int, frequent: frozenset[int]) -> DataFrame:
-    """anchor, salt, seg, doc_id, at of every segment; at holds text id, start and windows, in
-    this order; salt is 0 but for frequent anchors, where equal segments have equal ones."""
+    """anchor, salt, again, seg, doc_id, at of every segment; at holds text id, start and windows,
+    in this order; again: the document has had it before.  Those have salts of their own, as have
+    the segments of frequent anchors, equal segments equal ones; for the others it is 0."""
     often = np.array(sorted(frequent), np.int64)
 
     def rows(batches):
@@ -116,13 +120,16 @@ def cut(docs: DataFrame, window: int, frequent: frozenset[int]) -> DataFrame:
                 for lo in range(0, len(h) - window + 1, BLOCK):
                     anchor, seg, first, count = segments(h[lo:lo + BLOCK + window - 1], window)
                     at = (tid.as_py() << 45) | (first + lo) << 11 | count
-                    salt = np.where(np.isin(anchor, often), 1 + seg % SALTS, 0)
+                    again = np.ones(len(seg), bool)
+                    again[np.unique(seg, return_index=True)[1]] = False
+                    salt = np.where(again, 1 + SALTS + first % AGAIN,
+                                    np.where(np.isin(anchor, often), 1 + seg % SALTS, 0))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor), pa.array(salt), pa.array(seg),
+                        [pa.array(anchor), pa.array(salt), pa.array(again), pa.array(seg),
                          pa.array([doc.as_py()] * len(at), pa.int64()), pa.array(at)],
-                        ["anchor", "salt", "seg", "doc_id", "at"])
+                        ["anchor", "salt", "again", "seg", "doc_id", "at"])
 
-    return docs.mapInArrow(rows, "anchor long, salt long, seg long, doc_id long, at long")
+    return docs.mapInArrow(rows, "anchor long, salt long, again boolean, seg long, doc_id long, at long")
 
 
 def repeats(cuts: DataFrame) -> DataFrame:
@@ -130,7 +137,7 @@ def repeats(cuts: DataFrame) -> DataFrame:
     same = Window.partitionBy("anchor", "salt", "seg").orderBy(F.col("doc_id").asc_nulls_first(), "at")
     group = Window.partitionBy("anchor", "salt").orderBy("seg").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = cuts.repartition("anchor", "salt").withColumn("first", F.rank().over(same) == 1)
+    rows = cuts.repartition("anchor", "salt").withColumn("first", ~F.col("again") & (F.rank().over(same) == 1))
     rows = (rows.withColumn("others", (F.col("salt") > 0) | (F.min("seg").over(group) != F.max("seg").over(group)))
             .withColumn("n", F.count(F.when(F.col("first"), 1)).over(group)))
     rows = rows.filter(~F.col("first") | F.col("others"))
