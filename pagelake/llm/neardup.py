@@ -6,7 +6,7 @@
    of similarity 0.8 share no band with probability 3e-6.
 3. In each bucket all members are compared with one of them, first the one of
    the smallest id, then, where the links found leave several components, with
-   ``PIVOTS`` others.  Links are confirmed on the full sets, read once for each
+   ``PIVOTS`` others at once.  Links are confirmed on the full sets, read once for each
    pair; a set that many are compared with is copied to several tasks.
 4. Where these links leave a bucket in several components, its members' sets
    are joined by prefix: in an order of shingles with rare ones first, two
@@ -28,6 +28,7 @@ is kept; an empty table gives no rows; extra columns are not carried on.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -215,12 +216,14 @@ def near_duplicates(docs: DataFrame, shingle: int = S.SHINGLE, percent: int = PE
     alone = buckets.select("key", "h", "first_id", F.col("h").alias("c"))
     by_id = F.struct(F.col("first_id").isNull(), "first_id", "h")
     links = C.materialised(confirmed(pivot_pairs(alone, by_id), texts, shingle, percent))
-    for turn in range(PIVOTS + 1):
+    open_ = C.materialised(open_members(buckets, components(links)))
+    if not open_.isEmpty():
+        others = [pivot_pairs(open_, F.struct(F.xxhash64("h", F.lit(i)), "h")) for i in range(PIVOTS)]
+        pairs = reduce(DataFrame.union, others).distinct()
+        links = C.materialised(links.union(confirmed(pairs, texts, shingle, percent)))
         open_ = C.materialised(open_members(buckets, components(links)))
-        if open_.isEmpty():
-            break
-        pairs = (pivot_pairs(open_, F.struct(F.xxhash64("h", F.lit(turn)), "h")) if turn < PIVOTS
-                 else prefix_pairs(open_, texts, shingle, percent))
+    if not open_.isEmpty():
+        pairs = prefix_pairs(open_, texts, shingle, percent)
         links = C.materialised(links.union(confirmed(pairs, texts, shingle, percent)))
     labels = components(links)
     of = classes.select("h", "first_id").join(labels, F.col("h") == F.col("node"), "left")
