@@ -5,8 +5,8 @@
 2. SuperMinHash signatures (``superminhash``), 32 bands of 5 values: two sets
    of similarity 0.8 share no band with probability 3e-6.
 3. In each bucket all members are compared with one of them, first the one of
-   the smallest id, then, where the links found leave several components, with
-   ``PIVOTS`` others at once.  Links are confirmed on the full sets, read once for each
+   the smallest id, then, where the links found leave a bucket of ``LARGE`` or
+   more in several components, with ``PIVOTS`` others at once.  Links are confirmed on the full sets, read once for each
    pair; a set that many are compared with is copied to several tasks.
 4. Where these links leave a bucket in several components, its members' sets
    are joined by prefix: in an order of shingles with rare ones first, two
@@ -45,6 +45,7 @@ from .components import components
 PERCENT = 80
 #: Members of a bucket that all others are compared with, after the first one.
 PIVOTS = 3
+LARGE = 32
 #: Counts that tell rare shingles from frequent ones.
 SLOTS = 1 << 20
 #: Members that one task compares with one set.
@@ -122,12 +123,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
 
 
 def open_members(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, h, c): members of buckets that lie in two components or more, with their component."""
+    """(key, h, c, n): members of buckets that lie in two components or more, with their
+    component and the bucket's members."""
     named = buckets.select("key", "h").join(labels, F.col("h") == F.col("node"), "left").select(
         "key", "h", F.coalesce("root", "h").alias("c"))
-    split = (named.groupBy("key").agg(F.min("c").alias("_min"), F.max("c").alias("_max"))
-             .filter("_min <> _max").select(F.col("key").alias("_k")))
-    return named.join(split, F.col("key") == F.col("_k")).select("key", "h", "c")
+    split = (named.groupBy("key").agg(F.min("c").alias("_min"), F.max("c").alias("_max"), F.count("h").alias("n"))
+             .filter("_min <> _max").select(F.col("key").alias("_k"), "n"))
+    return named.join(split, F.col("key") == F.col("_k")).select("key", "h", "c", "n")
 
 
 def pivot_pairs(members: DataFrame, order) -> DataFrame:
@@ -217,8 +219,9 @@ def near_duplicates(docs: DataFrame, shingle: int = S.SHINGLE, percent: int = PE
     by_id = F.struct(F.col("first_id").isNull(), "first_id", "h")
     links = C.materialised(confirmed(pivot_pairs(alone, by_id), texts, shingle, percent))
     open_ = C.materialised(open_members(buckets, components(links)))
-    if not open_.isEmpty():
-        others = [pivot_pairs(open_, F.struct(F.xxhash64("h", F.lit(i)), "h")) for i in range(PIVOTS)]
+    large = open_.filter(F.col("n") >= LARGE)
+    if not large.isEmpty():
+        others = [pivot_pairs(large, F.struct(F.xxhash64("h", F.lit(i)), "h")) for i in range(PIVOTS)]
         pairs = reduce(DataFrame.union, others).distinct()
         links = C.materialised(links.union(confirmed(pairs, texts, shingle, percent)))
         open_ = C.materialised(open_members(buckets, components(links)))
