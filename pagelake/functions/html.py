@@ -6,50 +6,63 @@ dropped, joined with a separator.  Comments, scripts and styles carry no text.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .urls import let
+
 # Whitespace trimmed from text nodes (ASCII whitespace, VT and no-break space).
 WS = r"[ \t\n\r\f\x{0B}\x{A0}]"
 NODE_BREAK = "\u0001"
 
-# Named character references decoded in text and attributes.
-# "&amp;" is last so that "&amp;lt;" stays "&lt;".
-ENTITIES = (
-    ("&nbsp;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#34;", '"'),
-    ("&apos;", "'"),
-    ("&#39;", "'"),
-    ("&#x27;", "'"),
-    ("&copy;", "©"),
-    ("&reg;", "®"),
-    ("&middot;", "·"),
-    ("&hellip;", "…"),
-    ("&ndash;", "–"),
-    ("&mdash;", "—"),
-    ("&laquo;", "«"),
-    ("&raquo;", "»"),
-    ("&euro;", "€"),
-    ("&amp;", "&"),
-)
+# A character reference after its '&': decimal, hexadecimal or named, up to ';'.
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+# Names of the references: the standard library's table and "apos".
+NAMED = {**{n: chr(c) for n, c in name2codepoint.items()}, "apos": "'"}
+
+
+def code_point(c: Column) -> Column:
+    """The character of an integer code point; U+FFFD where there is none."""
+    valid = ((c > 0) & (c < 0xD800)) | ((c > 0xDFFF) & (c <= 0x10FFFF))
+    safe = F.when(valid, c).otherwise(F.lit(0xFFFD))
+    return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+
+
+def _reference(name: Column) -> Column:
+    """Text of one reference (without '&' and ';'), null when unknown."""
+    table = F.create_map(*[F.lit(x) for kv in NAMED.items() for x in kv])
+    num = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(
+        F.substring(name, 2, 7))
+    return F.when(name.startswith("#"), code_point(num.try_cast("int"))).otherwise(F.try_element_at(table, name))
 
 
 def decode_entities(c: Column) -> Column:
-    for ent, ch in ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+    """Decode every character reference once ("&amp;lt;" gives "&lt;").
+
+    The text is split at '&'; texts without one are returned as they are.
+    """
+    def one(x, i):
+        name = F.regexp_extract(x, REFERENCE, 1)
+        char = F.when((i > 0) & (name != ""), _reference(name))
+        return F.when(i == 0, x).when(char.isNull(), F.concat(F.lit("&"), x)).otherwise(
+            F.concat(char, F.substring(x, F.length(name) + 2, 1 << 30)))
+
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(F.split(c, "&"), one), "")).otherwise(c)
 
 
 def trim_ws(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
 
+def drop_comments(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?s)<!--.*?-->", "")
+
+
 def drop_invisible(c: Column) -> Column:
     """Remove comments, scripts and styles (they have no visible text)."""
-    c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
+    c = drop_comments(c)
     c = F.regexp_replace(c, r"(?is)<script\b[^>]*>.*?</script\s*>", "")
     return F.regexp_replace(c, r"(?is)<style\b[^>]*>.*?</style\s*>", "")
 
@@ -72,6 +85,52 @@ def inner(html: Column, start_tag: str, end_tag: str) -> Column:
     return F.regexp_extract(html, f"(?is){start_tag}(.*?){end_tag}", 1)
 
 
+def _tag_pieces(html: Column, tag: str) -> Column:
+    """Markup cut before each start and each end tag of the elements ``tag``."""
+    return F.split(html, rf"(?i)(?=<{tag}(?:[\s>/]|$))|(?=</{tag}\s*>)")
+
+
+def _depth_change(piece: Column, tag: str) -> Column:
+    return F.when(piece.rlike(rf"(?i)^</{tag}\s*>"), -1).when(piece.rlike(rf"(?i)^<{tag}(?:[\s>/]|$)"), 1).otherwise(0)
+
+
+def balanced(html: Column, start_tag: str, tag: str) -> Column:
+    """Inner markup of the first element ``tag`` opened by ``start_tag``, up to
+    its own end tag: elements of the same name inside it are counted.  Without
+    an end tag it reaches to the end; '' when there is no such element."""
+    def cut(ps):
+        # the piece whose end tag closes the element (depth 1 before the first piece)
+        state = F.aggregate(
+            ps, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("i"), F.lit(0).alias("end")),
+            lambda a, x: F.struct(
+                (a["depth"] + F.when(a["end"] > 0, 0).otherwise(_depth_change(x, tag))).alias("depth"),
+                (a["i"] + 1).alias("i"),
+                F.when(a["end"] > 0, a["end"]).when(a["depth"] + _depth_change(x, tag) == 0, a["i"] + 1)
+                .otherwise(0).alias("end")))
+        return F.array_join(F.when(state["end"] > 0, F.slice(ps, 1, state["end"] - 1)).otherwise(ps), "")
+
+    rest = F.regexp_extract(html, f"(?is){start_tag}(.*)$", 1)
+    return let(_tag_pieces(rest, tag), cut)
+
+
+def without(html: Column, start_tag: str, tag: str) -> Column:
+    """Markup without the elements ``tag`` opened by ``start_tag``, with all that
+    is inside them.  An element that is never closed takes the rest with it."""
+    zero = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+    after = rf"(?i)^</{tag}\s*>"
+
+    def step(a, x):
+        opens = (a["depth"] == 0) & x.rlike(f"(?is)^{start_tag}")
+        depth = F.when(opens, 1).when(a["depth"] > 0, a["depth"] + _depth_change(x, tag)).otherwise(0)
+        keep = (F.when((a["depth"] > 0) & (depth == 0), F.regexp_replace(x, after, ""))
+                .when((a["depth"] == 0) & ~opens, x))
+        return F.struct(depth.alias("depth"), F.when(keep.isNull(), a["kept"]).otherwise(
+            F.concat(a["kept"], F.array(keep))).alias("kept"))
+
+    return F.when(html.rlike(f"(?is){start_tag}"),
+                  F.array_join(F.aggregate(_tag_pieces(html, tag), zero, step)["kept"], "")).otherwise(html)
+
+
 def has_element(html: Column, start_tag: str) -> Column:
     return F.coalesce(html.rlike(f"(?is){start_tag}"), F.lit(False))
 
@@ -95,13 +154,15 @@ def all_attr(html: Column, name: str) -> Column:
     return F.transform(z, lambda s: decode_entities(F.concat(s["a"], s["b"], s["c"])))
 
 
-def anchors(fragment: Column) -> Column:
-    """Array<struct<href, has_href, text>> of every ``<a>`` in document order.
+def anchors(fragment: Column, css_class: str = "attachment") -> Column:
+    """Array<struct<href, has_href, text, marked>> of every ``<a>`` in document
+    order; marked: it has the class ``css_class``.
 
-    The fragment is split at each anchor start tag; each piece holds the tag's
-    attributes, then its content up to ``</a>``.
+    Comments, scripts and styles hold none.  The rest is split at each anchor
+    start tag; each piece holds the tag's attributes, then its content up to
+    ``</a>``.
     """
-    pieces = F.filter(F.split(fragment, r"(?i)<a(?=[\s>])"), lambda x, i: i > 0)
+    pieces = F.filter(F.split(drop_invisible(fragment), r"(?i)<a(?=[\s>])"), lambda x, i: i > 0)
 
     def one(p):
         tag = F.concat(F.lit(" "), F.regexp_extract(p, r"(?s)^([^>]*)>", 1))
@@ -109,6 +170,7 @@ def anchors(fragment: Column) -> Column:
             attr(tag, "href").alias("href"),
             tag.rlike(r"(?is)\shref\s*=").alias("has_href"),
             text(F.regexp_extract(p, r"(?is)^[^>]*>(.*?)(?:</a\s*>|$)", 1)).alias("text"),
+            tag.rlike(rf"""(?is)\sclass\s*=\s*["']?(?:[^"'>]*\s)?{css_class}(?:[\s"'>]|$)""").alias("marked"),
         )
 
     return F.transform(pieces, one)

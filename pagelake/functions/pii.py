@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Masking rules, applied in this order (IBAN first so its digit
-# runs are not taken by the id rule).  Python-style Unicode classes -> (?U).
+from .html import code_point
+
+# Masking rules and their order.  An IBAN contains digit runs that
+# a later rule would take.  Classes are Unicode ones, hence (?U).
 GREEK_RULES = (
     ("iban", r"(?U)\bGR\d{2}[\s\d]{16,30}\b", "[redacted-iban]"),
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[redacted-email]"),
@@ -41,14 +43,17 @@ def rule_hits(c: Column, rules=DEFAULT_RULES) -> list[Column]:
 
 
 def shift_chars(c: Column, shift: int) -> Column:
-    """Shift every (ASCII) code point by ``shift``."""
+    """Shift every code point by ``shift``; null when one leaves the code points."""
     chars = F.filter(F.split(c, ""), lambda x: x != "")
-    return F.array_join(F.transform(chars, lambda x: F.chr(F.ascii(x) + F.lit(shift))), "")
+    points = F.transform(chars, lambda x: F.conv(F.hex(F.encode(x, "UTF-32")), 16, 10).cast("int") + F.lit(shift))
+    bad = F.exists(points, lambda n: (n < 1) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF))
+    return F.when(~bad, F.array_join(F.transform(points, code_point), ""))
 
 
 def decode_mail_token(token: Column, shift: int = -1) -> Column:
     """PRV-4: shift back, drop a leading 'mailto' and separator quirks,
     keep only results holding '@'."""
+    # Separators between "mailto" and the address.
     dec = shift_chars(token, shift)
     dec = F.when(F.lower(F.substring(dec, 1, 6)) == "mailto",
                  F.regexp_replace(F.substring(dec, 7, 1 << 30), r"^[:;+* \x{A0}]+", "")).otherwise(dec)

@@ -37,6 +37,8 @@ def clean_title(c: Column, noise: str) -> Column:
     return trim_ws(F.regexp_replace(t, r"(?U)\s+", " "))
 
 
+# The timestamp format of posts, in a byline and anywhere.
+POSTED_RE = r"(\d{2}-\d{2}-\d{4}\s+\d{2}:\d{2})"
 TS_RE = r"(\d{2})-(\d{2})-(\d{4})(?:\s+(\d{2}):(\d{2}))?"
 
 

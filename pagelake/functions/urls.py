@@ -1,11 +1,14 @@
 """URL expressions: split, resolve, canonicalise, key, map to bundle paths.
 
-All functions take and return ``Column`` objects built from built-in Spark
-SQL functions, so they stay inside whole-stage code generation.
+All functions take and return ``Column`` objects built from built-in Spark SQL
+functions.  Steps that use a value more than once bind it with ``let``, a
+higher-order function: that part is interpreted, but the plan stays linear.
 """
 
 from __future__ import annotations
 
+import mimetypes
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -130,9 +133,20 @@ def form_encode(c: Column) -> Column:
     return F.replace(F.replace(F.url_encode(c), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
 
 
+def lone_percent(c: Column) -> Column:
+    """A '%' that starts no escape, made an escape of itself."""
+    return F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25")
+
+
 def form_decode(c: Column) -> Column:
-    """Decode a form-encoded component; malformed escapes keep the raw text."""
-    return F.coalesce(F.try_url_decode(c), F.replace(c, F.lit("+"), F.lit(" ")))
+    """Decode a form-encoded component; a malformed escape stays as it is, the
+    others are decoded."""
+    return F.coalesce(F.try_url_decode(lone_percent(c)), F.replace(c, F.lit("+"), F.lit(" ")))
+
+
+def without_params(p: Column) -> Column:
+    """A path without the parameters (';...') of its last segment."""
+    return F.regexp_replace(p, ";[^/]*$", "")
 
 
 def canonical_query(q: Column, strip_keys: tuple[str, ...]) -> Column:
@@ -190,19 +204,26 @@ def same_site(url: Column, base: Column) -> Column:
 
 
 def scope_target(url: Column) -> Column:
-    """P-5: URL-decoded ``path[?query]``; '+' stays '+'."""
+    """P-5: URL-decoded ``path[?query]`` without parameters; '+' stays '+'."""
     return let(url, _scope_target)
 
 
 def _scope_target(url: Column) -> Column:
     q = query(url)
-    raw = F.concat(path(url), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
-    return F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
+    raw = F.concat(without_params(path(url)), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
+    return F.coalesce(F.try_url_decode(F.replace(lone_percent(raw), F.lit("+"), F.lit("%2B"))), raw)
+
 
+def _entry_path(url: Column) -> Column:
+    """Where a URL's path points inside the bundle: forward slashes, single ones,
+    none in front; '' or a final slash stands for a directory."""
+    p = F.replace(without_params(path(url)), F.lit("\\"), F.lit("/"))
+    return F.regexp_replace(F.regexp_replace(p, "/{2,}", "/"), "^/", "")
 
-def _safe_path(p: Column) -> Column:
-    p = F.regexp_replace(F.replace(p, F.lit("\\"), F.lit("/")), "^/+", "")
-    return F.regexp_replace(p, "/{2,}", "/")
+
+def _variant(url: Column) -> Column:
+    """Suffix that tells a URL with a query from the one without."""
+    return F.when(query(url) != "", F.concat(F.lit("~"), F.substring(url_key(url), 1, 10))).otherwise(F.lit(""))
 
 
 def page_path(url: Column) -> Column:
@@ -211,15 +232,15 @@ def page_path(url: Column) -> Column:
 
 
 def _page_path(url: Column) -> Column:
-    p = F.regexp_replace(path(url), "^/+", "")
-    p = F.when((p == "") | p.endswith("/"), F.regexp_replace(F.concat(p, F.lit("index")), "^/+", "")).otherwise(p)
-    ext = F.lower(F.substring_index(p, ".", -1))
-    needs = (F.instr(p, ".") == 0) | ~ext.isin("html", "htm")
-    p = F.when(needs, F.concat(p, F.lit(".html"))).otherwise(p)
-    p = F.when(query(url) != "",
-               F.concat(F.regexp_replace(p, r"\.html$", ""), F.lit("~"),
-                        F.substring(url_key(url), 1, 10), F.lit(".html"))).otherwise(p)
-    return _safe_path(p)
+    def build(p):
+        stem = F.regexp_replace(p, r"(?<=^|/)$", "index")
+        is_htm = F.lower(stem).rlike(r"\.html?$")
+        # a query variant goes before ".html"; other suffixes stay part of the name
+        base = F.when(is_htm & ((query(url) == "") | stem.endswith(".html")), F.regexp_replace(stem, r"\.[^.]*$", "")).otherwise(stem)
+        ext = F.when(is_htm & (query(url) == ""), F.regexp_extract(stem, r"(\.[^.]*)$", 1)).otherwise(F.lit(".html"))
+        return F.concat(base, _variant(url), ext)
+
+    return let(_entry_path(url), build)
 
 
 def asset_path(url: Column, ext: Column) -> Column:
@@ -228,34 +249,21 @@ def asset_path(url: Column, ext: Column) -> Column:
 
 
 def _asset_path(url: Column, ext: Column) -> Column:
-    p = F.regexp_replace(path(url), "^/+", "")
-    p = (F.when((p == "") | p.endswith("/"), F.concat(F.lit("assets/"), url_key(url), ext))
-         .when(query(url) != "", F.concat(F.regexp_replace(p, r"\.[^./]+$", ""), F.lit("~"),
-                                          F.substring(url_key(url), 1, 10), ext))
-         .otherwise(p))
-    return _safe_path(p)
-
-
-# Content type -> extension for the common web asset types.
-MIME_EXT = {
-    "text/css": ".css",
-    "text/html": ".html",
-    "text/plain": ".txt",
-    "text/javascript": ".js",
-    "application/javascript": ".js",
-    "application/json": ".json",
-    "application/pdf": ".pdf",
-    "application/zip": ".zip",
-    "application/msword": ".doc",
-    "image/png": ".png",
-    "image/jpeg": ".jpg",
-    "image/gif": ".gif",
-    "image/svg+xml": ".svg",
-    "image/webp": ".webp",
-    "image/x-icon": ".ico",
-    "font/woff": ".woff",
-    "font/woff2": ".woff2",
-}
+    return let(_entry_path(url), lambda p: (
+        F.when((p == "") | p.endswith("/"), F.concat(F.lit("assets/"), url_key(url), ext))
+        .when(query(url) != "", F.concat(F.regexp_replace(p, r"\.[^./]+$", ""), _variant(url), ext))
+        .otherwise(p)))
+
+
+def _mime_ext() -> dict[str, str]:
+    """Content type -> extension: the standard library's own table (no system
+    files), and common types that it lacks."""
+    known = mimetypes.MimeTypes(filenames=())
+    table = {t: known.guess_extension(t) for t in sorted(set(known.types_map[1].values()))}
+    return {**table, "application/javascript": ".js", "image/x-icon": ".ico", "font/woff": ".woff", "font/woff2": ".woff2"}
+
+
+MIME_EXT = _mime_ext()
 
 
 def guess_ext(url: Column, content_type: Column) -> Column:
@@ -273,7 +281,7 @@ def title_from_url(url: Column) -> Column:
 
 
 def _title_from_url(url: Column) -> Column:
-    seg = F.element_at(F.filter(F.split(url, "/"), lambda s: s != ""), -1)
+    seg = F.try_element_at(F.filter(F.split(url, "/"), lambda s: s != ""), F.lit(-1))
     return let(F.initcap(F.trim(F.regexp_replace(seg, "[-_]+", " "))),
                lambda t: F.when(t.isNull() | (t == ""), url).otherwise(t))
 

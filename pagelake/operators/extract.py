@@ -37,11 +37,15 @@ def with_page_url(pages: DataFrame, profile: SiteProfile, url_col: str = "url")
 
 def latest_per_key(df: DataFrame, order_col: str = "page_id") -> DataFrame:
     """SNK-1 / WIN-2: one stored page per key, the last write (highest
-    ``order_col``) wins.  A ``max_by`` aggregation combines map-side, so a
-    key repeated in a third of the rows still costs one small buffer."""
-    cols = [c for c in df.columns if c != "key"]
-    best = df.groupBy("key").agg(F.max_by(F.struct(*cols), F.col(order_col)).alias("_r"))
-    return best.select("key", *[F.col(f"_r.{c}").alias(c) for c in cols])
+    ``order_col``) wins.
+
+    Wide columns never enter an aggregation buffer: the winners are found on
+    (key, order) alone, two longs or a string and a long that combine map-side,
+    and the rows are kept by a semi-join.  Callers that need few columns should
+    select them before, so that markup is not shuffled at all.
+    """
+    best = df.groupBy("key").agg(F.max(order_col).alias("_o")).withColumnRenamed("key", "_k")
+    return df.join(best, (F.col("key") == F.col("_k")) & (F.col(order_col) == F.col("_o")), "left_semi")
 
 
 def site_base(profile: SiteProfile) -> Column:
@@ -106,10 +110,16 @@ def _in_dirs(x: Column, dirs) -> Column:
 
 
 def attachment_targets(html: Column, base: Column, profile: SiteProfile) -> Column:
-    """EXT-5: anchors pointing into an upload directory; canonical, not deduped."""
-    hrefs = F.transform(F.filter(H.anchors(html), lambda a: a["has_href"] & (a["href"] != "")), lambda a: a["href"])
-    return F.transform(F.filter(hrefs, lambda x: _in_dirs(x, profile.upload_dirs)),
-                       lambda x: U.canonical(x, profile.strip_query_keys, base))
+    """EXT-5: links into an upload directory, in an attachment block or of the
+    attachment class; canonical, not deduped."""
+    own = F.filter(H.anchors(html, profile.attachment_class), lambda a: a["has_href"] & (a["href"] != "") & (
+        a["marked"] | _in_dirs(a["href"], profile.upload_dirs)))
+    refs = F.transform(own, lambda a: a["href"])
+    if profile.attachment_block:
+        block = H.balanced(html, profile.attachment_block, "div")
+        inside = F.filter(H.anchors(block), lambda a: a["has_href"] & (a["href"] != "") & ~_in_dirs(a["href"], profile.upload_dirs))
+        refs = F.concat(refs, F.transform(inside, lambda a: a["href"]))
+    return F.transform(refs, lambda x: U.canonical(x, profile.strip_query_keys, base))
 
 
 def attachment_edges(pages: DataFrame, profile: SiteProfile) -> DataFrame:
@@ -127,6 +137,7 @@ def _tag_attr_values(html: Column, tag_re: str, attr_name: str) -> Column:
 
 def subresource_targets(html: Column, base: Column, site: Column, profile: SiteProfile) -> Column:
     """EXT-6: same-site stylesheets, then scripts, then images; deduped."""
+    html = H.drop_comments(html)
     sheets = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)(<link\b[^>]*>)"), 1),
                       lambda t: t.rlike(r"""(?is)\srel\s*=\s*["']?(?:[^"'>]*\s)?stylesheet(?:[\s"'>]|$)"""))
     sheets = F.transform(F.filter(sheets, lambda t: t.rlike(r"(?is)\shref\s*=")),
@@ -156,10 +167,14 @@ def endpoints(html: Column, base: Column, profile: SiteProfile) -> Column:
 
 
 def next_page(html: Column, base: Column, profile: SiteProfile) -> Column:
-    """EXT-12: last link of the paginator, else the first rel=next link."""
-    pager = H.anchors(H.inner(html, profile.paginator_block, profile.paginator_end))
-    last = F.element_at(F.filter(pager, lambda a: a["has_href"] & (a["href"] != "")), -1)["href"]
-    rel = F.regexp_extract(html, r"""(?is)(<a\b[^>]*\srel\s*=\s*["']?next\b[^>]*>)""", 1)
+    """EXT-12: link of the paginator's last item, else the first rel=next link,
+    else null.  On the last page the last item has no link."""
+    frag = H.drop_invisible(H.inner(html, profile.paginator_block, profile.paginator_end))
+    if profile.paginator_item:
+        frag = F.try_element_at(F.filter(F.split(frag, f"(?i)(?={profile.paginator_item})"), lambda x, i: i > 0), F.lit(-1))
+    linked = F.filter(H.anchors(F.coalesce(frag, F.lit(""))), lambda a: a["has_href"] & (a["href"] != ""))
+    last = F.try_element_at(linked, F.lit(-1))["href"]
+    rel = F.regexp_extract(H.drop_invisible(html), r"""(?is)(<a\b[^>]*\srel\s*=\s*["']?next\b[^>]*>)""", 1)
     rel_href = F.when(rel.rlike(r"(?is)\shref\s*="), H.attr(F.regexp_replace(rel, r"^<a", " "), "href"))
     ref = F.coalesce(last, F.when(rel_href != "", rel_href))
     return F.when(ref.isNotNull(), U.canonical(ref, profile.strip_query_keys, base))
@@ -190,7 +205,7 @@ def categories(pages: DataFrame, profile: SiteProfile) -> DataFrame:
     c = g.select("page_id", "page_url", "gpos", "group_title", F.posexplode(items).alias("cpos", "cmk"))
     cmk = F.col("cmk")
     link_frag = H.inner(cmk, r"<h3\b[^>]*>", r"</h3\s*>")
-    first_a = F.element_at(H.anchors(link_frag), 1)
+    first_a = F.try_element_at(H.anchors(link_frag), F.lit(1))
     href = first_a["href"]
     div = lambda cls: H.inner(cmk, rf'<(?:div|span|p)[^>]*class="[^"]*\b{cls}\b[^"]*"[^>]*>', r"</(?:div|span|p)\s*>")
     has = lambda cls: H.has_element(cmk, rf'class="[^"]*\b{cls}\b')
@@ -208,51 +223,72 @@ def categories(pages: DataFrame, profile: SiteProfile) -> DataFrame:
 
 
 # ----------------------------------------------------------------- posts ---
+def _mail_element(info: Column, profile: SiteProfile) -> Column:
+    """Start tag and visible text of the element that carries an address token."""
+    pat = rf"(?is)<([a-z0-9]+)([^>]*\s{profile.email_token_attr}\s*=[^>]*)>(.*?)</\1\s*>"
+    return F.when(info.rlike(pat), F.struct(
+        H.attr(F.concat(F.lit(" "), F.regexp_extract(info, pat, 2)), profile.email_token_attr).alias("token"),
+        T.nullif_blank(H.text(F.regexp_extract(info, pat, 3))).alias("visible")))
+
+
 def post_struct(chunk: Column, base: Column, profile: SiteProfile, reveal_email: bool = False) -> Column:
-    """EXT-10/11 on one post's markup."""
+    """EXT-10/11 on one post's markup.
+
+    Blocks end at their own end tag, so a quote inside a post does not cut it.
+    """
+    def fields(x):
+        head, info, body = x["head"], x["info"], x["body"]
+        byline = H.text(head, " ")
+        at = F.instr(byline, profile.author_sep)
+        posted = F.regexp_extract(byline, T.POSTED_RE, 1)
+        lines = H.text(info, "\n")
+        mail = x["mail"]
+        email = F.lit(None).cast("string")
+        if reveal_email:
+            from ..functions import pii as P
+            email = F.coalesce(P.decode_mail_token(mail["token"], profile.mail_shift), P.email_from_visible(mail["visible"]))
+        author = T.nullif_blank(F.substring(byline, at + len(profile.author_sep), 1 << 30))
+        return F.struct(
+            x["id"].alias("post_id"),
+            F.when(at > 0, author).alias("author"),
+            F.when(posted != "", posted).alias("timestamp"),
+            mail["token"].alias("email_obfuscated"),
+            F.when(mail.isNotNull(), email).alias("email"),
+            mail["visible"].alias("email_visible"),
+            T.after_label(lines, profile.label_updated).alias("updated"),
+            T.after_label(lines, profile.label_role).alias("department"),
+            T.truncate(H.text(body, " "), 280).alias("text_excerpt"),
+            x["files"].alias("attachments"),
+        )
+
+    def block(start):
+        return F.when(H.has_element(chunk, start), H.balanced(chunk, start, "div"))
+
     start = F.regexp_extract(chunk, r"(?s)^([^>]*>)", 1)
-    post_id = F.when(start.rlike(rf"(?is)\s{profile.post_id_attr}\s*="),
-                     H.attr(F.regexp_replace(start, r"^<\w+", " "), profile.post_id_attr))
-    header = H.inner(chunk, profile.post_header, r"</div\s*>")
-    htext = H.text(header, " ")
-    has_header = H.has_element(chunk, profile.post_header)
-    ts = F.regexp_extract(htext, r"(\d{2}-\d{2}-\d{4}\s+\d{2}:\d{2})", 1)
-    sep_pos = F.instr(htext, profile.author_sep)
-    author = T.nullif_blank(F.substring(htext, sep_pos + F.length(F.lit(profile.author_sep)), 1 << 30))
-    info = H.inner(chunk, profile.post_info, r"</div\s*>")
-    has_info = H.has_element(chunk, profile.post_info)
-    mail_tag_re = rf"(?is)<([a-z0-9]+)([^>]*\s{profile.email_token_attr}\s*=[^>]*)>(.*?)</\1\s*>"
-    mail_attrs = F.regexp_extract(info, mail_tag_re, 2)
-    has_mail = has_info & info.rlike(mail_tag_re)
-    token = F.when(has_mail, H.attr(F.concat(F.lit(" "), mail_attrs), profile.email_token_attr))
-    visible = F.when(has_mail, T.nullif_blank(H.text(F.regexp_extract(info, mail_tag_re, 3))))
-    itext = H.text(info, "\n")
-    body = H.inner(chunk, profile.post_body, r"</div\s*>")
-    btext = H.text(body, " ")
-    from ..functions import pii as P
-    email = (F.coalesce(P.decode_mail_token(token, profile.mail_shift), P.email_from_visible(visible))
-             if reveal_email else F.lit(None).cast("string"))
-    att_refs = F.concat(F.transform(F.filter(H.anchors(chunk), lambda a: a["has_href"]), lambda a: a["href"]),
-                        _tag_attr_values(chunk, r"<img\b", "src"))
-
-    atts = F.transform(F.filter(att_refs, lambda x: (x != "") & _in_dirs(x, profile.upload_dirs)),
-                       lambda x: U.canonical(x, profile.strip_query_keys, base))
-    return F.struct(
-        post_id.alias("post_id"),
-        F.when(has_header & (sep_pos > 0), author).alias("author"),
-        F.when(has_header & (ts != ""), ts).alias("timestamp"),
-        token.alias("email_obfuscated"),
-        F.when(has_mail, email).alias("email"),
-        visible.alias("email_visible"),
-        F.when(has_info, T.after_label(itext, profile.label_updated)).alias("updated"),
-        F.when(has_info, T.after_label(itext, profile.label_role)).alias("department"),
-        F.when(H.has_element(chunk, profile.post_body), T.truncate(btext, 280)).alias("text_excerpt"),
-        atts.alias("attachments"),
-    )
+    files = F.filter(upload_refs(chunk, profile), lambda r: _in_dirs(r, profile.upload_dirs))
+    first = F.struct(
+        F.when(start.rlike(rf"(?is)\s{profile.post_id_attr}\s*="),
+               H.attr(F.regexp_replace(start, r"^<\w+", " "), profile.post_id_attr)).alias("id"),
+        block(profile.post_header).alias("head"),
+        block(profile.post_info).alias("info"),
+        block(profile.post_body).alias("body"),
+        F.transform(files, lambda r: U.canonical(r, profile.strip_query_keys, base)).alias("files"))
+    return U.let(U.let(first, lambda x: F.struct(
+        x["id"].alias("id"), x["head"].alias("head"), x["info"].alias("info"), x["body"].alias("body"),
+        x["files"].alias("files"), _mail_element(x["info"], profile).alias("mail"))), fields)
+
+
+def upload_refs(markup: Column, profile: SiteProfile) -> Column:
+    """Raw, non-empty references of links, then of images."""
+    linked = F.transform(F.filter(H.anchors(markup), lambda a: a["has_href"]), lambda a: a["href"])
+    return F.filter(F.concat(linked, _tag_attr_values(markup, r"<img\b", "src")), lambda r: r != "")
 
 
 def post_chunks(html: Column, profile: SiteProfile) -> Column:
-    return F.filter(F.split(html, f"(?i)(?={profile.post_start})"), lambda x, i: i > 0)
+    """Markup of each post: its start tag and its content up to its own end tag."""
+    pieces = F.filter(F.split(html, f"(?i)(?={profile.post_start})"), lambda x, i: i > 0)
+    return F.transform(pieces, lambda x: F.concat(
+        F.regexp_extract(x, r"(?s)^([^>]*>)", 1), H.balanced(x, r"^<[^>]*>", profile.post_tag)))
 
 
 def posts(pages: DataFrame, profile: SiteProfile, reveal_email: bool = False) -> DataFrame:
@@ -280,9 +316,11 @@ def record_breadcrumb(h: Column, profile: SiteProfile) -> Column:
 
 
 def page_records(pages: DataFrame, profile: SiteProfile, status: Column | None = None,
-                 content_type: Column | None = None, fragment: Column | None = None) -> DataFrame:
+                 content_type: Column | None = None, fragment: Column | None = None,
+                 etag: Column | None = None, last_modified: Column | None = None) -> DataFrame:
     """EXT-15: the stored page record (title, breadcrumb, links, endpoints,
-    posts, fragment flag)."""
+    posts, fragment flag, response headers)."""
+    null = F.lit(None).cast("string")
     p = with_page_url(pages, profile)
     h, base = F.col("html"), F.col("page_url")
     frag = fragment if fragment is not None else F.lit(False)
@@ -297,4 +335,11 @@ def page_records(pages: DataFrame, profile: SiteProfile, status: Column | None =
         endpoints(h, base, profile).alias("ajax_endpoints"),
         post_arr.alias("posts"),
         frag.alias("ajax_fragment"),
+        (etag if etag is not None else null).alias("etag"),
+        (last_modified if last_modified is not None else null).alias("last_modified"),
     )
+
+
+def content_route(content_type: Column) -> Column:
+    """FLT-7: "page" for HTML responses, else "asset"."""
+    return F.when(F.lower(F.coalesce(content_type, F.lit(""))).contains("html"), "page").otherwise("asset")

@@ -10,19 +10,18 @@ def diff(prior: DataFrame, fetched: DataFrame) -> DataFrame:
     """JOIN-4: classify each fetched page against the stored one by key:
     new (no prior), unchanged (validators and content equal), changed.
     Inputs: (key, url, etag, last_modified, content_sha)."""
-    p = prior.select("key", F.col("etag").alias("p_etag"), F.col("last_modified").alias("p_lm"),
+    p = prior.select(F.col("key").alias("_k"), F.col("etag").alias("p_etag"), F.col("last_modified").alias("p_lm"),
                      F.col("content_sha").alias("p_sha"))
-    j = fetched.join(p, "key", "left")
+    j = fetched.join(p, F.col("key") == F.col("_k"), "left")
     same = (F.col("etag").eqNullSafe(F.col("p_etag")) & F.col("last_modified").eqNullSafe(F.col("p_lm"))
             & F.col("content_sha").eqNullSafe(F.col("p_sha")))
-    change = F.when(F.col("p_sha").isNull() & F.col("p_etag").isNull(), F.lit("new")) \
-        .when(same, F.lit("unchanged")).otherwise(F.lit("changed"))
+    change = F.when(F.col("_k").isNull(), F.lit("new")).when(same, F.lit("unchanged")).otherwise(F.lit("changed"))
     return j.select("key", "url", change.alias("change"))
 
 
 def upsert(current: DataFrame, incoming: DataFrame, version_col: str = "version") -> DataFrame:
-    """SNK-1/SNK-2: union and keep the last write per key (map-side max_by)."""
+    """SNK-1/SNK-2: union and keep the last write per key (one row of a key and
+    version).  The newest versions are found on two narrow columns."""
     u = current.unionByName(incoming)
-    cols = [c for c in u.columns if c != "key"]
-    best = u.groupBy("key").agg(F.max_by(F.struct(*cols), F.col(version_col)).alias("_r"))
-    return best.select("key", *[F.col(f"_r.{c}").alias(c) for c in cols])
+    best = u.groupBy("key").agg(F.max(version_col).alias("_v")).withColumnRenamed("key", "_k")
+    return u.join(best, (F.col("key") == F.col("_k")) & (F.col(version_col) == F.col("_v")), "left_semi")

@@ -33,7 +33,7 @@ def page_label(url, title, breadcrumb, profile: SiteProfile):
 
     return U.let(F.struct(
         H.trim_ws(F.coalesce(title, F.lit(""))).alias("t"),
-        F.element_at(F.coalesce(breadcrumb, F.array().cast("array<string>")), -1).alias("last"),
+        F.try_element_at(F.coalesce(breadcrumb, F.array().cast("array<string>")), F.lit(-1)).alias("last"),
         url.alias("u")), chain)
 
 
@@ -50,8 +50,8 @@ def classify(meta: DataFrame, profile: SiteProfile) -> DataFrame:
     else:
         t_no = F.regexp_extract(u, profile.topic_url, 2)
         c_no = F.concat(F.regexp_extract(u, profile.category_url, 2), F.regexp_extract(u, profile.category_url, 3))
-    page_no = (F.when(is_t, F.when(t_no != "", t_no.cast("int")).otherwise(F.lit(1)))
-               .when(is_c, F.when(c_no != "", c_no.cast("int")).otherwise(F.lit(1))))
+    page_no = (F.when(is_t, F.when(t_no != "", t_no.try_cast("bigint")).otherwise(F.lit(1)))
+               .when(is_c, F.when(c_no != "", c_no.try_cast("bigint")).otherwise(F.lit(1))))
     return meta.select(
         "*",
         F.when(is_t, F.lit("topic")).when(is_c, F.lit("category")).otherwise(F.lit("other")).alias("section"),

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import html as H
+from ..functions import pii as PII
+from ..functions import text as T
 from ..functions import urls as U
 from ..profile import SiteProfile
+from . import privacy as PR
 from .extract import NON_ASSET_PREFIXES, _starts_any
+from .scope import excluded
 
 
 def resolution(edges: DataFrame, page_map: DataFrame, asset_map: DataFrame | None = None) -> DataFrame:
@@ -26,59 +31,93 @@ def resolution(edges: DataFrame, page_map: DataFrame, asset_map: DataFrame | Non
         .drop("page_path", "asset_path")
 
 
+def unique_paths(urls: DataFrame) -> DataFrame:
+    """(url, path) with each path once, and none that the home index needs: of
+    several URLs with one path the smallest keeps it, the others get a key suffix."""
+    same = Window.partitionBy("path").orderBy("url")
+    suffix = F.concat(F.lit("~"), F.substring(U.url_key(F.col("url")), 1, 10))
+    named = F.concat(F.regexp_replace("path", r"\.[^./]*$", ""), suffix, F.regexp_extract("path", r"(\.[^./]*)$", 1))
+    taken = (F.row_number().over(same) > 1) | F.col("path").rlike(r"^(index(-\d+)?\.html|authors/.*)$")
+    return urls.select("url", "path").distinct().withColumn("path", F.when(taken, named).otherwise(F.col("path")))
+
+
+def asset_todo(targets: DataFrame, stored: DataFrame, profile: SiteProfile, col: str = "dst") -> DataFrame:
+    """FLT-13: distinct assets to fetch: not stored yet and not excluded (assets
+    are not limited to the include patterns)."""
+    wanted = targets.select(F.col(col).alias("url")).distinct().where(~excluded(F.col("url"), profile))
+    return wanted.join(stored.select("url"), "url", "left_anti")
+
+
+def asset_paths(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """JOIN-7: stored files (file_name) with the manifest's asset of that name
+    (key and extension) -> url, path; files that no line names are dropped."""
+    named = manifest.select(F.concat("key", "ext").alias("file_name"), "url", "ext", "content_type")
+    return files.join(named, "file_name").withColumn("path", U.asset_path(F.col("url"), F.col("ext")))
+
+
 def stored_flags(targets: DataFrame, stored: DataFrame, col: str = "dst") -> DataFrame:
     """JOIN-9: mark targets already in the store (semi-join semantics)."""
     s = stored.select(F.col("url").alias(col)).distinct().withColumn("is_stored", F.lit(True))
     return targets.join(s, col, "left").withColumn("is_stored", F.coalesce("is_stored", F.lit(False)))
 
 
-# Rewritten attributes: double-quoted href/src on these elements.
+# Elements whose references are rewritten, and their attributes.
 REWRITE_TAGS = ("a", "img", "link", "script", "source")
+REWRITE_ATTRS = ("href", "src")
+# A start tag up to its reference, and the reference in any quoting.
+_HEAD = rf"^(?:{'|'.join(REWRITE_TAGS)})(?:\s[^<>]*?)?\s(?:{'|'.join(REWRITE_ATTRS)})\s*=\s*"
+_VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+))"""
+REF_RE = f"(?is){_HEAD}{_VALUE}"
 
 
-def ref_parts(html_col: str = "html"):
-    """Split markup after every ``href="``/``src="``: each later piece starts
-    with the attribute value up to the next quote."""
-    return F.split(F.col(html_col), r'(?i)(?<=\s(?:href|src)=")')
+def tag_pieces(html: Column) -> Column:
+    """Markup cut after every '<': each later piece starts with a tag's name."""
+    return F.split(html, "(?<=<)")
+
+
+def piece_ref(piece: Column) -> Column:
+    """The reference that a piece's start tag holds, decoded; '' when none."""
+    return H.decode_entities(F.concat(*[F.regexp_extract(piece, REF_RE, i) for i in (1, 2, 3)]))
 
 
 def rewrite_pages(pages: DataFrame, page_map: DataFrame, profile: SiteProfile,
-                  asset_map: DataFrame | None = None) -> DataFrame:
-    """RWR-1: rewrite resolvable refs of a/img/link/script/source to bundle
-    paths relative to the page; externals stay as they are.
-
-    ``pages`` has (page_id, page_url, path, html).  Refs are exploded (small
-    rows), resolved by one equi-join against the map, collected back per page
-    as a ref->path map and applied inside the row, so the HTML itself is
-    shuffled at most once (for the join back)."""
-    tag_re = r"(?is)<(?:" + "|".join(REWRITE_TAGS) + r")\b[^<>]*\s(?:href|src)=\"$"
-    # The split array is bound once: the lambda reads the previous piece
-    # from the bound value instead of re-splitting the page per element.
-    refs_arr = U.let(ref_parts(), lambda ps: F.filter(F.transform(ps, lambda x, i: F.struct(
-        i.alias("i"), F.substring_index(x, '"', 1).alias("ref"),
-        ((i > 0) & F.element_at(ps, F.greatest(i, F.lit(1))).rlike(tag_re)).alias("tag_ok"))),
-        lambda r: r["tag_ok"]))
-    refs = pages.select("page_id", "page_url", F.explode(refs_arr).alias("r"))
-    refs = refs.select("page_id", "page_url", "r.i", "r.ref").where(
-        (F.col("ref") != "") & ~_starts_any(F.col("ref"), NON_ASSET_PREFIXES))
+                  asset_map: DataFrame | None = None, rules=None) -> DataFrame:
+    """RWR-1: rewrite resolvable refs of a/img/link/script/source, in any
+    quoting, to bundle paths relative to the page; externals stay as they are.
+    With ``rules`` (a tuple, maybe empty) the page also loses its login blocks
+    and addresses first, and is scrubbed by the rules last (PRV-1..3).
+
+    ``pages`` has (page_id, page_url, path, html).  The distinct refs of each
+    page are resolved by one equi-join against the map, collected back per page
+    as a ref->path map and applied inside the row: the HTML is shuffled once,
+    for the join back."""
+    if rules is not None:
+        pages = pages.withColumn("html", PR.strip_blocks(F.col("html"), profile))
+        pages = pages.withColumn("html", PR.redact_emails(F.col("html"), profile))
+    refs = F.array_distinct(F.filter(F.transform(tag_pieces(F.col("html")), piece_ref),
+                                     lambda r: (r != "") & ~_starts_any(r, NON_ASSET_PREFIXES)))
+    refs = pages.select("page_id", "page_url", F.explode(refs).alias("ref"))
     refs = refs.withColumn("dst", U.canonical(F.col("ref"), profile.strip_query_keys, F.col("page_url")))
     resolved = resolution(refs, page_map, asset_map).where("internal")
     per_page = resolved.groupBy("page_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("i", "target_path"))).alias("m"))
+        F.map_from_entries(F.collect_list(F.struct("ref", "target_path"))).alias("m"))
     joined = pages.join(per_page, "page_id", "left")
     up = U.up_prefix(F.col("path"))
 
-    def piece(x, i):
-        t = F.try_element_at(F.col("m"), i)
-        return F.when(t.isNull(), x).otherwise(
-            F.concat(up, t, F.substring(x, F.length(F.substring_index(x, '"', 1)) + 1, 1 << 30)))
+    def piece(x):
+        def new(t):
+            return F.when(t.isNull(), F.struct(x.alias("x"), F.lit(0).alias("n"))).otherwise(F.struct(F.concat(
+                F.regexp_extract(x, f"(?is)({_HEAD})", 1), F.lit('"'), T.html_escape(F.concat(up, t)), F.lit('"'),
+                F.regexp_replace(x, REF_RE, "")).alias("x"), F.lit(1).alias("n")))
+        return U.let(F.try_element_at(F.col("m"), piece_ref(x)), new)
 
-    new_html = F.when(F.col("m").isNull(), F.col("html")).otherwise(
-        F.array_join(F.transform(ref_parts(), piece), ""))
-    return joined.select("page_id", "path", new_html.alias("html"),
-                         F.coalesce(F.size("m"), F.lit(0)).alias("n_rewritten"))
+    done = joined.withColumn("_d", F.when(F.col("m").isNotNull(), F.transform(tag_pieces(F.col("html")), piece)))
+    html = F.coalesce(F.array_join(F.transform("_d", lambda d: d["x"]), ""), F.col("html"))
+    n = F.coalesce(F.aggregate("_d", F.lit(0), lambda a, d: a + d["n"]), F.lit(0))
+    return done.select("page_id", "path", PII.scrub(html, rules or ()).alias("html"), n.alias("n_rewritten"))
 
 
+# Fixed value: a stylesheet's reference.
 CSS_URL_RE = r"""url\(\s*['"]?([^'")]+)['"]?\s*\)"""
 
 

@@ -3,32 +3,28 @@
 ``row_number()`` over an un-partitioned window moves every row into one
 task.  Here the frame is range-sorted (distributed), written to the shared
 checkpoint folder so both passes see the same layout, each partition is
-counted, and the rank is the partition's offset plus the row's position.
-Only one number per partition reaches the driver.
+counted, and the rank is the partition's offset plus the row's position.  The
+offsets, one row a partition, are joined; nothing reaches the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
-    spark = df.sparkSession
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(df.sparkSession)
     tagged = (df.orderBy(*order)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
     tagged = tagged.checkpoint(eager=True)
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()
-    offsets, run = {}, 0
-    for r in sorted(counts, key=lambda r: r["_pid"]):
-        offsets[r["_pid"]] = run
-        run += r["n"]
-    if not offsets:
-        return tagged.drop("_pid", "_mid").withColumn(name, F.lit(None).cast("bigint"))
-    omap = F.create_map(*[x for k, v in offsets.items() for x in (F.lit(k), F.lit(v))])
+    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")
+    offsets = counts.select(F.col("_pid").alias("_q"), before.alias("_before"))
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    return (tagged.withColumn(name, (F.element_at(omap, F.col("_pid")) + local + 1).cast("bigint"))
-            .drop("_pid", "_mid"))
+    return (tagged.join(offsets, F.col("_pid") == F.col("_q"))
+            .withColumn(name, (F.col("_before") + local + 1).cast("bigint"))
+            .drop("_pid", "_mid", "_q", "_before"))

@@ -8,9 +8,11 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import html as H
 from ..functions import pii as PII
 from ..profile import SiteProfile
 
+# Fixed value: what stands for a redacted address.
 PLACEHOLDER = "[email hidden]"
 
 
@@ -42,16 +44,19 @@ def count_redactions(before: Column, after: Column) -> Column:
 
 
 def strip_blocks(html: Column, profile: SiteProfile) -> Column:
-    """PRV-3: remove each block from its start tag to the first close tag of
-    the same element (flat blocks; nested same-name elements are cut at the
-    inner close tag)."""
+    """PRV-3: remove each block with all it holds; elements of the same name
+    inside it are counted, so nothing of it is left behind."""
     for start in profile.strip_blocks:
-        m = re.match(r"<(\w+)", start)
-        tag = m.group(1) if m else "div"
-        html = F.regexp_replace(html, rf"(?is){start}.*?</{tag}\s*>", "")
+        html = H.without(html, start, re.match(r"<(\w+)", start).group(1))
     return html
 
 
+def public_markup(html: Column, profile: SiteProfile, rules=()) -> Column:
+    """Markup as it may leave the store: blocks stripped, addresses redacted, then
+    (with ``rules``) the serialised page scrubbed."""
+    return PII.scrub(redact_emails(strip_blocks(html, profile), profile), rules)
+
+
 def login_wall(status: Column, content_type: Column, html: Column, password_field: str = "pass") -> Column:
     """FLT-10: 401/403, or an HTML 200 page with a password input (a logout
     form or a mere extension name does not count)."""

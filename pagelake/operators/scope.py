@@ -44,43 +44,32 @@ def prune_excluded(df: DataFrame, profile: SiteProfile, url_col: str = "url", ex
     return df.where(~excluded(F.col(url_col), profile, extra_exclude))
 
 
-BROADCAST_ROWS = 100_000
+def category_ids(seeds: DataFrame, profile: SiteProfile, url_col: str = "url") -> DataFrame:
+    """FLT-5: distinct category ids of the seeds that name one; a final slash is
+    added to a seed's path first."""
+    t = F.regexp_replace(U.scope_target(F.col(url_col)), r"/*(\?.*)?$", "/$1")
+    cid = F.regexp_extract(t, profile.category_seed, 1)
+    return seeds.select(cid.alias("cid")).where(F.col("cid") != "").distinct()
 
 
-def category_patterns(seeds: DataFrame, profile: SiteProfile, url_col: str = "url") -> DataFrame:
-    """FLT-5: from each seed's category id derive that category's pattern and
-    the topic pattern; the user's include patterns come first (order col)."""
-    t = U.scope_target(F.col(url_col))
-    cid = F.regexp_extract(t, profile.category_seed, 1)
-    cats = seeds.select(cid.alias("cid")).where(F.col("cid") != "").distinct()
-    pats = cats.select(F.replace(F.lit(profile.category_pattern), F.lit("{id}"), F.col("cid")).alias("pattern"),
-                       F.lit(1).alias("grp"))
-    return pats.unionByName(cats.limit(1).select(F.lit(profile.topic_pattern).alias("pattern"), F.lit(2).alias("grp")))
-
-
-def match_patterns(df: DataFrame, patterns: DataFrame, url_col: str = "url") -> DataFrame:
-    """Rows of ``df`` with an ``in_scope`` flag: some pattern (regex search)
-    is found in the decoded path?query.  The pattern table is broadcast when
-    its size is below BROADCAST_ROWS (checked); larger tables are matched in
-    chunks of that size, each broadcast, so no single task holds them all."""
-    n = patterns.count()
-    if n == 0:
+def category_scope(df: DataFrame, seeds: DataFrame, profile: SiteProfile, include=(), url_col: str = "url") -> DataFrame:
+    """FLT-5: rows of ``df`` with ``in_scope``: the decoded path?query matches a
+    pattern of the user's ``include``, names a category of a seed, or is a topic.
+
+    The category ids in a URL are extracted and joined with the seeds' ids by
+    value, so no URL meets a pattern that is not its own; whole ids are
+    compared, so category 4 is not category 40.
+    """
+    ids = category_ids(seeds, profile)
+    if ids.isEmpty():
         raise ValueError("no seed yields a category pattern")
-    tagged = df.withColumn("_t", U.scope_target(F.col(url_col))).withColumn("_rid", F.monotonically_increasing_id())
-    tagged = tagged.checkpoint(eager=True) if n > BROADCAST_ROWS else tagged
-    pats = patterns.select("pattern")
-    if n <= BROADCAST_ROWS:
-        chunks = [pats]
-    else:
-        k = (n + BROADCAST_ROWS - 1) // BROADCAST_ROWS
-        numbered = pats.withColumn("_c", F.abs(F.xxhash64("pattern")) % k).checkpoint(eager=True)
-        chunks = [numbered.where(F.col("_c") == i).select("pattern") for i in range(k)]
-    hits = None
-    for c in chunks:
-        h = tagged.join(F.broadcast(c), F.expr("_t RLIKE pattern"), "left_semi").select("_rid")
-        hits = h if hits is None else hits.unionByName(h)
-    flagged = tagged.join(hits.distinct().withColumn("in_scope", F.lit(True)), "_rid", "left")
-    return flagged.withColumn("in_scope", F.coalesce("in_scope", F.lit(False))).drop("_t", "_rid")
+    target = U.scope_target(F.col(url_col))
+    named = df.select(F.col(url_col).alias("_u"), F.explode(F.array_distinct(
+        F.regexp_extract_all(target, F.lit(profile.category_id), 1))).alias("cid"))
+    hits = named.join(ids, "cid", "left_semi").select("_u").distinct().withColumn("_hit", F.lit(True))
+    fixed = U.let(target, lambda t: any_match(t, (*include, profile.topic_pattern)))
+    out = df.join(hits, F.col(url_col) == F.col("_u"), "left")
+    return out.withColumn("in_scope", F.coalesce("_hit", F.lit(False)) | F.coalesce(fixed, F.lit(False))).drop("_u", "_hit")
 
 
 def robots_allowed(pages: DataFrame, rules: DataFrame, agent: str, url_col: str = "url") -> DataFrame:
@@ -88,26 +77,31 @@ def robots_allowed(pages: DataFrame, rules: DataFrame, agent: str, url_col: str
     applicable group disallows it.  ``rules``: (host, agent, rule_no, allow,
     path_prefix) with host '*' for every host.  The group is the rules
     naming ``agent`` when any exist for the host, else the '*' rules; host
-    rules come before '*' rules, then rule_no; no rule = allowed."""
-    p = pages.withColumn("_host", U.host(F.col(url_col))).withColumn("_t", U.scope_target(F.col(url_col)))
-    p = p.withColumn("_hk", F.explode(F.array(F.col("_host"), F.lit("*"))))
-    r = rules.select(F.col("host").alias("_hk"), F.col("agent").alias("_agent"), "rule_no", "allow", "path_prefix")
-    r = F.broadcast(r) if rules.count() <= BROADCAST_ROWS else r
-    j = p.join(r, "_hk", "left")
-    ours = F.col("_agent") == agent
-    matched = F.col("_t").startswith(F.col("path_prefix"))
-    keys = [c for c in pages.columns]
-    g = j.groupBy(*keys).agg(
-        F.max(F.coalesce(ours, F.lit(False))).alias("_has_ours"),
-        F.min_by(F.struct(ours.alias("o"), F.col("allow").alias("a")),
-                 F.struct(F.when(matched & ours, 0).when(matched & (F.col("_agent") == "*"), 1).otherwise(2),
-                          (F.col("_hk") == "*"), F.col("rule_no"))).alias("_ours_first"),
-        F.min_by(F.col("allow"), F.struct(F.when(matched & (F.col("_agent") == "*"), 0).otherwise(1),
-                                          (F.col("_hk") == "*"), F.col("rule_no"))).alias("_star_allow"),
-        F.max(matched & (F.col("_agent") == "*")).alias("_star_hit"),
-        F.max(matched & ours).alias("_ours_hit"),
-    )
-    allowed = (F.when(F.col("_has_ours"), F.when(F.coalesce("_ours_hit", F.lit(False)), F.col("_ours_first.a")).otherwise(F.lit(True)))
-               .otherwise(F.when(F.coalesce("_star_hit", F.lit(False)), F.col("_star_allow")).otherwise(F.lit(True))))
-    return g.select(*keys, allowed.alias("allowed")).withColumn(
-        "reason", F.when(~F.col("allowed"), F.lit("robots-disallowed")))
+    rules come before '*' rules, then rule_no; no rule = allowed.
+
+    A URL meets only rules that match it: the join is on the host and on the
+    first characters of the path, once for each length that a prefix has (there
+    are at most as many lengths as the longest prefix has characters).
+    """
+    r = rules.where(F.col("agent").isin(agent, "*")).select(
+        F.col("host").alias("_h"), (F.col("agent") == agent).alias("_ours"), "rule_no", "allow",
+        F.col("path_prefix").alias("_p"))
+    lengths = [x[0] for x in r.select(F.length("_p")).distinct().collect()]
+    urls = pages.select(F.col(url_col).alias("_u")).distinct()
+    urls = urls.withColumn("_host", U.host(F.col("_u")))
+    t = U.scope_target(F.col("_u"))
+    hosts = F.array(F.col("_host"), F.lit("*"))
+    asked = urls.select("_u", F.explode(hosts).alias("_k"), t.alias("_t"))
+    asked = asked.select("_u", "_k", F.explode(F.array(*[F.substring("_t", 1, n) for n in lengths] or [F.lit("")])).alias("_q"))
+    hits = asked.distinct().join(r, (F.col("_k") == F.col("_h")) & (F.col("_q") == F.col("_p")))
+    first = F.struct((F.col("_k") == "*").alias("w"), F.col("rule_no").alias("n"), F.col("allow").alias("a"))
+    said = hits.groupBy("_u").agg(F.min(F.when(F.col("_ours"), first)).alias("ours"),
+                                  F.min(F.when(~F.col("_ours"), first)).alias("every"))
+    named = r.where("_ours").select(F.col("_h").alias("_n")).distinct()
+    everywhere = not named.where(F.col("_n") == "*").isEmpty()
+    own = urls.join(named, F.col("_host") == F.col("_n"), "left").select(
+        F.col("_u").alias("_v"), (F.col("_n").isNotNull() | F.lit(everywhere)).alias("has_ours"))
+    verdict = own.join(said, F.col("_v") == F.col("_u"), "left").select("_v", F.coalesce(
+        F.when(F.col("has_ours"), F.col("ours.a")).otherwise(F.col("every.a")), F.lit(True)).alias("allowed"))
+    out = pages.join(verdict, F.col(url_col) == F.col("_v"), "left").drop("_v")
+    return out.withColumn("reason", F.when(~F.col("allowed"), F.lit("robots-disallowed")))

@@ -72,21 +72,49 @@ def q_page_titles(spark, sf):
     return X.page_titles(pages(spark, sf), P)
 
 
+def _d_target(u: str) -> str:
+    return (f"coalesce(url_decode(replace(regexp_replace(regexp_extract({u}, {D.q(D.URI)}, 4), ';[^/]*$', '') || CASE WHEN regexp_extract({u}, {D.q(D.URI)}, 6) <> '' "
+            f"THEN '?' || regexp_extract({u}, {D.q(D.URI)}, 6) ELSE '' END, '+', '%2B')), '')")
+
+
+def _d_any(t: str, pats) -> str:
+    return "(" + " OR ".join(f"regexp_matches({t}, {D.q(x)})" for x in pats) + ")"
+
+
+def stored_page_map(spark: SparkSession, sf: str) -> DataFrame:
+    """(url, path) of stored pages kept by the build prune, each path once."""
+    from ..operators import links as L
+    p = X.with_page_url(pages(spark, sf, html=False), P)
+    p = S.prune_excluded(p, P, "page_url")
+    return L.unique_paths(p.select(F.col("page_url").alias("url"), U.page_path(F.col("page_url")).alias("path")))
+
+
+D_MAP = f"""
+pmap0 AS (
+  SELECT DISTINCT c AS url, pp AS path FROM (SELECT {D.sel(D.canon_cols('url', 'c'), D.page_path('c', 'pp'))} FROM pages)
+  WHERE NOT {_d_any(_d_target('c'), P.exclude)}
+),
+pmap AS (
+  SELECT url, CASE WHEN row_number() OVER (PARTITION BY path ORDER BY url) > 1 OR path = 'index.html' OR starts_with(path, 'authors/')
+    THEN regexp_replace(path, '[.][^./]*$', '') || '~' || left(sha1(url), 10) || regexp_extract(path, '([.][^./]*)$', 1) ELSE path END AS path
+  FROM pmap0
+)"""
+
+
 # ----------------------------------------------------------------- index ---
 def page_meta(spark: SparkSession, sf: str) -> DataFrame:
     """Stored page records for the index jobs: canonical url, key, title,
     breadcrumb, bundle path and date.  A page's post date text is the
     matching event's time (event_id = page_id) shown as dd-MM-yyyy HH:mm."""
-    p = X.latest_per_key(X.with_page_url(pages(spark, sf), P))
-    recs = p.select("page_id", F.col("page_url").alias("url"), "key",
-                    X.record_title(F.col("html"), P).alias("title"),
-                    X.record_breadcrumb(F.col("html"), P).alias("breadcrumb"))
+    p = X.with_page_url(pages(spark, sf), P)
+    recs = X.latest_per_key(p.select("page_id", F.col("page_url").alias("url"), "key",
+                                     X.record_title(F.col("html"), P).alias("title"),
+                                     X.record_breadcrumb(F.col("html"), P).alias("breadcrumb")))
     ev = read(spark, sf, "events", "event_id", "ts").select(
         F.col("event_id").alias("page_id"), F.date_format("ts", "dd-MM-yyyy HH:mm").alias("ts_text"))
     m = recs.join(ev, "page_id", "left")
-    m = S.prune_excluded(m, P, "url")
-    return m.select("page_id", "url", "key", "title", "breadcrumb",
-                    U.page_path(F.col("url")).alias("path"),
+    m = m.join(stored_page_map(spark, sf), "url")
+    return m.select("page_id", "url", "key", "title", "breadcrumb", "path",
                     T.parse_ts(F.col("ts_text")).alias("date"),
                     IX.page_label(F.col("url"), F.col("title"), F.col("breadcrumb"), P).alias("label"))
 
@@ -94,27 +122,25 @@ def page_meta(spark: SparkSession, sf: str) -> DataFrame:
 def _d_meta() -> str:
     nav = D.inner("html", r"<nav\b[^>]*>", r"</nav>")
     crumbs = f"list_filter(list_transform(regexp_extract_all({nav}, '(?is)<li\\b[^>]*>(.*?)</li\\s*>', 1), lambda x: {D.text('x')}), lambda x: x <> '')"
-    excl = " OR ".join(f"regexp_matches(tgt, {D.q(e)})" for e in P.exclude)
     t = "tt"
     label = (f"CASE WHEN {t} <> '' AND NOT regexp_matches({t}, {D.q(P.generic_title)}) THEN {clean(t)} "
              f"WHEN lastc IS NOT NULL AND {D.trim_ws('lastc')} <> '' THEN {clean('lastc')} "
              f"WHEN {t} <> '' AND {D.trim_ws(f'regexp_replace({t}, {D.q(P.site_suffix)}, {chr(39)}{chr(39)})')} <> '' "
              f"THEN {clean(D.trim_ws(f'regexp_replace({t}, {D.q(P.site_suffix)}, {chr(39)}{chr(39)})'))} "
              f"WHEN split_part(u, '/', -1) <> '' THEN split_part(u, '/', -1) ELSE u END")
-    return f"""
+    return f"""{D_MAP},
 meta AS (
-  SELECT page_id, u, sha1(u) AS key, pp AS path, title, tt, lastc, date, {label} AS label FROM (
+  SELECT page_id, u, sha1(u) AS key, pmap.path, title, tt, lastc, date, {label} AS label FROM (
     SELECT p.page_id, {D.sel(D.canon_cols('p.url', 'u'), D.page_path('u', 'pp'))},
       coalesce(nullif(CASE WHEN regexp_matches(html, '(?is)<h1\\b[^>]*>') THEN {D.text(_H1)} END, ''),
                CASE WHEN regexp_matches(html, '(?is)<title\\b') THEN {D.text(_TITLE)} END) AS title,
       {D.trim_ws("coalesce(title, '')")} AS tt,
       {crumbs}[-1] AS lastc,
-      try_strptime(strftime(e.ts, '%d-%m-%Y %H:%M'), '%d-%m-%Y %H:%M') AS date,
-      regexp_extract(u, {D.q(D.URI)}, 4) || CASE WHEN regexp_extract(u, {D.q(D.URI)}, 6) <> '' THEN '?' || regexp_extract(u, {D.q(D.URI)}, 6) ELSE '' END AS tgt
+      try_strptime(strftime(e.ts, '%d-%m-%Y %H:%M'), '%d-%m-%Y %H:%M') AS date
     FROM (SELECT * FROM pages WHERE page_id IN (
       SELECT max(page_id) FROM (SELECT page_id, {D.sel(D.canon_cols('url', 'c'))} FROM pages) GROUP BY c)) p
     LEFT JOIN events e ON e.event_id = p.page_id
-  ) WHERE NOT ({excl})
+  ) x JOIN pmap ON pmap.url = x.u
 ),
 cls AS (
   SELECT *,
@@ -123,7 +149,7 @@ cls AS (
     CASE WHEN section = 'topic' THEN regexp_extract(u, {D.q(P.topic_url)}, 1)
          WHEN section = 'category' THEN regexp_extract(u, {D.q(P.category_url)}, 1) END AS group_id,
     CASE WHEN section = 'other' THEN NULL
-         WHEN regexp_extract(u, {D.q(P.page_param)}, 1) <> '' THEN CAST(regexp_extract(u, {D.q(P.page_param)}, 1) AS INTEGER)
+         WHEN regexp_extract(u, {D.q(P.page_param)}, 1) <> '' THEN TRY_CAST(regexp_extract(u, {D.q(P.page_param)}, 1) AS BIGINT)
          ELSE 1 END AS page_no
   FROM meta
 )"""
@@ -197,16 +223,17 @@ def linked_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Pages whose menu also links two other stored pages (by their raw URL):
     page i -> page (2i+1) mod n and page (3i+2) mod n.  This gives the link
     graph internal edges; both lookups are equi-joins on page_id."""
-    p = pages(spark, sf)
-    n = p.count()
-    t = p.select(F.col("page_id").alias("tid"), F.col("url").alias("turl"))
-    a = (p.withColumn("t1", (F.col("page_id") * 2 + 1) % F.lit(n))
-          .withColumn("t2", (F.col("page_id") * 3 + 2) % F.lit(n)))
-    a = (a.join(t.withColumnRenamed("tid", "t1").withColumnRenamed("turl", "u1"), "t1", "left")
-          .join(t.withColumnRenamed("tid", "t2").withColumnRenamed("turl", "u2"), "t2", "left"))
+    ids = pages(spark, sf, html=False)
+    n = ids.count()
+    t = ids.select(F.col("page_id").alias("_t"), F.col("url").alias("_u"))
+    want = ids.select("page_id", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("page_id") * k + a) % n).alias("to"))
+                                                      for i, (k, a) in enumerate(((2, 1), (3, 2)))])).alias("w"))
+    found = want.join(t, F.col("w.to") == F.col("_t"), "left").groupBy("page_id").agg(
+        F.max(F.when(F.col("w.i") == 0, F.col("_u"))).alias("u1"), F.max(F.when(F.col("w.i") == 1, F.col("_u"))).alias("u2"))
     extra = F.concat(F.lit('<a href="'), F.coalesce("u1", F.lit("")), F.lit('">next</a><a href="'),
                      F.coalesce("u2", F.lit("")), F.lit('">more</a></nav>'))
-    return a.select("page_id", "url", F.replace(F.col("html"), F.lit("</nav>"), extra).alias("html"))
+    return pages(spark, sf).join(found, "page_id").select(
+        "page_id", "url", F.replace(F.col("html"), F.lit("</nav>"), extra).alias("html"))
 
 
 D_LINKED = """
@@ -249,15 +276,6 @@ def q_same_site_links(spark, sf):
     return e.select("page_id", "seq", "dst", U.same_site(F.col("dst"), F.col("page_url")).alias("same_site"))
 
 
-def _d_target(u: str) -> str:
-    return (f"coalesce(url_decode(replace(regexp_extract({u}, {D.q(D.URI)}, 4) || CASE WHEN regexp_extract({u}, {D.q(D.URI)}, 6) <> '' "
-            f"THEN '?' || regexp_extract({u}, {D.q(D.URI)}, 6) ELSE '' END, '+', '%2B')), '')")
-
-
-def _d_any(t: str, pats) -> str:
-    return "(" + " OR ".join(f"regexp_matches({t}, {D.q(x)})" for x in pats) + ")"
-
-
 @register("scope_filter", f"""WITH {D_LINKED}, {D_EDGES}
 SELECT page_id, seq, dst,
   lower(regexp_extract(dst, {D.q(D.URI)}, 3)) = lower(regexp_extract(pu, {D.q(D.URI)}, 3))
@@ -281,20 +299,6 @@ def q_build_prune(spark, sf):
     return p.agg(F.count_if(~ex).alias("kept"), F.count_if(ex).alias("skipped"))
 
 
-def stored_page_map(spark: SparkSession, sf: str) -> DataFrame:
-    """(url, path) of stored pages kept by the build prune."""
-    p = X.with_page_url(pages(spark, sf, html=False), P)
-    p = S.prune_excluded(p, P, "page_url")
-    return p.select(F.col("page_url").alias("url"), U.page_path(F.col("page_url")).alias("path")).distinct()
-
-
-D_MAP = f"""
-pmap AS (
-  SELECT DISTINCT c AS url, pp AS path FROM (SELECT {D.sel(D.canon_cols('url', 'c'), D.page_path('c', 'pp'))} FROM pages)
-  WHERE NOT {_d_any(_d_target('c'), P.exclude)}
-)"""
-
-
 @register("link_resolution", f"""WITH {D_LINKED}, {D_EDGES}, {D_MAP}
 SELECT e.page_id, e.seq, e.dst, m.path AS target_path, m.path IS NOT NULL AS internal
 FROM edges e LEFT JOIN pmap m ON m.url = e.dst""")
@@ -322,10 +326,10 @@ sc AS (
     AND NOT {_d_any(_d_target('dst'), P.exclude)} AND {_d_any(_d_target('dst'), P.include)}
 ),
 nw AS (SELECT dst AS url, min((src_key, seq)) AS first FROM sc WHERE dst NOT IN (SELECT url FROM st) GROUP BY dst)
-SELECT url, row_number() OVER (ORDER BY first, url) AS rank FROM nw""")
+SELECT url, row_number() OVER (ORDER BY first, url) AS rank FROM nw""")  # the next page is a link of the page, too
 def q_frontier_new(spark, sf):
     from ..operators import frontier as FR
-    e = X.link_edges(linked_pages(spark, sf), P)
+    e = FR.candidates(linked_pages(spark, sf), P)
     st = X.with_page_url(pages(spark, sf, html=False), P).select(F.col("page_url").alias("url"))
     return FR.new_urls(e, st, P)
 
@@ -466,28 +470,53 @@ def _pii_rules():
     return PII.TEST_RULES
 
 
-@register("pii_scrub", f"""SELECT doc_id, {_d_scrub('text', __import__('pagelake.functions.pii', fromlist=['x']).TEST_RULES)} AS text FROM documents""")
+def planted_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, every one with numbers that each rule of the Greek set masks."""
+    d = read(spark, sf, "documents", "doc_id", "text")
+    i = F.col("doc_id").cast("string")
+    return d.select("doc_id", F.concat(
+        "text", F.lit("\nIBAN GR16 0110 1250 0000 0001 2300 695, mob. 69"), F.lpad(i, 8, "0"), F.lit(", tel. 2"), F.lpad(i, 9, "0"),
+        F.lit(", id "), F.lpad(i, 11, "1"), F.lit(", room 438.")).alias("text"))
+
+
+D_PLANTED = """planted AS (SELECT doc_id, text || chr(10) || 'IBAN GR16 0110 1250 0000 0001 2300 695, mob. 69' || lpad(CAST(doc_id AS VARCHAR), 8, '0') ||
+  ', tel. 2' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || ', id ' || lpad(CAST(doc_id AS VARCHAR), 11, '1') || ', room 438.' AS text FROM documents)"""
+# The rules of the semantics, stated on their own: name, pattern, replacement.
+D_RULES = (
+    ("iban", r"\bGR\d{2}[\s\d]{16,30}\b", "[redacted-iban]"),
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[redacted-email]"),
+    ("mobile", r"\b69\d{8}\b", "[redacted-phone]"), ("landline", r"\b2\d{9}\b", "[redacted-phone]"),
+    ("id", r"\b\d{11}\b", "[redacted-id]"), ("nanp", r"\+1 \(\d{3}\) \d{3}-\d{4}", "[redacted-phone]"),
+    ("card", r"\b\d{16}\b", "[redacted-card]"))
+
+
+def _d_scrub(expr: str) -> str:
+    for _, pat, repl in D_RULES:
+        expr = f"regexp_replace({expr}, {D.q(pat)}, {D.q(repl)}, 'g')"
+    return expr
+
+
+@register("pii_scrub", f"WITH {D_PLANTED} SELECT doc_id, {_d_scrub('text')} AS text FROM planted")
 def q_pii_scrub(spark, sf):
+    from ..functions import pii as PII
     from ..operators import privacy as PR
-    d = read(spark, sf, "documents", "doc_id", "text")
-    return PR.scrub_text(d, "text", _pii_rules())
+    return PR.scrub_text(planted_documents(spark, sf), "text", PII.TEST_RULES)
 
 
 def _d_report() -> str:
-    rules = _pii_rules()
     cols, expr = [], "text"
-    for name, pat, repl in rules:
-        cols.append(f"CAST(len(regexp_extract_all({expr}, {D.q(_duck_rule(pat))})) AS BIGINT) AS n_{name}")
-        expr = f"regexp_replace({expr}, {D.q(_duck_rule(pat))}, {D.q(repl)}, 'g')"
-    cond = " OR ".join(f"n_{n} > 0" for n, _, _ in rules)
-    return f"SELECT * FROM (SELECT doc_id, {', '.join(cols)} FROM documents) WHERE {cond}"
+    for name, pat, repl in D_RULES:
+        cols.append(f"CAST(len(regexp_extract_all({expr}, {D.q(pat)})) AS BIGINT) AS n_{name}")
+        expr = f"regexp_replace({expr}, {D.q(pat)}, {D.q(repl)}, 'g')"
+    cond = " OR ".join(f"n_{n} > 0" for n, _, _ in D_RULES)
+    return f"WITH {D_PLANTED} SELECT * FROM (SELECT doc_id, {', '.join(cols)} FROM planted) WHERE {cond}"
 
 
 @register("pii_report", _d_report())
 def q_pii_report(spark, sf):
+    from ..functions import pii as PII
     from ..operators import privacy as PR
-    d = read(spark, sf, "documents", "doc_id", "text")
-    return PR.pii_report(d, "doc_id", "text", _pii_rules())
+    return PR.pii_report(planted_documents(spark, sf), "doc_id", "text", PII.TEST_RULES)
 
 
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -518,30 +547,88 @@ def q_email_decode(spark, sf):
                     PII.email_from_visible(vis).alias("restored"))
 
 
-@register("email_redact", f"""
-SELECT page_id, html2 AS html, CAST(len(regexp_extract_all(html2, '\\[email hidden\\]')) - len(regexp_extract_all(html, '\\[email hidden\\]')) AS BIGINT) AS n_redacted FROM (
-  SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(html,
-    '(?is)<(?:span|a|div)\\b[^>]*\\sdata-mail-token\\s*=[^>]*>.*?</(?:span|a|div)\\s*>', '[email hidden]', 'g'),
-    '(?is)<(?:span|a|div)\\b[^>]*\\sdata-mail-vector\\s*=[^>]*>.*?</(?:span|a|div)\\s*>', '[email hidden]', 'g'),
-    '(?is)<a\\b[^>]*\\shref\\s*=\\s*["'']?mailto:[^>]*>.*?</a\\s*>', '[email hidden]', 'g') AS html2 FROM pages)
-""")
+# Markup that the driver's pages lack, put before </body>; {i} is the page id.
+RICH = ("""<link rel="stylesheet" href="/css/site.css"><link rel=stylesheet href='../css/own.css'><link rel="icon" href="/no.ico">"""
+        """<script src=/js/app.js></script><img src="/img/{i}.png"><img src="data:image/gif;base64,AA"><img src="https://cdn.example.net/x.png">"""
+        """<!-- <img src="/in-comment.png"><a href="/hidden">x</a> --><div class="login-frame"><div>hi</div>Logged in as user{i}</div>"""
+        """<span data-mail-token="nbjmup;b">a at b</span><a href="mailto:x@y.example">mail</a><p data-endpoint="/ajax/{i}">end</p>""")
+
+
+def rich_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages with stylesheets, scripts, images, a comment, a nested login
+    block, address elements and an endpoint before the end of their body."""
+    extra = F.replace(F.lit(RICH + "</body>"), F.lit("{i}"), F.col("page_id").cast("string"))
+    return pages(spark, sf).select("page_id", "url", F.replace(F.col("html"), F.lit("</body>"), extra).alias("html"))
+
+
+D_RICH = f"""rich AS (SELECT page_id, url, replace(html, '</body>', replace({D.q(RICH)}, '{{i}}', CAST(page_id AS VARCHAR)) || '</body>') AS html FROM pages)"""
+
+
+@register("email_redact", f"""WITH {D_RICH}
+SELECT page_id, replace(replace(html, '<span data-mail-token="nbjmup;b">a at b</span>', '[email hidden]'),
+  '<a href="mailto:x@y.example">mail</a>', '[email hidden]') AS html, CAST(2 * (len(html) - len(replace(html, 'mailto:', '')) > 0)::INT AS BIGINT) AS n_redacted FROM rich""")
 def q_email_redact(spark, sf):
     from ..operators import privacy as PR
     from ..profile import FORUM
-    p = pages(spark, sf).select("page_id", "html")
+    p = rich_pages(spark, sf).select("page_id", "html")
     r = p.withColumn("html2", PR.redact_emails(F.col("html"), FORUM))
     return r.select("page_id", F.col("html2").alias("html"),
                     PR.count_redactions(F.col("html"), F.col("html2")).cast("bigint").alias("n_redacted"))
 
 
-@register("strip_blocks", """
-SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<div class="ad">.*?</div\\s*>', '', 'g'),
-  '(?is)<script\\b[^>]*>.*?</script\\s*>', '', 'g') AS html FROM pages
+@register("strip_blocks", f"""WITH {D_RICH}
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<div class="ad">.*?</div\\s*>', '', 'g'),
+  '(?is)<script\\b[^>]*>.*?</script\\s*>', '', 'g'), '<div class="login-frame"><div>hi</div>Logged in as user[0-9]+</div>', '', 'g') AS html FROM rich
 """)
 def q_strip_blocks(spark, sf):
     from ..operators import privacy as PR
-    p = pages(spark, sf).select("page_id", "html")
-    return p.select("page_id", PR.strip_blocks(F.col("html"), P).alias("html"))
+    from ..profile import FORUM
+    profile = P.with_(strip_blocks=P.strip_blocks + FORUM.strip_blocks)
+    return rich_pages(spark, sf).select("page_id", PR.strip_blocks(F.col("html"), profile).alias("html"))
+
+
+@register("subresource_edges", f"""WITH {D_RICH},
+pc AS (SELECT page_id, {D.sel(D.canon_cols('url', 'pu'))} FROM rich WHERE contains(html, 'data-endpoint')),
+refs AS (SELECT page_id, pu, unnest(['/css/site.css', '../css/own.css', '/js/app.js', '/img/' || CAST(page_id AS VARCHAR) || '.png']) AS ref,
+  generate_subscripts([1, 2, 3, 4], 1) - 1 AS seq FROM pc)
+SELECT page_id, seq, lower({D.part('pu', 1)}) || '://' || {D.part('pu', 3)} || CASE WHEN starts_with(ref, '/') THEN ref
+  ELSE regexp_replace(regexp_replace({D.part('pu', 4)}, '[^/]*$', ''), '[^/]*/$', '') || 'css/own.css' END AS dst FROM refs""")
+def q_subresource_edges(spark, sf):
+    """EXT-6: stylesheets, scripts and images of the own site, in this order."""
+    return X.subresource_edges(rich_pages(spark, sf), P).select("page_id", "seq", "dst")
+
+
+@register("asset_todo", f"""WITH {D_RICH},
+st AS (SELECT DISTINCT lower({D.part('url', 1)}) || '://' || lower({D.part('url', 3)}) || '/css/site.css' AS url FROM pages WHERE page_id % 2 = 0)
+SELECT DISTINCT dst AS url FROM ({{sub}}) WHERE dst NOT IN (SELECT url FROM st) AND NOT {_d_any(_d_target('dst'), P.exclude)}""".replace(
+    "{sub}", ORACLES["subresource_edges"]))
+def q_asset_todo(spark, sf):
+    """FLT-13: subresources not stored yet and not excluded; the common
+    stylesheet of every other page's site counts as stored."""
+    from ..operators import links as L
+    p = X.with_page_url(pages(spark, sf, html=False).where("page_id % 2 = 0"), P)
+    stored = p.select(F.concat(F.lower(U.scheme(F.col("page_url"))), F.lit("://"), U.authority(F.col("page_url")), F.lit("/css/site.css")).alias("url"))
+    return L.asset_todo(X.subresource_edges(rich_pages(spark, sf), P), stored.distinct(), P)
+
+
+CONTENT_TYPES = ("text/html", "Text/HTML; charset=utf-8", "application/xhtml+xml; x=html", "image/png", "text/plain", "")
+
+
+@register("content_route", f"""
+SELECT page_id, CASE WHEN page_id % 7 = 6 THEN 'asset' WHEN contains(lower({D.strlist(CONTENT_TYPES)}[1 + page_id % 7]), 'html') THEN 'page' ELSE 'asset' END AS route FROM pages""")
+def q_content_route(spark, sf):
+    """FLT-7: responses whose content type (by page id, one of seven: none) says HTML are pages."""
+    kind = F.get(F.array(*[F.lit(x) for x in CONTENT_TYPES]), F.pmod("page_id", F.lit(7)).cast("int"))
+    return pages(spark, sf, html=False).select("page_id", X.content_route(kind).alias("route"))
+
+
+@register("url_dedup", f"""
+SELECT c AS url, sha1(c) AS key, count(*) AS n_forms, min(page_id) AS first_page FROM (SELECT page_id, {D.sel(D.canon_cols('url', 'c'))} FROM pages) GROUP BY c""")
+def q_url_dedup(spark, sf):
+    """P-1/P-3: one row for each logical page, with the number of its URL forms."""
+    p = X.with_page_url(pages(spark, sf, html=False), P)
+    return p.groupBy(F.col("page_url").alias("url"), "key").agg(
+        F.count(F.lit(1)).alias("n_forms"), F.min("page_id").alias("first_page"))
 
 
 # Fixture responses next to the stored pages: an expired session (401), a
@@ -599,17 +686,17 @@ def topic_pages(spark: SparkSession, sf: str) -> DataFrame:
     c = c.withColumn("page_no", (F.floor(F.col("turn") / POSTS_PER_PAGE) + 1).cast("bigint"))
     g = c.groupBy("conv_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("turn", chunk.alias("c")))).alias("cs"))
     cid = F.col("conv_id").cast("string")
-    html = F.concat(F.lit("<html><head><title>Topic "), cid, F.lit(" - Community Board</title></head><body>"),
+    html = F.concat(F.lit("<html><head><title>Topic "), cid, F.lit(" | Riverside board</title></head><body>"),
                     F.lit('<ul class="forum-crumbs"><li><a href="/board">Board</a></li><li>Topic '), cid,
                     F.lit('</li></ul><ul class="posts">'), F.array_join(F.transform("cs", lambda x: x["c"]), ""),
                     F.lit("</ul></body></html>"))
     url = F.concat(F.lit(FORUM_URL), cid, F.lit("/page/"), F.col("page_no").cast("string"))
-    return g.select((F.col("conv_id") * 1000 + F.col("page_no")).alias("page_id"), url.alias("url"), html.alias("html"))
+    return g.select(F.concat_ws("-", "conv_id", "page_no").alias("page_id"), url.alias("url"), html.alias("html"))
 
 
 _D_POSTS = f"""
 cp AS (
-  SELECT c.conv_id, c.turn, c.role, c.text, c.conv_id * 1000 + (c.turn // {POSTS_PER_PAGE}) + 1 AS page_id,
+  SELECT c.conv_id, c.turn, c.role, c.text, CAST(c.conv_id AS VARCHAR) || '-' || CAST((c.turn // {POSTS_PER_PAGE}) + 1 AS VARCHAR) AS page_id,
     '{FORUM_URL}' || CAST(c.conv_id AS VARCHAR) || '/page/' || CAST((c.turn // {POSTS_PER_PAGE}) + 1 AS VARCHAR) AS url,
     strftime(e.ts, '%d-%m-%Y %H:%M') AS ts_text
   FROM conversations c LEFT JOIN events e ON e.event_id = c.conv_id
@@ -656,7 +743,7 @@ def forum_author_posts(spark, sf):
 _D_AP = f"""
 ap AS (
   SELECT author, key, pos, regexp_replace(substr(url, strpos(url, '/board/')), '^/+', '') || '.html' AS path,
-    'Topic ' || CAST(conv_id AS VARCHAR) || ' - Community Board' AS title,
+    'Topic ' || CAST(conv_id AS VARCHAR) || ' | Riverside board' AS title,
     coalesce(timestamp, '') AS ts, left(coalesce(text_excerpt, ''), 200) AS excerpt
   FROM po WHERE author IS NOT NULL AND trim(author) <> ''
 )"""
@@ -678,10 +765,16 @@ def q_author_index(spark, sf):
     return A.author_index(forum_author_posts(spark, sf)).select("author", "n_posts", "slug", "rank")
 
 
-@register("author_pages")
+@register("author_pages", f"""WITH {_D_POSTS}, {_D_AP},
+n AS (SELECT *, (row_number() OVER (PARTITION BY author ORDER BY key, pos) - 1) // 500 AS chunk FROM ap),
+d AS (SELECT author, chunk, count(*) AS n_items, 'authors/' || left(CASE WHEN b = '' THEN 'author' ELSE b END, 40) || '-' || left(sha1(author), 6) AS stem
+  FROM (SELECT *, lower(regexp_replace(regexp_replace(author, '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS b FROM n) GROUP BY author, chunk, stem)
+SELECT stem || CASE WHEN chunk = 0 THEN '' ELSE '-' || CAST(chunk + 1 AS VARCHAR) END || '.html' AS path, 'Author: ' || author AS title,
+  CAST(n_items AS INTEGER) AS n_items FROM d""")
 def q_author_pages(spark, sf):
+    """PUB-1: an author's posts, 500 a document."""
     from ..operators import authors as A
-    return A.author_pages(forum_author_posts(spark, sf))
+    return A.author_pages(forum_author_posts(spark, sf)).select("path", "title", "n_items")
 
 
 @register("excerpts", f"""
@@ -734,10 +827,11 @@ def q_pagination_next(spark, sf):
 
 
 @register("page_attr_first", """
+WITH """ + D_RICH + """
 SELECT page_id, nullif(regexp_extract(html, '(?is)\\slang\\s*=\\s*"([^"]*)"', 1), '') AS token,
-  CAST(len(regexp_extract_all(html, '(?is)\\sdata-endpoint\\s*=')) AS INTEGER) AS n_endpoints FROM pages""")
+  CAST(len(regexp_extract_all(html, '(?is)\\sdata-endpoint\\s*=')) AS INTEGER) AS n_endpoints FROM rich""")
 def q_page_attr_first(spark, sf):
-    p = X.with_page_url(pages(spark, sf), P)
+    p = X.with_page_url(rich_pages(spark, sf), P)
     h = F.col("html")
     return p.select("page_id", X.first_token(h, P).alias("token"),
                     F.size(X.endpoints(h, F.col("page_url"), P)).alias("n_endpoints"))
@@ -819,9 +913,9 @@ def _initcap_sql(e: str) -> str:
 
 @register("discover_merge", f"""WITH {D_LINKED}, {D_NAV.replace('{src}', 'linked')}, {D_EDGES},
 src AS (
-  SELECT dst AS url, text AS title, page_id * 100000 + seq AS seq, 0 AS s FROM nvr
-  UNION ALL SELECT dst, {_initcap_sql("trim(regexp_replace(list_filter(string_split(dst, '/'), lambda x: x <> '')[-1], '[-_]+', ' ', 'g'))")}, page_id * 100000 + seq, 1 FROM edges
-  UNION ALL SELECT dst, text, page_id * 100000 + seq, 2 FROM nvr
+  SELECT dst AS url, text AS title, (page_id, seq) AS seq, 0 AS s FROM nvr
+  UNION ALL SELECT dst, {_initcap_sql("trim(regexp_replace(list_filter(string_split(dst, '/'), lambda x: x <> '')[-1], '[-_]+', ' ', 'g'))")}, (page_id, seq), 1 FROM edges
+  UNION ALL SELECT dst, text, (page_id, seq), 2 FROM nvr
 ),
 best AS (SELECT url, arg_min((title, s), (s, seq)) AS b FROM src GROUP BY url)
 SELECT url, b[1] AS title, ['catlist', 'sitemap', 'menu'][b[2] + 1] AS source, row_number() OVER (ORDER BY url) AS rank FROM best""")
@@ -831,31 +925,41 @@ def q_discover_merge(spark, sf):
     from ..profile import FORUM
     prof = FORUM.with_(strip_query_keys=P.strip_query_keys)
     cats = X.categories(catlist_pages(spark, sf), prof).select(
-        "url", "title", (F.col("page_id") * 100000 + F.col("cpos")).alias("seq"))
+        "url", "title", F.struct(F.col("page_id").alias("p"), F.col("cpos").alias("i")).alias("seq"))
     sm = DS.sitemap_locs(sitemap_docs(spark, sf)).select(
         U.canonical(F.col("loc"), P.strip_query_keys).alias("url"),
-        (F.col("page_id") * 100000 + F.col("loc_pos")).alias("seq"))
+        F.struct(F.col("page_id").alias("p"), F.col("loc_pos").alias("i")).alias("seq"))
     sm = sm.withColumn("title", U.title_from_url(F.col("url")))
     menu = X.nav_links(linked_pages(spark, sf), P).select(
-        F.col("dst").alias("url"), F.col("text").alias("title"), (F.col("page_id") * 100000 + F.col("seq")).alias("seq"))
+        F.col("dst").alias("url"), F.col("text").alias("title"), F.struct(F.col("page_id").alias("p"), F.col("seq").alias("i")).alias("seq"))
     return DS.merge_sources(cats, sm, menu).select("url", "title", "source", "rank")
 
 
 # --------------------------------------------------------------- closure ---
 def closure_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored in-scope edges of the linked pages (multi-site: include and
-    exclude patterns only), with a first-seen order key."""
+    """In-scope edges of the linked pages (same site, include and exclude
+    patterns), with a first-seen order key."""
     e = X.link_edges(linked_pages(spark, sf), P)
-    t = U.scope_target(F.col("dst"))
-    ok = U.let(t, lambda x: S.any_match(x, P.include) & ~S.any_match(x, P.exclude))
-    return e.where(ok).select(F.col("page_url").alias("src"), "dst",
-                              F.struct(F.col("page_id"), F.col("seq")).alias("k"))
+    return e.where(S.in_scope(F.col("dst"), P, base=F.col("page_url"))).select(
+        F.col("page_url").alias("src"), "dst", F.struct(F.col("page_id"), F.col("seq")).alias("k"))
 
 
-@register("crawl_closure", f"""WITH RECURSIVE {D_LINKED}, {D_EDGES},
-se AS (SELECT pu AS src, dst FROM edges
-  WHERE NOT {_d_any(_d_target('dst'), P.exclude)} AND {_d_any(_d_target('dst'), P.include)}),
-seeds AS (SELECT DISTINCT c AS url FROM (SELECT {D.sel(D.canon_cols('url', 'c'))} FROM pages WHERE contains(url, 'utm_source=feed'))),
+def closure_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    """Feed entries that are in scope of their own site, in the order of pages."""
+    p = X.with_page_url(pages(spark, sf, html=False).where(F.col("url").contains("utm_source=feed")), P)
+    p = p.where(S.in_scope(F.col("page_url"), P, base=F.col("page_url")))
+    return p.select(F.col("page_url").alias("url"), F.col("page_id").alias("order"))
+
+
+D_CLOSURE = f"""
+se AS (SELECT pu AS src, dst, page_id, seq FROM edges
+  WHERE lower(regexp_extract(dst, {D.q(D.URI)}, 3)) = lower(regexp_extract(pu, {D.q(D.URI)}, 3))
+    AND NOT {_d_any(_d_target('dst'), P.exclude)} AND {_d_any(_d_target('dst'), P.include)}),
+seeds AS (SELECT c AS url, min(page_id) AS o FROM (SELECT page_id, {D.sel(D.canon_cols('url', 'c'))} FROM pages WHERE contains(url, 'utm_source=feed'))
+  WHERE NOT {_d_any(_d_target('c'), P.exclude)} AND {_d_any(_d_target('c'), P.include)} GROUP BY c)"""
+
+
+@register("crawl_closure", f"""WITH RECURSIVE {D_LINKED}, {D_EDGES}, {D_CLOSURE},
 r(url, depth) USING KEY (url) AS (
   SELECT url, 0 FROM seeds
   UNION SELECT se.dst, r.depth + 1 FROM r JOIN se ON se.src = r.url
@@ -864,34 +968,98 @@ r(url, depth) USING KEY (url) AS (
 SELECT url, depth FROM r""")
 def q_crawl_closure(spark, sf):
     from ..operators import closure as CL
-    seeds = X.with_page_url(pages(spark, sf, html=False).where(F.col("url").contains("utm_source=feed")), P)
-    res = CL.crawl_closure(seeds.select(F.col("page_url").alias("url")), closure_edges(spark, sf))
-    return res.select("url", "depth")
+    return CL.crawl_closure(closure_seeds(spark, sf), closure_edges(spark, sf))
+
+
+@register("crawl_closure_capped", f"""WITH {D_LINKED}, {D_EDGES}, {D_CLOSURE},
+found AS (SELECT url, 0 AS depth, (o, 0) AS first FROM seeds
+  UNION ALL SELECT dst, 1, min((se.page_id, seq)) FROM se JOIN seeds ON seeds.url = se.src WHERE dst NOT IN (SELECT url FROM seeds) GROUP BY dst)
+SELECT url, depth FROM found ORDER BY depth, first, url LIMIT (SELECT count(*) + 3 FROM seeds)""")
+def q_crawl_closure_capped(spark, sf):
+    """LIM-1: the closure of all pages stops at a cap, here three pages beyond the seeds."""
+    from ..operators import closure as CL
+    seeds = closure_seeds(spark, sf)
+    return CL.crawl_closure(seeds, closure_edges(spark, sf), max_pages=seeds.select("url").distinct().count() + 3)
 
 
 # ------------------------------------------------------------- rewriting ---
-@register("page_rewrite", f"""WITH {D_LINKED}, {D_MAP},
-pc AS (SELECT page_id, html, {D.sel(D.canon_cols('url', 'pu'), D.page_path('pu', 'path'))} FROM linked
-  WHERE NOT {_d_any(_d_target('pu'), P.exclude)}),
-pieces AS (SELECT page_id, pu, path, unnest(string_split(html, 'href="')) AS piece,
-  generate_subscripts(string_split(html, 'href="'), 1) - 1 AS i, string_split(html, 'href="') AS arr FROM pc),
-refs AS (SELECT *, split_part(piece, '"', 1) AS ref,
-  i > 0 AND regexp_matches(arr[i] || 'href="', '(?is)<(?:a|img|link|script|source)\\b[^<>]*\\s(?:href|src)="$') AS tag_ok FROM pieces),
+_D_REF = r"""(?is)^((?:a|img|link|script|source)(?:\s[^<>]*?)?\s(?:href|src)\s*=\s*)(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+))"""
+
+
+def _d_rewrite(src: str, extra_map: str = "") -> str:
+    """CTEs ending in ``rw`` (page_id, pu, path, html, n_rewritten) for the pages of ``src``."""
+    ref = " || ".join(f"regexp_extract(piece, {D.q(_D_REF)}, {i})" for i in (2, 3, 4))
+    return f"""
+pc AS (SELECT page_id, html, pu, m.path FROM (SELECT page_id, html, {D.sel(D.canon_cols('url', 'pu'))} FROM {src}) x JOIN pmap m ON m.url = x.pu),
+amap AS (SELECT * FROM pmap {extra_map}),
+pieces AS (SELECT page_id, pu, path, unnest(string_split(html, '<')) AS piece, generate_subscripts(string_split(html, '<'), 1) AS i FROM pc),
+refs AS (SELECT *, CASE WHEN i > 1 THEN {ref} ELSE '' END AS ref FROM pieces),
 res AS (SELECT r.*, m.path AS target FROM (
-  SELECT *, {D.sel(D.resolve_cols('ref', 'pu', 'abs'), D.canon_cols('abs', 'dst'))} FROM refs) r
-  LEFT JOIN pmap m ON m.url = r.dst AND r.tag_ok AND r.ref <> '' AND {' AND '.join(f"NOT starts_with(r.ref, {D.q(x)})" for x in X.NON_ASSET_PREFIXES)})
-SELECT page_id, path,
-  array_to_string(list(CASE WHEN target IS NULL THEN piece
-    ELSE repeat('../', length(path) - length(replace(path, '/', ''))) || target || substr(piece, length(ref) + 1) END ORDER BY i), 'href="') AS html,
-  CAST(count(target) AS INTEGER) AS n_rewritten
-FROM res GROUP BY page_id, path""")
+  SELECT *, {D.sel(D.resolve_cols('ref', 'pu', 'abs0'))}, regexp_replace(abs0, '[^/]+/[.][.]/', '') AS abs, {D.sel(D.canon_cols('abs', 'dst'))} FROM refs) r
+  LEFT JOIN amap m ON m.url = r.dst AND r.ref <> '' AND NOT regexp_matches(r.ref, '^(#|data:|javascript:|mailto:|tel:)')),
+rw AS (SELECT page_id, pu, path, array_to_string(list(CASE WHEN target IS NULL THEN piece
+    ELSE regexp_extract(piece, {D.q(_D_REF)}, 1) || '"' || repeat('../', length(path) - length(replace(path, '/', ''))) || target || '"' ||
+      regexp_replace(piece, {D.q(_D_REF)}, '') END ORDER BY i), '<') AS html, CAST(count(target) AS INTEGER) AS n_rewritten
+  FROM res GROUP BY page_id, pu, path)"""
+
+
+def kept_pages(df: DataFrame, spark, sf) -> DataFrame:
+    """Kept pages with their unique bundle path: page_id, page_url, key, path, html."""
+    m = stored_page_map(spark, sf).withColumnRenamed("url", "_u")
+    p = X.with_page_url(df, P)
+    return p.join(m, F.col("page_url") == F.col("_u")).select("page_id", "page_url", "key", "path", "html")
+
+
+@register("page_rewrite", f"WITH {D_LINKED}, {D_MAP}, {_d_rewrite('linked')} SELECT page_id, path, html, n_rewritten FROM rw")
 def q_page_rewrite(spark, sf):
     from ..operators import links as L
-    lp = X.with_page_url(linked_pages(spark, sf), P)
-    lp = S.prune_excluded(lp, P, "page_url").select("page_id", "page_url", U.page_path(F.col("page_url")).alias("path"), "html")
+    lp = kept_pages(linked_pages(spark, sf), spark, sf).drop("key")
     return L.rewrite_pages(lp, stored_page_map(spark, sf), P).select("page_id", "path", "html", "n_rewritten")
 
 
+def bundle_assets(spark: SparkSession, sf: str) -> DataFrame:
+    """Subresources of the rich pages as stored assets: url, path, content_type, content."""
+    from ..operators import links as L
+    a = X.subresource_edges(rich_pages(spark, sf), P).select(F.col("dst").alias("url")).distinct()
+    kind = F.when(F.col("url").endswith(".css"), "text/css").when(F.col("url").endswith(".js"), "text/javascript").otherwise("image/png")
+    paths = L.unique_paths(a.select("url", U.asset_path(F.col("url"), U.guess_ext(F.col("url"), kind)).alias("path")))
+    return paths.select("url", "path", kind.alias("content_type"), F.encode(F.concat(F.lit("asset "), F.col("url")), "UTF-8").alias("content"))
+
+
+_D_SUB = ORACLES["subresource_edges"].split("WITH ", 1)[1].split(",\npc AS", 1)[1]
+D_ASSETS = f"""
+asset0 AS (WITH pc AS{_D_SUB}),
+asset1 AS (SELECT DISTINCT dst AS url, regexp_replace(regexp_replace({D.part('dst', 4)}, '/+', '/', 'g'), '^/', '') AS path FROM asset0),
+assets AS (SELECT url, CASE WHEN row_number() OVER (PARTITION BY path ORDER BY url) > 1
+  THEN regexp_replace(path, '[.][^./]*$', '') || '~' || left(sha1(url), 10) || regexp_extract(path, '([.][^./]*)$', 1) ELSE path END AS path FROM asset1)"""
+# What the public form of the rich pages no longer holds.
+D_PUBLIC = r"""public0 AS (SELECT page_id, url, replace(replace(regexp_replace(regexp_replace(html, '(?is)<div class="ad">.*?</div\s*>', '', 'g'),
+  '<div class="login-frame"><div>hi</div>Logged in as user[0-9]+</div>', '', 'g'),
+  '<span data-mail-token="nbjmup;b">a at b</span>', '[email hidden]'), '<a href="mailto:x@y.example">mail</a>', '[email hidden]') AS html FROM rich)"""
+
+
+def public_profile():
+    from ..profile import FORUM
+    return P.with_(strip_blocks=P.strip_blocks[:1] + FORUM.strip_blocks)
+
+
+def public_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The rich pages, one a key, as they go into the bundle."""
+    from ..functions import pii as PII
+    from ..operators import links as L
+    p = X.latest_per_key(kept_pages(rich_pages(spark, sf), spark, sf))
+    maps = stored_page_map(spark, sf), bundle_assets(spark, sf).select("url", "path")
+    return L.rewrite_pages(p.drop("key"), maps[0], public_profile(), maps[1], PII.TEST_RULES)
+
+
+@register("page_public", f"""WITH {D_RICH}, {D_MAP}, {D_PUBLIC}, {D_ASSETS}, {_d_rewrite('public0', 'UNION ALL SELECT url, path FROM assets')}
+SELECT page_id, path, {_d_scrub('html')} AS html, n_rewritten FROM rw WHERE page_id IN (SELECT max(page_id) FROM pc GROUP BY pu)""")
+def q_page_public(spark, sf):
+    """RWR-1 with PRV-1..3: blocks stripped, addresses redacted, references to pages and
+    assets rewritten, the serialised page scrubbed."""
+    return public_pages(spark, sf)
+
+
 # ----------------------------------------------------------------- scope ---
 AGENT = "pagelake"
 # Robots rules of the check: every host disallows /es/ except /es/1..., and
@@ -921,22 +1089,21 @@ FROM g""")
 def q_robots_policy(spark, sf):
     p = X.with_page_url(pages(spark, sf, html=False), P).select("page_id", F.col("page_url").alias("url"))
     rules = spark.createDataFrame(ROBOTS_RULES, "host string, agent string, rule_no int, allow boolean, path_prefix string")
-    return S.robots_allowed(p, rules, AGENT)
+    return S.robots_allowed(p, rules, AGENT).select("page_id", "url", "allowed", "reason")
 
 
 @register("category_scope", f"""
 WITH pc AS (SELECT page_id, c AS url, {_d_target('c')} AS t FROM (SELECT page_id, url AS raw, {D.sel(D.canon_cols('url', 'c'))} FROM pages)),
 seeds AS (SELECT * FROM pc WHERE page_id IN (SELECT page_id FROM pages WHERE contains(url, 'utm_source=feed'))),
-pats AS (SELECT DISTINCT replace({D.q(P.category_pattern)}, '{{id}}', regexp_extract(t, {D.q(P.category_seed)}, 1)) AS pattern FROM seeds
-  WHERE regexp_extract(t, {D.q(P.category_seed)}, 1) <> '' UNION SELECT {D.q(P.topic_pattern)})
-SELECT page_id, url, EXISTS (SELECT 1 FROM pats WHERE regexp_matches(pc.t, pats.pattern)) AS in_scope FROM pc""")
+ids AS (SELECT DISTINCT regexp_extract(regexp_replace(t, '/*([?].*)?$', '/'), '^/([a-z][a-z])/', 1) AS id FROM seeds)
+SELECT page_id, url, regexp_matches(t, '/xx-topic/') OR regexp_matches(t, '^/xx/')
+  OR EXISTS (SELECT 1 FROM ids WHERE id <> '' AND contains(pc.t, '/' || id || '/')) AS in_scope FROM pc""")
 def q_category_scope(spark, sf):
     """FLT-5: feed entries are the seeds; their language segment is the
     category; every stored page is tested against the derived patterns."""
     p = X.with_page_url(pages(spark, sf, html=False), P)
     seeds = p.where(F.col("url").contains("utm_source=feed")).select(F.col("page_url").alias("url"))
-    pats = S.category_patterns(seeds, P)
-    return S.match_patterns(p.select("page_id", F.col("page_url").alias("url")), pats)
+    return S.category_scope(p.select("page_id", F.col("page_url").alias("url")), seeds, P, include=("^/xx/",))
 
 
 # ------------------------------------------------------- store / upserts ---
@@ -954,9 +1121,10 @@ def q_scan_pages(spark, sf):
 
 
 def snapshots(spark: SparkSession, sf: str):
-    """Prior store = every page (deduplicated per key); the new fetch skips
-    the '#top' variants and returns changed markup for 'page=2' URLs."""
-    p = X.latest_per_key(X.with_page_url(pages(spark, sf), P))
+    """Prior store = every page (deduplicated per key) but the '/es/' ones; the
+    new fetch skips the '#top' variants and returns changed markup for 'page=2'
+    URLs."""
+    p = X.latest_per_key(X.with_page_url(pages(spark, sf).where(~F.col("url").contains("/es/")), P))
     prior = p.select("key", F.col("page_url").alias("url"), "html", F.lit(1).alias("version"))
     raw = X.with_page_url(pages(spark, sf).where(~F.col("url").contains("#top")), P)
     html2 = F.when(F.col("url").contains("page=2"), F.concat(F.col("html"), F.lit("<!-- rev 2 -->"))).otherwise(F.col("html"))
@@ -973,7 +1141,7 @@ def snapshots(spark: SparkSession, sf: str):
 D_SNAP = f"""
 pk AS (SELECT page_id, url AS raw, html, {D.sel(D.canon_cols('url', 'c'))} FROM pages),
 prior AS (SELECT sha1(c) AS key, c AS url, sha1(html) AS content_sha, left(sha1(html), 16) AS etag
-  FROM pk WHERE page_id IN (SELECT max(page_id) FROM pk GROUP BY c)),
+  FROM pk WHERE page_id IN (SELECT max(page_id) FROM pk WHERE NOT contains(raw, '/es/') GROUP BY c)),
 fk AS (SELECT page_id, c, CASE WHEN contains(raw, 'page=2') THEN html || '<!-- rev 2 -->' ELSE html END AS html
   FROM pk WHERE NOT contains(raw, '#top')),
 fetched AS (SELECT sha1(c) AS key, c AS url, sha1(html) AS content_sha, left(sha1(html), 16) AS etag
@@ -1068,35 +1236,118 @@ def q_manifest_assets(spark, sf):
     return m.select("url", "key", "ext", U.asset_path(F.col("url"), F.col("ext")).alias("path"))
 
 
-def bundle_table(spark: SparkSession, sf: str) -> str:
+_D_PART = "CASE WHEN {c} = 0 THEN {f} ELSE regexp_replace({f}, '[.]html$', '') || '-' || CAST({c} + 1 AS VARCHAR) || '.html' END"
+
+
+@register("other_pages", f"""WITH {_d_meta()}
+SELECT key, path, label, row_number() OVER (ORDER BY lower(label), key) AS rank FROM cls WHERE section = 'other'""")
+def q_other_pages(spark, sf):
+    """SRT-2: pages that are no topic and no category, by label."""
+    return IX.other_pages(IX.classify(page_meta(spark, sf), P)).select("key", "path", "label", "rank")
+
+
+D_HOME = f"""
+t AS ({_d_collapse('topic')}), c AS ({_d_collapse('category')}),
+home AS (SELECT row_number() OVER (ORDER BY s, r) AS pos, ['topic', 'category', 'other'][s + 1] AS section, path, label, date, n_pages FROM (
+  SELECT 0 AS s, row_number() OVER (ORDER BY date DESC NULLS LAST, first_key) AS r, path, label, date, n_pages FROM t
+  UNION ALL SELECT 1, row_number() OVER (ORDER BY lower(label), first_key), path, label, NULL, n_pages FROM c
+  UNION ALL SELECT 2, row_number() OVER (ORDER BY lower(label), key), path, label, NULL, 1 FROM cls WHERE section = 'other'))"""
+
+
+def home_index(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators import bundle as B
+    c = IX.classify(page_meta(spark, sf), P)
+    return B.home_index(IX.topic_index(c), IX.category_index(c), IX.other_pages(c))
+
+
+@register("home_index", f"""WITH {_d_meta()}, {D_HOME}
+SELECT pos, section, path, label, strftime(date, '%d-%m-%Y') AS date, n_pages FROM home""")
+def q_home_index(spark, sf):
+    """PUB-3, SET-4: topics, categories and other pages as one list."""
+    return home_index(spark, sf).withColumn("date", IX.display_date(F.col("date")))
+
+
+@register("asset_paths", f"""WITH {D_RICH}, {D_ASSETS}
+SELECT sha1(url) || regexp_extract(url, '[.][a-z]+$') AS file_name, url, regexp_replace({D.part('url', 4)}, '^/+', '') AS path
+FROM assets WHERE substr(sha1(url), 1, 1) NOT IN ('0', '1')""")
+def q_asset_paths(spark, sf):
+    """JOIN-7: stored files named by key and extension find their manifest line; the lines
+    of keys that start with 0 are missing, as are the files of those that start with 1."""
     from ..operators import links as L
-    lp = X.with_page_url(linked_pages(spark, sf), P)
-    lp = S.prune_excluded(lp, P, "page_url")
-    lp = lp.select("page_id", "page_url", U.page_path(F.col("page_url")).alias("path"), "html",
-                   X.record_title(F.col("html"), P).alias("title"))
-    rw = L.rewrite_pages(lp.drop("title"), stored_page_map(spark, sf), P).join(
-        lp.select("page_id", "title", F.col("page_url").alias("url")), "page_id")
-    topics = IX.topic_index(IX.classify(page_meta(spark, sf), P))
-    entries = B.page_entries(rw).unionByName(B.home_entries(topics, "Archive", "Topics"))
+    a = bundle_assets(spark, sf).withColumn("key", U.url_key(F.col("url"))).withColumn("ext", U.guess_ext(F.col("url"), F.col("content_type")))
+    files = a.where(~F.col("key").startswith("1")).select(F.concat("key", "ext").alias("file_name"))
+    manifest = a.where(~F.col("key").startswith("0")).select("key", "ext", "url", "content_type")
+    return L.asset_paths(files, manifest).select("file_name", "url", "path")
+
+
+@register("scan_assets", f"""WITH {D_RICH}, {D_ASSETS}
+SELECT sha1(url) || regexp_extract(url, '[.][a-z]+$') AS file_name, strlen(url) + 7 AS length FROM assets WHERE substr(sha1(url), 1, 1) <> '2'""")
+def q_scan_assets(spark, sf):
+    """SRC-3: asset contents are laid down as files and scanned; those whose key starts with 2
+    are still temporary."""
+    from ..sources import store as ST
+    root = _scratch(spark, "assets")
+    a = bundle_assets(spark, sf).withColumn("key", U.url_key(F.col("url")))
+    name = F.concat("key", U.guess_ext(F.col("url"), F.col("content_type")), F.when(F.col("key").startswith("2"), ".tmp").otherwise(F.lit("")))
+    a.select(F.col("content").cast("string").alias("value"), name.alias("file_name")).write.partitionBy("file_name").text(root)
+    return ST.scan_assets(spark, root).select("file_name", "length")
+
+
+@register("author_directory", f"""WITH {_D_POSTS}, {_D_AP},
+a AS (SELECT author, count(*) AS n, row_number() OVER (ORDER BY author) - 1 AS r FROM ap GROUP BY author)
+SELECT {_D_PART.format(c='(r // 1000)', f="'authors/index.html'")} AS path, 'Authors' AS title, CAST(count(*) AS INTEGER) AS n_items FROM a GROUP BY r // 1000""")
+def q_author_directory(spark, sf):
+    """PUB-2: the documents of the authors A-Z."""
+    from ..operators import authors as A
+    return A.author_directory(A.author_index(forum_author_posts(spark, sf))).select("path", "title", "n_items")
+
+
+def bundle_table(spark: SparkSession, sf: str) -> str:
+    """Write the bundle: public pages, topics of the forum, assets, author documents, home index."""
+    from ..operators import authors as A
+    from ..operators import bundle as B
+    from ..profile import FORUM
+    meta = page_meta(spark, sf).select("path", "title", "url")
+    own = public_pages(spark, sf).select("path", "html").join(meta, "path")
+    tp = X.with_page_url(topic_pages(spark, sf), FORUM)
+    topics = tp.select(U.page_path(F.col("page_url")).alias("path"), F.col("page_url").alias("url"), "html",
+                       X.record_title(F.col("html"), FORUM).alias("title"))
+    ap = forum_author_posts(spark, sf).checkpoint()
+    totals = IX.home_totals(IX.classify(page_meta(spark, sf), P))
+    parts = [B.page_entries(own), B.page_entries(topics), B.asset_entries(bundle_assets(spark, sf)),
+             B.document_entries(A.author_pages(ap)), B.document_entries(A.author_directory(A.author_index(ap))),
+             B.document_entries(B.home_documents(home_index(spark, sf), totals, "Archive", authors=True))]
     root = _scratch(spark, "bundle")
-    entries.write.mode("overwrite").parquet(root)
+    for part in parts:
+        part.write.mode("append").parquet(root)
     return root
 
 
-@register("bundle_entries")
+D_BUNDLE = f"""
+entries AS (
+  SELECT path, coalesce(title, u) AS title, 'text/html' AS mimetype, true AS is_front FROM meta
+  UNION ALL SELECT DISTINCT path, title, 'text/html', true FROM ap
+  UNION ALL SELECT path, path, CASE WHEN ends_with(url, '.css') THEN 'text/css' WHEN ends_with(url, '.js') THEN 'text/javascript' ELSE 'image/png' END, false FROM assets
+  UNION ALL SELECT path, title, 'text/html', true FROM ({ORACLES['author_pages']})
+  UNION ALL SELECT path, title, 'text/html', true FROM ({ORACLES['author_directory']})
+  UNION ALL SELECT DISTINCT {_D_PART.format(c='((pos - 1) // 1000)', f="'index.html'")}, 'Archive', 'text/html', true FROM home)"""
+_D_BUNDLE_ALL = f"{D_RICH}, {D_ASSETS}, {_D_POSTS}, {_D_AP}, {_d_meta()}, {D_HOME}, {D_BUNDLE}"
+
+
+@register("bundle_entries", f"WITH {_D_BUNDLE_ALL} SELECT path, title, mimetype, is_front FROM entries")
 def q_bundle_entries(spark, sf):
     """SNK-5: entries written as parquet and read back."""
-    e = spark.read.parquet(bundle_table(spark, sf))
-    return e.select("path", "title", "mimetype", F.octet_length("content").cast("bigint").alias("n_bytes"), "is_front")
+    return spark.read.parquet(bundle_table(spark, sf)).select("path", "title", "mimetype", "is_front")
 
 
-@register("bundle_verify")
+@register("bundle_verify", f"""WITH {_D_BUNDLE_ALL}
+SELECT count(*) AS n_entries, 0 AS n_twice, true AS main_found, 'index.html' AS main_path FROM entries""")
 def q_bundle_verify(spark, sf):
-    """SNK-6 + JOIN-11: re-read the written bundle, require entries and the
-    main entry (index.html)."""
+    """SNK-6 + JOIN-11: re-read the written bundle, require entries, unique
+    paths and the main entry."""
     from ..operators import bundle as B
-    v = B.verify(spark.read.parquet(bundle_table(spark, sf)), "index.html")
+    main = B.main_path(stored_page_map(spark, sf), "https://none.example.org/")
+    v = B.verify(spark.read.parquet(bundle_table(spark, sf)), main)
     B.check(v)
     return v
 
@@ -1212,7 +1463,7 @@ def q_batch_report(spark, sf):
 
 @register("page_records", f"""WITH {_D_POSTS}
 SELECT page_id, url, sha1(url) AS key, 200 AS status, 'text/html' AS content_type,
-  'Topic ' || CAST(any_value(conv_id) AS VARCHAR) || ' - Community Board' AS title,
+  'Topic ' || CAST(any_value(conv_id) AS VARCHAR) || ' | Riverside board' AS title,
   'Board > Topic ' || CAST(any_value(conv_id) AS VARCHAR) AS breadcrumb, 1 AS n_links, 0 AS n_endpoints,
   CAST(count(*) AS INTEGER) AS n_posts, false AS ajax_fragment
 FROM po GROUP BY page_id, url""")

@@ -7,9 +7,9 @@ implementation, not a translation of the Spark plan.
 
 from __future__ import annotations
 
-from ..functions.html import ENTITIES
-from ..profile import TRACKING_KEYS
-
+# Values of the semantics, stated here on their own; "&amp;" is decoded last.
+ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&"))
+TRACKING_KEYS = ("FE_SESSION", "fe_typo_user", "PHPSESSID", "utm_source", "utm_medium", "utm_campaign")
 URI = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#.*)?$"
 WS = r"[ \t\n\r\f\x{0B}\x{A0}]"
 

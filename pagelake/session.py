@@ -8,20 +8,23 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def build_session(master: str | None = None, partitions: int = 8,
+def build_session(master: str | None = None, partitions: int | None = None,
                   app: str = "pagelake") -> SparkSession:
     """Session tuned for the jobs in this package.
 
     AQE is on so shuffle partitions coalesce and skewed joins split at
     runtime; the session time zone is UTC so timestamp texts are stable.
-    On a cluster ``master`` stays None and the launcher decides.
+    On a cluster ``master`` stays None and the launcher decides, also on the
+    number of shuffle partitions: AQE merges partitions, but never adds any, so
+    a number is set only where the caller gives one.
     """
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+    if partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(partitions))
     spark = (
-        b.config("spark.sql.shuffle.partitions", str(partitions))
-        .config("spark.sql.adaptive.enabled", "true")
+        b.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -39,7 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     The folder named in ``spark.checkpoint.dir`` wins.  Only when it is unset
-    (local runs, tests) a fresh scratch folder is created and registered.
+    and the master is local (tests) a fresh scratch folder is created: executors
+    of a cluster could not share it, so there it is an error.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -50,6 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return conf_dir
     if current:
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="pagelake-ckpt-", dir=os.environ.get("PAGELAKE_SCRATCH", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)

@@ -48,7 +48,7 @@ def read_latest(spark: SparkSession, root: str, schema: T.StructType | None = No
     return spark.read.parquet(f"{root.rstrip('/')}/version={vs[-1]}")
 
 
-# SNK-7: fields never written with run metadata.
+# Fixed values (SNK-7): fields never written with run metadata.
 PRIVATE_CONFIG = ("password", "secret", "site")
 
 
@@ -79,7 +79,10 @@ def read_manifest_assets(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scan_assets(spark: SparkSession, root: str) -> DataFrame:
-    """SRC-3: stored asset files (temporary ``.tmp`` files ignored)."""
+    """SRC-3: stored asset files (temporary ``.tmp`` files ignored).  A file is
+    named by itself or, where a Spark writer laid it down, by the folder
+    ``file_name=...`` around it."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    name = F.element_at(F.split("path", "/"), -1)
-    return df.where(~name.endswith(".tmp")).select(name.alias("file_name"), "length", "content")
+    folder = F.regexp_extract("path", r"/file_name=([^/]+)/[^/]*$", 1)
+    name = F.when(folder != "", folder).otherwise(F.element_at(F.split("path", "/"), -1))
+    return df.select(name.alias("file_name"), "length", "content").where(~F.col("file_name").endswith(".tmp"))

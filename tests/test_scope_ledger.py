@@ -2,9 +2,11 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagelake.operators import ledger as LG
+from pagelake.operators import closure as CL
 from pagelake.operators import scope as S
 from pagelake.profile import FORUM
 
@@ -19,20 +21,60 @@ def test_scope_in_out(spark):
             "https://forum.example.org/board/topic/12",
             "https://forum.example.org/",
             "https://elsewhere.example.org/board/topic/12",
-            "https://forum.example.org/board?forum%5Bformat%5D=rss",
-            "https://forum.example.org/board/index.php?id=3"]
+            "https://forum.example.org/board?board%5Bas%5D=rss&x=%zz",
+            "https://forum.example.org/board/files/a.iso;v=2"]
     assert flags(spark, urls) == [True, True, False, False, False, False]
 
 
 def test_category_only_scope(spark):
-    seeds = spark.createDataFrame([("https://forum.example.org/board/cat/4/page",)], "url string")
-    pats = S.category_patterns(seeds, FORUM)
     pages = spark.createDataFrame([(1, "https://forum.example.org/board/cat/4/page"),
                                    (2, "https://forum.example.org/board/cat/40/page"),
                                    (3, "https://forum.example.org/board/topic/7"),
-                                   (4, "https://forum.example.org/board")], "page_id long, url string")
-    got = {r.page_id: r.in_scope for r in S.match_patterns(pages, pats).collect()}
-    assert got == {1: True, 2: False, 3: True, 4: False}
+                                   (4, "https://forum.example.org/board"),
+                                   (5, "https://forum.example.org/board/news/1")], "page_id long, url string")
+    for seed in ("https://forum.example.org/board/cat/4/page", "https://forum.example.org/board/cat/4",
+                 "https://forum.example.org/board/cat/4?view=1"):
+        seeds = spark.createDataFrame([(seed,)], "url string")
+        got = {r.page_id: r.in_scope for r in S.category_scope(pages, seeds, FORUM, include=("/news/",)).collect()}
+        assert got == {1: True, 2: False, 3: True, 4: False, 5: True}
+    with pytest.raises(ValueError):
+        S.category_scope(pages, spark.createDataFrame([("https://forum.example.org/board",)], "url string"), FORUM)
+
+
+def test_robots_rules(spark):
+    rules = spark.createDataFrame([("*", "*", 1, True, "/a/ok"), ("*", "*", 2, False, "/a"), ("h1", "*", 1, False, ""),
+                                   ("h2", "bot", 1, False, "/b"), ("h2", "*", 1, False, "/c"), ("h1", "other", 0, True, "/z")],
+                                  "host string, agent string, rule_no int, allow boolean, path_prefix string")
+    urls = {"http://h0/a/ok/1": True, "http://h0/a/no": False, "http://h0/x": True, "http://h1/z": False, "http://h2/a": True,
+            "http://h2/b/1": False, "http://h2/c": True, "http://h0/": True}
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {r.url: r.allowed for r in S.robots_allowed(pages, rules, "bot").collect()} == urls
+    assert all(r.allowed for r in S.robots_allowed(pages, rules.limit(0), "bot").collect())
+
+
+def test_extra_excludes_and_replacing_includes(spark):
+    url = "https://forum.example.org/board/x"
+    df = spark.createDataFrame([(url,), (url + "?board[do]=move",)], "u string")
+    flags = lambda **kw: [r.f for r in df.select(S.in_scope(F.col("u"), FORUM, **kw).alias("f")).collect()]
+    assert flags() == [True, False]
+    assert flags(include=("/news",)) == [False, False]
+    assert flags(extra_exclude=("/x$",)) == [False, False]
+
+
+def test_closure_runs_to_the_end_of_a_long_chain(spark):
+    n = 60
+    seeds = spark.createDataFrame([("u0",)], "url string")
+    edges = spark.createDataFrame([(f"u{i}", f"u{i + 1}", i) for i in range(n)] + [("u5", "u2", 99), ("x", "y", 1)],
+                                  "src string, dst string, k int")
+    got = {r.url: r.depth for r in CL.crawl_closure(seeds, edges).collect()}
+    assert got == {f"u{i}": i for i in range(n + 1)}
+
+
+def test_page_cap_follows_the_order_of_discovery(spark):
+    seeds = spark.createDataFrame([("b", 1), ("a", 2), ("c", 3)], "url string, order int")
+    edges = spark.createDataFrame([("b", "z", 1), ("a", "y", 2), ("b", "x", 3)], "src string, dst string, k int")
+    urls = lambda n: {r.url for r in CL.crawl_closure(seeds, edges, max_pages=n).collect()}
+    assert urls(2) == {"a", "b"} and urls(4) == {"a", "b", "c", "z"} and urls(0) == set("abcxyz")
 
 
 def log(spark, rows):
