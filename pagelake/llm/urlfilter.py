@@ -145,10 +145,10 @@ t AS (
          string_agg(CASE WHEN pos = last THEN '~' ELSE seg END, '/' ORDER BY pos) AS node FROM l GROUP BY ALL),
 per AS (SELECT host, node, template, sum(n) AS n, sum(n_bad) AS n_bad FROM c JOIN t USING (host, shape) GROUP BY ALL),
 q AS (SELECT *, sum(n_bad) OVER n / greatest(sum(n) OVER n, 1) AS p FROM per WINDOW n AS (PARTITION BY host, node)),
-sim AS (SELECT *, n > 0 AND abs(n_bad / greatest(n, 1) - p) <= 1.96 * sqrt(p * (1 - p) / greatest(n, 1)) + 1e-12 AS similar FROM q),
+sim AS (SELECT *, n > 0 AND abs(n_bad / greatest(n, 1) - p) <= 1.96 * sqrt(p * (1 - p) / greatest(n, 1)) + 1e-12 AS alike FROM q),
 m AS (
-  SELECT host, template, CASE WHEN similar THEN sum(n) OVER n ELSE n END AS n, CASE WHEN similar THEN sum(n_bad) OVER n ELSE n_bad END AS n_bad
-  FROM sim WINDOW n AS (PARTITION BY host, node, similar))
+  SELECT host, template, CASE WHEN alike THEN sum(n) OVER n ELSE n END AS n, CASE WHEN alike THEN sum(n_bad) OVER n ELSE n_bad END AS n_bad
+  FROM sim WINDOW n AS (PARTITION BY host, node, alike))
 SELECT g.page_id, g.host, g.path, g.rule, t.template, CAST((m.n_bad + 1.0) / (m.n + 4.0) AS DOUBLE) AS blocked_share,
   coalesce(g.rv, CASE WHEN (m.n_bad + 1.0) / (m.n + 4.0) >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM g JOIN t USING (host, shape) JOIN m USING (host, template)
