@@ -35,16 +35,17 @@ WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 
 
-def grams(w: str = "words") -> Column:
-    """Bucket of each word and of each pair of neighbours."""
-    one = f"transform({w}, x -> pmod(xxhash64(x), {BUCKETS}))"
-    two = (f"zip_with(slice({w}, 1, greatest(size({w}) - 1, 0)), slice({w}, 2, greatest(size({w}) - 1, 0)),"
+def grams() -> Column:
+    """Bucket of each word and of each pair of neighbours, from the words' hashes."""
+    one = f"transform(words, x -> pmod(x, {BUCKETS}))"
+    two = ("zip_with(slice(words, 1, greatest(size(words) - 1, 0)), slice(words, 2, greatest(size(words) - 1, 0)),"
            f" (x, y) -> pmod(xxhash64(x, y), {BUCKETS}))")
     return F.expr(f"concat({one}, {two})")
 
 
 def with_words(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("words", C.words(C.text_of()))
+    """Adds words: the 64-bit hash of each word; all else works on these."""
+    return docs.withColumn("words", F.transform(C.words(C.text_of()), F.xxhash64))
 
 
 def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
