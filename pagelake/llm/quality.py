@@ -45,7 +45,7 @@ def grams() -> Column:
 
 def with_words(docs: DataFrame) -> DataFrame:
     """Adds words: the 64-bit hash of each word; all else works on these."""
-    return docs.withColumn("words", F.transform(C.words(C.text_of()), F.xxhash64))
+    return docs.withColumn("words", F.transform(C.words(C.text_of()), lambda w: F.xxhash64(w)))
 
 
 def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
