@@ -256,3 +256,19 @@ def one_of_each(docs: DataFrame, **params) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     docs = C.read_table(spark, sf_dir, "documents", "doc_id", "text")
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END)) AS g FROM d),
+c AS (SELECT min(doc_id) AS c, g, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g),
+x AS (SELECT c, n, unnest(g) AS z FROM c),
+l AS (SELECT a.c AS a, b.c AS b FROM x a JOIN x b ON a.z = b.z AND a.c < b.c GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(c, reach) AS (SELECT c, c FROM c UNION SELECT r.c, e.b FROM r JOIN e ON e.a = r.reach),
+k AS (SELECT c, min(reach) AS component FROM r GROUP BY c)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(k.component, s.doc_id) AS component_id, coalesce(k.component, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c ON c.g = s.g LEFT JOIN k USING (c)
+"""

@@ -25,5 +25,5 @@ def _query(module: str):
 
 
 QUERIES = {name: _query(module) for name, module in MODULES.items()}
-_SQL = ("urlfilter", "warc")
+_SQL = ("neardup", "substring", "urlfilter", "warc")
 ORACLES = {name: import_module(f"pagelake.llm.{m}").ORACLE for name, m in MODULES.items() if m in _SQL}

@@ -275,3 +275,17 @@ def query(spark, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["words"])
     return rows.select("doc_id", "n_words", removed.alias("n_removed"),
                        F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+w AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 18, 1))) AS i FROM d),
+k AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS h FROM w),
+late AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r FROM k) WHERE r > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM late) GROUP BY doc_id),
+pos AS (SELECT doc_id, ws, coalesce(ps, []) AS ps FROM d LEFT JOIN gone USING (doc_id)),
+kept AS (SELECT doc_id, p, ws[p] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM d) ANTI JOIN (SELECT DISTINCT doc_id, unnest(ps) AS p FROM gone) USING (doc_id, p))
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - count(p) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY p), '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id, ws
+"""
