@@ -10,11 +10,9 @@ map-side and across micro-batches (the streaming fold re-uses it).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import global_rank
-
 KINDS = ("add", "claim", "complete", "fail", "recover", "retry", "stale")
 MOVED_KINDS = ("add", "recover", "retry", "stale")
 FRONT_KINDS = ("recover", "stale")
@@ -35,11 +33,10 @@ def last_by_kind(log: DataFrame) -> DataFrame:
     return log.groupBy("url").agg(*aggs)
 
 
-def merge_partials(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Combine two ``last_by_kind`` results (for incremental folds)."""
-    u = a.unionByName(b)
+def merge_rows(partials: DataFrame) -> DataFrame:
+    """``last_by_kind`` rows of several parts of a log, one a URL."""
     cols = [f"last_{k}" for k in KINDS] + ["last_entry"]
-    return u.groupBy("url").agg(*[F.max(c).alias(c) for c in cols])
+    return partials.groupBy("url").agg(*[F.max(c).alias(c) for c in cols])
 
 
 def _gt(a: Column, *others: Column) -> Column:
@@ -96,7 +93,13 @@ def claim_order(st: DataFrame) -> list[Column]:
 def claim_batch(st: DataFrame, n: int = 16) -> DataFrame:
     """WIN-3 + LIM-2: the first ``n`` pending URLs (a top-n, no full sort)."""
     top = st.where("pending").orderBy(*claim_order(st)).limit(n)
-    return global_rank(top, *claim_order(top)).select("rank", "url")
+    # a window over the n rows of the batch
+    return top.select(F.row_number().over(Window.orderBy(*claim_order(top))).cast("bigint").alias("rank"), "url")
+
+
+def outcome_message(status: Column, error: Column) -> Column:
+    """FLT-11: "http-<code>" where a server answered with an error, else what went wrong."""
+    return F.when(status >= 400, F.concat(F.lit("http-"), status.cast("string"))).otherwise(error)
 
 
 def recover_in_flight(st: DataFrame) -> DataFrame:

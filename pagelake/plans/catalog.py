@@ -439,19 +439,21 @@ def q_seen_set(spark, sf):
 
 
 @register("fetch_outcomes", f"""WITH {D_LEDGER},
-lf AS (SELECT url, arg_max(value, (ts, tid)) AS v FROM lg WHERE kind = 'fail' GROUP BY url)
-SELECT st.url, 400 + CAST(floor(lf.v) AS INTEGER) AS status, 'http-' || CAST(400 + CAST(floor(lf.v) AS INTEGER) AS VARCHAR) AS message
+lf AS (SELECT url, CAST(floor(arg_max(value, (ts, tid))) AS INTEGER) AS v FROM lg WHERE kind = 'fail' GROUP BY url)
+SELECT st.url, CASE WHEN lf.v % 5 <> 4 THEN 400 + lf.v END AS status,
+  CASE WHEN lf.v % 5 <> 4 THEN 'http-' || CAST(400 + lf.v AS VARCHAR) ELSE 'no answer from ' || st.url END AS message
 FROM st JOIN lf ON lf.url = st.url WHERE st.error""")
 def q_fetch_outcomes(spark, sf):
-    """FLT-11: failed fetches as 'http-<code>' (code = 400 + whole part of
-    the failing event's value)."""
+    """FLT-11: failed fetches as 'http-<code>' (code = 400 + whole part of the
+    failing event's value), a fifth of the values as fetches without an answer."""
+    from ..operators import ledger as LG
     log = transition_log(spark, sf)
     st = ledger_states(spark, sf).where("error").select("url")
-    lf = log.where(F.col("kind") == "fail").groupBy("url").agg(
-        F.max_by("value", F.struct("ts", "tid")).alias("v"))
-    code = (F.lit(400) + F.floor("v").cast("int")).cast("int")
-    return st.join(lf, "url").select("url", code.alias("status"),
-                                     F.concat(F.lit("http-"), code.cast("string")).alias("message"))
+    lf = log.where(F.col("kind") == "fail").groupBy("url").agg(F.max_by("value", F.struct("ts", "tid")).alias("v"))
+    whole = F.floor("v").cast("int")
+    code = F.when(whole % 5 != 4, F.lit(400) + whole)
+    return st.join(lf, "url").select("url", code.alias("status"), LG.outcome_message(
+        code, F.concat(F.lit("no answer from "), F.col("url"))).alias("message"))
 
 
 # --------------------------------------------------------------- privacy ---
@@ -1114,10 +1116,13 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 
 @register("scan_pages", f"""
-SELECT sha1(c) AS key, url, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes FROM (SELECT url, html, {D.sel(D.canon_cols('url', 'c'))} FROM pages)""")
+SELECT sha1(c) AS key, url, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes FROM (SELECT page_id, url, html, {D.sel(D.canon_cols('url', 'c'))} FROM pages)
+WHERE page_id % 10 <> 3""")
 def q_scan_pages(spark, sf):
-    p = X.with_page_url(pages(spark, sf), P)
-    return p.select("key", "url", F.octet_length("html").cast("bigint").alias("n_bytes"))
+    """SRC-1: page records joined with their stored HTML; a tenth of the pages has none and is dropped."""
+    meta = X.with_page_url(pages(spark, sf, html=False), P).select("page_id", "key", "url")
+    html = read(spark, sf, "pages", "page_id", "html").where("page_id % 10 <> 3").withColumnRenamed("page_id", "_p")
+    return meta.join(html, F.col("page_id") == F.col("_p")).select("key", "url", F.octet_length("html").cast("bigint").alias("n_bytes"))
 
 
 def snapshots(spark: SparkSession, sf: str):
@@ -1376,7 +1381,7 @@ def q_stream_ledger(spark, sf):
     src, schema = _events_files(spark, sf, _scratch(spark, "events-src"))
     state = _scratch(spark, "ledger-state")
     SS.ledger_fold_stream(spark, src, schema, _to_log, state, _scratch(spark, "ckpt"))
-    return SS.ledger_state(spark, state).select(*_LEDGER_OUT)
+    return SS.ledger_state(spark, state, schema, _to_log).select(*_LEDGER_OUT)
 
 
 @register("stream_stats", ORACLES["ledger_stats"])
@@ -1387,7 +1392,7 @@ def q_stream_stats(spark, sf):
     src, schema = _events_files(spark, sf, _scratch(spark, "events-src"))
     state = _scratch(spark, "ledger-state")
     SS.ledger_fold_stream(spark, src, schema, _to_log, state, _scratch(spark, "ckpt"))
-    return LG.stats(SS.ledger_state(spark, state))
+    return LG.stats(SS.ledger_state(spark, state, schema, _to_log))
 
 
 @register("stream_resume", ORACLES["ledger_fold"])
@@ -1405,7 +1410,7 @@ def q_stream_resume(spark, sf):
     SS.ledger_fold_stream(spark, src, ev.schema, _to_log, state, ckpt)
     ev.where(us > F.lit(mid)).repartitionByRange(2, "ts").write.mode("append").parquet(src)
     SS.ledger_fold_stream(spark, src, ev.schema, _to_log, state, ckpt)
-    return SS.ledger_state(spark, state).select(*_LEDGER_OUT)
+    return SS.ledger_state(spark, state, ev.schema, _to_log).select(*_LEDGER_OUT)
 
 
 @register("stream_frontier", f"SELECT url FROM ({ORACLES['frontier_new']})")
@@ -1418,15 +1423,13 @@ def q_stream_frontier(spark, sf):
     seen_root = _scratch(spark, "seen")
 
     def to_edges(batch):
-        e = X.link_edges(batch, P)
-        return e.where(S.in_scope(F.col("dst"), P, base=F.col("page_url"))).select("page_url", "dst") \
-            .unionByName(X.with_page_url(batch, P).select("page_url", F.lit(None).cast("string").alias("dst"))) \
-            .where(F.col("dst").isNotNull() | F.col("page_url").isNotNull())
+        p = X.with_page_url(batch, P).select("page_url", F.explode_outer(
+            X.link_targets(F.col("html"), F.col("page_url"), P)).alias("dst"))
+        ok = S.in_scope(F.col("dst"), P, base=F.col("page_url"))
+        return p.select("page_url", F.when(ok, F.col("dst")).alias("dst")).distinct()
 
     SS.frontier_stream(spark, src, lp.schema, to_edges, seen_root, _scratch(spark, "ckpt"))
-    from ..sources import store as ST
-    seen = ST.read_latest(spark, seen_root)
-    return seen.where(F.col("origin") == "queued").where(F.col("url").isNotNull()).select("url")
+    return SS.seen_urls(spark, seen_root).where(F.col("origin") == "queued").select("url")
 
 
 # ------------------------------------------------------------ more ledger --

@@ -48,6 +48,41 @@ def read_latest(spark: SparkSession, root: str, schema: T.StructType | None = No
     return spark.read.parquet(f"{root.rstrip('/')}/version={vs[-1]}")
 
 
+def _committed(spark: SparkSession, root: str, kind: str) -> list[int]:
+    fs, path, jvm = _fs(spark, root)
+    if not fs.exists(path):
+        return []
+    names = [st.getPath() for st in fs.listStatus(path)]
+    return sorted(int(n.getName().split("=", 1)[1]) for n in names
+                  if n.getName().startswith(f"{kind}=") and fs.exists(jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS")))
+
+
+def write_delta(df: DataFrame, root: str, batch: int) -> None:
+    """What one micro-batch adds to a state; a batch that is run again writes the same delta."""
+    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/delta={batch}")
+
+
+def read_state(spark: SparkSession, root: str, schema, before: int | None = None) -> DataFrame:
+    """Rows of the newest base, which holds the deltas up to its number, and of the deltas
+    after it (and before ``before``); the caller merges rows of one key."""
+    bases = _committed(spark, root, "base")
+    base = bases[-1] if bases else -1
+    paths = [f"{root.rstrip('/')}/base={base}"] if bases else []
+    paths += [f"{root.rstrip('/')}/delta={d}" for d in _committed(spark, root, "delta")
+              if d > base and (before is None or d < before)]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def compact_state(spark: SparkSession, root: str, schema, batch: int, merge) -> None:
+    """Write base and deltas up to ``batch`` as a new base, then drop what it replaces."""
+    merge(read_state(spark, root, schema, batch + 1)).write.mode("overwrite").parquet(f"{root.rstrip('/')}/base={batch}")
+    fs, _, jvm = _fs(spark, root)
+    old = [f"base={b}" for b in _committed(spark, root, "base") if b < batch]
+    old += [f"delta={d}" for d in _committed(spark, root, "delta") if d <= batch]
+    for name in old:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}"), True)
+
+
 # Fixed values (SNK-7): fields never written with run metadata.
 PRIVATE_CONFIG = ("password", "secret", "site")
 

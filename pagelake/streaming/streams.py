@@ -1,11 +1,12 @@
 """Streaming ledger, statistics, frontier and resume (STM-1..6).
 
-Each stream reads a parquet file source and folds every micro-batch with
-``foreachBatch`` into a versioned snapshot table (version = batch id + 1,
-written with overwrite, so a replayed batch after a failure rewrites the
-same version instead of double counting).  ``availableNow`` drains what is
-there and stops (STM-6); the checkpoint folder makes restarts resume where
-the last committed batch ended (STM-5)."""
+Each stream reads a parquet file source with ``foreachBatch``.  A micro-batch
+writes only what it adds to the state, a delta named by its batch id, so its
+work follows the batch and a replayed batch after a failure overwrites its own
+delta instead of counting twice.  Every ``COMPACT`` batches base and deltas are
+merged into a new base and dropped.  ``availableNow`` drains what is there and
+stops (STM-6); the checkpoint folder makes restarts resume where the last
+committed batch ended (STM-5)."""
 
 from __future__ import annotations
 
@@ -18,6 +19,11 @@ from ..operators import ledger as LG
 from ..sources import store as ST
 
 
+#: Batches after which deltas are merged.
+COMPACT = 16
+SEEN = "url string, origin string"
+
+
 def run_available(stream: DataFrame, checkpoint: str, fn: Callable[[DataFrame, int], None]) -> None:
     q = (stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -30,44 +36,53 @@ def ledger_fold_stream(spark: SparkSession, source_dir: str, schema, to_log: Cal
     (per-URL last transition of each kind; maxima merge across batches)."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
 
+    kinds = LG.last_by_kind(to_log(spark.createDataFrame([], schema))).schema
+
     def fold_batch(batch: DataFrame, batch_id: int) -> None:
-        part = LG.last_by_kind(to_log(batch))
-        prev = [v for v in ST.committed_versions(spark, state_root) if v <= batch_id]
-        if prev:
-            part = LG.merge_partials(spark.read.parquet(f"{state_root}/version={prev[-1]}"), part)
-        ST.write_version(part, state_root, batch_id + 1)
+        ST.write_delta(LG.last_by_kind(to_log(batch)), state_root, batch_id)
+        if batch_id % COMPACT == COMPACT - 1:
+            ST.compact_state(spark, state_root, kinds, batch_id, LG.merge_rows)
 
     run_available(stream, checkpoint, fold_batch)
 
 
-def ledger_state(spark: SparkSession, state_root: str) -> DataFrame:
-    last = ST.read_latest(spark, state_root)
-    s = LG.states(last)
+def ledger_state(spark: SparkSession, state_root: str, schema, to_log: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    kinds = LG.last_by_kind(to_log(spark.createDataFrame([], schema))).schema
+    s = LG.states(LG.merge_rows(ST.read_state(spark, state_root, kinds)))
     return s.withColumn("claimed_at", F.when(F.col("in_flight"), F.col("last_claim_ts"))).drop("last_claim_ts")
 
 
 def frontier_stream(spark: SparkSession, source_dir: str, schema, to_edges: Callable[[DataFrame], DataFrame],
                     seen_root: str, checkpoint: str, files_per_batch: int = 1) -> None:
     """STM-1: per batch, discovered in-scope URLs anti-joined with the seen
-    table; the seen table (stored + queued URLs) is a versioned table, not
-    unbounded streaming state."""
+    table; the seen table (stored + queued URLs) is a table of deltas, not
+    unbounded streaming state.  A batch's pages are extracted once."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
 
     def batch_fn(batch: DataFrame, batch_id: int) -> None:
-        edges = to_edges(batch)
-        prev = [v for v in ST.committed_versions(spark, seen_root) if v <= batch_id]
-        seen = (spark.read.parquet(f"{seen_root}/version={prev[-1]}") if prev
-                else spark.createDataFrame([], "url string, origin string"))
+        edges = to_edges(batch).persist()
+        seen = ST.read_state(spark, seen_root, SEEN, batch_id)
         stored = edges.select(F.col("page_url").alias("url")).distinct().withColumn("origin", F.lit("stored"))
-        found = edges.select(F.col("dst").alias("url")).distinct().withColumn("origin", F.lit("queued"))
-        new_q = found.join(seen.select("url"), "url", "left_anti").join(stored.select("url"), "url", "left_anti")
-        nxt = (seen.unionByName(stored).unionByName(new_q)
-               .groupBy("url").agg(F.max("origin").alias("origin")))
-        ST.write_version(nxt, seen_root, batch_id + 1)
+        found = edges.where(F.col("dst").isNotNull()).select(F.col("dst").alias("url")).distinct()
+        queued = (found.join(seen.select("url"), "url", "left_anti").join(stored.select("url"), "url", "left_anti")
+                  .withColumn("origin", F.lit("queued")))
+        ST.write_delta(stored.unionByName(queued), seen_root, batch_id)
+        edges.unpersist()
+        if batch_id % COMPACT == COMPACT - 1:
+            ST.compact_state(spark, seen_root, SEEN, batch_id, latest_origin)
 
     run_available(stream, checkpoint, batch_fn)
 
 
+def latest_origin(seen: DataFrame) -> DataFrame:
+    """One row a URL: stored, if it ever was, else queued."""
+    return seen.groupBy("url").agg(F.max("origin").alias("origin"))
+
+
+def seen_urls(spark: SparkSession, seen_root: str) -> DataFrame:
+    return latest_origin(ST.read_state(spark, seen_root, SEEN))
+
+
 def split_files(df: DataFrame, root: str, n: int, order_col: str) -> str:
     """Write ``df`` as ``n`` range-partitioned files (the stream's input)."""
     df.repartitionByRange(n, order_col).write.mode("overwrite").parquet(root)
