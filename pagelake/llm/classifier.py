@@ -43,6 +43,8 @@ BATCH = 128
 RATE = 0.02
 DECAY = 1e-4
 CUT = 0.3
+#: Texts whose features are held at once.
+TOGETHER = 256
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
@@ -183,8 +185,11 @@ def scorer(shared):
 
     @F.arrow_udf("double")
     def score(text: pa.Array, n_chars: pa.Array) -> pa.Array:
-        feats = [features(t.as_py(), n.as_py()) for t, n in zip(text, n_chars, strict=True)]
-        return pa.array(np.round(shared.value.scores(feats), 6), pa.float64())
+        out = []
+        for lo in range(0, len(text), TOGETHER):
+            some = zip(text.slice(lo, TOGETHER), n_chars.slice(lo, TOGETHER), strict=True)
+            out.append(shared.value.scores([features(t.as_py(), n.as_py()) for t, n in some]))
+        return pa.array(np.round(np.concatenate(out) if out else np.zeros(0), 6), pa.float64())
 
     return score
 

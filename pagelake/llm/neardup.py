@@ -123,22 +123,19 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
 
 
 def open_members(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, h, c, n): members of buckets that lie in two components or more, with their
-    component and the bucket's members."""
+    """(h, c): members of buckets that lie in two components or more, with their component."""
     named = buckets.select("key", "h").join(labels, F.col("h") == F.col("node"), "left").select(
         "key", "h", F.coalesce("root", "h").alias("c"))
-    split = (named.groupBy("key").agg(F.min("c").alias("_min"), F.max("c").alias("_max"), F.count("h").alias("n"))
-             .filter("_min <> _max").select(F.col("key").alias("_k"), "n"))
-    return named.join(split, F.col("key") == F.col("_k")).select("key", "h", "c", "n")
+    split = (named.groupBy("key").agg(F.min("c").alias("_min"), F.max("c").alias("_max"))
+             .filter("_min <> _max").select(F.col("key").alias("_k")))
+    return named.join(split, F.col("key") == F.col("_k")).select("h", "c").distinct()
 
 
 def pivot_pairs(members: DataFrame, order) -> DataFrame:
-    """(a, b): each member of a bucket but the first by ``order``, b, with that one, a, if
-    their components differ."""
-    first = members.groupBy("key").agg(F.min_by(F.struct("h", "c"), order).alias("_p"))
-    first = first.select(F.col("key").alias("_k"), "_p")
-    pairs = members.join(first, F.col("key") == F.col("_k")).filter(F.col("c") != F.col("_p.c"))
-    return pairs.select(F.col("_p.h").alias("a"), F.col("h").alias("b")).distinct()
+    """(a, b): each member of a bucket, b, with the first one by ``order``, a."""
+    first = members.groupBy("key").agg(F.min_by("h", order).alias("a"))
+    first = first.select(F.col("key").alias("_k"), "a")
+    return members.join(first, F.col("key") == F.col("_k")).select("a", F.col("h").alias("b")).filter("a <> b")
 
 
 def shingle_counts(sets: DataFrame, n: int) -> np.ndarray:
@@ -165,8 +162,7 @@ def prefix_pairs(open_: DataFrame, texts: DataFrame, n: int, percent: int) -> Da
     Of sets that share a shingle, most may be in one component already; pairs
     are sought between the others and all.
     """
-    sets = open_.select("h", "c").distinct()
-    sets = sets.join(texts.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h")).select("h", "c", "text")
+    sets = open_.join(texts.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h")).select("h", "c", "text")
     sets = C.materialised(sets)
     counts = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets, n))
 
@@ -199,6 +195,20 @@ def prefix_pairs(open_: DataFrame, texts: DataFrame, n: int, percent: int) -> Da
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after further links between their components."""
+    if links.isEmpty():
+        return labels
+    one = labels.select(F.col("node").alias("_a"), F.col("root").alias("x"))
+    two = labels.select(F.col("node").alias("_b"), F.col("root").alias("y"))
+    ends = links.join(one, F.col("a") == F.col("_a"), "left").join(two, F.col("b") == F.col("_b"), "left")
+    over = components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+    over = over.withColumnsRenamed({"node": "_n", "root": "_r"})
+    known = labels.join(over, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"))
+    return known.unionByName(over.select(F.col("_n").alias("node"), F.col("_r").alias("root"))).groupBy("node").agg(
+        F.min("root").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = S.SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_id, n_shingles, h, component_id and kept of each row of ``docs`` (doc_id, text).
 
@@ -215,20 +225,16 @@ def near_duplicates(docs: DataFrame, shingle: int = S.SHINGLE, percent: int = PE
     class_texts(docs, buckets.select("h", "first_id").distinct(), shingle).write.parquet(path)
     texts = spark.read.parquet(path)
 
-    alone = buckets.select("key", "h", "first_id", F.col("h").alias("c"))
     by_id = F.struct(F.col("first_id").isNull(), "first_id", "h")
-    links = C.materialised(confirmed(pivot_pairs(alone, by_id), texts, shingle, percent))
-    open_ = C.materialised(open_members(buckets, components(links)))
-    large = open_.filter(F.col("n") >= LARGE)
-    if not large.isEmpty():
-        others = [pivot_pairs(large, F.struct(F.xxhash64("h", F.lit(i)), "h")) for i in range(PIVOTS)]
-        pairs = reduce(DataFrame.union, others).distinct()
-        links = C.materialised(links.union(confirmed(pairs, texts, shingle, percent)))
-        open_ = C.materialised(open_members(buckets, components(links)))
-    if not open_.isEmpty():
-        pairs = prefix_pairs(open_, texts, shingle, percent)
-        links = C.materialised(links.union(confirmed(pairs, texts, shingle, percent)))
+    large = buckets.join(buckets.groupBy("key").agg(F.count("h").alias("_n")).filter(F.col("_n") >= LARGE)
+                         .withColumnRenamed("key", "_k"), F.col("key") == F.col("_k")).drop("_n", "_k")
+    stars = [pivot_pairs(buckets, by_id), *(pivot_pairs(large, F.xxhash64("h", F.lit(i))) for i in range(PIVOTS))]
+    links = C.materialised(confirmed(reduce(DataFrame.union, stars).distinct(), texts, shingle, percent))
     labels = components(links)
+    open_ = C.materialised(open_members(buckets, labels))
+    if not open_.isEmpty():
+        more = C.materialised(confirmed(prefix_pairs(open_, texts, shingle, percent), texts, shingle, percent))
+        labels = merged(labels, more)
     of = classes.select("h", "first_id").join(labels, F.col("h") == F.col("node"), "left")
     of = of.select("h", "first_id", F.coalesce("root", "h").alias("root"))
     named = of.groupBy("root").agg(F.min("first_id").alias("component_id")).select(F.col("root").alias("_r"), "component_id")
