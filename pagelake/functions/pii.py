@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .html import code_point
+from .urls import let
 
 # Masking rules and their order.  An IBAN contains digit runs that
 # a later rule would take.  Classes are Unicode ones, hence (?U).
@@ -26,11 +27,28 @@ DEFAULT_RULES = GREEK_RULES
 TEST_RULES = GREEK_RULES + NANP_CARD_RULES
 
 
+# What a text must hold for a rule to match at all: a cheap test before the pattern.
+# A replacement never adds it, so the test may look at the text as it came.
+NEEDS = {"iban": lambda c: F.contains(c, F.lit("GR")), "email": lambda c: F.contains(c, F.lit("@")),
+         "nanp": lambda c: F.contains(c, F.lit("+1 ("))}
+LONG_RUN = r"(?U)\d{10}"
+RUN_RULES = ("mobile", "landline", "id", "card")
+
+
+def _apply(text: Column, ok: Column, pat: str, repl: str) -> Column:
+    return let(text, lambda t: F.when(ok, F.regexp_replace(t, pat, repl)).otherwise(t))
+
+
 def scrub(c: Column, rules=DEFAULT_RULES) -> Column:
-    """PRV-1: apply every rule in order."""
-    for _, pat, repl in rules:
-        c = F.regexp_replace(c, pat, repl)
-    return c
+    """PRV-1: apply every rule in order, each only to texts that it can match."""
+    def chain(x):
+        text = x["t"]
+        for name, pat, repl in rules:
+            ok = NEEDS[name](x["t"]) if name in NEEDS else x["run"] if name in RUN_RULES else F.lit(True)
+            text = _apply(text, ok, pat, repl)
+        return text
+
+    return let(F.struct(c.alias("t"), c.rlike(LONG_RUN).alias("run")), chain) if rules else c
 
 
 def rule_hits(c: Column, rules=DEFAULT_RULES) -> list[Column]:

@@ -553,7 +553,7 @@ def q_email_decode(spark, sf):
 RICH = ("""<link rel="stylesheet" href="/css/site.css"><link rel=stylesheet href='../css/own.css'><link rel="icon" href="/no.ico">"""
         """<script src=/js/app.js></script><img src="/img/{i}.png"><img src="data:image/gif;base64,AA"><img src="https://cdn.example.net/x.png">"""
         """<!-- <img src="/in-comment.png"><a href="/hidden">x</a> --><div class="login-frame"><div>hi</div>Logged in as user{i}</div>"""
-        """<span data-mail-token="nbjmup;b">a at b</span><a href="mailto:x@y.example">mail</a><p data-endpoint="/ajax/{i}">end</p>""")
+        """<span data-mail-token="nbjmup;b">a at b</span><a href="mailto:x@y.example">mail</a><p data-endpoint="/ajax{i}">end</p>""")
 
 
 def rich_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -1139,7 +1139,7 @@ def snapshots(spark: SparkSession, sf: str):
     def validators(df):
         sha = F.sha1(F.encode("html", "UTF-8"))
         return df.select("key", "url", F.substring(sha, 1, 16).alias("etag"), F.lit(None).cast("string").alias("last_modified"),
-                         sha.alias("content_sha"), "version")
+                         sha.alias("content_sha"), "version", "html")
     return validators(prior), validators(fetched)
 
 
@@ -1166,32 +1166,39 @@ def q_incremental_diff(spark, sf):
 SELECT key, arg_max(url, v) AS url, max(v) AS version, arg_max(content_sha, v) AS content_sha FROM (
   SELECT key, url, content_sha, 1 AS v FROM prior UNION ALL SELECT key, url, content_sha, 2 FROM fetched) GROUP BY key""")
 def q_page_upsert(spark, sf):
+    """SNK-1: the new fetch is merged into the stored pages, HTML included, as a new version."""
     from ..operators import incremental as INC
     prior, fetched = snapshots(spark, sf)
-    cols = ["key", "url", "version", "content_sha"]
-    return INC.upsert(prior.select(*cols), fetched.select(*cols)).select(*cols)
+    from ..sources import store as ST
+    cols = ["key", "url", "version", "html"]
+    root = _scratch(spark, "pages")
+    ST.write_version(prior.select(*cols), root)
+    ST.write_version(INC.upsert(ST.read_latest(spark, root), fetched.select(*cols)), root)
+    now = ST.read_latest(spark, root)
+    return now.select("key", "url", "version", F.sha1(F.encode("html", "UTF-8")).alias("content_sha"))
 
 
-@register("unchanged_relink", f"""WITH linked AS (SELECT page_id, url, html FROM pages), {D_EDGES}, {D_SNAP},
+@register("unchanged_relink", f"""WITH {D_RICH}, linked AS (SELECT page_id, url, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS html FROM rich), {D_EDGES}, {D_SNAP},
 un AS (SELECT f.key FROM fetched f JOIN prior p ON p.key = f.key WHERE p.etag = f.etag AND p.content_sha = f.content_sha),
-st AS (SELECT DISTINCT sha1(c) AS key, c AS url FROM pk)
-SELECT DISTINCT e.dst AS url FROM edges e JOIN un ON un.key = sha1(e.pu)
+st AS (SELECT DISTINCT sha1(c) AS key, c AS url FROM pk),
+known AS (SELECT pu, dst FROM edges UNION ALL SELECT c, lower({D.part('c', 1)}) || '://' || {D.part('c', 3)} || '/ajax' || CAST(page_id AS VARCHAR) FROM pk WHERE contains(html, '</body>'))
+SELECT DISTINCT e.dst AS url FROM known e JOIN un ON un.key = sha1(e.pu)
 WHERE lower(regexp_extract(dst, {D.q(D.URI)}, 3)) = lower(regexp_extract(pu, {D.q(D.URI)}, 3))
   AND NOT {_d_any(_d_target('dst'), P.exclude)} AND {_d_any(_d_target('dst'), P.include)}
   AND e.dst NOT IN (SELECT url FROM st)""")
 def q_unchanged_relink(spark, sf):
-    """JOIN-5 + SET-3: links (and endpoints) stored for unchanged pages are
+    """JOIN-5 + SET-3: links and endpoints stored for unchanged pages are
     re-queued when in scope and not yet seen."""
     from ..operators import incremental as INC
-    prior, fetched = snapshots(spark, sf)
+    prior, fetched = (x.drop("html") for x in snapshots(spark, sf))
     unchanged = INC.diff(prior, fetched).where(F.col("change") == "unchanged").select("key")
-    p = X.with_page_url(pages(spark, sf), P)
+    p = X.with_page_url(rich_pages(spark, sf), P)
     stored = p.select("key", "page_url", F.concat(X.link_targets(F.col("html"), F.col("page_url"), P),
                                                   X.endpoints(F.col("html"), F.col("page_url"), P)).alias("l"))
     e = stored.join(unchanged, "key", "left_semi").select("page_url", F.explode("l").alias("dst"))
     e = e.where(S.in_scope(F.col("dst"), P, base=F.col("page_url")))
-    seen = p.select(F.col("page_url").alias("url"))
-    return e.select(F.col("dst").alias("url")).distinct().join(seen.distinct(), "url", "left_anti")
+    seen = X.with_page_url(pages(spark, sf, html=False), P).select(F.col("page_url").alias("url"))
+    return e.select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti")
 
 
 @register("ledger_roundtrip", f"""WITH {D_LEDGER}
@@ -1357,6 +1364,34 @@ def q_bundle_verify(spark, sf):
     return v
 
 
+@register("build_totals", f"""WITH {D_RICH}, {D_ASSETS}, {_D_POSTS}, {_D_AP}, {D_MAP}
+SELECT (SELECT count(*) FROM pmap) AS n_pages, (SELECT count(*) FROM assets) AS n_assets, (SELECT count(DISTINCT author) FROM ap) AS n_authors,
+  (SELECT count(DISTINCT c) FROM (SELECT {D.sel(D.canon_cols('url', 'c'))} FROM pages)) - (SELECT count(*) FROM pmap) AS n_skipped""")
+def q_build_totals(spark, sf):
+    """AGG-10: pages, assets and authors of the bundle, and pages that it leaves out."""
+    every = X.with_page_url(pages(spark, sf, html=False), P).select("page_url").distinct().agg(F.count(F.lit(1)).alias("n"))
+    counts = [stored_page_map(spark, sf).agg(F.count(F.lit(1)).alias("n_pages")), bundle_assets(spark, sf).agg(F.count(F.lit(1)).alias("n_assets")),
+              forum_author_posts(spark, sf).agg(F.count_distinct("author").alias("n_authors")), every]
+    one = [c.withColumn("_z", F.lit(0)) for c in counts]  # one row each
+    out = one[0]
+    for c in one[1:]:
+        out = out.join(c, "_z")
+    return out.select("n_pages", "n_assets", "n_authors", (F.col("n") - F.col("n_pages")).alias("n_skipped"))
+
+
+@register("public_config", f"""
+SELECT sha1(host) AS run, count(*) AS n_pages FROM (SELECT lower({D.part('url', 3)}) AS host FROM pages) GROUP BY host""")
+def q_public_config(spark, sf):
+    """SNK-7: metadata of a run for each site, written without its private fields and read back."""
+    from ..sources import store as ST
+    host = U.host(F.col("url"))
+    runs = pages(spark, sf, html=False).groupBy(host.alias("site")).agg(F.count(F.lit(1)).alias("n_pages"))
+    runs = runs.select(F.sha1(F.encode("site", "UTF-8")).alias("run"), "site", F.reverse("site").alias("password"), "n_pages")
+    root = _scratch(spark, "runs")
+    ST.write_version(ST.public_config(runs), root)
+    return ST.read_latest(spark, root)
+
+
 # ------------------------------------------------------------- streaming ---
 def _events_files(spark, sf, root):
     from ..streaming import streams as SS
@@ -1487,18 +1522,25 @@ att AS (SELECT DISTINCT dst AS url FROM (SELECT {D.sel(D.resolve_cols(D.decode('
 SELECT sha1(url) AS key, url, CASE WHEN v = 2 THEN 'text/plain' ELSE 'text/html' END AS content_type,
   CASE WHEN regexp_extract(regexp_extract(url, {D.q(D.URI)}, 4), '\\.([A-Za-z0-9]{{1,5}})$', 1) <> ''
        THEN '.' || lower(regexp_extract(regexp_extract(url, {D.q(D.URI)}, 4), '\\.([A-Za-z0-9]{{1,5}})$', 1))
-       WHEN v = 2 THEN '.txt' ELSE '.html' END AS ext, v AS version
+       WHEN v = 2 THEN '.txt' ELSE '.html' END AS ext, v AS version, sha1(CAST(v AS VARCHAR) || ' ' || url) AS content_sha
 FROM (SELECT url, CASE WHEN contains(url, '/fr/1') THEN 2 ELSE 1 END AS v FROM att)""")
 def q_asset_upsert(spark, sf):
     """SNK-2 + P-8: assets saved twice (re-fetched '/fr/1...' ones come back
     as text/plain); the last write per key wins and sets the extension."""
     from ..operators import incremental as INC
     a = attachment_assets(spark, sf)
-    v1 = a.select("key", "url", F.lit("text/html").alias("content_type"), F.lit(1).alias("version"))
-    v2 = a.where(F.col("url").contains("/fr/1")).select("key", "url", F.lit("text/plain").alias("content_type"),
-                                                        F.lit(2).alias("version"))
-    up = INC.upsert(v1, v2)
-    return up.select("key", "url", "content_type", U.guess_ext(F.col("url"), F.col("content_type")).alias("ext"), "version")
+    from ..sources import store as ST
+
+    def saved(rows, kind, version):
+        return rows.select("key", "url", F.lit(kind).alias("content_type"), F.lit(version).alias("version"),
+                           F.encode(F.concat(F.lit(f"{version} "), "url"), "UTF-8").alias("content"))
+
+    root = _scratch(spark, "assets")
+    ST.write_version(saved(a, "text/html", 1), root)
+    ST.write_version(INC.upsert(ST.read_latest(spark, root), saved(a.where(F.col("url").contains("/fr/1")), "text/plain", 2)), root)
+    up = ST.read_latest(spark, root)
+    return up.select("key", "url", "content_type", U.guess_ext(F.col("url"), F.col("content_type")).alias("ext"), "version",
+                     F.sha1("content").alias("content_sha"))
 
 
 # ------------------------------------------------------------ stylesheets --
