@@ -96,12 +96,13 @@ def fair_queue(sizes: DataFrame, seed: int = 0, weights=WEIGHTS, budget: float =
     t = targets.withColumnRenamed("source", "_s")
     queue = (sizes.filter(F.col("size") > 0).select("*", rounds)
              .join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
-    shuffle = F.xxhash64("doc_id", "round", F.lit(seed))
+    # texts tell documents without an id apart
+    shuffle = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_id")), "round", F.lit(seed))
     n = F.ceil(F.col("source_rows") / BUCKET_ROWS)
     part = F.floor(F.shiftrightunsigned(shuffle, 33) * n / float(1 << 31))
     queue = (queue.withColumn("part", F.col("round") * n + part)
              .withColumn("at", F.shiftrightunsigned(shuffle, 1)))
-    queue = running(queue, ["source"], [F.col(c) for c in ("at", "doc_id", "size", "copy")],
+    queue = running(queue, ["source"], [F.col(c) for c in ("at", "doc_id", "text_id", "size", "copy")],
                     "size", "served", "part")
     queue = queue.withColumn("finish", (F.col("served") - F.col("size") / 2) / F.col("target"))
     queue = (queue.filter(F.col("finish") <= 1)
@@ -121,27 +122,25 @@ def within_budget(queue: DataFrame, most: float) -> DataFrame:
     last = queue.filter(F.col("when") == edge["when"])
     # many copies may end in this one bucket: it is summed in finer buckets of its own
     last = last.withColumn("fine", F.floor(F.col("finish") * TIME_BUCKETS * TIME_BUCKETS))
-    order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("doc_id"), F.col("copy")]
+    order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("doc_id"), F.col("text_id"), F.col("copy")]
     last = running(last, [], order, "size", "upto", "fine")
     last = last.filter(F.col("upto") + edge["b"] - F.col("size") / 2 <= most)
     return queue.filter(F.col("when") < edge["when"]).unionByName(last.drop("fine", "upto"))
 
 
-def numbered(df: DataFrame, *order) -> DataFrame:
-    """``copy``: 1, 2, ... among rows alike in doc_id, source and size."""
-    alike = Window.partitionBy("doc_id", "source", "size").orderBy(*order)
-    return df.withColumn("copy", F.row_number().over(alike))
+KEY = ("doc_id", "source", "size", "text_id", "copy")
 
 
-def document_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words and copy, one narrow row a document."""
+def sized(docs: DataFrame, *carried) -> DataFrame:
+    """``KEY`` of each row, and ``carried``: copy is 1, 2, ... among rows alike in all else."""
     text = C.text_of()
-    rows = docs.select("doc_id", "source", C.n_words(text).alias("size"),
-                       F.xxhash64(text).alias("_h"))
-    return C.materialised(numbered(rows, "_h").drop("_h"))
+    rows = docs.select("doc_id", "source", C.n_words(text).alias("size"), F.xxhash64(text).alias("text_id"), *carried)
+    return rows.withColumn("copy", F.row_number().over(Window.partitionBy(*KEY[:-1]).orderBy(F.lit(0))))
 
 
-KEY = ("doc_id", "source", "size", "copy")
+def document_sizes(docs: DataFrame) -> DataFrame:
+    """``KEY`` of each document: size in words, all narrow (checkpointed)."""
+    return C.materialised(sized(docs))
 
 
 def taken_words(docs: DataFrame, **params) -> DataFrame:
@@ -164,10 +163,7 @@ def mix_documents(docs: DataFrame, finish: str | None = "finish", **params) -> D
     sizes = document_sizes(docs)
     queue = (fair_queue(sizes, **params).select(*KEY, "finish")
              .withColumnsRenamed({k: f"_t_{k}" for k in (*KEY,)}))
-    text = C.text_of()
-    rows = docs.select(C.whole_row(docs, finish or "").alias("_row"), "doc_id", "source",
-                       C.n_words(text).alias("size"), F.xxhash64(text).alias("_h"))
-    rows = numbered(rows, "_h")
+    rows = sized(docs, C.whole_row(docs, finish or "").alias("_row"))
     joined = rows.join(queue, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in KEY])
     last = [F.col("finish").alias(finish)] if finish else []
     return joined.orderBy("finish", "doc_id").select("_row.*", *last)

@@ -79,7 +79,7 @@ def signed(docs: DataFrame, n: int = S.SHINGLE) -> DataFrame:
 
 
 def class_texts(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(h, text): one text for each wanted class, found by the id of one member."""
+    """(h, text): one text for each wanted class, found by the id and text of one member."""
 
     def keep(batches):
         for b in batches:
@@ -87,8 +87,9 @@ def class_texts(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     for t, h in zip(b.column("text"), b.column("h"), strict=True)]
             yield b.filter(pa.array(mask, pa.bool_()))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("binary").alias("text"))
-    rows = rows.join(wanted, F.col("_id").eqNullSafe(F.col("first_id"))).select("h", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_t"),
+                       F.col("text").cast("binary").alias("text"))
+    rows = rows.join(wanted, F.col("_id").eqNullSafe(F.col("first_id")) & (F.col("_t") == F.col("first_text"))).select("h", "text")
     return rows.mapInArrow(keep, "h long, text binary").dropDuplicates(["h"])
 
 
@@ -217,12 +218,13 @@ def near_duplicates(docs: DataFrame, shingle: int = S.SHINGLE, percent: int = PE
     spark = docs.sparkSession
     rows = C.materialised(signed(docs, shingle))
     classes = rows.filter("h IS NOT NULL").groupBy("h").agg(
-        F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
-    member = classes.select("h", "first_id", F.explode("bands").alias("key"))
+        F.min("doc_id").alias("first_id"), F.coalesce(F.min_by("text_id", "doc_id"), F.min("text_id")).alias("first_text"),
+        F.first("bands").alias("bands"))
+    member = classes.select("h", "first_id", "first_text", F.explode("bands").alias("key"))
     shared = member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("_k"))
     buckets = C.materialised(member.join(shared, F.col("key") == F.col("_k")).drop("_k"))
     path = scratch_path(spark, f"neardup-{uuid.uuid4().hex}")
-    class_texts(docs, buckets.select("h", "first_id").distinct(), shingle).write.parquet(path)
+    class_texts(docs, buckets.select("h", "first_id", "first_text").dropDuplicates(["h"]), shingle).write.parquet(path)
     texts = spark.read.parquet(path)
 
     by_id = F.struct(F.col("first_id").isNull(), "first_id", "h")

@@ -26,7 +26,7 @@ Texts are shuffled once, by id.  Nothing is collected.
 Defined results: a null text has no words; rows with the same id and text
 count as one document: each keeps and loses the same words; rows with the same
 id and other texts are documents of their own, in the order of the text's
-hash; null ids come first; an empty table gives no rows; extra columns are not
+hash; a null id counts as the hash of its text; an empty table gives no rows; extra columns are not
 carried on.
 """
 
@@ -134,7 +134,7 @@ def cut(docs: DataFrame, window: int, frequent: frozenset[int]) -> DataFrame:
 
 def repeats(cuts: DataFrame) -> DataFrame:
     """doc_id and its marks: segments that are repeats, or have to be searched (first: true)."""
-    same = Window.partitionBy("anchor", "salt", "seg").orderBy(F.col("doc_id").asc_nulls_first(), "at")
+    same = Window.partitionBy("anchor", "salt", "seg").orderBy("doc_id", "at")
     group = Window.partitionBy("anchor", "salt").orderBy("seg").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)
     rows = cuts.repartition("anchor", "salt").withColumn("first", ~F.col("again") & (F.rank().over(same) == 1))
@@ -227,7 +227,7 @@ def searched(segs: DataFrame, window: int) -> DataFrame:
         if len(held) > kept:
             yield report()
 
-    rows = segs.repartition("key").sortWithinPartitions("key", F.col("doc_id").asc_nulls_first(), "at")
+    rows = segs.repartition("key").sortWithinPartitions("key", "doc_id", "at")
     found = rows.mapInArrow(run, "doc_id long, at long")
     return found.groupBy("doc_id").agg(F.collect_list("at").alias("found"))
 
@@ -235,15 +235,16 @@ def searched(segs: DataFrame, window: int) -> DataFrame:
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, spans (start and words of each removed stretch) and kept_text of each row."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+    named = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("given_id"), named.alias("doc_id"),
                        F.pmod(F.xxhash64("text"), F.lit(1 << 16)).alias("tid"),
                        F.col("text").cast("binary").alias("text"))
     path = scratch_path(spark, f"substring-{uuid.uuid4().hex}")
     repeats(cut(rows, window, frequent_anchors(rows, window))).write.parquet(path)
     marks = spark.read.parquet(path).withColumnRenamed("doc_id", "_m")
-    marked = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("_m")), "left").drop("_m")
+    marked = rows.join(marks, F.col("doc_id") == F.col("_m"), "left").drop("_m")
     found = searched(to_search(marked, window), window).withColumnRenamed("doc_id", "_f")
-    both = marked.join(found, F.col("doc_id").eqNullSafe(F.col("_f")), "left")
+    both = marked.join(found, F.col("doc_id") == F.col("_f"), "left")
 
     def remove(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())]))
@@ -266,7 +267,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 [b.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind),
                  pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "spans", "kept_text"])
 
-    return both.select("doc_id", "tid", "text", "marks", "found").mapInArrow(
+    return both.select("given_id", "tid", "text", "marks", "found").mapInArrow(
         remove, "doc_id long, n_words long, spans array<struct<start: long, words: long>>, kept_text string")
 
 

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from pagelake.llm import substring
 from pagelake.llm.fmindex import FMIndex
@@ -11,7 +12,8 @@ from tests.llm.helpers import documents, odd_documents, words
 
 def brute(rows, window=20):
     """n_words, n_removed and kept text of each row; rows alike in id and text are one document."""
-    order = sorted({(i is not None, i or 0, t or "") for i, t in rows}, key=lambda x: x[:2])
+    named = lambda i, t: i if i is not None else (xxhash.xxh64((t or "").encode(), seed=42).intdigest() + 2**63) % 2**64 - 2**63
+    order = sorted({(i is not None, named(i, t), t or "") for i, t in rows}, key=lambda x: x[1])
     seen, out = set(), {}
     for has, i, t in order:
         ws = words(t)
