@@ -62,9 +62,12 @@ def let(value: Column, fn) -> Column:
 
 def parts(c: Column) -> Column:
     """Struct of URL parts: s (scheme), has_a, a (authority), p (path),
-    has_q, q (query)."""
-    return F.struct(_g(c, 1).alias("s"), (_g(c, 2) != "").alias("has_a"), _g(c, 3).alias("a"),
-                    _g(c, 4).alias("p"), (_g(c, 5) != "").alias("has_q"), _g(c, 6).alias("q"))
+    has_q, q (query).  One pass of the pattern: its groups are joined by a
+    control character, which no URL holds, and split again."""
+    cut = F.split(F.regexp_replace(F.translate(c, "\x01", ""), URI_RE, "$1\x01$2\x01$3\x01$4\x01$5\x01$6"), "\x01")
+    return let(cut, lambda g: F.struct(
+        F.get(g, F.lit(0)).alias("s"), (F.get(g, F.lit(1)) != "").alias("has_a"), F.get(g, F.lit(2)).alias("a"),
+        F.get(g, F.lit(3)).alias("p"), (F.get(g, F.lit(4)) != "").alias("has_q"), F.get(g, F.lit(5)).alias("q")))
 
 
 def _merge_path(base_path: Column, ref_path: Column) -> Column:

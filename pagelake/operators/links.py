@@ -66,6 +66,7 @@ REWRITE_TAGS = ("a", "img", "link", "script", "source")
 REWRITE_ATTRS = ("href", "src")
 # A start tag up to its reference, and the reference in any quoting.
 _HEAD = rf"^(?:{'|'.join(REWRITE_TAGS)})(?:\s[^<>]*?)?\s(?:{'|'.join(REWRITE_ATTRS)})\s*=\s*"
+_TAG = rf"(?i)^(?:{'|'.join(REWRITE_TAGS)})\s"
 _VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+))"""
 REF_RE = f"(?is){_HEAD}{_VALUE}"
 
@@ -77,7 +78,8 @@ def tag_pieces(html: Column) -> Column:
 
 def piece_ref(piece: Column) -> Column:
     """The reference that a piece's start tag holds, decoded; '' when none."""
-    return H.decode_entities(F.concat(*[F.regexp_extract(piece, REF_RE, i) for i in (1, 2, 3)]))
+    ref = H.decode_entities(F.concat(*[F.regexp_extract(piece, REF_RE, i) for i in (1, 2, 3)]))
+    return F.when(piece.rlike(_TAG), ref).otherwise(F.lit(""))
 
 
 def rewrite_pages(pages: DataFrame, page_map: DataFrame, profile: SiteProfile,
