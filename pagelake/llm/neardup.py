@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, shingle: int = S.SHINGLE, percent: int = PE
     class_texts(docs, buckets.select("h", "first_id", "first_text").dropDuplicates(["h"]), shingle).write.parquet(path)
     texts = spark.read.parquet(path)
 
-    by_id = F.struct(F.col("first_id").isNull(), "first_id", "h")
+    by_id = F.coalesce("first_id", F.lit((1 << 63) - 1))
     large = buckets.join(buckets.groupBy("key").agg(F.count("h").alias("_n")).filter(F.col("_n") >= LARGE)
                          .withColumnRenamed("key", "_k"), F.col("key") == F.col("_k")).drop("_n", "_k")
     stars = [pivot_pairs(buckets, by_id), *(pivot_pairs(large, F.xxhash64("h", F.lit(i))) for i in range(PIVOTS))]
