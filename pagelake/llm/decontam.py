@@ -40,6 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelake.operators.order import global_rank
+
 from . import common as C
 from .licenses import words_of
 
@@ -159,10 +161,10 @@ def latent_blocks(items: DataFrame, idf: np.ndarray) -> DataFrame:
         made = [pickle.dumps(latent_block(pairs, shared.value))] if pairs else []
         return pd.DataFrame({"block": rows["block"].iloc[:1].repeat(len(made)), "space": made})
 
-    rows = items.filter("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n = max(1, -(-rows.count() // BLOCK_ITEMS))
-    block = F.ntile(n).over(C.Window.orderBy(F.xxhash64("text"), "item_id")) if n > 1 else F.lit(1)
-    return rows.withColumn("block", block).groupBy("block").applyInPandas(build, "block int, space binary")
+    # ids go as texts: a null among them would make the others floating-point numbers
+    rows = items.filter("text IS NOT NULL").select(F.col("item_id").cast("long").cast("string").alias("item_id"), "text")
+    rows = global_rank(rows, F.xxhash64("text"), F.col("item_id"))
+    return rows.withColumn("block", F.floor((F.col("rank") - 1) / BLOCK_ITEMS).cast("int")).groupBy("block").applyInPandas(build, "block int, space binary")
 
 
 def lcs(item: list[bytes], text: list[bytes]) -> int:
