@@ -152,7 +152,7 @@ def to_search(marked: DataFrame, window: int) -> DataFrame:
     def rows(batches):
         for b in batches:
             out = ([], [], [], [])
-            for doc, tid, text, marks in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for doc, tid, text, marks in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
                 marks = [m for m in marks or () if m["first"] and m["at"] >> 45 == tid]
                 words = text.split() if marks else []
                 for m in marks:
@@ -172,7 +172,8 @@ def to_search(marked: DataFrame, window: int) -> DataFrame:
                 [*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())],
                 ["key", "doc_id", "at", "words"])
 
-    return marked.select("doc_id", "tid", "text", "marks").mapInArrow(
+    # all columns of the texts' exchange, so that it is the same one as at the end
+    return marked.select("given_id", "doc_id", "tid", "text", "marks").mapInArrow(
         rows, "key long, doc_id long, at long, words binary")
 
 
