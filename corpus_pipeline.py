@@ -9,12 +9,14 @@ from __future__ import annotations
 import uuid
 
 from pagelake.llm import classifier, decontam, mixing, neardup, sharding
+from pagelake.llm.common import importable
 from pagelake.session import scratch_path
 
 SHINGLE = 5
 
 
 def _table(spark, sf_dir, name):
+    importable(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -26,6 +28,7 @@ def quality(spark, docs, sf_dir):
 
 def near_duplicates(spark, docs, sf_dir):
     """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    importable(spark)
     return neardup.one_of_each(docs, shingle=SHINGLE)
 
 
@@ -41,6 +44,7 @@ def mix(spark, docs, sf_dir):
 
 def shard(spark, docs, sf_dir):
     """All copies with their shard and slot."""
+    importable(spark)
     return sharding.shard_documents(docs)
 
 

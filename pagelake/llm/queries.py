@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from .common import importable
+
 MODULES = {
     "op1_license_scan": "licenses",
     "op2_quality_rules": "quality",
@@ -20,6 +22,7 @@ MODULES = {
 
 def _query(module: str):
     def run(spark, sf_dir):
+        importable(spark)
         return import_module(f"pagelake.llm.{module}").query(spark, sf_dir)
     return run
 
