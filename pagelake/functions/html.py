@@ -135,42 +135,57 @@ def has_element(html: Column, start_tag: str) -> Column:
     return F.coalesce(html.rlike(f"(?is){start_tag}"), F.lit(False))
 
 
+def _value_re(name: str) -> str:
+    """An attribute and, as group 1, its value as it is written, with its quotes."""
+    return rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def _unquoted(raw: Column) -> Column:
+    def bare(x):
+        quoted = x.startswith('"') | x.startswith("'")
+        return decode_entities(F.when(quoted, F.substring(x, 2, F.length(x) - 2)).otherwise(x))
+    return let(raw, bare)
+
+
 def attr(tag_markup: Column, name: str) -> Column:
     """Value of attribute ``name`` inside one start tag ('' when absent);
     double, single and unquoted forms; entities decoded."""
-    pat = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return decode_entities(F.concat(F.regexp_extract(tag_markup, pat, 1),
-                                    F.regexp_extract(tag_markup, pat, 2),
-                                    F.regexp_extract(tag_markup, pat, 3)))
+    return _unquoted(F.regexp_extract(tag_markup, _value_re(name), 1))
 
 
 def all_attr(html: Column, name: str) -> Column:
     """Values of attribute ``name`` on every element, in document order."""
-    pat = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    g1 = F.regexp_extract_all(html, F.lit(pat), 1)
-    g2 = F.regexp_extract_all(html, F.lit(pat), 2)
-    g3 = F.regexp_extract_all(html, F.lit(pat), 3)
-    z = F.arrays_zip(g1.alias("a"), g2.alias("b"), g3.alias("c"))
-    return F.transform(z, lambda s: decode_entities(F.concat(s["a"], s["b"], s["c"])))
+    return F.transform(F.regexp_extract_all(html, F.lit(_value_re(name)), 1), _unquoted)
 
 
-def anchors(fragment: Column, css_class: str = "attachment") -> Column:
-    """Array<struct<href, has_href, text, marked>> of every ``<a>`` in document
-    order; marked: it has the class ``css_class``.
+def _anchor_pieces(fragment: Column) -> Column:
+    """Markup from each anchor's attributes on; comments, scripts and styles hold no anchor."""
+    return F.filter(F.split(drop_invisible(fragment), r"(?i)<a(?=[\s>])"), lambda x, i: i > 0)
+
+
+def _anchor_tag(piece: Column) -> Column:
+    return F.concat(F.lit(" "), F.regexp_extract(piece, r"(?s)^([^>]*)>", 1))
+
+
+def hrefs(fragment: Column) -> Column:
+    """References of all anchors that have one, '' ones too, in document order."""
+    raw = F.transform(_anchor_pieces(fragment), lambda p: F.regexp_extract(_anchor_tag(p), _value_re("href"), 1))
+    return F.transform(F.filter(raw, lambda x: x != ""), _unquoted)
 
-    Comments, scripts and styles hold none.  The rest is split at each anchor
-    start tag; each piece holds the tag's attributes, then its content up to
-    ``</a>``.
-    """
-    pieces = F.filter(F.split(drop_invisible(fragment), r"(?i)<a(?=[\s>])"), lambda x, i: i > 0)
 
+def anchors(fragment: Column, css_class: str | None = None) -> Column:
+    """Array<struct<href, has_href, text>> of every ``<a>`` in document order; with
+    ``css_class`` also marked: it has that class.  ``hrefs`` is cheaper where the
+    references will do."""
     def one(p):
-        tag = F.concat(F.lit(" "), F.regexp_extract(p, r"(?s)^([^>]*)>", 1))
-        return F.struct(
-            attr(tag, "href").alias("href"),
-            tag.rlike(r"(?is)\shref\s*=").alias("has_href"),
-            text(F.regexp_extract(p, r"(?is)^[^>]*>(.*?)(?:</a\s*>|$)", 1)).alias("text"),
-            tag.rlike(rf"""(?is)\sclass\s*=\s*["']?(?:[^"'>]*\s)?{css_class}(?:[\s"'>]|$)""").alias("marked"),
-        )
-
-    return F.transform(pieces, one)
+        def fields(x):
+            out = [_unquoted(x["raw"]).alias("href"), (x["raw"] != "").alias("has_href"),
+                   text(F.regexp_extract(p, r"(?is)^[^>]*>(.*?)(?:</a\s*>|$)", 1)).alias("text")]
+            if css_class:
+                out.append(x["tag"].rlike(
+                    rf"""(?is)\sclass\s*=\s*["']?(?:[^"'>]*\s)?{css_class}(?:[\s"'>]|$)""").alias("marked"))
+            return F.struct(*out)
+        return let(let(_anchor_tag(p), lambda t: F.struct(
+            t.alias("tag"), F.regexp_extract(t, _value_re("href"), 1).alias("raw"))), fields)
+
+    return F.transform(_anchor_pieces(fragment), one)

@@ -90,8 +90,7 @@ def page_titles(pages: DataFrame, profile: SiteProfile) -> DataFrame:
 def link_targets(html: Column, base: Column, profile: SiteProfile) -> Column:
     """EXT-4 + FLT-1 + P-1/P-2 + WIN-1: canonical hyperlink targets of a page,
     first occurrence kept, document order."""
-    hrefs = F.transform(F.filter(H.anchors(html), lambda a: a["has_href"]), lambda a: a["href"])
-    hrefs = F.filter(hrefs, lambda x: (x != "") & ~_starts_any(x, NON_NAV_PREFIXES))
+    hrefs = F.filter(H.hrefs(html), lambda x: (x != "") & ~_starts_any(x, NON_NAV_PREFIXES))
     return F.array_distinct(F.transform(hrefs, lambda x: U.canonical(x, profile.strip_query_keys, base)))
 
 
@@ -117,8 +116,7 @@ def attachment_targets(html: Column, base: Column, profile: SiteProfile) -> Colu
     refs = F.transform(own, lambda a: a["href"])
     if profile.attachment_block:
         block = H.balanced(html, profile.attachment_block, "div")
-        inside = F.filter(H.anchors(block), lambda a: a["has_href"] & (a["href"] != "") & ~_in_dirs(a["href"], profile.upload_dirs))
-        refs = F.concat(refs, F.transform(inside, lambda a: a["href"]))
+        refs = F.concat(refs, F.filter(H.hrefs(block), lambda x: (x != "") & ~_in_dirs(x, profile.upload_dirs)))
     return F.transform(refs, lambda x: U.canonical(x, profile.strip_query_keys, base))
 
 
@@ -172,8 +170,7 @@ def next_page(html: Column, base: Column, profile: SiteProfile) -> Column:
     frag = H.drop_invisible(H.inner(html, profile.paginator_block, profile.paginator_end))
     if profile.paginator_item:
         frag = F.try_element_at(F.filter(F.split(frag, f"(?i)(?={profile.paginator_item})"), lambda x, i: i > 0), F.lit(-1))
-    linked = F.filter(H.anchors(F.coalesce(frag, F.lit(""))), lambda a: a["has_href"] & (a["href"] != ""))
-    last = F.try_element_at(linked, F.lit(-1))["href"]
+    last = F.try_element_at(F.filter(H.hrefs(F.coalesce(frag, F.lit(""))), lambda x: x != ""), F.lit(-1))
     rel = F.regexp_extract(H.drop_invisible(html), r"""(?is)(<a\b[^>]*\srel\s*=\s*["']?next\b[^>]*>)""", 1)
     rel_href = F.when(rel.rlike(r"(?is)\shref\s*="), H.attr(F.regexp_replace(rel, r"^<a", " "), "href"))
     ref = F.coalesce(last, F.when(rel_href != "", rel_href))
@@ -280,8 +277,7 @@ def post_struct(chunk: Column, base: Column, profile: SiteProfile, reveal_email:
 
 def upload_refs(markup: Column, profile: SiteProfile) -> Column:
     """Raw, non-empty references of links, then of images."""
-    linked = F.transform(F.filter(H.anchors(markup), lambda a: a["has_href"]), lambda a: a["href"])
-    return F.filter(F.concat(linked, _tag_attr_values(markup, r"<img\b", "src")), lambda r: r != "")
+    return F.filter(F.concat(H.hrefs(markup), _tag_attr_values(markup, r"<img\b", "src")), lambda r: r != "")
 
 
 def post_chunks(html: Column, profile: SiteProfile) -> Column:
