@@ -49,7 +49,7 @@ HASHED = 1 << 16
 PASSAGE = 16
 STEP = 8
 ITEM_STEP = 4
-RANK = 256
+RANK = 384
 OVERSAMPLE = 16
 BLOCK_ITEMS = 200
 AT_ONCE = 8
