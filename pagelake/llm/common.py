@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,13 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle and checkpoint files of finished steps: its cleaner does so
+    once the driver's garbage is collected, which may else be long after they are needed."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def whole_row(df: DataFrame, *without: str) -> Column:
     """All columns of ``df`` but some, as one struct, whatever their names are."""
     gone = {c.lower() for c in without}

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pagelake.operators.order import global_rank
 
 from . import common as C
-from .licenses import words_of
+from .licenses import words_of as ascii_words
 
 HASHED = 1 << 16
 PASSAGE = 16
@@ -62,6 +62,11 @@ ANSWER_SHARE = 0.8
 TOGETHER = 128
 
 
+def words_of(text: bytes | None) -> list[bytes]:
+    """Words in lower case, of any script."""
+    return ascii_words((text or b"").decode("utf-8", "replace").lower().encode())
+
+
 def hashed(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) & (HASHED - 1)
 

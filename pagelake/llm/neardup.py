@@ -28,7 +28,6 @@ is kept; an empty table gives no rows; extra columns are not carried on.
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -132,11 +131,17 @@ def open_members(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(split, F.col("key") == F.col("_k")).select("h", "c").distinct()
 
 
-def pivot_pairs(members: DataFrame, order) -> DataFrame:
-    """(a, b): each member of a bucket, b, with the first one by ``order``, a."""
-    first = members.groupBy("key").agg(F.min_by("h", order).alias("a"))
-    first = first.select(F.col("key").alias("_k"), "a")
-    return members.join(first, F.col("key") == F.col("_k")).select("a", F.col("h").alias("b")).filter("a <> b")
+def star_pairs(buckets: DataFrame) -> DataFrame:
+    """(a, b): each member of a bucket, b, with the one of the smallest id, a, and in large
+    buckets with ``PIVOTS`` others."""
+    by_id = F.coalesce("first_id", F.lit((1 << 63) - 1))
+    others = [F.min_by("h", F.xxhash64("h", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]
+    first = buckets.groupBy("key").agg(F.count("h").alias("n"), F.min_by("h", by_id).alias("p"), *others)
+    large = F.col("n") >= LARGE
+    heads = F.array(F.col("p"), *[F.when(large, F.col(f"p{i}")) for i in range(PIVOTS)])
+    first = first.select(F.col("key").alias("_k"), F.array_distinct(F.array_compact(heads)).alias("heads"))
+    pairs = buckets.join(first, F.col("key") == F.col("_k")).select(F.explode("heads").alias("a"), F.col("h").alias("b"))
+    return pairs.filter("a <> b").distinct()
 
 
 def shingle_counts(sets: DataFrame, n: int) -> np.ndarray:
@@ -227,16 +232,15 @@ def near_duplicates(docs: DataFrame, shingle: int = S.SHINGLE, percent: int = PE
     class_texts(docs, buckets.select("h", "first_id", "first_text").dropDuplicates(["h"]), shingle).write.parquet(path)
     texts = spark.read.parquet(path)
 
-    by_id = F.coalesce("first_id", F.lit((1 << 63) - 1))
-    large = buckets.join(buckets.groupBy("key").agg(F.count("h").alias("_n")).filter(F.col("_n") >= LARGE)
-                         .withColumnRenamed("key", "_k"), F.col("key") == F.col("_k")).drop("_n", "_k")
-    stars = [pivot_pairs(buckets, by_id), *(pivot_pairs(large, F.xxhash64("h", F.lit(i))) for i in range(PIVOTS))]
-    links = C.materialised(confirmed(reduce(DataFrame.union, stars).distinct(), texts, shingle, percent))
+    C.release(spark)
+    links = C.materialised(confirmed(star_pairs(buckets), texts, shingle, percent))
     labels = components(links)
     open_ = C.materialised(open_members(buckets, labels))
+    C.release(spark)
     if not open_.isEmpty():
         more = C.materialised(confirmed(prefix_pairs(open_, texts, shingle, percent), texts, shingle, percent))
         labels = merged(labels, more)
+        C.release(spark)
     of = classes.select("h", "first_id").join(labels, F.col("h") == F.col("node"), "left")
     of = of.select("h", "first_id", F.coalesce("root", "h").alias("root"))
     named = of.groupBy("root").agg(F.min("first_id").alias("component_id")).select(F.col("root").alias("_r"), "component_id")

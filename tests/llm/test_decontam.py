@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from pagelake.llm import decontam
-from pagelake.llm.licenses import words_of
+from pagelake.llm.decontam import words_of
 from tests.llm.helpers import odd_documents
 
 
