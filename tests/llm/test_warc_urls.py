@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import uuid
 
 import duckdb
 
@@ -25,7 +26,7 @@ def expected(rows):
 
 
 def archived(spark, rows, name, **params):
-    path = scratch_path(spark, f"test-{name}")
+    path = scratch_path(spark, f"test-{name}-{uuid.uuid4().hex}")
     warc.write_warc(spark.createDataFrame(rows, PAGES.replace(", payload_bytes string", "")), path, **params)
     got = warc.page_records(warc.read_warc(spark, path))
     return sorted((tuple(r)[:5] for r in got.collect()), key=repr), path
