@@ -16,6 +16,9 @@
    the item's last sentence, its answer, that part holds.  A document is
    contaminated by the item if the subsequence makes up ``LCS_SHARE`` of the
    item, or ``PARAPHRASE_SHARE`` of it and ``ANSWER_SHARE`` of the answer.
+5. Items too short to fill a passage of a document wherever they stand in it
+   are also looked up exactly, by rolling hashes of their words, whatever these
+   words weigh; their words are compared after that.
 
 The frequencies have ``HASHED`` slots.  Blocks go to the tasks ``AT_ONCE`` at a
 time, so what is broadcast has a bound whatever the benchmark's size is; a
@@ -25,6 +28,7 @@ Defined results: null and empty texts match nothing, and items without words
 are matched by nothing; a text or item shorter than a passage is one passage;
 rows with the same id give one result for the id; items with the same id are
 looked up each, their results joined; a null id is a document like any other;
+a pair found by exact look-up alone has the cosine 1;
 empty tables give no rows; extra columns are not carried on.
 """
 
@@ -60,6 +64,9 @@ PARAPHRASE_SHARE = 0.4
 ANSWER_SHARE = 0.8
 #: Documents whose passages are compared at once.
 TOGETHER = 128
+#: Of the rolling hashes of runs: the base, and the bits that a first look takes.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+LOOK_BITS = 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -67,8 +74,12 @@ def words_of(text: bytes | None) -> list[bytes]:
     return ascii_words((text or b"").decode("utf-8", "replace").lower().encode())
 
 
+def coded(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words))
+
+
 def hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) & (HASHED - 1)
+    return coded(words) & (HASHED - 1)
 
 
 def starts(n: int, step: int) -> np.ndarray:
@@ -208,6 +219,62 @@ def candidates(block: dict, table: np.ndarray, idf: np.ndarray, ids: list[np.nda
             yield owner[k], block["owner"][q], start[k] - block["start"][q], float(cosine[p, q])
 
 
+def runs_of(item: list[bytes]) -> list[tuple[int, int]]:
+    """(start, length) of the runs of an item's words that are looked up exactly."""
+    return [(0, len(item))] if len(item) < PASSAGE + STEP else []
+
+
+def rolling(codes: np.ndarray, most: int):
+    """(length, hashes of all runs of so many words), for lengths up to ``most``."""
+    h = np.zeros(len(codes), np.uint64)
+    for length in range(1, min(most, len(codes)) + 1):
+        h = h[:len(codes) - length + 1] * BASE + codes[length - 1:]
+        yield length, h
+
+
+class Runs:
+    """Finds runs of items word for word."""
+
+    def __init__(self, items: list[list[bytes]]):
+        self.items, found = items, {}
+        for i, item in enumerate(items):
+            runs = runs_of(item)
+            of_length = dict(rolling(coded(item).astype(np.uint64), max((n for _, n in runs), default=0)))
+            for start, n in runs:
+                found.setdefault(n, []).append((int(of_length[n][start]), i, start))
+        self.tables = {}
+        for n, rows in found.items():
+            rows.sort()
+            keys = np.array([k for k, _, _ in rows], np.uint64)
+            seen = np.zeros(1 << LOOK_BITS, bool)
+            seen[self.short(keys)] = True
+            self.tables[n] = (keys, seen, [(i, start) for _, i, start in rows])
+
+    @staticmethod
+    def short(hashes: np.ndarray) -> np.ndarray:
+        return (hashes * BASE) >> np.uint64(64 - LOOK_BITS)
+
+    def found(self, words: list[list[bytes]], codes: list[np.ndarray]):
+        """(text, item, where the item would begin) once for each text that holds a run of an item."""
+        flat = np.concatenate([np.zeros(0, np.int64), *codes]).astype(np.uint64)
+        end = np.cumsum([len(c) for c in codes])
+        done = set()
+        for n, h in rolling(flat, max(self.tables, default=0)):
+            if n not in self.tables:
+                continue
+            keys, seen, places = self.tables[n]
+            near = np.flatnonzero(seen[self.short(h)])
+            lo, hi = (np.searchsorted(keys, h[near], side) for side in ("left", "right"))
+            hit = np.flatnonzero(hi > lo)
+            texts = np.searchsorted(end, near[hit], "right")
+            for k, text in zip(hit.tolist(), texts.tolist(), strict=True):
+                at = int(near[k]) - int(end[text]) + len(words[text])
+                for item, start in places[lo[k]:hi[k]]:
+                    if (text, item) not in done and words[text][at:at + n] == self.items[item][start:start + n]:
+                        done.add((text, item))
+                        yield text, item, at - start
+
+
 def aligned(words: list[bytes], item: list[bytes], answer: list[bytes], begin: int) -> tuple[float, float]:
     """Shares of the item and of its answer that the text holds around ``begin``."""
     slack = STEP + len(item) // 4
@@ -226,11 +293,17 @@ class Retrieval:
             table = np.full(HASHED + 1, -1, np.int64)
             table[s["vocabulary"]] = np.arange(len(s["vocabulary"]))
             self.spaces.append((s, table))
+        self.runs = Runs([w for s in spaces for w in s["words"]])
+        self.of_run = [(s, i) for s in spaces for i in range(len(s["words"]))]
 
     def found(self, texts: list[bytes | None]):
-        """(text, item_id, cosine, lcs_share, answer_share) of all candidates."""
+        """(text, item_id, cosine or None, lcs_share, answer_share) of all candidates."""
         words = [words_of(t) for t in texts]
-        ids = [hashed(w) for w in words]
+        codes = [coded(w) for w in words]
+        for text, run, begin in self.runs.found(words, codes):
+            s, item = self.of_run[run]
+            yield text, s["ids"][item], None, *aligned(words[text], s["words"][item], s["answers"][item], begin)
+        ids = [c & (HASHED - 1) for c in codes]
         for s, table in self.spaces:
             tried = set()
             for text, item, begin, cosine in candidates(s, table, self.idf, ids, self.mass, self.cut):
@@ -283,8 +356,9 @@ def contaminated(docs: DataFrame, items: DataFrame, mass: float = MASS, cut: flo
         found = some if found is None else found.unionByName(some)
     if found is None:
         found = near_items(docs, [], idf).limit(0)
-    return found.filter(holds(F.col("lcs_share"), F.col("answer_share"))).groupBy("doc_id", "item_id").agg(
+    found = found.filter(holds(F.col("lcs_share"), F.col("answer_share"))).groupBy("doc_id", "item_id").agg(
         *(F.round(F.max(c), 6).alias(c) for c in ("cosine", "lcs_share", "answer_share")))
+    return found.withColumn("cosine", F.coalesce("cosine", F.lit(1.0)))
 
 
 def cleaner(shared, mass: float, cut: float):

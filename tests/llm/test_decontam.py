@@ -118,3 +118,21 @@ def test_odd_rows_and_empty_tables(spark):
     assert decontam.contaminated(docs.limit(0), items).count() == 0
     assert decontam.contaminated(docs, items.limit(0)).count() == 0
     assert decontam.clean_documents(docs, items.limit(0)).count() == docs.count()
+
+
+def test_short_items_word_for_word(spark):
+    rng = random.Random(3)
+    text = lambda n: [f"t{rng.randrange(900)}" for _ in range(n)]
+    items = [[f"q{i}w{j}" if j % 4 == 0 else f"t{rng.randrange(900)}" for j in range(n)]
+             for i, n in enumerate([*range(1, 13)] * 4)]
+    docs = [(k, text(rng.randrange(200, 400))) for k in range(96)]
+    for i, item in enumerate(items):
+        at = rng.randrange(150)
+        docs[2 * i][1][at:at] = item
+    docs.append((96, text(50) + items[0]))
+    frame = spark.createDataFrame([(k, " ".join(d)) for k, d in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(frame, bench).collect()}
+    assert got >= {(2 * i, i) for i in range(len(items))} | {(96, 0)} and {d for d, _ in got} == {*range(0, 96, 2), 96}
+    clean = {r["doc_id"] for r in decontam.clean_documents(frame, bench).collect()}
+    assert clean == set(range(1, 96, 2))
