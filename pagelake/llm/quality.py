@@ -5,11 +5,12 @@ multinomials over the buckets are counted: one from every document, one from
 the trusted ones.  A document's verdict is the sum of log(trusted / raw) over
 its n-grams, divided by their number, against a fixed threshold.
 
-Counts of the raw corpus come from all documents.  The trusted documents are
-``MAX_TRUSTED`` of those labelled good and not toxic at most, chosen by hash;
-their ids are the only thing that is broadcast, and the counts, one number a
-bucket, the only thing that reaches the driver.  Repeats are found within a
-row, so that no text is shuffled.  Native DataFrame code.
+Counts of the raw corpus come from all documents, those of the trusted ones
+from all that are labelled good and not toxic, in the same pass.  Their ids are
+joined by value: Spark broadcasts them while they are small and exchanges ids
+and texts where they are not.  The counts, one number a bucket, are the only
+thing that reaches the driver.  Repeats are found within a row.  Native
+DataFrame code.
 
 Defined results: null and empty texts have no words and fail; a null id is
 never trusted; repeated rows are judged one by one; without any trusted
@@ -27,7 +28,6 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BUCKETS = 1 << 14
-MAX_TRUSTED = 20_000
 SMOOTH = 1.0
 THRESHOLD = -0.15
 LEAST_WORDS = 20
@@ -48,17 +48,17 @@ def with_words(docs: DataFrame) -> DataFrame:
     return docs.withColumn("words", F.transform(C.words(C.text_of()), lambda w: F.xxhash64(w)))
 
 
-def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
-    """Ids of documents labelled good and not toxic: ``most`` at most, by hash."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled good and not toxic."""
     good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL")
-    return good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return good.select("doc_id").distinct()
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """log(trusted share / raw share) of each bucket, smoothed."""
-    ids = F.broadcast(trusted.select(F.col("doc_id").alias("_id")))
-    seen = with_words(docs.select("doc_id", "text")).join(ids, F.col("doc_id") == F.col("_id"), "left")
-    counts = (seen.select(F.col("_id").isNotNull().cast("long").alias("t"), F.explode(grams()).alias("b"))
+    ids = trusted.select(F.col("doc_id").alias("_id"))
+    seen = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left")
+    counts = (with_words(seen).select(F.col("_id").isNotNull().cast("long").alias("t"), F.explode(grams()).alias("b"))
               .groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("good")).collect())
     raw, good = [0] * BUCKETS, [0] * BUCKETS
     for r in counts:

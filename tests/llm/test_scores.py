@@ -1,3 +1,4 @@
+import math
 import re
 import zlib
 
@@ -117,6 +118,25 @@ def test_quality_odd_rows(spark):
     assert quality.judge_quality(docs.limit(0), quality.trusted_ids(odd_labels)).count() == 0
 
 
+def test_every_trusted_document_is_counted(spark):
+    """Many of them, by a broadcast and by an exchange."""
+    n = 20_500
+    docs = spark.range(2 * n).selectExpr("id AS doc_id", "CASE WHEN id < %d THEN 'good' ELSE 'raw' END AS text" % n)
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    trusted = quality.trusted_ids(labels)
+    assert trusted.count() == n
+    broadcast = quality.log_ratios(docs, trusted)
+    b = quality.BUCKETS
+    good = spark.sql(f"SELECT pmod(xxhash64('good'), {b}) AS b").first()["b"]
+    assert broadcast[good] == round(math.log((n + 1) / (n + b)) - math.log((n + 1) / (2 * n + b)), 4)
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert quality.log_ratios(docs, trusted) == broadcast
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+
+
 def test_classifier_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
