@@ -15,10 +15,13 @@
    of the document around the passage is found, and how many of the words of
    the item's last sentence, its answer, that part holds.  A document is
    contaminated by the item if the subsequence makes up ``LCS_SHARE`` of the
-   item, or ``PARAPHRASE_SHARE`` of it and ``ANSWER_SHARE`` of the answer.
-5. Items too short to fill a passage of a document wherever they stand in it
-   are also looked up exactly, by rolling hashes of their words, whatever these
-   words weigh; their words are compared after that.
+   item, or ``PARAPHRASE_SHARE`` of it and ``ANSWER_SHARE`` of the answer.  It
+   also is if the part holds, in order, ``EXCERPT_SHARE`` of the item's passage
+   that came near, so that an excerpt counts however long the item is.
+5. Every run of ``RUN`` words of an item, or the whole item if it is shorter,
+   is also looked up exactly, by rolling hashes of its words, whatever these
+   words weigh; the words are compared after that, and a document that holds
+   one is contaminated.
 
 The frequencies have ``HASHED`` slots.  Blocks go to the tasks ``AT_ONCE`` at a
 time, so what is broadcast has a bound whatever the benchmark's size is; a
@@ -28,7 +31,8 @@ Defined results: null and empty texts match nothing, and items without words
 are matched by nothing; a text or item shorter than a passage is one passage;
 rows with the same id give one result for the id; items with the same id are
 looked up each, their results joined; a null id is a document like any other;
-a pair found by exact look-up alone has the cosine 1;
+a pair found by exact look-up alone has the cosine 1; of an excerpt the shares
+are those of the whole item, and may be small;
 empty tables give no rows; extra columns are not carried on.
 """
 
@@ -62,6 +66,8 @@ CUT = 0.4
 LCS_SHARE = 0.6
 PARAPHRASE_SHARE = 0.4
 ANSWER_SHARE = 0.8
+EXCERPT_SHARE = 0.8
+RUN = 13
 #: Documents whose passages are compared at once.
 TOGETHER = 128
 #: Of the rolling hashes of runs: the base, and the bits that a first look takes.
@@ -198,6 +204,12 @@ def lcs(item: list[bytes], text: list[bytes]) -> int:
 
 def candidates(block: dict, table: np.ndarray, idf: np.ndarray, ids: list[np.ndarray], mass: float, cut: float):
     """(text, item, where the item would begin, cosine) of the passages that come near."""
+    for text, q, at, cosine in near_passages(block, table, idf, ids, mass, cut):
+        yield text, block["owner"][q], at - block["start"][q], cosine
+
+
+def near_passages(block: dict, table: np.ndarray, idf: np.ndarray, ids: list[np.ndarray], mass: float, cut: float):
+    """(text, passage of the block, where the text's passage begins, cosine) of those that come near."""
     flat, at, owner, start = passages(ids, STEP)
     square = idf ** 2
     whole = np.concatenate([[0], np.cumsum(square[flat], dtype=np.float64)])
@@ -216,12 +228,13 @@ def candidates(block: dict, table: np.ndarray, idf: np.ndarray, ids: list[np.nda
         cosine = image @ block["image"].T
         for p, q in zip(*np.nonzero(cosine >= cut), strict=True):
             k = pick[p]
-            yield owner[k], block["owner"][q], start[k] - block["start"][q], float(cosine[p, q])
+            yield owner[k], q, start[k], float(cosine[p, q])
 
 
 def runs_of(item: list[bytes]) -> list[tuple[int, int]]:
     """(start, length) of the runs of an item's words that are looked up exactly."""
-    return [(0, len(item))] if len(item) < PASSAGE + STEP else []
+    n = min(RUN, len(item))
+    return [(i, n) for i in range(len(item) - n + 1)]
 
 
 def rolling(codes: np.ndarray, most: int):
@@ -275,14 +288,24 @@ class Runs:
                         yield text, item, at - start
 
 
+def around(words: list[bytes], begin: int, n: int) -> list[bytes]:
+    """The part of a text where n words would begin at ``begin``, with some slack."""
+    slack = STEP + n // 4
+    return words[max(0, begin - slack):max(0, begin + n + slack)]
+
+
 def aligned(words: list[bytes], item: list[bytes], answer: list[bytes], begin: int) -> tuple[float, float]:
     """Shares of the item and of its answer that the text holds around ``begin``."""
-    slack = STEP + len(item) // 4
-    part = words[max(0, begin - slack):begin + len(item) + slack]
+    part = around(words, begin, len(item))
     have = set(part)
     return lcs(item, part) / len(item), sum(w in have for w in answer) / max(1, len(answer))
 
 
+def excerpt(words: list[bytes], passage: list[bytes], begin: int) -> bool:
+    """Whether the text holds the passage of an item around ``begin``, in order."""
+    return lcs(passage, around(words, begin, len(passage))) >= EXCERPT_SHARE * len(passage)
+
+
 class Retrieval:
     """Looks texts up in some blocks' spaces; made once for each task."""
 
@@ -297,31 +320,35 @@ class Retrieval:
         self.of_run = [(s, i) for s in spaces for i in range(len(s["words"]))]
 
     def found(self, texts: list[bytes | None]):
-        """(text, item_id, cosine or None, lcs_share, answer_share) of all candidates."""
+        """(text, item_id, cosine or None, lcs_share, answer_share, whether an excerpt stands there) of all candidates."""
         words = [words_of(t) for t in texts]
         codes = [coded(w) for w in words]
         for text, run, begin in self.runs.found(words, codes):
             s, item = self.of_run[run]
-            yield text, s["ids"][item], None, *aligned(words[text], s["words"][item], s["answers"][item], begin)
+            yield text, s["ids"][item], None, *aligned(words[text], s["words"][item], s["answers"][item], begin), True
         ids = [c & (HASHED - 1) for c in codes]
         for s, table in self.spaces:
-            tried = set()
-            for text, item, begin, cosine in candidates(s, table, self.idf, ids, self.mass, self.cut):
-                if (text, item, begin) not in tried:
-                    tried.add((text, item, begin))
-                    shares = aligned(words[text], s["words"][item], s["answers"][item], begin)
-                    yield int(text), s["ids"][item], cosine, *shares
+            tried = {}
+            for text, q, at, cosine in near_passages(s, table, self.idf, ids, self.mass, self.cut):
+                item, begin = s["owner"][q], s["start"][q]
+                words_here, item_words = words[text], s["words"][item]
+                held = excerpt(words_here, item_words[begin:begin + PASSAGE], at)
+                if (text, item, at - begin) not in tried:
+                    tried[text, item, at - begin] = aligned(words_here, item_words, s["answers"][item], at - begin)
+                elif not held:
+                    continue
+                yield int(text), s["ids"][item], cosine, *tried[text, item, at - begin], held
 
 
-def holds(lcs_share, answer_share):
-    """Whether the shares tell that a text holds an item; for numbers and columns."""
-    return (lcs_share >= LCS_SHARE) | ((lcs_share >= PARAPHRASE_SHARE) & (answer_share >= ANSWER_SHARE))
+def holds(lcs_share, answer_share, held):
+    """Whether the shares, or an excerpt, tell that a text holds an item; for numbers and columns."""
+    return held | (lcs_share >= LCS_SHARE) | ((lcs_share >= PARAPHRASE_SHARE) & (answer_share >= ANSWER_SHARE))
 
 
 def near_items(docs: DataFrame, spaces: list[dict], idf: np.ndarray, mass: float = MASS, cut: float = CUT) -> DataFrame:
-    """doc_id, item_id, cosine, lcs_share, answer_share of the candidates in ``spaces``."""
+    """doc_id, item_id, cosine, lcs_share, answer_share, held of the candidates in ``spaces``."""
     shared = docs.sparkSession.sparkContext.broadcast((spaces, idf))
-    names = ["doc_id", "item_id", "cosine", "lcs_share", "answer_share"]
+    names = ["doc_id", "item_id", "cosine", "lcs_share", "answer_share", "held"]
 
     def search(batches):
         look = Retrieval(*shared.value, mass, cut)
@@ -330,12 +357,12 @@ def near_items(docs: DataFrame, spaces: list[dict], idf: np.ndarray, mass: float
                 part = b.slice(lo, TOGETHER)
                 ids = part.column("doc_id").to_pylist()
                 rows = [(ids[t], *rest) for t, *rest in look.found(part.column("text").to_pylist())]
-                kinds = [pa.int64()] * 2 + [pa.float64()] * 3
+                kinds = [pa.int64()] * 2 + [pa.float64()] * 3 + [pa.bool_()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(search, "doc_id long, item_id long, cosine double, lcs_share double, answer_share double")
+    return rows.mapInArrow(search, "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, held boolean")
 
 
 def spaces_at_once(items: DataFrame, idf: np.ndarray):
@@ -356,7 +383,7 @@ def contaminated(docs: DataFrame, items: DataFrame, mass: float = MASS, cut: flo
         found = some if found is None else found.unionByName(some)
     if found is None:
         found = near_items(docs, [], idf).limit(0)
-    found = found.filter(holds(F.col("lcs_share"), F.col("answer_share"))).groupBy("doc_id", "item_id").agg(
+    found = found.filter(holds(F.col("lcs_share"), F.col("answer_share"), F.col("held"))).groupBy("doc_id", "item_id").agg(
         *(F.round(F.max(c), 6).alias(c) for c in ("cosine", "lcs_share", "answer_share")))
     return found.withColumn("cosine", F.coalesce("cosine", F.lit(1.0)))
 
@@ -369,8 +396,8 @@ def cleaner(shared, mass: float, cut: float):
         look = Retrieval(*shared.value, mass, cut)
         out = np.ones(len(text), bool)
         for lo in range(0, len(text), TOGETHER):
-            for t, _, _, share, answer in look.found(text.slice(lo, TOGETHER).to_pylist()):
-                if holds(share, answer):
+            for t, _, _, share, answer, held in look.found(text.slice(lo, TOGETHER).to_pylist()):
+                if holds(share, answer, held):
                     out[lo + t] = False
         return pa.array(out)
 

@@ -136,3 +136,23 @@ def test_short_items_word_for_word(spark):
     assert got >= {(2 * i, i) for i in range(len(items))} | {(96, 0)} and {d for d, _ in got} == {*range(0, 96, 2), 96}
     clean = {r["doc_id"] for r in decontam.clean_documents(frame, bench).collect()}
     assert clean == set(range(1, 96, 2))
+
+
+def test_excerpts_of_long_items(spark):
+    rng = random.Random(4)
+    text = lambda n: [f"t{rng.randrange(4000)}" for _ in range(n)]
+    items = [text(n) for n in (40, 60, 300) for _ in range(8)]
+    docs = [(k, text(rng.randrange(200, 400))) for k in range(120)]
+    for i, item in enumerate(items):
+        half, at = item[:len(item) // 2], rng.randrange(150)
+        docs[3 * i][1][at:at] = half
+        if len(item) == 300:  # with a word in twelve replaced, so that no run of thirteen is left
+            docs[3 * i + 1][1][at:at] = ["other" if k % 12 == 5 else w for k, w in enumerate(half)]
+        docs[3 * i + 2][1][at:at] = item[20:20 + decontam.RUN]
+    frame = spark.createDataFrame([(k, " ".join(d)) for k, d in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(frame, bench).collect()}
+    want = {(3 * i + j, i) for i in range(24) for j in (0, 2)} | {(3 * i + 1, i) for i in range(16, 24)}
+    assert got == want
+    clean = {r["doc_id"] for r in decontam.clean_documents(frame, bench).collect()}
+    assert clean == set(range(120)) - {d for d, _ in want}
