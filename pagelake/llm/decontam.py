@@ -1,10 +1,13 @@
 """Benchmark decontamination (operator 9): latent semantic retrieval, then alignment.
 
 1. Document frequencies of hashed words are counted over all documents.
-2. The benchmark is cut into blocks of ``BLOCK_ITEMS`` items.  A task for each
-   block takes the TF-IDF vectors of its items' passages (``PASSAGE`` words,
-   a new one every ``ITEM_STEP``), finds their leading directions by a
-   randomised SVD and folds the passages into that space.
+2. Items are cut into pieces of ``PIECE`` words at most, each judged like an
+   item, and the pieces dealt into blocks of ``BLOCK_ITEMS``, so an item may span
+   blocks.  A task for each block takes the sparse TF-IDF vectors of its pieces'
+   passages (``PASSAGE`` words, a new one every ``ITEM_STEP``), finds their
+   leading directions by a randomised SVD and folds the passages into that
+   space.  If some passage keeps less than ``KEPT`` of its norm there, the block
+   is halved, so that ``RANK`` suffices whatever the items are.
 3. Documents are cut into passages (a new one every ``STEP`` words, the last
    one ending with the text).  A passage of which words of the benchmark make
    up at least ``MASS`` of the squared weight is folded into the space and
@@ -23,16 +26,20 @@
    words weigh; the words are compared after that, and a document that holds
    one is contaminated.
 
-The frequencies have ``HASHED`` slots.  Blocks go to the tasks ``AT_ONCE`` at a
-time, so what is broadcast has a bound whatever the benchmark's size is; a
-larger benchmark takes more passes.  Texts are never shuffled.
+The frequencies have ``HASHED`` slots.  A block has at most ``BLOCK_ITEMS`` x
+``PIECE`` words and its factors ``RANK`` columns, and blocks go to the tasks
+``AT_ONCE`` at a time, so what is broadcast has a bound whatever the benchmark's
+size and its items' lengths are; a larger benchmark takes more passes.  The
+products of one block's SVD are made in one task.  Documents' texts are never
+shuffled.
 
 Defined results: null and empty texts match nothing, and items without words
 are matched by nothing; a text or item shorter than a passage is one passage;
 rows with the same id give one result for the id; items with the same id are
 looked up each, their results joined; a null id is a document like any other;
 a pair found by exact look-up alone has the cosine 1; of an excerpt the shares
-are those of the whole item, and may be small;
+are those of the whole item, and may be small; of an item of several pieces
+they are those of the piece that the text holds best;
 empty tables give no rows; extra columns are not carried on.
 """
 
@@ -41,6 +48,7 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -59,6 +67,8 @@ STEP = 8
 ITEM_STEP = 4
 RANK = 384
 OVERSAMPLE = 16
+KEPT = 0.7
+PIECE = 128
 BLOCK_ITEMS = 200
 AT_ONCE = 8
 MASS = 0.5
@@ -135,14 +145,49 @@ def word_weights(docs: DataFrame) -> np.ndarray:
     return np.append(np.log((1 + total) / (1 + df)) + 1e-3, 0).astype(np.float32)
 
 
-def randomised_svd(a: np.ndarray, rank: int, seed: int = 0) -> np.ndarray:
+class Sparse:
+    """A matrix of at most as many entries a row as ``slot`` has columns; multiplies dense ones."""
+
+    def __init__(self, slot: np.ndarray, weight: np.ndarray, width: int):
+        self.slot, self.weight, self.shape = slot, weight, (len(slot), width)
+
+    def __matmul__(self, q: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.slot), q.shape[1]))
+        for i in range(self.slot.shape[1]):
+            out += self.weight[:, i, None] * q[self.slot[:, i]]
+        return out
+
+    @property
+    def T(self):  # noqa: N802
+        return Transposed(self)
+
+
+class Transposed:
+    def __init__(self, a: Sparse):
+        self.shape = a.shape[::-1]
+        row, column = np.nonzero(a.weight)
+        slot = a.slot[row, column]
+        order = np.argsort(slot, kind="stable")
+        self.row, self.slot, self.weight = row[order], slot[order], a.weight[row, column][order]
+
+    def __matmul__(self, q: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.shape[0], q.shape[1]))
+        for lo in range(0, len(self.slot), 8192):
+            slot = self.slot[lo:lo + 8192]
+            first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+            terms = self.weight[lo:lo + 8192, None] * q[self.row[lo:lo + 8192]]
+            out[slot[first]] += np.add.reduceat(terms, first, axis=0)
+        return out
+
+
+def randomised_svd(a: np.ndarray | Sparse, rank: int, seed: int = 0) -> np.ndarray:
     """Leading right singular vectors of ``a``, as columns."""
-    k = min(rank + OVERSAMPLE, *a.shape)
+    k, across = min(rank + OVERSAMPLE, *a.shape), a.T
     q = np.random.default_rng(seed).normal(size=(a.shape[0], k))
     for _ in range(3):
-        q = np.linalg.qr(a.T @ q)[0]  # columns span the rows of a
+        q = np.linalg.qr(across @ q)[0]  # columns span the rows of a
         q = np.linalg.qr(a @ q)[0]
-    return np.linalg.svd(q.T @ a, full_matrices=False)[2][:rank].T
+    return np.linalg.svd((across @ q).T, full_matrices=False)[2][:rank].T
 
 
 def answer_words(text: str) -> list[bytes]:
@@ -153,40 +198,85 @@ def answer_words(text: str) -> list[bytes]:
     return []
 
 
+class Piece(NamedTuple):
+    """Some words of an item."""
+
+    item_id: int | None
+    words: list[bytes]  # and, after the piece's own, as many more as a run that begins in it takes
+    own: int
+    at: int  # where the piece begins in the item
+    total: int  # words of the item
+    answer: list[bytes]
+
+
+def pieces_of(item_id: int | None, text: str) -> list[Piece]:
+    """An item in pieces of about the same length."""
+    words, answer = words_of(text.encode()), answer_words(text)
+    n = -(-len(words) // PIECE)
+    cuts = [len(words) * i // n for i in range(n + 1)] if n else []
+    return [Piece(item_id, words[lo:hi + RUN - 1], hi - lo, lo, len(words), answer) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+
+
 def latent_block(items: list[tuple[int | None, str]], idf: np.ndarray) -> dict:
-    """The space of a block of (item_id, text) and its passages in it."""
-    words = [words_of(t.encode()) for _, t in items]
-    flat, at, owner, start = passages([hashed(w) for w in words], ITEM_STEP)
+    """The space of (item_id, text) and their passages in it."""
+    return latent_space([p for i, t in items for p in pieces_of(i, t)], idf)[0]
+
+
+def latent_space(pieces: list[Piece], idf: np.ndarray) -> tuple[dict, float]:
+    """The space of some pieces with their passages in it, and the least share of a norm that it keeps."""
+    flat, at, owner, start = passages([hashed(p.words[:p.own]) for p in pieces], ITEM_STEP)
     rows = once(flat, at)
     vocabulary = np.unique(rows[rows < HASHED])
-    a = np.zeros((len(rows), len(vocabulary)), np.float64)
-    r, c = np.nonzero(rows < HASHED)
-    a[r, np.searchsorted(vocabulary, rows[r, c])] = idf[rows[r, c]]
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
-    # an item counts once, however many passages it has
-    v = randomised_svd(a / np.sqrt(np.bincount(owner)[owner])[:, None], RANK)
-    image = a @ v
-    image /= np.maximum(np.linalg.norm(image, axis=1, keepdims=True), 1e-9)
-    return {"ids": [i for i, _ in items], "words": words, "answers": [answer_words(t) for _, t in items],
-            "vocabulary": vocabulary, "v": v.astype(np.float32), "image": image.astype(np.float32),
-            "owner": owner, "start": start}
+    weight = np.where(rows < HASHED, idf[rows], 0).astype(np.float64)
+    weight /= np.linalg.norm(weight, axis=1, keepdims=True)
+    slot = np.minimum(np.searchsorted(vocabulary, rows), len(vocabulary) - 1)
+    # a piece counts once, however many passages it has
+    even = weight / np.sqrt(np.bincount(owner)[owner])[:, None]
+    v = randomised_svd(Sparse(slot, even, len(vocabulary)), RANK)
+    image = Sparse(slot, weight, len(vocabulary)) @ v
+    kept = np.linalg.norm(image, axis=1, keepdims=True)
+    image /= np.maximum(kept, 1e-9)
+    return {"pieces": pieces, "vocabulary": vocabulary, "v": v.astype(np.float32), "image": image.astype(np.float32),
+            "owner": owner, "start": start}, float(kept.min())
+
+
+def latent_spaces(pieces: list[Piece], idf: np.ndarray) -> list[dict]:
+    """Spaces of some pieces, as many as it takes to keep ``KEPT`` of each passage."""
+    space, kept = latent_space(pieces, idf)
+    if kept >= KEPT or len(pieces) == 1:
+        return [space]
+    half = len(pieces) // 2
+    return latent_spaces(pieces[:half], idf) + latent_spaces(pieces[half:], idf)
 
 
 def latent_blocks(items: DataFrame, idf: np.ndarray) -> DataFrame:
-    """One row a block: its number and its space (pickled); a task holds one block."""
+    """One row a space: its number and the space (pickled); a task holds one block."""
     shared = items.sparkSession.sparkContext.broadcast(idf)
 
+    def cut(batches):
+        for b in batches:
+            rows = [(i, b" ".join(p.words), p.own, p.at, p.total, b" ".join(p.answer))
+                    for i, t in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True)
+                    for p in pieces_of(None, t)]
+            kinds = [pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)],
+                                             ["item_id", "words", "own", "at", "total", "answer"])
+
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        pairs = sorted(((None if pd.isna(i) else int(i), t) for i, t in zip(rows["item_id"], rows["text"], strict=True)),
-                       key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-        pairs = [(i, t) for i, t in pairs if words_of(t.encode())]
-        made = [pickle.dumps(latent_block(pairs, shared.value))] if pairs else []
-        return pd.DataFrame({"block": rows["block"].iloc[:1].repeat(len(made)), "space": made})
+        names = ["item_id", "words", "own", "at", "total", "answer"]
+        pieces = [Piece(None if pd.isna(i) else int(i), bytes(w).split(), own, at, total, bytes(a).split())
+                  for i, w, own, at, total, a in zip(*(rows[n].tolist() for n in names), strict=True)]
+        pieces.sort(key=lambda p: (p.item_id is not None, p.item_id or 0, p.at, p.words))
+        made = [pickle.dumps(s) for s in latent_spaces(pieces, shared.value)]
+        return pd.DataFrame({"block": rows["block"].iloc[:1].repeat(len(made)), "part": range(len(made)), "space": made})
 
     # ids go as texts: a null among them would make the others floating-point numbers
     rows = items.filter("text IS NOT NULL").select(F.col("item_id").cast("long").cast("string").alias("item_id"), "text")
-    rows = global_rank(rows, F.xxhash64("text"), F.col("item_id"))
-    return rows.withColumn("block", F.floor((F.col("rank") - 1) / BLOCK_ITEMS).cast("int")).groupBy("block").applyInPandas(build, "block int, space binary")
+    rows = rows.mapInArrow(cut, "item_id string, words binary, own int, at int, total int, answer binary")
+    rows = global_rank(rows, F.xxhash64("words"), F.col("item_id"), F.col("at"))
+    rows = rows.withColumn("block", F.floor((F.col("rank") - 1) / BLOCK_ITEMS).cast("int"))
+    made = rows.groupBy("block").applyInPandas(build, "block int, part int, space binary")
+    return made.select((F.col("block").cast("long") * BLOCK_ITEMS + F.col("part")).alias("block"), "space")
 
 
 def lcs(item: list[bytes], text: list[bytes]) -> int:
@@ -294,11 +384,11 @@ def around(words: list[bytes], begin: int, n: int) -> list[bytes]:
     return words[max(0, begin - slack):max(0, begin + n + slack)]
 
 
-def aligned(words: list[bytes], item: list[bytes], answer: list[bytes], begin: int) -> tuple[float, float]:
-    """Shares of the item and of its answer that the text holds around ``begin``."""
-    part = around(words, begin, len(item))
-    have = set(part)
-    return lcs(item, part) / len(item), sum(w in have for w in answer) / max(1, len(answer))
+def aligned(words: list[bytes], piece: Piece, begin: int) -> tuple[float, float]:
+    """Shares of the piece, around ``begin``, and of the answer, around the item, that the text holds."""
+    share = lcs(piece.words[:piece.own], around(words, begin, piece.own)) / piece.own
+    have = set(around(words, begin - piece.at, piece.total))
+    return share, sum(w in have for w in piece.answer) / max(1, len(piece.answer))
 
 
 def excerpt(words: list[bytes], passage: list[bytes], begin: int) -> bool:
@@ -316,28 +406,28 @@ class Retrieval:
             table = np.full(HASHED + 1, -1, np.int64)
             table[s["vocabulary"]] = np.arange(len(s["vocabulary"]))
             self.spaces.append((s, table))
-        self.runs = Runs([w for s in spaces for w in s["words"]])
-        self.of_run = [(s, i) for s in spaces for i in range(len(s["words"]))]
+        self.pieces = [p for s in spaces for p in s["pieces"]]
+        self.runs = Runs([p.words for p in self.pieces])
 
     def found(self, texts: list[bytes | None]):
         """(text, item_id, cosine or None, lcs_share, answer_share, whether an excerpt stands there) of all candidates."""
         words = [words_of(t) for t in texts]
         codes = [coded(w) for w in words]
         for text, run, begin in self.runs.found(words, codes):
-            s, item = self.of_run[run]
-            yield text, s["ids"][item], None, *aligned(words[text], s["words"][item], s["answers"][item], begin), True
+            piece = self.pieces[run]
+            yield text, piece.item_id, None, *aligned(words[text], piece, begin), True
         ids = [c & (HASHED - 1) for c in codes]
         for s, table in self.spaces:
             tried = {}
             for text, q, at, cosine in near_passages(s, table, self.idf, ids, self.mass, self.cut):
                 item, begin = s["owner"][q], s["start"][q]
-                words_here, item_words = words[text], s["words"][item]
-                held = excerpt(words_here, item_words[begin:begin + PASSAGE], at)
+                piece = s["pieces"][item]
+                held = excerpt(words[text], piece.words[begin:min(begin + PASSAGE, piece.own)], at)
                 if (text, item, at - begin) not in tried:
-                    tried[text, item, at - begin] = aligned(words_here, item_words, s["answers"][item], at - begin)
+                    tried[text, item, at - begin] = aligned(words[text], piece, at - begin)
                 elif not held:
                     continue
-                yield int(text), s["ids"][item], cosine, *tried[text, item, at - begin], held
+                yield int(text), piece.item_id, cosine, *tried[text, item, at - begin], held
 
 
 def holds(lcs_share, answer_share, held):

@@ -156,3 +156,29 @@ def test_excerpts_of_long_items(spark):
     assert got == want
     clean = {r["doc_id"] for r in decontam.clean_documents(frame, bench).collect()}
     assert clean == set(range(120)) - {d for d, _ in want}
+
+
+def test_blocks_are_bounded_by_words_and_keep_each_passage():
+    rng = random.Random(6)
+    text = " ".join(f"t{rng.randrange(10**6)}" for _ in range(16000))
+    pieces = decontam.pieces_of(1, text)
+    words = words_of(text.encode())
+    assert [w for p in pieces for w in p.words[:p.own]] == words and max(p.own for p in pieces) <= decontam.PIECE
+    rows, wide = decontam.runs_of(words), {(p.at + i, n) for p in pieces for i, n in decontam.runs_of(p.words)}
+    assert wide == set(rows)
+    idf = np.append(np.ones(decontam.HASHED), 0).astype(np.float32)
+    spaces = decontam.latent_spaces(pieces, idf)
+    assert len(spaces) > 1 and [p for s in spaces for p in s["pieces"]] == pieces
+    for s in spaces:
+        assert s["v"].shape[1] <= decontam.RANK and decontam.latent_space(s["pieces"], idf)[1] >= decontam.KEPT
+
+
+def test_sparse_products():
+    rng = np.random.default_rng(2)
+    slot = np.argsort(rng.random((300, 50)), axis=1)[:, :16]
+    weight = rng.random((300, 16)) * (rng.random((300, 16)) < 0.8)
+    a = np.zeros((300, 50))
+    np.add.at(a, (np.arange(300)[:, None], slot), weight)
+    s = decontam.Sparse(slot, weight, 50)
+    x, y = rng.random((50, 7)), rng.random((300, 7))
+    assert np.allclose(s @ x, a @ x) and np.allclose(s.T @ y, a.T @ y)
