@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Rare words that are looked up for a template in a file.
+#: Rare words that are looked up for a template in a file, at least.
 LOOKED_UP = 3
 #: Share of a notice's words that have to stand at their places.
 COVERAGE = 0.7
@@ -110,14 +110,17 @@ class Index:
             own = [w for w in dict.fromkeys(ws) if w in present]
             if sum(w in present for w in ws) < self.least(t) * len(ws):
                 continue
-            for w in sorted(own, key=lambda w: (-self.weight(w), w))[:LOOKED_UP]:
+            for w in sorted(own, key=lambda w: (-self.weight(w), w))[:self.looked_up(t)]:
                 wanted.setdefault(w, set()).add(t)
+        here: dict[bytes, list[int]] = {w: [] for w in wanted}
+        for i, x in enumerate(words):
+            if x in here:
+                here[x].append(i)
         votes: dict[int, Counter] = {}
         for w, of in wanted.items():
-            here = [i for i, x in enumerate(words) if x == w]
             for t, at in self.postings[w]:
                 if t in of:
-                    votes.setdefault(t, Counter()).update(i - at for i in here)
+                    votes.setdefault(t, Counter()).update(i - at for i in here[w])
         found = []
         for t, starts in votes.items():
             asked = sum(t in of for of in wanted.values())
@@ -132,6 +135,10 @@ class Index:
     def least(self, t: int) -> float:
         return 1.0 if self.templates[t].phrase else COVERAGE
 
+    def looked_up(self, t: int) -> int:
+        """So many words that a place which lacks as many as it may still has two of them."""
+        return max(LOOKED_UP, int((1 - self.least(t)) * len(self.words[t]) + 1e-9) + 2)
+
     def coverage(self, t: int, start: int, words: list[bytes]) -> float:
         ws = self.words[t]
         return sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(ws)) / len(ws)

@@ -49,6 +49,19 @@ def test_notices_need_their_key_phrases(spark):
     assert labels == {0: {"apache-2.0"}, 1: {"apache-2.0"}, 2: set(), 3: {"mit-text"}, 4: {"cc-by-nc-4.0"}}
 
 
+def test_notices_that_lack_their_rarest_words():
+    """Any words replaced in place, up to what the coverage allows, while they stand elsewhere in the file."""
+    for t, template in enumerate(licenses.NOTICES):
+        ws = licenses.words_of(template.text.encode())
+        idf = {w: float(len(ws) - i) for i, w in enumerate(reversed(ws))}
+        index = licenses.Index(licenses.NOTICES, idf)
+        keys = {w for k in index.keys[t] for w in k}
+        free = sorted((i for i, w in enumerate(ws) if w not in keys), key=lambda i: -idf[ws[i]])
+        gone = free[:int(0.3 * len(ws) + 1e-9)]
+        text = [b"zz" if i in gone else w for i, w in enumerate(ws)] + [b"filler"] * 30 + [ws[i] for i in gone]
+        assert any((u, at) == (t, 0) for u, at, _ in index.places(text)), template.label
+
+
 def test_license_query_digests(spark):
     texts = {r["doc_id"]: r["text"] for r in documents(spark).collect()}
     for r in licenses.query(spark, SF).collect():
