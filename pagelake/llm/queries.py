@@ -17,6 +17,8 @@ MODULES = {
     "op8_mixing": "mixing",
     "op9_decontamination": "decontam",
     "op10_warc": "warc",
+    "op12_secret_scan": "secrets",
+    "op13_ranked_search": "ranking",
 }
 
 
@@ -28,5 +30,5 @@ def _query(module: str):
 
 
 QUERIES = {name: _query(module) for name, module in MODULES.items()}
-_SQL = ("neardup", "substring", "urlfilter", "warc")
+_SQL = ("neardup", "substring", "urlfilter", "warc", "secrets", "ranking")
 ORACLES = {name: import_module(f"pagelake.llm.{m}").ORACLE for name, m in MODULES.items() if m in _SQL}
