@@ -17,6 +17,7 @@ MODULES = {
     "op8_mixing": "mixing",
     "op9_decontamination": "decontam",
     "op10_warc": "warc",
+    "op11_token_alignment": "alignment",
     "op12_secret_scan": "secrets",
     "op13_ranked_search": "ranking",
 }
