@@ -11,8 +11,8 @@ Tokens that end together are linked.
 *Encoding.*  Texts are cut at spaces that begin a word (after a visible character, before a
 letter): A's pattern begins a match there, and no piece of B goes on behind a space mark, so
 the parts are encoded as they would be within the text.  The parts, mostly words, repeat, so a
-task encodes each only once while it remembers it.  Where a vocabulary does not warrant this
-(``cuts``), texts are encoded whole.
+task encodes each only once while it remembers it, many new ones joined to one text.  Where a
+vocabulary does not warrant this (``cuts``), texts are encoded whole.
 
 *Counts.*  A linked pair ends together, so the bytes of one of its tokens end with those of the other.
 These pairs can be listed from the vocabularies alone (``possible``), at most one for each byte
@@ -23,7 +23,7 @@ finds each document's figures.  Texts are read and encoded once and never exchan
 
 Bounds: the two vocabulary files and the count vector are broadcast, the count vector is
 collected; a task holds some megabytes of texts or a single one with its tokens, and at most
-``REMEMBERED`` parts.  The files are read where the driver runs, so tasks need no path.
+``REMEMBERED`` parts with ``TOKENS`` tokens beside those of one such batch.  The files are read where the driver runs, so tasks need no path.
 
 Defined results: a null or empty text, or one whose tokens' joined bytes differ from the space and the
 text, has no tokens: all figures are 0 and the digest is ''.  Every row stands for itself,
@@ -39,7 +39,7 @@ import json
 import os
 import re
 import uuid
-from itertools import chain
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -53,14 +53,22 @@ from . import common as C
 
 #: Folder of the vocabulary files, and their names.
 VOCABULARIES, FILE_A, FILE_B = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Characters of texts that are encoded together, parts that a task remembers, and their length.
-TOGETHER, REMEMBERED, SHORT = 1 << 21, 200_000, 64
-#: Tokens whose digest text is joined at once.
-JOINED = 1 << 18
+#: Characters of texts that are encoded together, and parts and tokens that a task remembers.
+TOGETHER, REMEMBERED, TOKENS = 1 << 21, 400_000, 1 << 22
+#: Characters of parts that are encoded as one text, and tokens whose digest text is joined, at once.
+JOINED, WRITTEN = 1 << 10, 1 << 18
 MARK = "▁"
 
-#: A space that begins a word.
-_CUT = re.compile("(?<=[!-~À-ÖØ-öø-ÿ]) (?=[A-Za-zÀ-ÖØ-öø-ÿ])")
+#: Characters before and after a space that begins a word; such a space, and a part between two of them.
+_BEFORE, _AFTER = "[!-~À-ÖØ-öø-ÿ]", "[A-Za-zÀ-ÖØ-öø-ÿ]"
+_CUT = re.compile(f"(?<={_BEFORE}) (?={_AFTER})")
+_INNER = re.compile(f"{_AFTER}(?:.*{_BEFORE})?", re.S)
+
+
+def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The slices of ``flat`` of these starts and sizes, one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
 
 
 def letter_bytes() -> dict[str, int]:
@@ -135,9 +143,13 @@ class Aligner:
         self.length_a = np.array([len(x) for x in self.bytes_a])
         self.length_b = np.array([len(x) for x in self.bytes_b])
         self.pairs = self.possible()
-        self.known: dict[str, tuple] = {}
         n_a, n_b = len(self.bytes_a), len(self.bytes_b)
-        self.signs = [b"%d%s" % (i, s) for n, both in ((n_a, b",|"), (n_b, b",;")) for s in (both[:1], both[1:]) for i in range(n)]
+        self.signs = np.array([b"%d%s" % (i, s) for n, both in ((n_a, b",|"), (n_b, b",;")) for s in (both[:1], both[1:])
+                               for i in range(n)])
+        # known parts by number: their ids (A, B) in a row, whether their bytes are the part's, how often they were used
+        self.known: dict[str, int] = {}
+        self.flat, self.size = [np.zeros(0, np.int64)] * 2, [np.zeros(0, np.int64)] * 2
+        self.right, self.used = np.zeros(0, bool), np.zeros(0, np.int64)
 
     def possible(self) -> np.ndarray:
         """All pairs of which one token's bytes end with the other's, as rising numbers a * size of B + b."""
@@ -157,38 +169,71 @@ class Aligner:
     def parts(self, text: str) -> list[str]:
         return _CUT.split(text) if self.cuts else [text]
 
-    def encode(self, parts) -> dict[str, tuple]:
-        """A's ids, B's ids and whether their bytes are those of a space and the part."""
-        parts, out = list(parts), {}
-        for at in range(0, len(parts), 4096):
-            some = parts[at:at + 4096]
-            ids_a = [e.ids for e in self.a.encode_batch([" " + p for p in some], add_special_tokens=False)]
-            for p, x, y in zip(some, ids_a, self.b.encode(some, num_threads=1)):
-                want = (" " + p).encode()
-                out[p] = (x, y, b"".join(map(self.bytes_a.__getitem__, x)) == want == b"".join(map(self.bytes_b.__getitem__, y)))
-        return out
+    def forget(self) -> None:
+        """Forget the half of the parts that were used least."""
+        kept = np.sort(np.argsort(-self.used, kind="stable")[:len(self.used) // 2])
+        names = list(self.known)
+        self.known = {names[i]: k for k, i in enumerate(kept.tolist())}
+        for side in (0, 1):
+            size = self.size[side]
+            self.flat[side] = ragged(self.flat[side], (np.cumsum(size) - size)[kept], size[kept])
+            self.size[side] = size[kept]
+        self.right, self.used = self.right[kept], (self.used[kept] + 1) // 2
+
+    def _encode(self, texts: list[str]):
+        """A's and B's ids of a space and each text, as one array a side, and whether all have the text's bytes."""
+        a = [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        both = a, self.b.encode(texts, num_threads=1)
+        right = [all(b"".join(map(of.__getitem__, ids)) == want for of, ids in ((self.bytes_a, x), (self.bytes_b, y)))
+                 for x, y, want in zip(*both, ((" " + t).encode() for t in texts))]
+        return both, right
+
+    def learn(self, parts: list[str]) -> None:
+        """Encode new parts: many that stand between spaces at which texts are cut as one text, others alone."""
+        inner = [p for p in parts if self.cuts and _INNER.fullmatch(p)]
+        number = np.cumsum([len(p) + 1 for p in inner]) // JOINED
+        groups = [[p for _, p in g] for _, g in groupby(zip(number.tolist(), inner), key=lambda x: x[0])]
+        both, right = self._encode([" ".join(g) for g in groups])
+        groups = [g for g, ok in zip(groups, right) if ok]
+        ends = np.cumsum([len(p.encode()) + 1 for g in groups for p in g])
+        flat, size = [], []
+        for side, length in ((0, self.length_a), (1, self.length_b)):
+            ids = np.array([i for ids, ok in zip(both[side], right) if ok for i in ids], np.int64)
+            flat.append([ids])
+            size.append([np.diff(np.searchsorted(np.cumsum(length[ids]), ends) + 1, prepend=0)])
+        joined = dict.fromkeys(p for g in groups for p in g)
+        alone = [p for p in parts if p not in joined]
+        own, ok = self._encode(alone)
+        for side in (0, 1):
+            self.flat[side] = np.concatenate([self.flat[side], *flat[side], *[np.array(x, np.int64) for x in own[side]]])
+            self.size[side] = np.concatenate([self.size[side], *size[side], np.array([len(x) for x in own[side]], np.int64)])
+        for p in [*joined, *alone]:
+            self.known[p] = len(self.known)
+        self.right = np.concatenate([self.right, np.ones(len(joined), bool), np.array(ok, bool)])
+        self.used = np.concatenate([self.used, np.zeros(len(joined) + len(alone), np.int64)])
 
     def tokens(self, texts: list[str | None]):
         """(A's ids, B's ids) of each text as arrays, empty where the text has no tokens."""
+        while self.known and (len(self.known) > REMEMBERED or sum(map(len, self.flat)) > TOKENS):
+            self.forget()
         cut = [self.parts(t) if t else [] for t in texts]
-        new = self.encode({p for ps in cut for p in ps if p not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            new.update({p: self.known[p] for ps in cut for p in ps if p in self.known})
-            self.known = {}
-        self.known.update((p, v) for p, v in new.items() if len(p) <= SHORT and len(self.known) < REMEMBERED)
+        new = dict.fromkeys(p for ps in cut for p in ps if p not in self.known)
+        if new:
+            self.learn(list(new))
+        start = [np.cumsum(size) - size for size in self.size]
         for ps in cut:
-            got = [new[p] if p in new else self.known[p] for p in ps]
-            if not all(ok for _, _, ok in got):
-                got = []
-            yield tuple(np.fromiter(chain.from_iterable(v[side] for v in got), np.int64) for side in (0, 1))
+            at = np.fromiter(map(self.known.__getitem__, ps), np.int64, len(ps))
+            np.add.at(self.used, at, 1)
+            at = at if self.right[at].all() else at[:0]
+            yield tuple(ragged(self.flat[side], start[side][at], self.size[side][at]) for side in (0, 1))
 
     def ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the tokens of both lists that end a group."""
         return common_ends(np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b]))
 
     def links(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> np.ndarray:
-        """Places of the linked pairs in the list of pairs that can be linked."""
-        return np.searchsorted(self.pairs, a[at_a] * len(self.bytes_b) + b[at_b])
+        """Places of the linked pairs in the list of pairs that can be linked, rising."""
+        return np.searchsorted(self.pairs, np.sort(a[at_a] * len(self.bytes_b) + b[at_b]))
 
     def digest(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> str:
         """SHA-256 of the groups as text: A's ids, a bar, B's ids; groups apart by semicolons."""
@@ -203,9 +248,10 @@ class Aligner:
         sign[place_a[at_a]] += n_a
         sign[place_b[at_b[:-1]]] += n_b
         hashed = hashlib.sha256()
-        for low in range(0, len(sign), JOINED):
-            part = b"".join(map(self.signs.__getitem__, sign[low:low + JOINED].tolist()))
-            hashed.update(part if low + JOINED < len(sign) else part[:-1])
+        for low in range(0, len(sign), WRITTEN):
+            # signs are padded with zero bytes to one length
+            part = self.signs[sign[low:low + WRITTEN]].tobytes().translate(None, b"\0")
+            hashed.update(part if low + WRITTEN < len(sign) else part[:-1])
         return hashed.hexdigest()
 
 
@@ -281,7 +327,7 @@ def linked_documents(docs: DataFrame, vocab: Vocabularies) -> DataFrame:
             figures, digests, links = [], [], []
             for a, b in aligner.tokens(texts):
                 at_a, at_b = aligner.ends(a, b)
-                found = np.sort(aligner.links(a, b, at_a, at_b))
+                found = aligner.links(a, b, at_a, at_b)
                 figures.append((len(a), len(b), len(at_a), len(found)))
                 digests.append(aligner.digest(a, b, at_a, at_b))
                 links.append(np.diff(found, prepend=0).astype("<i4").tobytes())
