@@ -8,12 +8,13 @@ Reading: archives are cut at every occurrence of the version line, wherever it
 stands, also inside payloads.  Each task turns its pieces into candidates: the
 offset of the piece and, from its Content-Length, the offset of its successor.
 A candidate is a record only if it can be reached from the start of its file.
-Within a block the chains are followed at once; from block to block pointers
-jump, doubling their reach each round, until nothing new is reached.  Pieces
-that are not reached are parts of payloads and are put back there.
+Within a part of a file, up to ``PART`` candidates, the chains are followed at once; from
+part to part pointers jump, doubling their reach each round, until nothing new is
+reached.  Pieces that are not reached are parts of payloads and are put back there.
 
 Payloads never leave the task that reads them, but for those that hold a
-version line and thus have to be put together from several pieces.
+version line and thus have to be put together from several pieces.  A record has to fit a Spark
+string, 2 GB; a longer one is not returned.
 
 Defined results: a null payload is the empty one; a null page id or url is
 written as an empty value and read back as null; of rows alike in payload and
@@ -38,6 +39,10 @@ MAGIC = "WARC/1.1\r\n"
 BREAK = "\r\n\r\n"
 URN = "urn:pagelake:page:"
 FILE_RECORDS = 20_000
+#: Candidates of a file whose chains one task follows; from one such part to the next pointers jump.
+PART = 4096
+#: Bytes that no record's block exceeds: a larger claim is a broken length.
+LONGEST = 1 << 50
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -115,11 +120,13 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     p = pieces(spark, path).withColumn("size", F.octet_length("value").cast("long"))
     p = p.withColumn("head", F.when(F.instr("value", BREAK) > 0, head))
     p = p.withColumn("length", F.nullif(header(F.col("head"), "Content-Length"), F.lit("")))
+    # what no file can hold is a broken length, also one that overflows
     p = p.withColumn("length", F.expr("try_cast(length AS bigint)"))
+    p = p.withColumn("length", F.when(F.col("length").between(0, LONGEST), F.col("length")))
     own = F.octet_length("head") + 4 + F.col("length")
     p = p.withColumn("span", own + 4 + len(MAGIC))
     p = p.withColumn("whole", F.col("size") == own + 4)
-    block = F.expr("substring(cast(value AS binary), octet_length(head) + 5, int(length))").cast("string")
+    block = F.expr("substring(cast(value AS binary), octet_length(head) + 5, try_cast(length AS int))").cast("string")
     p = p.select("file", "block", "at", "size", "span", "whole", "head", "length",
                  F.xxhash64("value").alias("hash"),
                  F.when(F.col("whole"), block).alias("http"))
@@ -142,7 +149,8 @@ def payload_columns() -> list[Column]:
 
 
 def with_offsets(found: DataFrame) -> DataFrame:
-    """Adds ``off``, where the version line before a piece begins, and ``end``, the file's bytes."""
+    """Adds ``off``, where the version line before a piece begins, ``end``, the file's bytes, and
+    ``part``, up to ``PART`` neighbours of a block."""
     step = F.col("size") + len(MAGIC)
     blocks = found.groupBy("file", "block").agg(F.sum(step).alias("bytes"))
     by_file = Window.partitionBy("file")
@@ -150,23 +158,24 @@ def with_offsets(found: DataFrame) -> DataFrame:
                            (F.sum("bytes").over(by_file.orderBy("block")) - F.col("bytes")).alias("first"))
     here = Window.partitionBy("file", "block").orderBy("at")
     inside = F.sum(step).over(here) - step
-    return (found.join(blocks, ["file", "block"])
+    part = F.concat_ws("-", "block", F.floor((F.row_number().over(here) - 1) / PART))
+    return (found.join(blocks, ["file", "block"]).withColumn("part", part)
             .withColumn("off", F.col("first") + inside - len(MAGIC)).drop("first"))
 
 
 def exits(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each candidate of a block the first offset that its chain reaches beyond the block."""
+    """For each candidate of a part the first offset that its chain reaches beyond the part."""
     rows = rows.sort_values("off", ascending=False)
     to: dict[int, int | None] = {}
     last = rows["off"].iloc[0]
     for off, nxt in zip(rows["off"], rows["nxt"], strict=True):
         to[off] = None if pd.isna(nxt) else int(nxt) if nxt > last else to.get(int(nxt))
     out = rows.assign(leaves=pd.array([to[o] for o in rows["off"]], dtype="Int64"))
-    return out[["file", "block", "off", "nxt", "leaves", "reached"]]
+    return out[["file", "part", "off", "nxt", "leaves", "reached"]]
 
 
 def walk(rows: pd.DataFrame) -> pd.DataFrame:
-    """The candidates of a block on a chain from one that is reached."""
+    """The candidates of a part on a chain from one that is reached."""
     nxt = dict(zip(rows["off"], rows["nxt"], strict=True))
     seen = set()
     for off in rows["off"][rows["reached"]]:
@@ -180,13 +189,13 @@ def walk(rows: pd.DataFrame) -> pd.DataFrame:
 def reachable(found: DataFrame) -> DataFrame:
     """(file, off) of the candidates on the chain from their file's start.
 
-    Rounds: the logarithm of the blocks that a chain crosses.
+    Rounds: the logarithm of the parts that a chain crosses.
     """
     links = found.filter("off >= 0 AND span IS NOT NULL AND off + span <= end").select(
-        "file", "block", "off", (F.col("off") + F.col("span")).alias("nxt"),
+        "file", "part", "off", (F.col("off") + F.col("span")).alias("nxt"),
         (F.col("off") == 0).alias("reached"))
-    schema = "file string, block long, off long, nxt long, leaves long, reached boolean"
-    table = C.materialised(links.groupBy("file", "block").applyInPandas(exits, schema))
+    schema = "file string, part string, off long, nxt long, leaves long, reached boolean"
+    table = C.materialised(links.groupBy("file", "part").applyInPandas(exits, schema))
     reached = table.filter("reached").count()
     while reached:
         to = table.select(F.col("file").alias("_f"), F.col("off").alias("_o"),
@@ -196,12 +205,12 @@ def reachable(found: DataFrame) -> DataFrame:
         table = C.materialised(
             table.join(to, (F.col("file") == F.col("_f")) & (F.col("leaves") == F.col("_o")), "left")
             .join(hit, (F.col("file") == F.col("_hf")) & (F.col("off") == F.col("_ho")), "left")
-            .select("file", "block", "off", "nxt", F.col("_leaves").alias("leaves"),
+            .select("file", "part", "off", "nxt", F.col("_leaves").alias("leaves"),
                     (F.col("reached") | F.col("_ho").isNotNull()).alias("reached")))
         before, reached = reached, table.filter("reached").count()
         if reached == before:
             break
-    return table.groupBy("file", "block").applyInPandas(walk, "file string, off long")
+    return table.groupBy("file", "part").applyInPandas(walk, "file string, off long")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -246,7 +255,7 @@ def assembled(spark: SparkSession, path: str, found: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("off", "value"))),
                                  lambda x: x["value"]), MAGIC).alias("all"))
     return whole.select("file", F.col("own.off").alias("owner"), F.expr(
-        "substring(cast(all AS binary), own.head_bytes + 5, int(own.length))").cast("string").alias("http"))
+        "substring(cast(all AS binary), own.head_bytes + 5, try_cast(own.length AS int))").cast("string").alias("http"))
 
 
 def page_records(records: DataFrame) -> DataFrame:

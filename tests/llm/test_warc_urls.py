@@ -58,6 +58,26 @@ def test_records_across_blocks(spark, tmp_path):
     assert got == expected(rows)
 
 
+def test_claimed_lengths_that_no_file_holds(spark, tmp_path):
+    head = warc.MAGIC + "Content-Length: {}\r\n\r\n"
+    claims = [2 ** 63 - 1, 2 ** 63, 2 ** 31, 2 ** 31 - 1, -1, 0, 5, 10 ** 30, "x", "", "1e3"]
+    rows = [(i, "http://a/", "page " + head.format(n) + "rest") for i, n in enumerate(claims)]
+    rows.append((99, "http://b/", "".join(head.format(n) for n in claims)))
+    got, _ = archived(spark, rows, tmp_path.name)
+    assert got == expected(rows)
+
+
+def test_pointers_jump_between_the_parts_of_a_file(spark, tmp_path, monkeypatch):
+    rounds = []
+    kept = warc.C.materialised
+    monkeypatch.setattr(warc, "PART", 3)
+    monkeypatch.setattr(warc.C, "materialised", lambda df: rounds.append(df.columns) or kept(df))
+    rows = [(i, "http://a/", f"p{i}" + NESTED * (i % 5 == 0)) for i in range(40)]
+    got, _ = archived(spark, rows, tmp_path.name)
+    assert got == expected(rows)
+    assert sum("leaves" in c for c in rounds) > 3
+
+
 def test_small_payloads_are_all_responses(spark, tmp_path):
     got, _ = archived(spark, [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], tmp_path.name, least_bytes=3)
     assert [r[3] for r in got] == ["response", "response", "revisit", "response"]
