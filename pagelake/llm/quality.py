@@ -6,11 +6,11 @@ the trusted ones.  A document's verdict is the sum of log(trusted / raw) over
 its n-grams, divided by their number, against a fixed threshold.
 
 Counts of the raw corpus come from all documents, those of the trusted ones
-from all that are labelled good and not toxic, in the same pass.  Their ids are
-joined by value: Spark broadcasts them while they are small and exchanges ids
-and texts where they are not.  The counts, one number a bucket, are the only
-thing that reaches the driver.  Repeats are found within a row.  Native
-DataFrame code.
+from all that are labelled good and not toxic, in a pass of its own: texts whose
+id is in a bitmap of the trusted ids, which has one size whatever the corpus is,
+are exchanged and joined with the ids by value, the same way at every size.  The
+counts, one number a bucket, are the only thing that reaches the driver.  Repeats
+are found within a row.  Native DataFrame code.
 
 Defined results: null and empty texts have no words and fail; a null id is
 never trusted; repeated rows are judged one by one; without any trusted
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BUCKETS = 1 << 14
+#: Bits of the bitmap of trusted ids, 2 MB.
+BITS = 1 << 24
 SMOOTH = 1.0
 THRESHOLD = -0.15
 LEAST_WORDS = 20
@@ -54,15 +56,31 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.select("doc_id").distinct()
 
 
+def perhaps_trusted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id has its bit in a bitmap of ``BITS`` bits, whatever the number of ids is:
+    all trusted ones and, while the bitmap is not full, few others."""
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(BITS))
+    bits = (ids.select(place(F.col("_id")).alias("p"))
+            .groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits")))
+    at = docs.withColumn("_p", place(F.col("doc_id")))
+    at = at.withColumn("_bucket", F.bitmap_bucket_number("_p")).withColumn("_p", F.bitmap_bit_position("_p"))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright("_p", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = at.join(F.broadcast(bits), "_bucket")  # BITS / 8 bytes
+    return found.where(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("_p").cast("int") % 8)) != 0).drop("_bucket", "_p", "_bits")
+
+
+def gram_counts(docs: DataFrame) -> dict[int, int]:
+    rows = with_words(docs).select(F.explode(grams()).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()
+    return {r["b"]: r["n"] for r in rows}
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """log(trusted share / raw share) of each bucket, smoothed."""
     ids = trusted.select(F.col("doc_id").alias("_id"))
-    seen = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left")
-    counts = (with_words(seen).select(F.col("_id").isNotNull().cast("long").alias("t"), F.explode(grams()).alias("b"))
-              .groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("good")).collect())
-    raw, good = [0] * BUCKETS, [0] * BUCKETS
-    for r in counts:
-        raw[r["b"]], good[r["b"]] = r["raw"], r["good"]
+    docs = docs.select("doc_id", "text")
+    good_docs = perhaps_trusted(docs, ids).join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
+    raw_counts, good_counts = gram_counts(docs), gram_counts(good_docs)
+    raw, good = ([of.get(b, 0) for b in range(BUCKETS)] for of in (raw_counts, good_counts))
     if not sum(good):
         return [0.0] * BUCKETS
     a, b = sum(good) + SMOOTH * BUCKETS, sum(raw) + SMOOTH * BUCKETS
