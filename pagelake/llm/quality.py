@@ -78,7 +78,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """log(trusted share / raw share) of each bucket, smoothed."""
     ids = trusted.select(F.col("doc_id").alias("_id"))
     docs = docs.select("doc_id", "text")
-    good_docs = perhaps_trusted(docs, ids).join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
+    # a semi join would be moved in front of the bitmap; the ids are distinct
+    good_docs = perhaps_trusted(docs, ids).join(ids.hint("merge"), F.col("doc_id") == F.col("_id")).select("text")
     raw_counts, good_counts = gram_counts(docs), gram_counts(good_docs)
     raw, good = ([of.get(b, 0) for b in range(BUCKETS)] for of in (raw_counts, good_counts))
     if not sum(good):
