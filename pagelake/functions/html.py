@@ -85,52 +85,6 @@ def inner(html: Column, start_tag: str, end_tag: str) -> Column:
     return F.regexp_extract(html, f"(?is){start_tag}(.*?){end_tag}", 1)
 
 
-def _tag_pieces(html: Column, tag: str) -> Column:
-    """Markup cut before each start and each end tag of the elements ``tag``."""
-    return F.split(html, rf"(?i)(?=<{tag}(?:[\s>/]|$))|(?=</{tag}\s*>)")
-
-
-def _depth_change(piece: Column, tag: str) -> Column:
-    return F.when(piece.rlike(rf"(?i)^</{tag}\s*>"), -1).when(piece.rlike(rf"(?i)^<{tag}(?:[\s>/]|$)"), 1).otherwise(0)
-
-
-def balanced(html: Column, start_tag: str, tag: str) -> Column:
-    """Inner markup of the first element ``tag`` opened by ``start_tag``, up to
-    its own end tag: elements of the same name inside it are counted.  Without
-    an end tag it reaches to the end; '' when there is no such element."""
-    def cut(ps):
-        # the piece whose end tag closes the element (depth 1 before the first piece)
-        state = F.aggregate(
-            ps, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("i"), F.lit(0).alias("end")),
-            lambda a, x: F.struct(
-                (a["depth"] + F.when(a["end"] > 0, 0).otherwise(_depth_change(x, tag))).alias("depth"),
-                (a["i"] + 1).alias("i"),
-                F.when(a["end"] > 0, a["end"]).when(a["depth"] + _depth_change(x, tag) == 0, a["i"] + 1)
-                .otherwise(0).alias("end")))
-        return F.array_join(F.when(state["end"] > 0, F.slice(ps, 1, state["end"] - 1)).otherwise(ps), "")
-
-    rest = F.regexp_extract(html, f"(?is){start_tag}(.*)$", 1)
-    return let(_tag_pieces(rest, tag), cut)
-
-
-def without(html: Column, start_tag: str, tag: str) -> Column:
-    """Markup without the elements ``tag`` opened by ``start_tag``, with all that
-    is inside them.  An element that is never closed takes the rest with it."""
-    zero = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
-    after = rf"(?i)^</{tag}\s*>"
-
-    def step(a, x):
-        opens = (a["depth"] == 0) & x.rlike(f"(?is)^{start_tag}")
-        depth = F.when(opens, 1).when(a["depth"] > 0, a["depth"] + _depth_change(x, tag)).otherwise(0)
-        keep = (F.when((a["depth"] > 0) & (depth == 0), F.regexp_replace(x, after, ""))
-                .when((a["depth"] == 0) & ~opens, x))
-        return F.struct(depth.alias("depth"), F.when(keep.isNull(), a["kept"]).otherwise(
-            F.concat(a["kept"], F.array(keep))).alias("kept"))
-
-    return F.when(html.rlike(f"(?is){start_tag}"),
-                  F.array_join(F.aggregate(_tag_pieces(html, tag), zero, step)["kept"], "")).otherwise(html)
-
-
 def has_element(html: Column, start_tag: str) -> Column:
     return F.coalesce(html.rlike(f"(?is){start_tag}"), F.lit(False))
 
@@ -153,6 +107,11 @@ def attr(tag_markup: Column, name: str) -> Column:
     return _unquoted(F.regexp_extract(tag_markup, _value_re(name), 1))
 
 
+def has_class(tag_markup: Column, css_class: str) -> Column:
+    """Whether a start tag has a class."""
+    return tag_markup.rlike(rf"""(?is)\sclass\s*=\s*["']?(?:[^"'>]*\s)?{css_class}(?:[\s"'>]|$)""")
+
+
 def all_attr(html: Column, name: str) -> Column:
     """Values of attribute ``name`` on every element, in document order."""
     return F.transform(F.regexp_extract_all(html, F.lit(_value_re(name)), 1), _unquoted)
@@ -173,19 +132,13 @@ def hrefs(fragment: Column) -> Column:
     return F.transform(F.filter(raw, lambda x: x != ""), _unquoted)
 
 
-def anchors(fragment: Column, css_class: str | None = None) -> Column:
-    """Array<struct<href, has_href, text>> of every ``<a>`` in document order; with
-    ``css_class`` also marked: it has that class.  ``hrefs`` is cheaper where the
-    references will do."""
+def anchors(fragment: Column) -> Column:
+    """Array<struct<href, has_href, text>> of every ``<a>`` in document order.
+    ``hrefs`` is cheaper where the references will do."""
     def one(p):
-        def fields(x):
-            out = [_unquoted(x["raw"]).alias("href"), (x["raw"] != "").alias("has_href"),
-                   text(F.regexp_extract(p, r"(?is)^[^>]*>(.*?)(?:</a\s*>|$)", 1)).alias("text")]
-            if css_class:
-                out.append(x["tag"].rlike(
-                    rf"""(?is)\sclass\s*=\s*["']?(?:[^"'>]*\s)?{css_class}(?:[\s"'>]|$)""").alias("marked"))
-            return F.struct(*out)
-        return let(let(_anchor_tag(p), lambda t: F.struct(
-            t.alias("tag"), F.regexp_extract(t, _value_re("href"), 1).alias("raw"))), fields)
+        def fields(raw):
+            return F.struct(_unquoted(raw).alias("href"), (raw != "").alias("has_href"),
+                            text(F.regexp_extract(p, r"(?is)^[^>]*>(.*?)(?:</a\s*>|$)", 1)).alias("text"))
+        return let(F.regexp_extract(_anchor_tag(p), _value_re("href"), 1), fields)
 
     return F.transform(_anchor_pieces(fragment), one)

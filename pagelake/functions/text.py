@@ -27,8 +27,10 @@ def digits_int(c: Column) -> Column:
 def after_label(c: Column, label: str) -> Column:
     """P-13: text after ``label`` (optional colon) to the end of that line,
     trimmed, trailing dots removed, empty -> null."""
-    v = F.regexp_extract(c, re.escape(label) + r"\s*:?\s*([^\n]+)", 1)
-    return let(trim_ws(F.regexp_replace(trim_ws(v), r"\.+$", "")), lambda x: F.when(x != "", x))
+    at = F.instr(c, label)
+    behind = F.when(at > 0, F.substring(c, at + len(label), 1 << 30))
+    value = F.substring_index(trim_ws(F.ltrim(trim_ws(behind), F.lit(":"))), "\n", 1)
+    return let(trim_ws(F.rtrim(trim_ws(value), F.lit("."))), lambda x: F.when(x != "", x))
 
 
 def clean_title(c: Column, noise: str) -> Column:
@@ -70,7 +72,8 @@ def author_slug(name: Column) -> Column:
 
 
 def _author_slug(name: Column) -> Column:
-    base = F.lower(F.regexp_replace(F.regexp_replace(name, r"[^a-zA-Z0-9]+", "-"), r"^-+|-+$", ""))
+    words = F.filter(F.split(name, "[^a-zA-Z0-9]+"), lambda w: w != "")
+    base = F.lower(F.array_join(words, "-"))
     return let(base, lambda b: F.concat(
         F.lit("authors/"), F.substring(F.when(b == "", F.lit("author")).otherwise(b), 1, 40), F.lit("-"),
         F.substring(F.sha1(F.encode(name, "UTF-8")), 1, 6), F.lit(".html")))

@@ -7,7 +7,7 @@ hold every topic of a very large archive."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -87,6 +87,20 @@ def home_documents(index: DataFrame, totals: DataFrame, title: str, authors: boo
                  part_links(first, F.col("chunk"), F.col("last"))).alias("content"))
 
 
+def write_parts(root: str, parts: dict[str, DataFrame], observed: dict[str, Observation]) -> dict[str, int]:
+    """SNK-5 + AGG-10: append each part's entries to the bundle.  The number of its entries is
+    observed as it is written (by the part's name); so are the metrics of ``observed``, whose
+    observations the parts' plans hold.  No pass but the writing one."""
+    totals = {}
+    for name, part in parts.items():
+        own = Observation(f"bundle-{name}")
+        part.observe(own, F.count(F.lit(1)).alias(name)).write.mode("append").parquet(root)
+        totals.update(own.get)
+    for o in observed.values():
+        totals.update(o.get)
+    return totals
+
+
 def main_path(page_map: DataFrame, main_url: str | None, default: str = "index.html") -> str:
     """JOIN-11: path of the main URL if it is archived, else the home index."""
     row = page_map.where(F.col("url") == main_url).select("path").first() if main_url else None

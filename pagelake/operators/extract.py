@@ -1,20 +1,23 @@
 """Page -> record extraction jobs (EXT-*).
 
-Every job is narrow: each page row is turned into arrays with built-in
-regex/array expressions and exploded where one row per record is wanted.
-Order-preserving first-seen dedup (WIN-1) happens inside the row with
-``array_distinct``, so link extraction needs no shuffle at all.
+Jobs on single tags are narrow: each page row is turned into arrays with
+built-in regex/array expressions and exploded where one row per record is
+wanted.  Order-preserving first-seen dedup (WIN-1) happens inside the row with
+``array_distinct``, so link extraction needs no shuffle at all.  Jobs on blocks
+(posts, categories, attachments) read the page node table (``nodes``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
 from ..profile import SiteProfile
+from . import nodes as N
+from .order import last_row
 
 # Reference prefixes that are never followed as links.
 NON_NAV_PREFIXES = ("#", "javascript:", "mailto:", "tel:")
@@ -36,16 +39,9 @@ def with_page_url(pages: DataFrame, profile: SiteProfile, url_col: str = "url")
 
 
 def latest_per_key(df: DataFrame, order_col: str = "page_id") -> DataFrame:
-    """SNK-1 / WIN-2: one stored page per key, the last write (highest
-    ``order_col``) wins.
-
-    Wide columns never enter an aggregation buffer: the winners are found on
-    (key, order) alone, two longs or a string and a long that combine map-side,
-    and the rows are kept by a semi-join.  Callers that need few columns should
-    select them before, so that markup is not shuffled at all.
-    """
-    best = df.groupBy("key").agg(F.max(order_col).alias("_o")).withColumnRenamed("key", "_k")
-    return df.join(best, (F.col("key") == F.col("_k")) & (F.col(order_col) == F.col("_o")), "left_semi")
+    """SNK-1 / WIN-2: one stored page per key, the last write (highest ``order_col``) wins.
+    Callers that need few columns should select them before, so that markup is not shuffled."""
+    return last_row(df, "key", order_col)
 
 
 def site_base(profile: SiteProfile) -> Column:
@@ -108,41 +104,36 @@ def _in_dirs(x: Column, dirs) -> Column:
     return c
 
 
-def attachment_targets(html: Column, base: Column, profile: SiteProfile) -> Column:
-    """EXT-5: links into an upload directory, in an attachment block or of the
-    attachment class; canonical, not deduped."""
-    own = F.filter(H.anchors(html, profile.attachment_class), lambda a: a["has_href"] & (a["href"] != "") & (
-        a["marked"] | _in_dirs(a["href"], profile.upload_dirs)))
-    refs = F.transform(own, lambda a: a["href"])
-    if profile.attachment_block:
-        block = H.balanced(html, profile.attachment_block, "div")
-        refs = F.concat(refs, F.filter(H.hrefs(block), lambda x: (x != "") & ~_in_dirs(x, profile.upload_dirs)))
-    return F.transform(refs, lambda x: U.canonical(x, profile.strip_query_keys, base))
-
-
 def attachment_edges(pages: DataFrame, profile: SiteProfile) -> DataFrame:
-    p = with_page_url(pages, profile)
-    return p.select("page_id", F.posexplode(attachment_targets(F.col("html"), F.col("page_url"), profile))
-                    .alias("seq", "dst"))
-
-
-def _tag_attr_values(html: Column, tag_re: str, attr_name: str) -> Column:
-    """Values of ``attr_name`` on every start tag matching ``tag_re``."""
-    tags = F.regexp_extract_all(html, F.lit(f"(?is)({tag_re}[^>]*>)"), 1)
-    with_attr = F.filter(tags, lambda t: t.rlike(rf"(?is)\s{attr_name}\s*="))
-    return F.transform(with_attr, lambda t: H.attr(F.regexp_replace(t, r"^<\w+", " "), attr_name))
+    """EXT-5: links into an upload directory or of the attachment class, then those inside an
+    attachment block; canonical, not deduped.  One row a link: page_id, seq, dst."""
+    n = N.nodes(with_page_url(pages, profile), "page_id", "page_url")
+    n = n.withColumn("page_url", N.page_column("page_url")).withColumn("page_id", N.page_column("page_id"))
+    if profile.attachment_block:
+        n = n.withColumn("inside", N.in_blocks(n, N.is_tag(F.col("token"), profile.attachment_block)))
+    else:
+        n = n.withColumn("inside", F.lit(False))
+    links = n.where((F.col("name") == "a") & (F.col("kind") == N.START)).withColumn("href", H.attr(F.col("token"), "href"))
+    own = H.has_class(F.col("token"), profile.attachment_class) | _in_dirs(F.col("href"), profile.upload_dirs)
+    # a link of the class inside a block counts as both, one into a directory only once
+    both = F.array(F.when(own, 0), F.when(F.col("inside") & ~_in_dirs(F.col("href"), profile.upload_dirs), 1))
+    links = links.where(F.col("href") != "").withColumn("how", F.explode(F.array_compact(both)))
+    seq = F.row_number().over(Window.partitionBy("row").orderBy("how", "pos")) - 1
+    return links.select("page_id", seq.alias("seq"), U.canonical(F.col("href"), profile.strip_query_keys, F.col("page_url")).alias("dst"))
 
 
 def subresource_targets(html: Column, base: Column, site: Column, profile: SiteProfile) -> Column:
     """EXT-6: same-site stylesheets, then scripts, then images; deduped."""
-    html = H.drop_comments(html)
-    sheets = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)(<link\b[^>]*>)"), 1),
-                      lambda t: t.rlike(r"""(?is)\srel\s*=\s*["']?(?:[^"'>]*\s)?stylesheet(?:[\s"'>]|$)"""))
-    sheets = F.transform(F.filter(sheets, lambda t: t.rlike(r"(?is)\shref\s*=")),
-                         lambda t: H.attr(F.regexp_replace(t, r"^<\w+", " "), "href"))
-    refs = F.concat(sheets, _tag_attr_values(html, r"<script\b", "src"), _tag_attr_values(html, r"<img\b", "src"))
-    refs = F.filter(refs, lambda x: (x != "") & ~x.startswith("data:") & ~x.startswith("#"))
-    canon = F.transform(refs, lambda x: U.canonical(x, profile.strip_query_keys, base))
+    def refs(tags):
+        def values(tag, attr, also=lambda t: F.lit(True)):
+            return F.transform(F.filter(tags, lambda t: t.rlike(rf"(?i)^<{tag}[\s/>]") & also(t)), lambda t: H.attr(t, attr))
+        sheet = lambda t: t.rlike(r"""(?is)^[^>]*\srel\s*=\s*["']?(?:[^"'>]*\s)?stylesheet(?:[\s"'>]|$)""")
+        return F.concat(values("link", "href", sheet), values("script", "src"), values("img", "src"))
+
+    # of a script or style only its start tag
+    tags = F.transform(N.start_tags(html, "link", "script", "img"), lambda t: F.regexp_extract(t, f"(?s)^(<{N._REST}>)", 1))
+    own = F.filter(U.let(tags, refs), lambda x: (x != "") & ~x.startswith("data:") & ~x.startswith("#"))
+    canon = F.transform(own, lambda x: U.canonical(x, profile.strip_query_keys, base))
     return F.array_distinct(F.filter(canon, lambda u: U.same_site(u, site)))
 
 
@@ -193,53 +184,38 @@ def categories(pages: DataFrame, profile: SiteProfile) -> DataFrame:
     """EXT-8: one row per category entry: group title, title, canonical url,
     id attribute, digits-only topic count, description.  Entries without a
     link are skipped."""
-    p = with_page_url(pages, profile)
-    groups = F.filter(F.split(F.col("html"), f"(?i)(?={profile.group_start})"), lambda x, i: i > 0)
-    g = p.select("page_id", "page_url", F.posexplode(groups).alias("gpos", "gmk"))
-    g = g.withColumn("group_title", F.when(H.has_element(F.col("gmk"), r"<h2\b"),
-                                           H.text(H.inner(F.col("gmk"), r"<h2\b[^>]*>", r"</h2\s*>"))))
-    items = F.filter(F.split(F.col("gmk"), f"(?i)(?={profile.category_start})"), lambda x, i: i > 0)
-    c = g.select("page_id", "page_url", "gpos", "group_title", F.posexplode(items).alias("cpos", "cmk"))
-    cmk = F.col("cmk")
-    link_frag = H.inner(cmk, r"<h3\b[^>]*>", r"</h3\s*>")
-    first_a = F.try_element_at(H.anchors(link_frag), F.lit(1))
-    href = first_a["href"]
-    div = lambda cls: H.inner(cmk, rf'<(?:div|span|p)[^>]*class="[^"]*\b{cls}\b[^"]*"[^>]*>', r"</(?:div|span|p)\s*>")
-    has = lambda cls: H.has_element(cmk, rf'class="[^"]*\b{cls}\b')
-    idtag = F.regexp_extract(cmk, rf"(?is)(<[a-z0-9]+[^>]*\s{profile.category_id_attr}\s*=[^>]*>)", 1)
-    out = c.where(href.isNotNull() & (href != "")).select(
-        "page_id", "gpos", "cpos",
-        F.col("group_title").alias("group"),
-        first_a["text"].alias("title"),
+    p = N.node_arrays(with_page_url(pages, profile), "page_id", "page_url")
+    groups = U.let(F.col("nodes"), lambda ns: F.transform(N.elements(ns, profile.group_start), lambda g: N.cut(ns, g)))
+    g = p.select("page_id", "page_url", F.posexplode(groups).alias("gpos", "g"))
+    items = U.let(F.col("g"), lambda ns: F.transform(N.elements(ns, profile.category_start), lambda c: N.cut(ns, c)))
+    c = g.select("page_id", "page_url", "gpos", N.text_of(N.first_block(F.col("g"), r"<h2[\s/>]")).alias("group"),
+                 F.posexplode(items).alias("cpos", "c"))
+    named = lambda cls: N.text_of(N.first_block(F.col("c"), rf'<[a-z][^>]*class="[^"]*\b{cls}\b'))
+    idtag = F.get(N.elements(F.col("c"), rf"<[a-z][^>]*\s{profile.category_id_attr}\s*="), F.lit(0))["token"]
+    c = c.select("page_id", "page_url", "gpos", "cpos", "group", N.first_block(
+        N.first_block(F.col("c"), r"<h3[\s/>]"), r"<a[\s/>]").alias("link"), idtag.alias("idtag"),
+        named("topic-count").alias("count"), named("cat-desc").alias("description"))
+    href = H.attr(F.get("link", F.lit(0))["token"], "href")
+    return c.where(href != "").select(
+        "page_id", "gpos", "cpos", "group", N.text_of(F.col("link")).alias("title"),
         U.canonical(href, profile.strip_query_keys, F.col("page_url")).alias("url"),
-        F.when(idtag != "", H.attr(F.regexp_replace(idtag, r"^<\w+", " "), profile.category_id_attr)).alias("cat_id"),
-        F.when(has("topic-count"), T.digits_int(H.text(div("topic-count")))).alias("topic_count"),
-        F.when(has("cat-desc"), H.text(div("cat-desc"))).alias("description"),
-    )
-    return out
+        H.attr(F.col("idtag"), profile.category_id_attr).alias("cat_id"),
+        T.digits_int(F.col("count")).alias("topic_count"), "description")
 
 
 # ----------------------------------------------------------------- posts ---
-def _mail_element(info: Column, profile: SiteProfile) -> Column:
-    """Start tag and visible text of the element that carries an address token."""
-    pat = rf"(?is)<([a-z0-9]+)([^>]*\s{profile.email_token_attr}\s*=[^>]*)>(.*?)</\1\s*>"
-    return F.when(info.rlike(pat), F.struct(
-        H.attr(F.concat(F.lit(" "), F.regexp_extract(info, pat, 2)), profile.email_token_attr).alias("token"),
-        T.nullif_blank(H.text(F.regexp_extract(info, pat, 3))).alias("visible")))
-
-
-def post_struct(chunk: Column, base: Column, profile: SiteProfile, reveal_email: bool = False) -> Column:
-    """EXT-10/11 on one post's markup.
+def post_struct(block: Column, base: Column, profile: SiteProfile, reveal_email: bool = False) -> Column:
+    """EXT-10/11 on one post's nodes."""
+    def mail_of(info):
+        start = rf"<[a-z][^>]*\s{profile.email_token_attr}\s*="
+        return U.let(N.first_block(info, start), lambda m: F.when(m.isNotNull(), F.struct(
+            H.attr(F.get(m, F.lit(0))["token"], profile.email_token_attr).alias("token"),
+            T.nullif_blank(N.text_of(m)).alias("visible"))))
 
-    Blocks end at their own end tag, so a quote inside a post does not cut it.
-    """
     def fields(x):
-        head, info, body = x["head"], x["info"], x["body"]
-        byline = H.text(head, " ")
+        byline, lines, mail = x["byline"], N.text_of(x["info"], "\n"), x["mail"]
         at = F.instr(byline, profile.author_sep)
         posted = F.regexp_extract(byline, T.POSTED_RE, 1)
-        lines = H.text(info, "\n")
-        mail = x["mail"]
         email = F.lit(None).cast("string")
         if reveal_email:
             from ..functions import pii as P
@@ -254,45 +230,33 @@ def post_struct(chunk: Column, base: Column, profile: SiteProfile, reveal_email:
             mail["visible"].alias("email_visible"),
             T.after_label(lines, profile.label_updated).alias("updated"),
             T.after_label(lines, profile.label_role).alias("department"),
-            T.truncate(H.text(body, " "), 280).alias("text_excerpt"),
+            T.truncate(x["body"], 280).alias("text_excerpt"),
             x["files"].alias("attachments"),
         )
 
-    def block(start):
-        return F.when(H.has_element(chunk, start), H.balanced(chunk, start, "div"))
+    def parts(ns):
+        start = F.get(ns, F.lit(0))["token"]
+        files = F.filter(F.concat(N.attrs(ns, "a", "href"), N.attrs(ns, "img", "src")), lambda r: _in_dirs(r, profile.upload_dirs))
+        return U.let(N.first_block(ns, profile.post_info), lambda info: F.struct(
+            F.when(start.rlike(rf"(?is)\s{profile.post_id_attr}\s*="), H.attr(start, profile.post_id_attr)).alias("id"),
+            N.text_of(N.first_block(ns, profile.post_header), " ").alias("byline"), info.alias("info"),
+            N.text_of(N.first_block(ns, profile.post_body), " ").alias("body"), mail_of(info).alias("mail"),
+            F.transform(files, lambda r: U.canonical(r, profile.strip_query_keys, base)).alias("files")))
 
-    start = F.regexp_extract(chunk, r"(?s)^([^>]*>)", 1)
-    files = F.filter(upload_refs(chunk, profile), lambda r: _in_dirs(r, profile.upload_dirs))
-    first = F.struct(
-        F.when(start.rlike(rf"(?is)\s{profile.post_id_attr}\s*="),
-               H.attr(F.regexp_replace(start, r"^<\w+", " "), profile.post_id_attr)).alias("id"),
-        block(profile.post_header).alias("head"),
-        block(profile.post_info).alias("info"),
-        block(profile.post_body).alias("body"),
-        F.transform(files, lambda r: U.canonical(r, profile.strip_query_keys, base)).alias("files"))
-    return U.let(U.let(first, lambda x: F.struct(
-        x["id"].alias("id"), x["head"].alias("head"), x["info"].alias("info"), x["body"].alias("body"),
-        x["files"].alias("files"), _mail_element(x["info"], profile).alias("mail"))), fields)
+    return U.let(U.let(block, parts), fields)
 
 
-def upload_refs(markup: Column, profile: SiteProfile) -> Column:
-    """Raw, non-empty references of links, then of images."""
-    return F.filter(F.concat(H.hrefs(markup), _tag_attr_values(markup, r"<img\b", "src")), lambda r: r != "")
-
-
-def post_chunks(html: Column, profile: SiteProfile) -> Column:
-    """Markup of each post: its start tag and its content up to its own end tag."""
-    pieces = F.filter(F.split(html, f"(?i)(?={profile.post_start})"), lambda x, i: i > 0)
-    return F.transform(pieces, lambda x: F.concat(
-        F.regexp_extract(x, r"(?s)^([^>]*>)", 1), H.balanced(x, r"^<[^>]*>", profile.post_tag)))
+def post_blocks(nodes: Column, profile: SiteProfile) -> Column:
+    """The nodes of each post, from its start tag to its end."""
+    return U.let(nodes, lambda ns: F.transform(N.elements(ns, profile.post_start), lambda x: N.cut(ns, x)))
 
 
 def posts(pages: DataFrame, profile: SiteProfile, reveal_email: bool = False) -> DataFrame:
     """EXT-10: one row per post of every page."""
-    p = with_page_url(pages, profile)
-    x = p.select("page_id", "page_url", "key", F.posexplode(post_chunks(F.col("html"), profile)).alias("pos", "chunk"))
+    p = N.node_arrays(with_page_url(pages, profile), "page_id", "page_url", "key")
+    x = p.select("page_id", "page_url", "key", F.posexplode(post_blocks(F.col("nodes"), profile)).alias("pos", "block"))
     return x.select("page_id", "page_url", "key", "pos",
-                    post_struct(F.col("chunk"), F.col("page_url"), profile, reveal_email).alias("p")).select(
+                    post_struct(F.col("block"), F.col("page_url"), profile, reveal_email).alias("p")).select(
         "page_id", "page_url", "key", "pos", "p.*")
 
 
@@ -320,7 +284,8 @@ def page_records(pages: DataFrame, profile: SiteProfile, status: Column | None =
     p = with_page_url(pages, profile)
     h, base = F.col("html"), F.col("page_url")
     frag = fragment if fragment is not None else F.lit(False)
-    post_arr = F.transform(post_chunks(h, profile), lambda c: post_struct(c, base, profile))
+    p = N.node_arrays(p, *p.columns)
+    post_arr = F.transform(post_blocks(F.col("nodes"), profile), lambda b: post_struct(b, base, profile))
     return p.select(
         "page_id", F.col("page_url").alias("url"), "key",
         (status if status is not None else F.lit(200)).alias("status"),

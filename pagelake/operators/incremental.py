@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.buckets import BucketTable
+from .order import last_row
+
 
 def diff(prior: DataFrame, fetched: DataFrame) -> DataFrame:
     """JOIN-4: classify each fetched page against the stored one by key:
@@ -20,8 +23,11 @@ def diff(prior: DataFrame, fetched: DataFrame) -> DataFrame:
 
 
 def upsert(current: DataFrame, incoming: DataFrame, version_col: str = "version") -> DataFrame:
-    """SNK-1/SNK-2: union and keep the last write per key (one row of a key and
-    version).  The newest versions are found on two narrow columns."""
-    u = current.unionByName(incoming)
-    best = u.groupBy("key").agg(F.max(version_col).alias("_v")).withColumnRenamed("key", "_k")
-    return u.join(best, (F.col("key") == F.col("_k")) & (F.col(version_col) == F.col("_v")), "left_semi")
+    """SNK-1/SNK-2: union and keep the last write per key, one row a key."""
+    return last_row(current.unionByName(incoming), "key", version_col)
+
+
+def versioned_table(spark: SparkSession, root: str, schema: str, version_col: str = "version", **sizes) -> BucketTable:
+    """Pages or assets by the bucket of their key: an upsert writes the buckets it touches again,
+    each key with its last version, and leaves all others as they are."""
+    return BucketTable(spark, root, schema, "key", lambda rows: last_row(rows, "key", version_col), **sizes)

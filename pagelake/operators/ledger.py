@@ -76,9 +76,14 @@ def stats(st: DataFrame) -> DataFrame:
         F.count_if("completed").alias("completed"),
         F.count_if("error").alias("errors"),
     )
+    return progress(a)
+
+
+def progress(counts: DataFrame, *keep: str) -> DataFrame:
+    """AGG-2/3 beside the counts of the states: remaining, progress (errors not counted)."""
     total = F.greatest(F.lit(1), F.col("completed") + F.col("pending") + F.col("in_flight"))
-    return a.select("*", (F.col("pending") + F.col("in_flight")).alias("remaining"),
-                    F.round(F.lit(100.0) * F.col("completed") / total, 1).alias("progress_pct"))
+    return counts.select(*keep, "pending", "in_flight", "completed", "errors", (F.col("pending") + F.col("in_flight")).alias("remaining"),
+                         F.round(F.lit(100.0) * F.col("completed") / total, 1).alias("progress_pct"))
 
 
 def claim_order(st: DataFrame) -> list[Column]:

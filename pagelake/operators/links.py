@@ -94,7 +94,7 @@ def rewrite_pages(pages: DataFrame, page_map: DataFrame, profile: SiteProfile,
     as a ref->path map and applied inside the row: the HTML is shuffled once,
     for the join back."""
     if rules is not None:
-        pages = pages.withColumn("html", PR.strip_blocks(F.col("html"), profile))
+        pages = PR.strip_blocks(pages, profile)
         pages = pages.withColumn("html", PR.redact_emails(F.col("html"), profile))
     refs = F.array_distinct(F.filter(F.transform(tag_pieces(F.col("html")), piece_ref),
                                      lambda r: (r != "") & ~_starts_any(r, NON_ASSET_PREFIXES)))

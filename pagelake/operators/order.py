@@ -28,3 +28,10 @@ def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     return (tagged.join(offsets, F.col("_pid") == F.col("_q"))
             .withColumn(name, (F.col("_before") + local + 1).cast("bigint"))
             .drop("_pid", "_mid", "_q", "_before"))
+
+
+def last_row(df: DataFrame, key: str, order_col: str) -> DataFrame:
+    """WIN-2: one row a key, that with the highest ``order_col`` (nulls lowest); rows tied there are
+    told apart by a hash of their contents.  Each task keeps its best row of a key before the exchange."""
+    w = Window.partitionBy(key).orderBy(F.col(order_col).desc_nulls_last(), F.xxhash64(*df.columns))
+    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

@@ -8,9 +8,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import html as H
 from ..functions import pii as PII
 from ..profile import SiteProfile
+from . import nodes as N
 
 # Fixed value: what stands for a redacted address.
 PLACEHOLDER = "[email hidden]"
@@ -43,18 +43,22 @@ def count_redactions(before: Column, after: Column) -> Column:
     return F.regexp_count(after, F.lit(re.escape(PLACEHOLDER))) - F.regexp_count(before, F.lit(re.escape(PLACEHOLDER)))
 
 
-def strip_blocks(html: Column, profile: SiteProfile) -> Column:
-    """PRV-3: remove each block with all it holds; elements of the same name
-    inside it are counted, so nothing of it is left behind."""
+def strip_blocks(pages: DataFrame, profile: SiteProfile) -> DataFrame:
+    """PRV-3: ``pages`` without the profile's blocks, each with all it holds up to its own end
+    tag; one that is never closed goes with what is left of the element around it."""
+    if not profile.strip_blocks:
+        return pages
+    keep = [c for c in pages.columns if c != "html"]
+    n = N.nodes(pages, *keep)
+    block = F.lit(False)
     for start in profile.strip_blocks:
-        html = H.without(html, start, re.match(r"<(\w+)", start).group(1))
-    return html
-
-
-def public_markup(html: Column, profile: SiteProfile, rules=()) -> Column:
-    """Markup as it may leave the store: blocks stripped, addresses redacted, then
-    (with ``rules``) the serialised page scrubbed."""
-    return PII.scrub(redact_emails(strip_blocks(html, profile), profile), rules)
+        block = block | N.is_tag(F.col("token"), start)
+    n = n.withColumn("token", F.when(~N.in_blocks(n, block), F.col("token")))
+    html = F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.when(F.col("token").isNotNull(), F.struct("pos", "token")))), lambda x: x["token"]), "")
+    out = n.groupBy("row").agg(*[F.first(c, ignorenulls=True).alias(c) for c in keep],
+                               F.when(F.count("pos") > 0, html).alias("html"))
+    return out.select(*pages.columns)
 
 
 def login_wall(status: Column, content_type: Column, html: Column, password_field: str = "pass") -> Column:

@@ -457,21 +457,6 @@ def q_fetch_outcomes(spark, sf):
 
 
 # --------------------------------------------------------------- privacy ---
-def _duck_rule(pat: str) -> str:
-    return pat.replace("(?U)", "")
-
-
-def _d_scrub(expr: str, rules) -> str:
-    for _, pat, repl in rules:
-        expr = f"regexp_replace({expr}, {D.q(_duck_rule(pat))}, {D.q(repl)}, 'g')"
-    return expr
-
-
-def _pii_rules():
-    from ..functions import pii as PII
-    return PII.TEST_RULES
-
-
 def planted_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents, every one with numbers that each rule of the Greek set masks."""
     d = read(spark, sf, "documents", "doc_id", "text")
@@ -586,7 +571,7 @@ def q_strip_blocks(spark, sf):
     from ..operators import privacy as PR
     from ..profile import FORUM
     profile = P.with_(strip_blocks=P.strip_blocks + FORUM.strip_blocks)
-    return rich_pages(spark, sf).select("page_id", PR.strip_blocks(F.col("html"), profile).alias("html"))
+    return PR.strip_blocks(rich_pages(spark, sf).select("page_id", "html"), profile)
 
 
 @register("subresource_edges", f"""WITH {D_RICH},
@@ -1045,13 +1030,17 @@ def public_profile():
     return P.with_(strip_blocks=P.strip_blocks[:1] + FORUM.strip_blocks)
 
 
-def public_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """The rich pages, one a key, as they go into the bundle."""
+def public_pages(spark: SparkSession, sf: str, skipped=None) -> DataFrame:
+    """The rich pages, one a key, as they go into the bundle; an observation ``skipped``
+    counts the pages that the build prune leaves out."""
     from ..functions import pii as PII
     from ..operators import links as L
-    p = X.latest_per_key(kept_pages(rich_pages(spark, sf), spark, sf))
-    maps = stored_page_map(spark, sf), bundle_assets(spark, sf).select("url", "path")
-    return L.rewrite_pages(p.drop("key"), maps[0], public_profile(), maps[1], PII.TEST_RULES)
+    p = X.latest_per_key(X.with_page_url(rich_pages(spark, sf), P))
+    if skipped is not None:
+        p = p.observe(skipped, F.count_if(S.excluded(F.col("page_url"), P)).alias("n_skipped"))
+    pm = stored_page_map(spark, sf)
+    own = p.join(pm.withColumnRenamed("url", "_u"), F.col("page_url") == F.col("_u")).select("page_id", "page_url", "path", "html")
+    return L.rewrite_pages(own, pm, public_profile(), bundle_assets(spark, sf).select("url", "path"), PII.TEST_RULES)
 
 
 @register("page_public", f"""WITH {D_RICH}, {D_MAP}, {D_PUBLIC}, {D_ASSETS}, {_d_rewrite('public0', 'UNION ALL SELECT url, path FROM assets')}
@@ -1094,6 +1083,67 @@ def q_robots_policy(spark, sf):
     return S.robots_allowed(p, rules, AGENT).select("page_id", "url", "allowed", "reason")
 
 
+def robots_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """A robots text for each host of the pages: (host, text).  Hosts by the length of their name mod 3: all
+    agents kept from /es/ but /es/1, with comments, blank lines and another agent in the same group; our
+    agent alone kept from /fr/ and /it/; nothing kept from anybody by an empty line."""
+    texts = ["# for all\r\nUser-agent: Other\r\n\r\nuser-agent: *  # everybody\r\nCrawl-delay: 5\r\nAllow: /es/1\r\nDisallow: /es/ # not Spanish\r\n",
+             "User-agent: *\nDisallow: /\nUser-agent: Pagelake\nUSER-AGENT: second\nDisallow: /fr/\n\nDisallow: /%69t/\nUser-agent: third\nDisallow: /en/\n",
+             "Disallow: /en/\nUser-agent: *\nDisallow:\n"]
+    hosts = pages(spark, sf, html=False).select(U.host(F.col("url")).alias("host")).distinct()
+    return hosts.select("host", F.get(F.array(*map(F.lit, texts)), F.length("host") % 3).alias("text"))
+
+
+@register("robots_files", f"""
+WITH pc AS (SELECT page_id, c AS url, length(lower(regexp_extract(c, {D.q(D.URI)}, 3))) % 3 AS k, {_d_target('c')} AS t
+  FROM (SELECT page_id, {D.sel(D.canon_cols('url', 'c'))} FROM pages))
+SELECT page_id, url, CASE k WHEN 0 THEN starts_with(t, '/es/1') OR NOT starts_with(t, '/es/')
+  WHEN 1 THEN NOT starts_with(t, '/fr/') AND NOT starts_with(t, '/it/') ELSE true END AS allowed FROM pc""")
+def q_robots_files(spark, sf):
+    """FLT-9: robots texts written as files, read, parsed to rules and applied to the pages."""
+    from ..sources import robots as RB
+    root = _scratch(spark, "robots")
+    robots_texts(spark, sf).select(F.col("text").alias("value"), "host").write.partitionBy("host").text(root)
+    rules = RB.robots_rules(RB.read_robots(spark, root)).checkpoint()
+    p = X.with_page_url(pages(spark, sf, html=False), P).select("page_id", F.col("page_url").alias("url"))
+    return S.robots_allowed(p, rules, AGENT).select("page_id", "url", "allowed")
+
+
+def scope_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """A pattern table from the stored pages: for every site /en/ and short paths are included; a site whose
+    name has an even length includes what is not Spanish, page by page; pages whose number ends with 7 are excluded."""
+    p = X.with_page_url(pages(spark, sf, html=False), P)
+    host, path = U.host(F.col("page_url")), U.path(F.col("page_url"))
+    quoted = F.replace(path, F.lit("."), F.lit("[.]"))
+    p = p.select(host.alias("site"), path.alias("path"), quoted.alias("q"))
+    every = spark.createDataFrame([("*", "include", "/en/"), ("*", "include", "^/[^/]+$"), ("*", "exclude", "[.](zip|exe)$")],
+                                  "site string, kind string, pattern string")
+    own = p.where((F.length("site") % 2 == 0) & ~F.col("path").contains("/es/")).select(
+        "site", F.lit("include").alias("kind"), F.concat(F.lit("^"), "q", F.lit("([?]|$)")).alias("pattern"))
+    bad = p.where(F.col("path").rlike("7([.]html|/)?$")).select("site", F.lit("exclude").alias("kind"), F.concat("q", F.lit("$")).alias("pattern"))
+    return every.unionByName(own.distinct()).unionByName(bad.distinct())
+
+
+@register("scope_patterns", f"""WITH {D_LINKED}, {D_EDGES},
+d AS (SELECT DISTINCT pu, dst, lower(regexp_extract(dst, {D.q(D.URI)}, 3)) AS host, {_d_target('dst')} AS t FROM edges),
+pp AS (SELECT lower(regexp_extract(c, {D.q(D.URI)}, 3)) AS site, regexp_extract(c, {D.q(D.URI)}, 4) AS path,
+  replace(regexp_extract(c, {D.q(D.URI)}, 4), '.', '[.]') AS q FROM (SELECT {D.sel(D.canon_cols('url', 'c'))} FROM pages)),
+pat AS (SELECT * FROM (VALUES ('*', 'include', '/en/'), ('*', 'include', '^/[^/]+$'), ('*', 'exclude', '[.](zip|exe)$')) v(site, kind, pattern)
+  UNION SELECT site, 'include', '^' || q || '([?]|$)' FROM pp WHERE length(site) % 2 = 0 AND NOT contains(path, '/es/')
+  UNION SELECT site, 'exclude', q || '$' FROM pp WHERE regexp_matches(path, '7([.]html|/)?$')),
+m AS (SELECT pu, dst, bool_or(kind = 'exclude') AS ex, bool_or(kind = 'include') AS inc, bool_or(kind = 'include' AND site <> '*') AS own
+  FROM d JOIN pat ON (pat.site = '*' OR pat.site = d.host) AND regexp_matches(d.t, pat.pattern) GROUP BY pu, dst)
+SELECT d.pu AS page_url, d.dst, coalesce(ex, false) AS excluded,
+  host = lower(regexp_extract(d.pu, {D.q(D.URI)}, 3)) AND NOT coalesce(ex, false)
+    AND coalesce(CASE WHEN host IN (SELECT site FROM pat WHERE kind = 'include') THEN own ELSE inc END, false) AS in_scope
+FROM d LEFT JOIN m ON m.pu = d.pu AND m.dst = d.dst""")
+def q_scope_patterns(spark, sf):
+    """SET-5, FLT-3/4: all link targets against a table of patterns, some for each stored page."""
+    from ..operators import patterns as PT
+    e = X.link_edges(linked_pages(spark, sf), P).select("page_url", "dst").distinct()
+    return PT.scope(e, scope_patterns(spark, sf), "dst", "page_url").select("page_url", "dst", "excluded", "in_scope")
+
+
 @register("category_scope", f"""
 WITH pc AS (SELECT page_id, c AS url, {_d_target('c')} AS t FROM (SELECT page_id, url AS raw, {D.sel(D.canon_cols('url', 'c'))} FROM pages)),
 seeds AS (SELECT * FROM pc WHERE page_id IN (SELECT page_id FROM pages WHERE contains(url, 'utm_source=feed'))),
@@ -1119,10 +1169,34 @@ def _scratch(spark: SparkSession, name: str) -> str:
 SELECT sha1(c) AS key, url, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes FROM (SELECT page_id, url, html, {D.sel(D.canon_cols('url', 'c'))} FROM pages)
 WHERE page_id % 10 <> 3""")
 def q_scan_pages(spark, sf):
-    """SRC-1: page records joined with their stored HTML; a tenth of the pages has none and is dropped."""
-    meta = X.with_page_url(pages(spark, sf, html=False), P).select("page_id", "key", "url")
-    html = read(spark, sf, "pages", "page_id", "html").where("page_id % 10 <> 3").withColumnRenamed("page_id", "_p")
-    return meta.join(html, F.col("page_id") == F.col("_p")).select("key", "url", F.octet_length("html").cast("bigint").alias("n_bytes"))
+    """SRC-1: pages laid down as files are scanned; a tenth has no HTML, some of it is still temporary."""
+    from ..sources import store as ST
+    root = _scratch(spark, "tree")
+    p = X.with_page_url(pages(spark, sf), P)
+    name = lambda ext: F.concat("key", F.lit("-"), F.col("page_id").cast("string"), F.lit(ext))
+    p.select(F.to_json(F.struct("page_id", "url")).alias("value"), name(ST.META_EXT).alias("file_name")).write.partitionBy(
+        "file_name").text(f"{root}/meta")
+    stored = F.when(F.col("page_id") % 10 != 3, name(ST.HTML_EXT)).when(F.col("page_id") % 20 == 3, name(".html.tmp"))
+    p.withColumn("file_name", stored).where(F.col("file_name").isNotNull()).select(F.col("html").alias("value"), "file_name").write.partitionBy(
+        "file_name").text(f"{root}/html")
+    tree = ST.scan_tree(spark, root, "page_id long, url string")
+    # the writer ends each file with a line feed
+    return tree.select(F.substring_index("key", "-", 1).alias("key"), "url", (F.octet_length("html") - 1).cast("bigint").alias("n_bytes"))
+
+
+@register("page_lookup", f"""
+SELECT page_id, sha1(c) AS key, c AS url, CAST(strlen(html) AS BIGINT) AS n_bytes FROM (SELECT *, {D.sel(D.canon_cols('url', 'c'))} FROM pages)
+WHERE page_id % 16 = 5""")
+def q_page_lookup(spark, sf):
+    """SRC-4: single pages are read by key from the key-sorted store; a sixteenth is asked for."""
+    from ..sources import lookup as LK
+    path = _scratch(spark, "sorted")
+    p = X.with_page_url(pages(spark, sf), P).withColumn("key", F.concat_ws("-", "key", "page_id"))
+    LK.write_sorted(p.select("key", "page_id", "page_url", "html"), path, "key", 8)
+    asked = p.where(F.col("page_id") % 16 == 5).select("key")
+    got = LK.lookup(spark, path, "key", asked)
+    return got.select("page_id", F.substring_index("key", "-", 1).alias("key"), F.col("page_url").alias("url"),
+                      F.octet_length("html").cast("bigint").alias("n_bytes"))
 
 
 def snapshots(spark: SparkSession, sf: str):
@@ -1166,16 +1240,14 @@ def q_incremental_diff(spark, sf):
 SELECT key, arg_max(url, v) AS url, max(v) AS version, arg_max(content_sha, v) AS content_sha FROM (
   SELECT key, url, content_sha, 1 AS v FROM prior UNION ALL SELECT key, url, content_sha, 2 FROM fetched) GROUP BY key""")
 def q_page_upsert(spark, sf):
-    """SNK-1: the new fetch is merged into the stored pages, HTML included, as a new version."""
+    """SNK-1: the new fetch is merged, HTML included, into the buckets of the stored pages that it touches."""
     from ..operators import incremental as INC
     prior, fetched = snapshots(spark, sf)
-    from ..sources import store as ST
     cols = ["key", "url", "version", "html"]
-    root = _scratch(spark, "pages")
-    ST.write_version(prior.select(*cols), root)
-    ST.write_version(INC.upsert(ST.read_latest(spark, root), fetched.select(*cols)), root)
-    now = ST.read_latest(spark, root)
-    return now.select("key", "url", "version", F.sha1(F.encode("html", "UTF-8")).alias("content_sha"))
+    table = INC.versioned_table(spark, _scratch(spark, "pages"), "key string, url string, version int, html string")
+    table.upsert(prior.select(*cols), 0)
+    table.upsert(fetched.select(*cols), 1)
+    return table.rows().select("key", "url", "version", F.sha1(F.encode("html", "UTF-8")).alias("content_sha"))
 
 
 @register("unchanged_relink", f"""WITH {D_RICH}, linked AS (SELECT page_id, url, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS html FROM rich), {D_EDGES}, {D_SNAP},
@@ -1314,25 +1386,29 @@ def q_author_directory(spark, sf):
     return A.author_directory(A.author_index(forum_author_posts(spark, sf))).select("path", "title", "n_items")
 
 
-def bundle_table(spark: SparkSession, sf: str) -> str:
-    """Write the bundle: public pages, topics of the forum, assets, author documents, home index."""
+def bundle_table(spark: SparkSession, sf: str) -> tuple[str, dict[str, int]]:
+    """Write the bundle: public pages, topics of the forum, assets, author documents, home index.
+    Its folder, and the totals observed while it was written."""
+    from pyspark.sql import Observation
+
     from ..operators import authors as A
     from ..operators import bundle as B
     from ..profile import FORUM
+    seen = {"skipped": Observation("skipped"), "authors": Observation("authors")}
     meta = page_meta(spark, sf).select("path", "title", "url")
-    own = public_pages(spark, sf).select("path", "html").join(meta, "path")
+    own = public_pages(spark, sf, seen["skipped"]).select("path", "html").join(meta, "path")
     tp = X.with_page_url(topic_pages(spark, sf), FORUM)
     topics = tp.select(U.page_path(F.col("page_url")).alias("path"), F.col("page_url").alias("url"), "html",
                        X.record_title(F.col("html"), FORUM).alias("title"))
     ap = forum_author_posts(spark, sf).checkpoint()
     totals = IX.home_totals(IX.classify(page_meta(spark, sf), P))
-    parts = [B.page_entries(own), B.page_entries(topics), B.asset_entries(bundle_assets(spark, sf)),
-             B.document_entries(A.author_pages(ap)), B.document_entries(A.author_directory(A.author_index(ap))),
-             B.document_entries(B.home_documents(home_index(spark, sf), totals, "Archive", authors=True))]
+    authors = A.author_pages(ap).observe(seen["authors"], F.count_if(F.col("part") == 0).alias("n_authors"))
+    parts = {"n_pages": B.page_entries(own), "n_topics": B.page_entries(topics), "n_assets": B.asset_entries(bundle_assets(spark, sf)),
+             "n_author_documents": B.document_entries(authors),
+             "n_directories": B.document_entries(A.author_directory(A.author_index(ap))),
+             "n_home": B.document_entries(B.home_documents(home_index(spark, sf), totals, "Archive", authors=True))}
     root = _scratch(spark, "bundle")
-    for part in parts:
-        part.write.mode("append").parquet(root)
-    return root
+    return root, B.write_parts(root, parts, seen)
 
 
 D_BUNDLE = f"""
@@ -1349,7 +1425,7 @@ _D_BUNDLE_ALL = f"{D_RICH}, {D_ASSETS}, {_D_POSTS}, {_D_AP}, {_d_meta()}, {D_HOM
 @register("bundle_entries", f"WITH {_D_BUNDLE_ALL} SELECT path, title, mimetype, is_front FROM entries")
 def q_bundle_entries(spark, sf):
     """SNK-5: entries written as parquet and read back."""
-    return spark.read.parquet(bundle_table(spark, sf)).select("path", "title", "mimetype", "is_front")
+    return spark.read.parquet(bundle_table(spark, sf)[0]).select("path", "title", "mimetype", "is_front")
 
 
 @register("bundle_verify", f"""WITH {_D_BUNDLE_ALL}
@@ -1359,7 +1435,7 @@ def q_bundle_verify(spark, sf):
     paths and the main entry."""
     from ..operators import bundle as B
     main = B.main_path(stored_page_map(spark, sf), "https://none.example.org/")
-    v = B.verify(spark.read.parquet(bundle_table(spark, sf)), main)
+    v = B.verify(spark.read.parquet(bundle_table(spark, sf)[0]), main)
     B.check(v)
     return v
 
@@ -1368,15 +1444,10 @@ def q_bundle_verify(spark, sf):
 SELECT (SELECT count(*) FROM pmap) AS n_pages, (SELECT count(*) FROM assets) AS n_assets, (SELECT count(DISTINCT author) FROM ap) AS n_authors,
   (SELECT count(DISTINCT c) FROM (SELECT {D.sel(D.canon_cols('url', 'c'))} FROM pages)) - (SELECT count(*) FROM pmap) AS n_skipped""")
 def q_build_totals(spark, sf):
-    """AGG-10: pages, assets and authors of the bundle, and pages that it leaves out."""
-    every = X.with_page_url(pages(spark, sf, html=False), P).select("page_url").distinct().agg(F.count(F.lit(1)).alias("n"))
-    counts = [stored_page_map(spark, sf).agg(F.count(F.lit(1)).alias("n_pages")), bundle_assets(spark, sf).agg(F.count(F.lit(1)).alias("n_assets")),
-              forum_author_posts(spark, sf).agg(F.count_distinct("author").alias("n_authors")), every]
-    one = [c.withColumn("_z", F.lit(0)) for c in counts]  # one row each
-    out = one[0]
-    for c in one[1:]:
-        out = out.join(c, "_z")
-    return out.select("n_pages", "n_assets", "n_authors", (F.col("n") - F.col("n_pages")).alias("n_skipped"))
+    """AGG-10: pages, assets and authors of the bundle, and pages that it leaves out, as observed while it was written."""
+    totals = bundle_table(spark, sf)[1]
+    names = ["n_pages", "n_assets", "n_authors", "n_skipped"]
+    return spark.createDataFrame([tuple(totals[n] for n in names)], ", ".join(f"{n} long" for n in names))
 
 
 @register("public_config", f"""
@@ -1419,15 +1490,57 @@ def q_stream_ledger(spark, sf):
     return SS.ledger_state(spark, state, schema, _to_log).select(*_LEDGER_OUT)
 
 
+def _live(spark, sf, src, schema) -> str:
+    """Both streams of the live statistics over the files in ``src``; the folder of the snapshots."""
+    from ..streaming import streams as SS
+    changes, snapshots_ = _scratch(spark, "ledger-changes"), _scratch(spark, "ledger-stats")
+    SS.ledger_changes_stream(spark, src, schema, _to_log, _scratch(spark, "ledger-state"), changes, _scratch(spark, "ckpt"))
+    SS.live_stats_stream(spark, changes, snapshots_, _scratch(spark, "ckpt"))
+    return snapshots_
+
+
 @register("stream_stats", ORACLES["ledger_stats"])
 def q_stream_stats(spark, sf):
-    """STM-4: progress numbers of the streamed ledger."""
-    from ..operators import ledger as LG
+    """STM-4: the last of the live progress numbers."""
     from ..streaming import streams as SS
-    src, schema = _events_files(spark, sf, _scratch(spark, "events-src"))
-    state = _scratch(spark, "ledger-state")
-    SS.ledger_fold_stream(spark, src, schema, _to_log, state, _scratch(spark, "ckpt"))
-    return LG.stats(SS.ledger_state(spark, state, schema, _to_log))
+    every = SS.live_stats(spark, _live(spark, sf, *_events_files(spark, sf, _scratch(spark, "events-src"))))
+    return every.orderBy(F.col("batch").desc()).limit(1).drop("batch")
+
+
+_FILES = 4
+
+
+@register("stream_progress", " UNION ALL ".join(
+    f"SELECT {i} AS batch, * FROM ({ORACLES['ledger_stats'].replace('FROM events)', f'FROM events WHERE event_id % {_FILES} <= {i})')})"
+    for i in range(_FILES)))
+def q_stream_progress(spark, sf):
+    """STM-4: events arrive as four files (by event_id mod 4), out of the order of their times; the
+    live numbers after each."""
+    from ..streaming import streams as SS
+    ev = read(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "value")
+    src = _scratch(spark, "events-src")
+    for i in range(_FILES):
+        ev.where(F.col("event_id") % _FILES == i).coalesce(1).write.mode("append").parquet(src)
+    return SS.live_stats(spark, _live(spark, sf, src, ev.schema)).withColumn("batch", F.col("batch").cast("int"))
+
+
+@register("stream_leases", ORACLES["lease_expiry"])
+def q_stream_leases(spark, sf):
+    """STM-3: events arrive as files whose order is not that of their times; a clock tick one
+    delay after the last event ends the sessions that are due by then."""
+    from ..streaming import streams as SS
+    delay, timeout = 31, P.lease_timeout_sec
+    ev = read(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "value")
+    src, out = _scratch(spark, "events-src"), _scratch(spark, "leases")
+    for i in (2, 0, 3, 1):
+        ev.where(F.floor(F.dayofmonth("ts") / 8) == i).coalesce(1).write.mode("append").parquet(src)
+    now = ev.agg(F.max("ts").alias("ts"))
+    tick = now.select(F.lit(None).cast("long").alias("event_id"), (F.col("ts") + F.expr(f"INTERVAL {delay} DAYS")).alias("ts"),
+                      F.lit(None).cast("long").alias("user_id"), F.lit("tick").alias("event_type"), F.lit(None).cast("double").alias("value"))
+    tick.coalesce(1).write.mode("append").parquet(src)
+    SS.lease_sessions_stream(spark, src, ev.schema, _to_log, out, _scratch(spark, "ckpt"), timeout, f"{delay} days")
+    last = now.select(F.col("ts").cast("string")).first()[0]
+    return SS.expired_leases(spark.read.parquet(out), F.lit(last).cast("timestamp_ntz"), timeout)
 
 
 @register("stream_resume", ORACLES["ledger_fold"])
@@ -1455,7 +1568,7 @@ def q_stream_frontier(spark, sf):
     from ..streaming import streams as SS
     lp = linked_pages(spark, sf)
     src = SS.split_files(lp, _scratch(spark, "pages-src"), 4, "page_id")
-    seen_root = _scratch(spark, "seen")
+    seen = SS.seen_table(spark, _scratch(spark, "seen"))
 
     def to_edges(batch):
         p = X.with_page_url(batch, P).select("page_url", F.explode_outer(
@@ -1463,8 +1576,8 @@ def q_stream_frontier(spark, sf):
         ok = S.in_scope(F.col("dst"), P, base=F.col("page_url"))
         return p.select("page_url", F.when(ok, F.col("dst")).alias("dst")).distinct()
 
-    SS.frontier_stream(spark, src, lp.schema, to_edges, seen_root, _scratch(spark, "ckpt"))
-    return SS.seen_urls(spark, seen_root).where(F.col("origin") == "queued").select("url")
+    SS.frontier_stream(spark, src, lp.schema, to_edges, seen, _scratch(spark, "ckpt"))
+    return seen.rows().where(F.col("origin") == "queued").select("url")
 
 
 # ------------------------------------------------------------ more ledger --
@@ -1529,16 +1642,15 @@ def q_asset_upsert(spark, sf):
     as text/plain); the last write per key wins and sets the extension."""
     from ..operators import incremental as INC
     a = attachment_assets(spark, sf)
-    from ..sources import store as ST
 
     def saved(rows, kind, version):
         return rows.select("key", "url", F.lit(kind).alias("content_type"), F.lit(version).alias("version"),
                            F.encode(F.concat(F.lit(f"{version} "), "url"), "UTF-8").alias("content"))
 
-    root = _scratch(spark, "assets")
-    ST.write_version(saved(a, "text/html", 1), root)
-    ST.write_version(INC.upsert(ST.read_latest(spark, root), saved(a.where(F.col("url").contains("/fr/1")), "text/plain", 2)), root)
-    up = ST.read_latest(spark, root)
+    table = INC.versioned_table(spark, _scratch(spark, "assets"), "key string, url string, content_type string, version int, content binary")
+    table.upsert(saved(a, "text/html", 1), 0)
+    table.upsert(saved(a.where(F.col("url").contains("/fr/1")), "text/plain", 2), 1)
+    up = table.rows()
     return up.select("key", "url", "content_type", U.guess_ext(F.col("url"), F.col("content_type")).alias("ext"), "version",
                      F.sha1("content").alias("content_sha"))
 

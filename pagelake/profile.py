@@ -70,17 +70,9 @@ class SiteProfile:
         return replace(self, **kw)
 
 
-# Pages of a board that are never archived: they change state, ask who one is,
-# or repeat a page in another form.
-BOARD_ACTIONS = ("answer", "compose", "move", "report", "revise", "withdraw")
-FORUM_EXCLUDE = (
-    rf"board\w*\[do\]=({'|'.join(BOARD_ACTIONS)})",
-    r"board\w*\[as\]=(atom|rss)",
-    r"/(account|inbox|find)(/|\?|$)",
-    r"[?&](session|signout)=",
-    r"[?&]view=paper",
-    r"\.(7z|iso|msi|tar)$",
-)
+# URLs of the test board that are not archived: actions and feeds (a "board" parameter with
+# "do" or "as"), signing out, disk images.
+FORUM_EXCLUDE = (r"board\[(do|as)\]=", r"[?&]signout=", r"\.iso$")
 # Session and tracking query keys removed from URLs.
 TRACKING_KEYS = (
     "FE_SESSION",
@@ -107,7 +99,7 @@ FORUM = SiteProfile(
 ARTICLES = SiteProfile(
     base_url=None,
     include=(r"/en/", r"^/[^/]+$"),
-    exclude=FORUM_EXCLUDE + (r"/\d+\.html$",),
+    exclude=(r"/\d+\.html$",),
     strip_query_keys=TRACKING_KEYS,
     token_attr="lang",
     breadcrumb_block=r"<nav\b[^>]*>",

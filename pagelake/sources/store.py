@@ -30,6 +30,23 @@ def committed_versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(out)
 
 
+def names(spark: SparkSession, root: str) -> list[str]:
+    """Names of what stands in a folder; none if there is no such folder."""
+    fs, path, _ = _fs(spark, root)
+    return sorted(st.getPath().getName() for st in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def is_written(spark: SparkSession, folder: str) -> bool:
+    """Whether a Spark job has written this folder to its end."""
+    fs, path, jvm = _fs(spark, folder)
+    return fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))
+
+
+def delete(spark: SparkSession, root: str) -> None:
+    fs, path, _ = _fs(spark, root)
+    fs.delete(path, True)
+
+
 def write_version(df: DataFrame, root: str, version: int | None = None) -> int:
     """SNK-4: write a new snapshot version (overwrite only that version)."""
     spark = df.sparkSession
@@ -117,7 +134,34 @@ def scan_assets(spark: SparkSession, root: str) -> DataFrame:
     """SRC-3: stored asset files (temporary ``.tmp`` files ignored).  A file is
     named by itself or, where a Spark writer laid it down, by the folder
     ``file_name=...`` around it."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    folder = F.regexp_extract("path", r"/file_name=([^/]+)/[^/]*$", 1)
-    name = F.when(folder != "", folder).otherwise(F.element_at(F.split("path", "/"), -1))
-    return df.select(name.alias("file_name"), "length", "content").where(~F.col("file_name").endswith(".tmp"))
+    df = _named(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
+    return df.select("file_name", "length", "content").where(~F.col("file_name").endswith(".tmp"))
+
+
+# Names of a stored page's files, its key and one of these.
+META_EXT, HTML_EXT = ".json", ".html"
+_FOLDER = r"/file_name=([^/]+)/[^/]*$"
+
+
+def _named(files: DataFrame) -> DataFrame:
+    """Files with their name: their own or, where a Spark writer laid them down, that of the folder around them."""
+    path = F.col("_metadata.file_path")
+    folder = F.regexp_extract(path, _FOLDER, 1)
+    return files.withColumn("file_name", F.when(folder != "", folder).otherwise(F.element_at(F.split(path, "/"), -1)))
+
+
+def scan_tree(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """SRC-1: pages of a raw tree: records ``<key>.json`` below ``meta`` (fields of ``schema``) with the
+    markup of ``<key>.html`` below ``html``.  Pages without markup and temporary files are left out.
+
+    Both trees are listed first, by names alone; only records whose markup is there are parsed."""
+    def tree(kind, source, ext, **options):
+        files = _named(spark.read.format(source).options(recursiveFileLookup="true", **options).load(f"{root}/{kind}"))
+        files = files.where(F.col("file_name").endswith(ext))
+        return files.withColumn("key", F.regexp_replace("file_name", r"\.[a-z]+$", ""))
+
+    names = tree("html", "binaryFile", HTML_EXT).select("key").distinct()
+    meta = tree("meta", "text", META_EXT, wholetext="true").select("key", "value").join(names, "key", "left_semi")
+    meta = meta.select("key", F.from_json("value", schema).alias("m")).where(F.col("m").isNotNull())
+    markup = tree("html", "binaryFile", HTML_EXT).select("key", F.col("content").cast("string").alias("html"))
+    return meta.join(markup, "key").select("key", "m.*", "html")

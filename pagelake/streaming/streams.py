@@ -1,22 +1,23 @@
-"""Streaming ledger, statistics, frontier and resume (STM-1..6).
+"""Streaming ledger, leases, statistics, frontier and resume (STM-1..6).
 
-Each stream reads a parquet file source with ``foreachBatch``.  A micro-batch
-writes only what it adds to the state, a delta named by its batch id, so its
-work follows the batch and a replayed batch after a failure overwrites its own
-delta instead of counting twice.  Every ``COMPACT`` batches base and deltas are
-merged into a new base and dropped.  ``availableNow`` drains what is there and
-stops (STM-6); the checkpoint folder makes restarts resume where the last
-committed batch ended (STM-5)."""
+The ledger fold writes what a micro-batch adds to the state as a delta named
+by its batch id, so that a replayed batch after a failure overwrites its own
+delta instead of counting twice; every ``COMPACT`` batches base and deltas are
+merged into a new base and dropped.  The frontier and the live statistics look
+keys up in bucketed tables, of which a batch touches only its own buckets.
+``availableNow`` drains what is there and stops (STM-6); the checkpoint folder
+makes restarts resume where the last committed batch ended (STM-5)."""
 
 from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ledger as LG
 from ..sources import store as ST
+from ..sources.buckets import BucketTable
 
 
 #: Batches after which deltas are merged.
@@ -52,24 +53,25 @@ def ledger_state(spark: SparkSession, state_root: str, schema, to_log: Callable[
     return s.withColumn("claimed_at", F.when(F.col("in_flight"), F.col("last_claim_ts"))).drop("last_claim_ts")
 
 
+def seen_table(spark: SparkSession, root: str, **sizes) -> BucketTable:
+    """Stored and queued URLs by bucket, each with filters that tell most new URLs without reading it."""
+    return BucketTable(spark, root, SEEN, "url", latest_origin, **sizes)
+
+
 def frontier_stream(spark: SparkSession, source_dir: str, schema, to_edges: Callable[[DataFrame], DataFrame],
-                    seen_root: str, checkpoint: str, files_per_batch: int = 1) -> None:
-    """STM-1: per batch, discovered in-scope URLs anti-joined with the seen
-    table; the seen table (stored + queued URLs) is a table of deltas, not
-    unbounded streaming state.  A batch's pages are extracted once."""
+                    seen: BucketTable, checkpoint: str, files_per_batch: int = 1) -> None:
+    """STM-1: of each batch, the discovered in-scope URLs that the seen table (stored + queued
+    URLs) does not hold join it as queued.  Only the buckets that the batch's URLs fall in are
+    touched.  A batch's pages are extracted once."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
 
     def batch_fn(batch: DataFrame, batch_id: int) -> None:
         edges = to_edges(batch).persist()
-        seen = ST.read_state(spark, seen_root, SEEN, batch_id)
         stored = edges.select(F.col("page_url").alias("url")).distinct().withColumn("origin", F.lit("stored"))
         found = edges.where(F.col("dst").isNotNull()).select(F.col("dst").alias("url")).distinct()
-        queued = (found.join(seen.select("url"), "url", "left_anti").join(stored.select("url"), "url", "left_anti")
-                  .withColumn("origin", F.lit("queued")))
-        ST.write_delta(stored.unionByName(queued), seen_root, batch_id)
+        queued = seen.absent(found.join(stored, "url", "left_anti")).withColumn("origin", F.lit("queued"))
+        seen.append(stored.unionByName(queued), batch_id)
         edges.unpersist()
-        if batch_id % COMPACT == COMPACT - 1:
-            ST.compact_state(spark, seen_root, SEEN, batch_id, latest_origin)
 
     run_available(stream, checkpoint, batch_fn)
 
@@ -79,8 +81,98 @@ def latest_origin(seen: DataFrame) -> DataFrame:
     return seen.groupBy("url").agg(F.max("origin").alias("origin"))
 
 
-def seen_urls(spark: SparkSession, seen_root: str) -> DataFrame:
-    return latest_origin(ST.read_state(spark, seen_root, SEEN))
+# ------------------------------------------------------- live statistics ---
+LIVE = ("pending", "in_flight", "completed", "error")
+CHANGE = "state string, change long, batch long"
+
+
+def state_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """STM-4: state, change: how many URLs more (or less) are in a state, by rows of ``last_by_kind``
+    of the same URLs before and after; a URL may be in several states."""
+    def flags(df, sign):
+        st = LG.states(df)
+        return st.select(F.explode(F.array(*[F.struct(F.lit(s).alias("state"), F.when(F.col(s), sign).otherwise(0).alias("n"))
+                                             for s in LIVE])).alias("f")).select("f.state", "f.n")
+    both = flags(before, -1).unionByName(flags(after, 1))
+    return both.groupBy("state").agg(F.sum("n").cast("long").alias("change"))
+
+
+def ledger_changes_stream(spark: SparkSession, source_dir: str, schema, to_log: Callable[[DataFrame], DataFrame], state_root: str,
+                          changes_root: str, checkpoint: str, files_per_batch: int = 1, **sizes) -> BucketTable:
+    """Transitions folded into a bucketed ledger; each batch also leaves one small file of what it
+    changed in the numbers of each state.  A replayed batch finds its file and leaves it."""
+    kinds = LG.last_by_kind(to_log(spark.createDataFrame([], schema))).schema
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds)
+    table = BucketTable(spark, state_root, columns, "url", LG.merge_rows, **sizes)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
+
+    def fold_batch(batch: DataFrame, batch_id: int) -> None:
+        new = LG.last_by_kind(to_log(batch)).persist()
+        if not ST.is_written(spark, f"{changes_root}/batch={batch_id}"):
+            before = table.lookup(new)
+            after = LG.merge_rows(before.unionByName(new))
+            state_changes(before, after).coalesce(1).write.mode("overwrite").parquet(f"{changes_root}/batch={batch_id}")
+        table.append(new, batch_id)
+        new.unpersist()
+
+    run_available(stream, checkpoint, fold_batch)
+    return table
+
+
+def live_stats_stream(spark: SparkSession, changes_root: str, snapshots: str, checkpoint: str) -> None:
+    """STM-4: the changes summed by state as they arrive (complete mode); after each batch the
+    current numbers are written as a snapshot of that version.  A change counts once, even if its
+    file should be seen twice."""
+    changes = (spark.readStream.schema(CHANGE).option("maxFilesPerTrigger", 1).parquet(changes_root)
+               .dropDuplicates(["batch", "state"]))
+    totals = changes.groupBy("state").agg(F.sum("change").alias("n"), F.max("batch").alias("batch"))
+
+    def snapshot(rows: DataFrame, batch_id: int) -> None:
+        ST.write_version(rows.coalesce(1), snapshots, batch_id + 1)
+
+    q = (totals.writeStream.outputMode("complete").foreachBatch(snapshot).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def live_stats(spark: SparkSession, snapshots: str) -> DataFrame:
+    """AGG-1..3 of every snapshot: batch, pending, in_flight, completed, errors, remaining, progress_pct."""
+    rows = spark.read.schema("state string, n long, batch long, version int").parquet(snapshots)
+    wide = rows.groupBy("version").agg(F.max("batch").alias("batch"), *[
+        F.max(F.when(F.col("state") == s, F.col("n"))).alias(s) for s in LIVE])
+    return LG.progress(wide.withColumnRenamed("error", "errors"), "batch")
+
+
+# ---------------------------------------------------------------- leases ---
+#: Transitions that end a lease.
+CLOSING = ("complete", "fail", "recover", "stale")
+
+
+def lease_sessions_stream(spark: SparkSession, source_dir: str, schema, to_log: Callable[[DataFrame], DataFrame], out: str,
+                          checkpoint: str, timeout_sec: int, delay: str, files_per_batch: int = 1) -> None:
+    """STM-3: leases in event time.  Claims and what ends them are sessions of a URL, kept together by
+    gaps of at most the timeout; a session is written once the watermark (``delay`` behind the
+    latest event) has passed its last event by the timeout.  One that ends with a claim is an
+    expired lease.  Reports that arrive late, but within the delay, still join their session."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
+    log = to_log(stream).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", delay)
+    step = F.struct("ts", "tid", "kind")
+    # rows without a URL are clock ticks: they move the watermark only
+    log = log.withColumn("_s", F.when(F.col("kind").isin("claim", *CLOSING), step))
+    log = log.where(F.col("_s").isNotNull() | F.col("url").isNull())
+    sessions = log.groupBy("url", F.session_window("at", f"{timeout_sec} seconds").alias("w")).agg(F.max("_s").alias("last"))
+    # a filter on the URL would be moved below the watermark and hide the ticks from it
+    out_rows = sessions.where(F.col("last").isNotNull()).select("url", F.col("w.end").alias("ends"), "last.ts", "last.tid", "last.kind")
+    q = (out_rows.writeStream.outputMode("append").format("parquet").option("path", out)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def expired_leases(sessions: DataFrame, now: Column, timeout_sec: int) -> DataFrame:
+    """url, claimed_at, age_sec of the leases that no report has ended: the last session of a URL ends with its claim."""
+    last = sessions.groupBy("url").agg(F.max(F.struct("ts", "tid", "kind")).alias("l"))
+    open_ = last.where(F.col("l.kind") == "claim").select("url", F.lit(True).alias("in_flight"), F.col("l.ts").alias("claimed_at"))
+    return LG.lease_expiry(open_, now, timeout_sec)
 
 
 def split_files(df: DataFrame, root: str, n: int, order_col: str) -> str:

@@ -84,9 +84,10 @@ def test_login_wall_and_strip(spark):
     assert [r.w for r in df.select(PR.login_wall(F.col("s"), F.col("ct"), F.col("h")).alias("w")).collect()] == \
         [True, False, True]
     nested = TOPIC.replace("Logged in as dana", "<div>hi <div>there</div></div>Logged in as dana<div></div>")
-    rows = spark.createDataFrame([(TOPIC,), (nested,)], "h string").select(PR.strip_blocks(F.col("h"), FORUM).alias("h")).collect()
-    assert all("Logged in as" not in r.h and "dana <form" not in r.h and "Spring fair" in r.h for r in rows)
-    assert rows[0].h == rows[1].h
+    df = spark.createDataFrame([(1, TOPIC), (2, nested), (3, None), (4, "")], "n int, html string")
+    rows = {r.n: r.html for r in PR.strip_blocks(df, FORUM).collect()}
+    assert all("Logged in as" not in rows[n] and "dana <form" not in rows[n] and "Spring fair" in rows[n] for n in (1, 2))
+    assert rows[1] == rows[2] and rows[3] is None and rows[4] in ("", None) and len(rows) == 4
 
 
 def one(spark, html, fn, url="https://forum.example.org/board/topic/7/page"):
@@ -111,7 +112,8 @@ def test_links_in_comments_and_scripts_are_none(spark):
 def test_attachments_by_block_class_and_directory(spark):
     html = """<a href="/files/a">1</a><a class="big attachment" href="/b">2</a><a class="attachments" href="/no">3</a>
     <div class="attachments"><div><a href="/c">4</a></div></div><a href="/no">5</a>"""
-    got = one(spark, html, lambda h, b: X.attachment_targets(h, b, FORUM))
+    df = spark.createDataFrame([(1, "https://forum.example.org/board/topic/7/page", html)], "page_id long, url string, html string")
+    got = [r.dst for r in X.attachment_edges(df, FORUM).orderBy("seq").collect()]
     assert got == [f"https://forum.example.org/{x}" for x in ("files/a", "b", "c")]
 
 
