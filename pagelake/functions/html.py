@@ -32,7 +32,8 @@ def code_point(c: Column) -> Column:
 
 def _reference(name: Column) -> Column:
     """Text of one reference (without '&' and ';'), null when unknown."""
-    table = F.create_map(*[F.lit(x) for kv in NAMED.items() for x in kv])
+    # one literal instead of some hundred: plans hold this many times
+    table = F.str_to_map(F.lit("\x02".join(f"{k}\x03{v}" for k, v in NAMED.items())), F.lit("\x02"), F.lit("\x03"))
     num = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(
         F.substring(name, 2, 7))
     return F.when(name.startswith("#"), code_point(num.try_cast("int"))).otherwise(F.try_element_at(table, name))

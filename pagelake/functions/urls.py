@@ -273,7 +273,7 @@ def guess_ext(url: Column, content_type: Column) -> Column:
     """P-8: URL suffix of 1-5 alphanumerics, else by content type, else .bin."""
     suffix = F.regexp_extract(path(url), r"\.([A-Za-z0-9]{1,5})$", 1)
     ct = F.lower(F.trim(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)))
-    mime = F.create_map(*[x for kv in MIME_EXT.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
+    mime = F.str_to_map(F.lit("\x02".join(f"{k}\x03{v}" for k, v in MIME_EXT.items())), F.lit("\x02"), F.lit("\x03"))
     return F.when(suffix != "", F.concat(F.lit("."), F.lower(suffix))).otherwise(
         F.coalesce(F.try_element_at(mime, ct), F.lit(".bin")))
 

@@ -31,14 +31,19 @@ def resolution(edges: DataFrame, page_map: DataFrame, asset_map: DataFrame | Non
         .drop("page_path", "asset_path")
 
 
+def unique_path(path: Column, url: str = "url") -> Column:
+    """The path of a row, each path once, and none that the home index needs: of several URLs with one
+    path the smallest keeps it, the others get a key suffix.  For rows of distinct URLs."""
+    same = Window.partitionBy(path).orderBy(url)
+    suffix = F.concat(F.lit("~"), F.substring(U.url_key(F.col(url)), 1, 10))
+    named = F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), suffix, F.regexp_extract(path, r"(\.[^./]*)$", 1))
+    taken = (F.row_number().over(same) > 1) | path.rlike(r"^(index(-\d+)?\.html|authors/.*)$")
+    return F.when(taken, named).otherwise(path)
+
+
 def unique_paths(urls: DataFrame) -> DataFrame:
-    """(url, path) with each path once, and none that the home index needs: of
-    several URLs with one path the smallest keeps it, the others get a key suffix."""
-    same = Window.partitionBy("path").orderBy("url")
-    suffix = F.concat(F.lit("~"), F.substring(U.url_key(F.col("url")), 1, 10))
-    named = F.concat(F.regexp_replace("path", r"\.[^./]*$", ""), suffix, F.regexp_extract("path", r"(\.[^./]*)$", 1))
-    taken = (F.row_number().over(same) > 1) | F.col("path").rlike(r"^(index(-\d+)?\.html|authors/.*)$")
-    return urls.select("url", "path").distinct().withColumn("path", F.when(taken, named).otherwise(F.col("path")))
+    """(url, path) with each path once, as ``unique_path`` has them."""
+    return urls.select("url", "path").distinct().withColumn("path", unique_path(F.col("path")))
 
 
 def asset_todo(targets: DataFrame, stored: DataFrame, profile: SiteProfile, col: str = "dst") -> DataFrame:

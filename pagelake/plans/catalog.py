@@ -106,14 +106,16 @@ def page_meta(spark: SparkSession, sf: str) -> DataFrame:
     """Stored page records for the index jobs: canonical url, key, title,
     breadcrumb, bundle path and date.  A page's post date text is the
     matching event's time (event_id = page_id) shown as dd-MM-yyyy HH:mm."""
+    from ..operators import links as L
     p = X.with_page_url(pages(spark, sf), P)
     recs = X.latest_per_key(p.select("page_id", F.col("page_url").alias("url"), "key",
                                      X.record_title(F.col("html"), P).alias("title"),
                                      X.record_breadcrumb(F.col("html"), P).alias("breadcrumb")))
+    # one row a URL: its path needs no second look at the table
+    recs = S.prune_excluded(recs, P, "url").withColumn("path", U.page_path(F.col("url"))).withColumn("path", L.unique_path(F.col("path")))
     ev = read(spark, sf, "events", "event_id", "ts").select(
         F.col("event_id").alias("page_id"), F.date_format("ts", "dd-MM-yyyy HH:mm").alias("ts_text"))
     m = recs.join(ev, "page_id", "left")
-    m = m.join(stored_page_map(spark, sf), "url")
     return m.select("page_id", "url", "key", "title", "breadcrumb", "path",
                     T.parse_ts(F.col("ts_text")).alias("date"),
                     IX.page_label(F.col("url"), F.col("title"), F.col("breadcrumb"), P).alias("label"))
@@ -660,16 +662,22 @@ def topic_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations rendered as paginated forum topics (20 posts a page):
     conv = topic, turn = post, role = author; the post time is the time of
     the event whose id equals the conversation id.  Pages are bounded, so a
-    very long conversation never becomes one huge row."""
+    very long conversation never becomes one huge row.  Each post has an address, of
+    every third one only the visible form, and two labelled lines."""
+    from ..functions import pii as PII
     from ..functions.text import html_escape
     c = read(spark, sf, "conversations", "conv_id", "turn", "role", "text")
     ev = read(spark, sf, "events", "event_id", "ts").select(
         F.col("event_id").alias("conv_id"), F.date_format("ts", "dd-MM-yyyy HH:mm").alias("ts_text"))
     c = c.join(ev, "conv_id", "left")
+    mail = F.concat(F.lit("u"), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string"), F.lit("@example.org"))
+    token = F.when(F.col("turn") % 3 == 0, F.lit("none")).otherwise(PII.shift_chars(F.concat(F.lit("mailto:"), mail), 1))
+    info = F.concat(F.lit('<div class="post-info"><span data-mail-token="'), html_escape(token), F.lit('">'), F.replace(mail, F.lit("@"), F.lit(" at ")),
+                    F.lit("</span>Updated: "), F.col("turn").cast("string"), F.lit(" days ago...<br>Role "), html_escape(F.col("role")), F.lit(".</div>"))
     chunk = F.concat(F.lit('<li class="post" data-post-id="'), F.col("conv_id").cast("string"), F.lit("-"),
                      F.col("turn").cast("string"), F.lit('"><div class="post-byline">Posted '),
-                     F.coalesce("ts_text", F.lit("")), F.lit(" by "), html_escape(F.col("role")),
-                     F.lit('</div><div class="post-body">'), html_escape(F.col("text")), F.lit("</div></li>"))
+                     F.coalesce("ts_text", F.lit("")), F.lit(" by "), html_escape(F.col("role")), F.lit("</div>"), info,
+                     F.lit('<div class="post-body">'), html_escape(F.col("text")), F.lit("</div></li>"))
     c = c.withColumn("page_no", (F.floor(F.col("turn") / POSTS_PER_PAGE) + 1).cast("bigint"))
     g = c.groupBy("conv_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("turn", chunk.alias("c")))).alias("cs"))
     cid = F.col("conv_id").cast("string")
@@ -694,20 +702,26 @@ po AS (
     CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS post_id,
     nullif({D.trim_ws('role')}, '') AS author,
     ts_text AS timestamp,
+    'u' || CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) || '@example.org' AS email,
+    CASE WHEN turn % 3 = 0 THEN 'none' ELSE array_to_string(list_transform(string_split('mailto:' || email, ''), lambda c: chr(ascii(c) + 1)), '') END AS email_obfuscated,
+    replace(email, '@', ' at ') AS email_visible, CAST(turn AS VARCHAR) || ' days ago' AS updated, role AS department,
     {D.trim_ws('text')} AS t0,
     CASE WHEN length(t0) > 280 THEN left(t0, 280) || '…' ELSE t0 END AS text_excerpt
   FROM cp
 )"""
 
 
-def forum_posts(spark, sf):
+def forum_posts(spark, sf, reveal_email: bool = False):
     from ..profile import FORUM
-    return X.posts(topic_pages(spark, sf), FORUM)
+    return X.posts(topic_pages(spark, sf), FORUM, reveal_email)
+
 
+_POST = "page_id, pos, post_id, author, timestamp, email_obfuscated, email, email_visible, updated, department, text_excerpt"
 
-@register("posts", f"WITH {_D_POSTS} SELECT page_id, pos, post_id, author, timestamp, text_excerpt FROM po")
+
+@register("posts", f"WITH {_D_POSTS} SELECT {_POST} FROM po")
 def q_posts(spark, sf):
-    return forum_posts(spark, sf).select("page_id", "pos", "post_id", "author", "timestamp", "text_excerpt")
+    return forum_posts(spark, sf, reveal_email=True).select(*_POST.split(", "))
 
 
 @register("page_dates", f"""WITH {_D_POSTS}
@@ -752,16 +766,25 @@ def q_author_index(spark, sf):
     return A.author_index(forum_author_posts(spark, sf)).select("author", "n_posts", "slug", "rank")
 
 
+def _d_escape(e: str) -> str:
+    for x, y in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        e = f"replace({e}, '{x}', '{y}')"
+    return e
+
+
 @register("author_pages", f"""WITH {_D_POSTS}, {_D_AP},
-n AS (SELECT *, (row_number() OVER (PARTITION BY author ORDER BY key, pos) - 1) // 500 AS chunk FROM ap),
-d AS (SELECT author, chunk, count(*) AS n_items, 'authors/' || left(CASE WHEN b = '' THEN 'author' ELSE b END, 40) || '-' || left(sha1(author), 6) AS stem
-  FROM (SELECT *, lower(regexp_replace(regexp_replace(author, '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS b FROM n) GROUP BY author, chunk, stem)
+n AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY key, pos) - 1 AS i, i // 500 AS chunk, (count(*) OVER (PARTITION BY author) - 1) // 500 AS last FROM ap),
+d AS (SELECT author, chunk, last, count(*) AS n_items, 'authors/' || left(CASE WHEN b = '' THEN 'author' ELSE b END, 40) || '-' || left(sha1(author), 6) AS stem,
+    string_agg('<dt><a href="../' || {_d_escape('path')} || '">' || {_d_escape('title')} || '</a> <time>' || {_d_escape('ts')} || '</time></dt><dd>' || {_d_escape('excerpt')} || '</dd>', '' ORDER BY i) AS items
+  FROM (SELECT *, lower(regexp_replace(regexp_replace(author, '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS b FROM n) GROUP BY author, chunk, last, stem)
 SELECT stem || CASE WHEN chunk = 0 THEN '' ELSE '-' || CAST(chunk + 1 AS VARCHAR) END || '.html' AS path, 'Author: ' || author AS title,
-  CAST(n_items AS INTEGER) AS n_items FROM d""")
+  CAST(n_items AS INTEGER) AS n_items, sha1('<!doctype html><title>' || {_d_escape('author')} || '</title><h1>' || {_d_escape('author')} || '</h1><dl>' || items || '</dl><nav>' ||
+    CASE WHEN chunk > 0 THEN '<a rel="prev" href="../' || stem || CASE WHEN chunk = 1 THEN '' ELSE '-' || CAST(chunk AS VARCHAR) END || '.html">prev</a>' ELSE '' END ||
+    CASE WHEN chunk < last THEN '<a rel="next" href="../' || stem || '-' || CAST(chunk + 2 AS VARCHAR) || '.html">next</a>' ELSE '' END || '</nav>') AS content_sha FROM d""")
 def q_author_pages(spark, sf):
-    """PUB-1: an author's posts, 500 a document."""
+    """PUB-1 + P-20: an author's posts, 500 a document, and a digest of the document."""
     from ..operators import authors as A
-    return A.author_pages(forum_author_posts(spark, sf)).select("path", "title", "n_items")
+    return A.author_pages(forum_author_posts(spark, sf)).select("path", "title", "n_items", F.sha1(F.encode("content", "UTF-8")).alias("content_sha"))
 
 
 @register("excerpts", f"""
@@ -1416,7 +1439,7 @@ entries AS (
   SELECT path, coalesce(title, u) AS title, 'text/html' AS mimetype, true AS is_front FROM meta
   UNION ALL SELECT DISTINCT path, title, 'text/html', true FROM ap
   UNION ALL SELECT path, path, CASE WHEN ends_with(url, '.css') THEN 'text/css' WHEN ends_with(url, '.js') THEN 'text/javascript' ELSE 'image/png' END, false FROM assets
-  UNION ALL SELECT path, title, 'text/html', true FROM ({ORACLES['author_pages']})
+  UNION ALL SELECT path, title, 'text/html', true FROM (SELECT path, title FROM ({ORACLES['author_pages']}))
   UNION ALL SELECT path, title, 'text/html', true FROM ({ORACLES['author_directory']})
   UNION ALL SELECT DISTINCT {_D_PART.format(c='((pos - 1) // 1000)', f="'index.html'")}, 'Archive', 'text/html', true FROM home)"""
 _D_BUNDLE_ALL = f"{D_RICH}, {D_ASSETS}, {_D_POSTS}, {_D_AP}, {_d_meta()}, {D_HOME}, {D_BUNDLE}"
