@@ -162,6 +162,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) ->
     one = F.broadcast(one.select(F.col("doc_id").alias("_id"), "quality"))
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), "n_chars")
     rows = rows.join(one, F.col("doc_id") == F.col("_id"))
+    # one row an id, however many the table has: that with the smallest hash of its text
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("t"), F.col("n_chars").alias("n")))
+    rows = rows.groupBy("doc_id", "quality").agg(first.alias("r")).select(
+        "doc_id", "quality", F.col("r.t").alias("text"), F.col("r.n").alias("n_chars"))
 
     def extract(batches):
         for b in batches:

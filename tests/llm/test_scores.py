@@ -196,3 +196,14 @@ def test_classifier_odd_rows(spark):
         assert rows[0]["h"] == "d"
     assert all(r["score"] == 0.5 for r in rows)
     assert classifier.score_documents(docs.limit(0), classifier.train(docs, some)).count() == 0
+
+
+def test_one_training_row_an_id(spark):
+    """An id with thousands of rows, equal and different ones, counts once."""
+    ids = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5]
+    hot = spark.range(20_000).selectExpr(f"{ids[0]}L AS doc_id", "concat('text ', id % 7) AS text", "6L AS n_chars")
+    docs = hot.unionByName(spark.createDataFrame([(i, f"document {i}", 11) for i in ids[1:]], "doc_id long, text string, n_chars long"))
+    labels = spark.createDataFrame([(i, i % 2) for i in [*ids, ids[0]]], "doc_id long, quality int")
+    feats, marks = classifier.training_rows(docs, labels)
+    assert len(feats) == len(marks) == len(ids)
+    assert len(classifier.training_rows(docs, labels, most=5)[0]) == 5
