@@ -21,7 +21,9 @@ share one: they form a segment.
    already.  The sample decides on that only, never on a result.
 3. The reported intervals are gathered for each document and its words cut.
 
-Texts are shuffled once, by id.  Nothing is collected.
+A document is an id and a text, by 64 bits of its hash: equal rows find the same marks once, so the
+work follows the rows, also where many share an id.  Texts are shuffled once, by both.  Nothing
+is collected.
 
 Defined results: a null text has no words; rows with the same id and text
 count as one document: each keeps and loses the same words; rows with the same
@@ -105,8 +107,8 @@ def frequent_anchors(docs: DataFrame, window: int) -> frozenset[int]:
 
 
 def cut(docs: DataFrame, window: int, frequent: frozenset[int]) -> DataFrame:
-    """anchor, salt, again, seg, doc_id, at of every segment; at holds text id, start and windows,
-    in this order; again: the document has had it before.  Those have salts of their own, as have
+    """anchor, salt, again, seg, doc_id, tid, at of every segment; at holds start and windows, in
+    this order; again: the document has had it before.  Those have salts of their own, as have
     the segments of frequent anchors, equal segments equal ones; for the others it is 0."""
     often = np.array(sorted(frequent), np.int64)
 
@@ -119,22 +121,23 @@ def cut(docs: DataFrame, window: int, frequent: frozenset[int]) -> DataFrame:
                 h = word_hashes(words)
                 for lo in range(0, len(h) - window + 1, BLOCK):
                     anchor, seg, first, count = segments(h[lo:lo + BLOCK + window - 1], window)
-                    at = (tid.as_py() << 45) | (first + lo) << 11 | count
+                    at = (first + lo) << 11 | count
                     again = np.ones(len(seg), bool)
                     again[np.unique(seg, return_index=True)[1]] = False
                     salt = np.where(again, 1 + SALTS + first % AGAIN,
                                     np.where(np.isin(anchor, often), 1 + seg % SALTS, 0))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(anchor), pa.array(salt), pa.array(again), pa.array(seg),
-                         pa.array([doc.as_py()] * len(at), pa.int64()), pa.array(at)],
-                        ["anchor", "salt", "again", "seg", "doc_id", "at"])
+                         *(pa.array(np.full(len(at), x.as_py())) for x in (doc, tid)), pa.array(at)],
+                        ["anchor", "salt", "again", "seg", "doc_id", "tid", "at"])
 
-    return docs.mapInArrow(rows, "anchor long, salt long, again boolean, seg long, doc_id long, at long")
+    return docs.mapInArrow(rows, "anchor long, salt long, again boolean, seg long, doc_id long, tid long, at long")
 
 
 def repeats(cuts: DataFrame) -> DataFrame:
-    """doc_id and its marks: segments that are repeats, or have to be searched (first: true)."""
-    same = Window.partitionBy("anchor", "salt", "seg").orderBy("doc_id", "at")
+    """doc_id, tid and the marks of that text: segments that are repeats, or have to be searched
+    (first: true); those of equal rows are one another's."""
+    same = Window.partitionBy("anchor", "salt", "seg").orderBy("doc_id", "tid", "at")
     group = Window.partitionBy("anchor", "salt").orderBy("seg").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)
     rows = cuts.repartition("anchor", "salt").withColumn("first", ~F.col("again") & (F.rank().over(same) == 1))
@@ -143,20 +146,20 @@ def repeats(cuts: DataFrame) -> DataFrame:
     rows = rows.filter(~F.col("first") | F.col("others"))
     split = (F.col("salt") > 0) | (F.col("n") > HOT)
     mark = F.struct("at", F.col("first"), F.when(split, F.lit(None)).otherwise(F.col("anchor")).alias("anchor"))
-    return rows.groupBy("doc_id").agg(F.collect_list(mark).alias("marks"))
+    return rows.groupBy("doc_id", "tid").agg(F.collect_set(mark).alias("marks"))
 
 
 def to_search(marked: DataFrame, window: int) -> DataFrame:
-    """key, doc_id, at, words of the marked segments that are first of their kind."""
+    """key, doc_id, tid, at, words of the marked segments that are first of their kind."""
 
     def rows(batches):
         for b in batches:
-            out = ([], [], [], [])
+            out = ([], [], [], [], [])
             for doc, tid, text, marks in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                marks = [m for m in marks or () if m["first"] and m["at"] >> 45 == tid]
+                marks = [m for m in marks or () if m["first"]]
                 words = text.split() if marks else []
                 for m in marks:
-                    start, count = m["at"] >> 11 & (1 << 34) - 1, m["at"] & 2047
+                    start, count = m["at"] >> 11, m["at"] & 2047
                     if m["anchor"] is not None:
                         parts = [(m["anchor"], start, count)]
                     else:
@@ -165,27 +168,27 @@ def to_search(marked: DataFrame, window: int) -> DataFrame:
                         keys = span_hashes(h, each, each + window).view(np.int64).tolist()
                         parts = [(k, start + i, 1) for i, k in enumerate(keys)]
                     for key, at, n in parts:
-                        for col, x in zip(out, (key, doc, tid << 45 | at << 11 | n,
+                        for col, x in zip(out, (key, doc, tid, at << 11 | n,
                                                 b" ".join(words[at:at + n + window - 1])), strict=True):
                             col.append(x)
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())],
-                ["key", "doc_id", "at", "words"])
+                [*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())],
+                ["key", "doc_id", "tid", "at", "words"])
 
     # all columns of the texts' exchange, so that it is the same one as at the end
     return marked.select("given_id", "doc_id", "tid", "text", "marks").mapInArrow(
-        rows, "key long, doc_id long, at long, words binary")
+        rows, "key long, doc_id long, tid long, at long, words binary")
 
 
 def search(rows: list[tuple], window: int) -> list[tuple]:
-    """(doc_id, at) of the windows of ``rows`` that also start earlier in them; at for one
-    run of windows.  Rows (key, doc_id, at, words) are in the order of key and document."""
-    texts = [r[3].split() for r in rows]
+    """(row, doc_id, tid, at) of the windows of ``rows`` that also start earlier in them; at for one
+    run of windows.  Rows (key, doc_id, tid, at, words) are in the order of key and document."""
+    texts = [r[4].split() for r in rows]
     symbol: dict[bytes, int] = {}
     ids = [[symbol.setdefault(w, len(symbol) + 1) for w in t] + [0] for t in texts]
     text = np.concatenate([np.array(x, np.int64) for x in ids])
     begin = np.cumsum([0, *map(len, ids)])[:-1]
-    counts = np.array([r[2] & 2047 for r in rows])
+    counts = np.array([r[3] & 2047 for r in rows])
     owner = np.repeat(np.arange(len(rows)), counts)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     found = FMIndex(text, window).earlier(text, begin[owner] + inside + window - 1, window)
@@ -194,13 +197,13 @@ def search(rows: list[tuple], window: int) -> list[tuple]:
     if len(hits):
         edge = np.flatnonzero(np.concatenate([[True], (hits[1:] != hits[:-1] + 1) | (owners[1:] != owners[:-1])]))
         for i, n in zip(edge, np.diff(np.append(edge, len(hits))), strict=True):
-            _, doc, at, _ = rows[owners[i]]
-            out.append((int(owners[i]), doc, (at >> 11 << 11) + (int(inside[hits[i]]) << 11) | int(n)))
+            _, doc, tid, at, _ = rows[owners[i]]
+            out.append((int(owners[i]), doc, tid, (at >> 11 << 11) + (int(inside[hits[i]]) << 11) | int(n)))
     return out
 
 
 def searched(segs: DataFrame, window: int) -> DataFrame:
-    """doc_id, marks: windows that the shards' indexes report."""
+    """doc_id, tid, found: windows that the shards' indexes report."""
 
     def run(batches):
         held: list[tuple] = []
@@ -209,12 +212,11 @@ def searched(segs: DataFrame, window: int) -> DataFrame:
         def report():
             hits = [h for h in search(held, window) if h[0] >= kept]
             return pa.RecordBatch.from_arrays(
-                [pa.array([h[1] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.int64())],
-                ["doc_id", "at"])
+                [pa.array([h[i] for h in hits], pa.int64()) for i in (1, 2, 3)], ["doc_id", "tid", "at"])
 
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if held and held[-1][:3] == row[:3]:
+            for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if held and held[-1][:4] == row[:4]:
                     continue  # a repeated row of one document
                 held.append(row)
                 if len(held) - kept >= CHUNK:
@@ -222,15 +224,15 @@ def searched(segs: DataFrame, window: int) -> DataFrame:
                     seen: dict[bytes, tuple] = {}
                     for r in held:
                         if r[0] == row[0]:
-                            seen.setdefault(r[3], r)
+                            seen.setdefault(r[4], r)
                     held = list(seen.values())
                     kept = len(held)
         if len(held) > kept:
             yield report()
 
-    rows = segs.repartition("key").sortWithinPartitions("key", "doc_id", "at")
-    found = rows.mapInArrow(run, "doc_id long, at long")
-    return found.groupBy("doc_id").agg(F.collect_list("at").alias("found"))
+    rows = segs.repartition("key").sortWithinPartitions("key", "doc_id", "tid", "at")
+    found = rows.mapInArrow(run, "doc_id long, tid long, at long")
+    return found.groupBy("doc_id", "tid").agg(F.collect_set("at").alias("found"))
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -238,27 +240,26 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     named = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("given_id"), named.alias("doc_id"),
-                       F.pmod(F.xxhash64("text"), F.lit(1 << 16)).alias("tid"),
+                       F.xxhash64("text").alias("tid"),
                        F.col("text").cast("binary").alias("text"))
     path = scratch_path(spark, f"substring-{uuid.uuid4().hex}")
     repeats(cut(rows, window, frequent_anchors(rows, window))).write.parquet(path)
-    marks = spark.read.parquet(path).withColumnRenamed("doc_id", "_m")
-    marked = rows.join(marks, F.col("doc_id") == F.col("_m"), "left").drop("_m")
-    found = searched(to_search(marked, window), window).withColumnRenamed("doc_id", "_f")
-    both = marked.join(found, F.col("doc_id") == F.col("_f"), "left")
+    marks = spark.read.parquet(path)
+    marked = rows.join(marks, ["doc_id", "tid"], "left")
+    found = searched(to_search(marked, window), window)
+    both = marked.join(found, ["doc_id", "tid"], "left")
 
     def remove(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())]))
         for b in batches:
             spans, texts, sizes = [], [], []
-            for tid, text, first, second in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
+            for text, first, second in zip(*(b.column(i).to_pylist() for i in range(1, 4)), strict=True):
                 words = (text or b"").split()
                 gone = np.zeros(len(words) + 1, np.int64)
                 for at in [m["at"] for m in first or () if not m["first"]] + (second or []):
-                    if at >> 45 == tid:
-                        start = at >> 11 & (1 << 34) - 1
-                        gone[start] += 1
-                        gone[start + (at & 2047) + window - 1] -= 1
+                    start = at >> 11
+                    gone[start] += 1
+                    gone[start + (at & 2047) + window - 1] -= 1
                 on = np.cumsum(gone) > 0
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], on])))
                 spans.append([{"start": s, "words": e - s} for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
@@ -268,7 +269,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 [b.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind),
                  pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "spans", "kept_text"])
 
-    return both.select("given_id", "tid", "text", "marks", "found").mapInArrow(
+    return both.select("given_id", "text", "marks", "found").mapInArrow(
         remove, "doc_id long, n_words long, spans array<struct<start: long, words: long>>, kept_text string")
 
 

@@ -84,11 +84,25 @@ def test_given_documents(spark):
 
 
 def test_odd_rows_and_empty_table(spark):
-    docs = odd_documents(spark).filter("doc_id IS NULL OR doc_id <> 10")
-    check(spark, [(r["doc_id"], r["text"]) for r in docs.collect()])
+    docs = odd_documents(spark)
+    check(spark, [(r["doc_id"], r["text"]) for r in docs.filter("doc_id IS NULL OR doc_id <> 10").collect()])
+    # two texts under one id: the one with the smaller hash comes first
+    both = [(10, f"{x} " + " ".join(f"w{i}" for i in range(30))) for x in ("one", "two")]
+    got = substring.deduplicated(spark.createDataFrame(both, "doc_id long, text string")).collect()
+    assert sorted(sum(s["words"] for s in r["spans"]) for r in got) == [0, 30] and all(r["n_words"] == 31 for r in got)
     assert substring.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_many_equal_rows_and_many_texts_under_one_id(spark):
+    text = " ".join(f"w{i % 97} x{i % 89}" for i in range(130))
+    rows = (spark.range(10_000).selectExpr("7L AS doc_id", f"'{text}' AS text")
+            .unionByName(spark.range(10_000).selectExpr("8L AS doc_id", "concat_ws(' ', transform(sequence(1, 30), i -> concat('t', id, 'n', i))) AS text"))
+            .unionByName(spark.createDataFrame([(9, "before " + text)], "doc_id long, text string")))
+    got = substring.deduplicated(rows.repartition(6)).selectExpr("doc_id", "aggregate(spans, 0L, (n, s) -> n + s.words) AS gone")
+    n = {(r["doc_id"], r["gone"]): r["count"] for r in got.groupBy("doc_id", "gone").count().collect()}
+    assert n == {(7, 0): 10_000, (8, 0): 10_000, (9, 260): 1}
+
+
 def test_index_finds_earlier_starts():
     rng = np.random.default_rng(2)
     for top in (2, 5, 300):
