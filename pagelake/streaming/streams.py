@@ -14,6 +14,7 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import ledger as LG
 from ..sources import store as ST
@@ -25,16 +26,25 @@ COMPACT = 16
 SEEN = "url string, origin string"
 
 
-def run_available(stream: DataFrame, checkpoint: str, fn: Callable[[DataFrame, int], None]) -> None:
-    q = (stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+#: What is told of a run: the number of a batch and the rows it read.
+Progress = list[tuple[int, int]]
+
+
+def drained(query: StreamingQuery) -> Progress:
+    """Wait until a query has read all there is; the progress of its last batches that read rows (Spark keeps a hundred)."""
+    query.awaitTermination()
+    return [(p["batchId"], p["numInputRows"]) for p in query.recentProgress if p["numInputRows"]]
+
+
+def run_available(stream: DataFrame, checkpoint: str, fn: Callable[[DataFrame, int], None]) -> Progress:
+    return drained(stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def ledger_fold_stream(spark: SparkSession, source_dir: str, schema, to_log: Callable[[DataFrame], DataFrame],
-                       state_root: str, checkpoint: str, files_per_batch: int = 1) -> None:
+                       state_root: str, checkpoint: str, files_per_batch: int = 1) -> Progress:
     """STM-2: transitions arriving as files folded into the ledger state
-    (per-URL last transition of each kind; maxima merge across batches)."""
+    (per-URL last transition of each kind; maxima merge across batches).
+    Tells how far it came."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
 
     kinds = LG.last_by_kind(to_log(spark.createDataFrame([], schema))).schema
@@ -44,7 +54,7 @@ def ledger_fold_stream(spark: SparkSession, source_dir: str, schema, to_log: Cal
         if batch_id % COMPACT == COMPACT - 1:
             ST.compact_state(spark, state_root, kinds, batch_id, LG.merge_rows)
 
-    run_available(stream, checkpoint, fold_batch)
+    return run_available(stream, checkpoint, fold_batch)
 
 
 def ledger_state(spark: SparkSession, state_root: str, schema, to_log: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -130,9 +140,8 @@ def live_stats_stream(spark: SparkSession, changes_root: str, snapshots: str, ch
     def snapshot(rows: DataFrame, batch_id: int) -> None:
         ST.write_version(rows.coalesce(1), snapshots, batch_id + 1)
 
-    q = (totals.writeStream.outputMode("complete").foreachBatch(snapshot).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    drained(totals.writeStream.outputMode("complete").foreachBatch(snapshot).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
 
 def live_stats(spark: SparkSession, snapshots: str) -> DataFrame:
@@ -163,9 +172,8 @@ def lease_sessions_stream(spark: SparkSession, source_dir: str, schema, to_log:
     sessions = log.groupBy("url", F.session_window("at", f"{timeout_sec} seconds").alias("w")).agg(F.max("_s").alias("last"))
     # a filter on the URL would be moved below the watermark and hide the ticks from it
     out_rows = sessions.where(F.col("last").isNotNull()).select("url", F.col("w.end").alias("ends"), "last.ts", "last.tid", "last.kind")
-    q = (out_rows.writeStream.outputMode("append").format("parquet").option("path", out)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    drained(out_rows.writeStream.outputMode("append").format("parquet").option("path", out)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def expired_leases(sessions: DataFrame, now: Column, timeout_sec: int) -> DataFrame:

@@ -27,3 +27,10 @@ def test_query_matches_oracle(spark, con, name):
 
 def test_entry_runs(spark):
     assert E.entry(spark).count() >= 0
+
+
+def test_absent_operators_are_left_out(monkeypatch):
+    import sys
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert "posts" in E.queries() and "pipeline" not in E.queries()
+    assert not any(n.startswith("op1") for n in (*E.queries(), *E.oracle_sql()))
