@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 
 EVERY = "*"
+#: Shares that the URLs of one trigram or site are dealt to; the patterns go to all of them.
+SHARES = 32
 _GAP = "\u0001"
 
 
@@ -68,12 +70,16 @@ def scope(urls: DataFrame, patterns: DataFrame, url_col: str = "url", base_col:
     wanted = patterns.select(F.explode(trigrams(factor(F.col("pattern")))).alias("gram")).distinct()
     asked = u.select("_u", "_host", "_t", F.explode(trigrams(F.col("_t"))).alias("gram")).join(wanted, "gram", "left_semi")
     keyed = pattern_keys(patterns, asked.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    # a trigram or a pattern for every site may be held by most URLs
+    keyed = keyed.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    asked = asked.withColumn("_part", F.pmod(F.xxhash64("_u"), F.lit(SHARES)).cast("int"))
     here = (F.col("site") == EVERY) | (F.col("site") == F.col("_host"))
-    by_gram = asked.join(keyed.where(F.col("key").isNotNull()), F.col("gram") == F.col("key")).where(
+    by_gram = asked.join(keyed.where(F.col("key").isNotNull()), (F.col("gram") == F.col("key")) & (F.col("_part") == F.col("_share"))).where(
         here & F.contains("_t", "factor")).select("_u", "_host", "_t", "site", "kind", "pattern")
     # patterns without a key meet the URLs of their site
-    sites = u.select("_u", "_host", "_t", F.explode(F.array("_host", F.lit(EVERY))).alias("_s"))
-    by_site = sites.join(keyed.where(F.col("key").isNull()), F.col("_s") == F.col("site")).select(*by_gram.columns)
+    sites = u.select("_u", "_host", "_t", F.explode(F.array("_host", F.lit(EVERY))).alias("_s"),
+                     F.pmod(F.xxhash64("_u"), F.lit(SHARES)).cast("int").alias("_part"))
+    by_site = sites.join(keyed.where(F.col("key").isNull()), (F.col("_s") == F.col("site")) & (F.col("_part") == F.col("_share"))).select(*by_gram.columns)
     hits = by_gram.unionByName(by_site).where(F.regexp_like("_t", "pattern"))
     found = lambda kind, own: F.max((F.col("kind") == kind) & (F.col("site") != EVERY) if own else F.col("kind") == kind)
     said = hits.groupBy("_u").agg(found("exclude", False).alias("_ex"), found("include", False).alias("_any"),
