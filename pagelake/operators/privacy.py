@@ -48,17 +48,17 @@ def strip_blocks(pages: DataFrame, profile: SiteProfile) -> DataFrame:
     tag; one that is never closed goes with what is left of the element around it."""
     if not profile.strip_blocks:
         return pages
-    keep = [c for c in pages.columns if c != "html"]
-    n = N.nodes(pages, *keep)
+    # the page's other columns as one, whatever their names are
+    rest = [F.col(f"`{c}`") for c in pages.columns if c != "html"]
+    n = N.nodes(pages.select(F.struct(F.lit(1).alias("_one"), *rest).alias("_page"), "html"), "_page")
     block = F.lit(False)
     for start in profile.strip_blocks:
         block = block | N.is_tag(F.col("token"), start)
     n = n.withColumn("token", F.when(~N.in_blocks(n, block), F.col("token")))
     html = F.array_join(F.transform(F.array_sort(F.collect_list(
         F.when(F.col("token").isNotNull(), F.struct("pos", "token")))), lambda x: x["token"]), "")
-    out = n.groupBy("row").agg(*[F.first(c, ignorenulls=True).alias(c) for c in keep],
-                               F.when(F.count("pos") > 0, html).alias("html"))
-    return out.select(*pages.columns)
+    out = n.groupBy("row").agg(F.first("_page", ignorenulls=True).alias("_page"), F.when(F.count("pos") > 0, html).alias("_html"))
+    return out.select(*[F.col("_html").alias(c) if c == "html" else F.col(f"_page.`{c}`") for c in pages.columns])
 
 
 def login_wall(status: Column, content_type: Column, html: Column, password_field: str = "pass") -> Column:

@@ -37,10 +37,11 @@ def _either(conditions):
 
 def lookup(spark: SparkSession, path: str, key: str, keys: DataFrame, *columns: str) -> DataFrame:
     """The rows of the table at ``path`` whose key is among ``keys`` (a column ``key``; nulls match nothing)."""
-    table = spark.read.parquet(path).select(*(columns or ["*"]))
+    table = spark.read.parquet(path)
+    shown = columns or ["*"]
     asked = keys.select(key).where(F.col(key).isNotNull()).distinct()
     some = [r[0] for r in asked.limit(STATED + 1).collect()]
     if len(some) > STATED:
-        return table.join(asked, key, "left_semi")
+        return table.join(asked, key, "left_semi").select(*shown)
     parts = [table.where(_either([F.col(key) == k for k in some[i:i + AT_ONCE]])) for i in range(0, len(some), AT_ONCE)]
-    return reduce(DataFrame.unionByName, parts) if parts else table.limit(0)
+    return (reduce(DataFrame.unionByName, parts) if parts else table.limit(0)).select(*shown)

@@ -84,8 +84,8 @@ def test_login_wall_and_strip(spark):
     assert [r.w for r in df.select(PR.login_wall(F.col("s"), F.col("ct"), F.col("h")).alias("w")).collect()] == \
         [True, False, True]
     nested = TOPIC.replace("Logged in as dana", "<div>hi <div>there</div></div>Logged in as dana<div></div>")
-    df = spark.createDataFrame([(1, TOPIC), (2, nested), (3, None), (4, "")], "n int, html string")
-    rows = {r.n: r.html for r in PR.strip_blocks(df, FORUM).collect()}
+    df = spark.createDataFrame([(1, TOPIC, "x"), (2, nested, "x"), (3, None, "x"), (4, "", None)], "row int, html string, token string")
+    rows = {r.row: r.html for r in PR.strip_blocks(df, FORUM).collect()}
     assert all("Logged in as" not in rows[n] and "dana <form" not in rows[n] and "Spring fair" in rows[n] for n in (1, 2))
     assert rows[1] == rows[2] and rows[3] is None and rows[4] in ("", None) and len(rows) == 4
 

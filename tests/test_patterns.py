@@ -88,7 +88,7 @@ def test_lookup_by_key(spark, tmp_path):
     asked = df.where("id % 50 = 7").select("key").unionByName(spark.createDataFrame([("none",), (None,)], "key string"))
     assert sorted(r.id for r in LK.lookup(spark, f"{tmp_path}/t", "key", asked).collect()) == list(range(7, 5000, 50))
     assert LK.lookup(spark, f"{tmp_path}/t", "key", asked.limit(0)).count() == 0
-    assert LK.lookup(spark, f"{tmp_path}/t", "key", df.select("key"), "key", "id").count() == 5000
+    assert LK.lookup(spark, f"{tmp_path}/t", "key", df.select("key"), "id").count() == 5000
 
 
 def test_raw_tree(spark, tmp_path):
