@@ -111,3 +111,35 @@ def test_equal_rows_stay_apart(spark):
         N.first_block(F.col("nodes"), "<li")).alias("t")).collect()
     assert sorted((r.page_id, r.k, r.t) for r in rows) == [(1, 5, "a")] * 3 + [(2, 5, "a")]
     assert N.node_arrays(df.limit(0), "page_id").count() == 0
+
+
+def test_pages_are_read_within_their_rows(spark, capsys):
+    """Tokens are neither exchanged nor sorted between pages: a task holds those of one page."""
+    from pagelake.operators import extract as X
+    from pagelake.operators import privacy as PR
+    from pagelake.profile import FORUM
+    df = spark.createDataFrame([(1, "https://a.example/", "<b>x</b>")], "page_id long, url string, html string")
+    for job in (N.nodes(df, "page_id"), N.node_arrays(df, "page_id"), X.attachment_edges(df, FORUM), X.categories(df, FORUM),
+                X.posts(df, FORUM), PR.strip_blocks(df, FORUM)):
+        job.explain()
+        plan = capsys.readouterr().out
+        assert plan.count("Exchange") == 1 and not any(x in plan for x in ("Window", "Sort ", "Aggregate")), plan
+
+
+def test_long_pages_take_steps_in_proportion(spark):
+    """A pass over an array copies a bounded part of it at each step."""
+    n = 20000
+    df = spark.createDataFrame([("<i>" * n + "<b>x</b>" + "</i>" * (n - 1),)], "html string")
+    ns = N.nodes(df).agg(F.count("*").alias("n"), F.count_if("closed").alias("closed"), F.max("depth").alias("depth"),
+                         F.min(F.when(F.col("name") == "i", F.col("stop"))).alias("stop")).first()
+    assert tuple(ns) == (2 * n + 2, n, n, n + 4)
+
+
+def test_running_states(spark):
+    xs = F.transform(F.sequence(F.lit(1), F.col("n")), lambda x: x.cast("int"))
+    for n in (1, N.RUN - 1, N.RUN, N.RUN + 1, 5 * N.RUN + 3):
+        df = spark.createDataFrame([(n,)], "n int")
+        got = df.select(N.running(xs, F.lit(0), lambda s, x: s + x).alias("r")).first()["r"]
+        assert got == [i * (i + 1) // 2 for i in range(1, n + 1)]
+    none = spark.range(1).select(N.running(F.array().cast("array<int>"), F.lit(0), lambda s, x: s + x).alias("r")).first()
+    assert none["r"] == []
