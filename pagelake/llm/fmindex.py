@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Masks of the bits below each bit of a word.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
 
 class Bits:
     """A bit vector with rank: 64-bit words and the ones before each word."""
@@ -19,8 +22,7 @@ class Bits:
     def rank(self, at: np.ndarray) -> np.ndarray:
         """Ones among the first ``at`` bits."""
         w = at >> 6
-        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[w] + np.bitwise_count(self.words[w] & below)
+        return self.before[w] + np.bitwise_count(self.words[w] & _BELOW[at & 63])
 
 
 class FMIndex:
@@ -47,15 +49,15 @@ class FMIndex:
 
     @staticmethod
     def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
-        """Prefix doubling: ranks by 1, 2, 4, ... symbols."""
+        """Prefix doubling: ranks by 1, 2, 4, ... symbols; equal ones may come in any order."""
         n = len(text)
         rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-        order, span = np.argsort(rank, kind="stable"), 1
+        order, span = np.argsort(rank), 1
         while span < depth:
             then = np.zeros(n, np.int64)
             then[:max(0, n - span)] = rank[span:]
             key = rank * (n + 2) + then
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             sorted_key = key[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.concatenate([[1], sorted_key[1:] != sorted_key[:-1]]))
@@ -83,9 +85,10 @@ class FMIndex:
         """
         found = np.zeros(len(ends), bool)
         live = np.arange(len(ends))
-        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
+        lo, hi = self.first[text[ends]], self.first[text[ends] + 1]
         for step in range(length):
-            lo, hi = self.extend(text[ends[live] - step], lo, hi)
+            if step:
+                lo, hi = self.extend(text[ends[live] - step], lo, hi)
             twice = hi - lo > 1
             live, lo, hi = live[twice], lo[twice], hi[twice]
             if not len(live):

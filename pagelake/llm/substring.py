@@ -60,7 +60,11 @@ SAMPLE = 50
 CHUNK = 6_000
 #: Words of a document that are cut into segments at once.
 BLOCK = 1 << 20
+#: Words of which documents are cut together, as many as the caches hold.
+TOGETHER = 1 << 15
 _PLACE = 24
+#: Bits below a row's number in the places of its words.
+_ROW = 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _ONE = np.uint64(1)
@@ -79,22 +83,30 @@ def span_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix((sums[end] - sums[start]) * inverse[start], 3) ^ mix((end - start).astype(np.uint64), 5)
 
 
-def segments(h: np.ndarray, window: int = WINDOW, gram: int = GRAM):
-    """(anchor, segment hash, first window, windows) of each run of windows with one anchor."""
-    n = len(h) - window + 1
-    g = np.zeros(len(h) - gram + 1, np.uint64)
-    for i in range(gram):
-        g = mix(g * _BASE + h[i:len(h) - gram + 1 + i], 11)
+def segments(h: np.ndarray, sizes: np.ndarray, window: int = WINDOW, gram: int = GRAM):
+    """(text, anchor, segment hash, first window, windows) of each run of windows with one anchor.
+
+    h: the hashes of the words of several texts, one text after the other; sizes: their words, a
+    window at least; windows are numbered from 0 in each text."""
+    ends = np.cumsum(sizes)
+    g = h[:len(h) - gram + 1]
+    for i in range(1, gram):
+        g = g * _BASE + h[i:len(h) - gram + 1 + i]
+    g = mix(g, 11)
     key = (g >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(len(g), dtype=np.uint64)
     width, have = window - gram + 1, 1
     while have < width:
         step = min(have, width - have)
         key, have = np.minimum(key[:len(key) - step], key[step:]), have + step
     place = (key & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+    place[(ends[:-1, None] - np.arange(1, window)).reshape(-1)] = -1  # they end in the next text
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    count = np.diff(np.append(first, n))
+    count = np.diff(np.append(first, len(place)))
+    whole = place[first] >= 0
+    first, count = first[whole], count[whole]
     anchor = (g[place[first]] >> np.uint64(_PLACE)).astype(np.int64)
-    return anchor, span_hashes(h, first, first + count + window - 1).view(np.int64), first, count
+    text = np.searchsorted(ends, first, side="right")
+    return text, anchor, span_hashes(h, first, first + count + window - 1).view(np.int64), first - (ends - sizes)[text], count
 
 
 def frequent_anchors(docs: DataFrame, window: int) -> frozenset[int]:
@@ -112,7 +124,22 @@ def cut(docs: DataFrame, window: int, frequent: frozenset[int]) -> DataFrame:
     the segments of frequent anchors, equal segments equal ones; for the others it is 0."""
     often = np.array(sorted(frequent), np.int64)
 
+    def cuts(held):
+        doc, tid, lo, h = zip(*held, strict=True)
+        text, anchor, seg, first, count = segments(np.concatenate(h), np.array([len(x) for x in h]), window)
+        order = np.argsort(seg, kind="stable")
+        same = (seg[order[1:]] == seg[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+        again = np.zeros(len(seg), bool)
+        again[order[1:][same]] = True
+        first = first + np.array(lo)[text]
+        salt = np.where(again, 1 + SALTS + first % AGAIN, np.where(np.isin(anchor, often), 1 + seg % SALTS, 0))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(anchor), pa.array(salt), pa.array(again), pa.array(seg),
+             *(pa.array(np.array(x, np.int64)[text]) for x in (doc, tid)), pa.array(first << 11 | count)],
+            ["anchor", "salt", "again", "seg", "doc_id", "tid", "at"])
+
     def rows(batches):
+        held, n = [], 0  # texts that are cut together, and their words
         for b in batches:
             for doc, tid, text in zip(b.column("doc_id"), b.column("tid"), b.column("text"), strict=True):
                 words = (text.as_py() or b"").split()
@@ -120,16 +147,13 @@ def cut(docs: DataFrame, window: int, frequent: frozenset[int]) -> DataFrame:
                     continue
                 h = word_hashes(words)
                 for lo in range(0, len(h) - window + 1, BLOCK):
-                    anchor, seg, first, count = segments(h[lo:lo + BLOCK + window - 1], window)
-                    at = (first + lo) << 11 | count
-                    again = np.ones(len(seg), bool)
-                    again[np.unique(seg, return_index=True)[1]] = False
-                    salt = np.where(again, 1 + SALTS + first % AGAIN,
-                                    np.where(np.isin(anchor, often), 1 + seg % SALTS, 0))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor), pa.array(salt), pa.array(again), pa.array(seg),
-                         *(pa.array(np.full(len(at), x.as_py())) for x in (doc, tid)), pa.array(at)],
-                        ["anchor", "salt", "again", "seg", "doc_id", "tid", "at"])
+                    held.append((doc.as_py(), tid.as_py(), lo, h[lo:lo + BLOCK + window - 1]))
+                    n += len(held[-1][3])
+                    if n >= TOGETHER:
+                        yield cuts(held)
+                        held, n = [], 0
+        if held:
+            yield cuts(held)
 
     return docs.mapInArrow(rows, "anchor long, salt long, again boolean, seg long, doc_id long, tid long, at long")
 
@@ -149,27 +173,48 @@ def repeats(cuts: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "tid").agg(F.collect_set(mark).alias("marks"))
 
 
+def marks_of(marks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Row, at, first and anchor of each mark of the rows."""
+    each = marks.flatten()
+    return (np.repeat(np.arange(len(marks)), marks.value_lengths().fill_null(0).to_numpy()),
+            each.field("at").to_numpy(), each.field("first").to_numpy(zero_copy_only=False), each.field("anchor"))
+
+
+def stretches(row: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of the stretches of words that the windows in ``at`` cover, in order."""
+    start = row << _ROW | at >> 11
+    order = np.argsort(start)
+    end = np.maximum.accumulate((start + (at & 2047) + window - 1)[order])
+    start = start[order]
+    edge = np.flatnonzero(np.append(True, start[1:] > end[:-1])[:len(start)])
+    start, end = start[edge], end[np.append(edge[1:], len(end))[:len(edge)] - 1]
+    return start >> _ROW, start & ((1 << _ROW) - 1), end & ((1 << _ROW) - 1)
+
+
 def to_search(marked: DataFrame, window: int) -> DataFrame:
     """key, doc_id, tid, at, words of the marked segments that are first of their kind."""
 
     def rows(batches):
         for b in batches:
             out = ([], [], [], [], [])
-            for doc, tid, text, marks in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                marks = [m for m in marks or () if m["first"]]
-                words = text.split() if marks else []
-                for m in marks:
-                    start, count = m["at"] >> 11, m["at"] & 2047
-                    if m["anchor"] is not None:
-                        parts = [(m["anchor"], start, count)]
+            row, at, first, anchor = marks_of(b.column(4))
+            row, at, anchor = row[first], at[first], anchor.filter(pa.array(first)).to_pylist()
+            edge = np.searchsorted(row, np.arange(b.num_rows + 1)).tolist()
+            start, count = (at >> 11).tolist(), (at & 2047).tolist()
+            docs, tids = b.column(1).to_pylist(), b.column(2).to_pylist()
+            for i in np.unique(row).tolist():
+                words = b.column(3)[i].as_py().split()
+                for k in range(edge[i], edge[i + 1]):
+                    if anchor[k] is not None:
+                        parts = [(anchor[k], start[k], count[k])]
                     else:
-                        h = word_hashes(words[start:start + count + window - 1])
-                        each = np.arange(count)
+                        h = word_hashes(words[start[k]:start[k] + count[k] + window - 1])
+                        each = np.arange(count[k])
                         keys = span_hashes(h, each, each + window).view(np.int64).tolist()
-                        parts = [(k, start + i, 1) for i, k in enumerate(keys)]
-                    for key, at, n in parts:
-                        for col, x in zip(out, (key, doc, tid, at << 11 | n,
-                                                b" ".join(words[at:at + n + window - 1])), strict=True):
+                        parts = [(key, start[k] + j, 1) for j, key in enumerate(keys)]
+                    for key, lo, n in parts:
+                        for col, x in zip(out, (key, docs[i], tids[i], lo << 11 | n,
+                                                b" ".join(words[lo:lo + n + window - 1])), strict=True):
                             col.append(x)
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())],
@@ -250,23 +295,25 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     both = marked.join(found, ["doc_id", "tid"], "left")
 
     def remove(batches):
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())]))
         for b in batches:
-            spans, texts, sizes = [], [], []
-            for text, first, second in zip(*(b.column(i).to_pylist() for i in range(1, 4)), strict=True):
-                words = (text or b"").split()
-                gone = np.zeros(len(words) + 1, np.int64)
-                for at in [m["at"] for m in first or () if not m["first"]] + (second or []):
-                    start = at >> 11
-                    gone[start] += 1
-                    gone[start + (at & 2047) + window - 1] -= 1
-                on = np.cumsum(gone) > 0
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], on])))
-                spans.append([{"start": s, "words": e - s} for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
-                texts.append(b" ".join(w for w, x in zip(words, on, strict=False) if not x))
+            row, at, first, _ = marks_of(b.column(2))
+            more = np.repeat(np.arange(b.num_rows), b.column(3).value_lengths().fill_null(0).to_numpy())
+            owner, start, end = stretches(np.append(row[~first], more),
+                                          np.append(at[~first], b.column(3).flatten().to_numpy()), window)
+            edge = np.searchsorted(owner, np.arange(b.num_rows + 1))
+            starts, ends, edges = start.tolist(), end.tolist(), edge.tolist()
+            texts, sizes = [], []
+            for i, text in enumerate(b.column(1)):
+                words, kept, done = (text.as_py() or b"").split(), [], 0
+                for k in range(edges[i], edges[i + 1]):
+                    kept += words[done:starts[k]]
+                    done = ends[k]
+                texts.append(b" ".join(kept + words[done:] if done else words))
                 sizes.append(len(words))
+            spans = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.StructArray.from_arrays(
+                [pa.array(start), pa.array(end - start)], ["start", "words"]))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind),
+                [b.column(0), pa.array(sizes, pa.int64()), spans,
                  pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "spans", "kept_text"])
 
     return both.select("given_id", "text", "marks", "found").mapInArrow(

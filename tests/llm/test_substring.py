@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -103,6 +104,45 @@ def test_many_equal_rows_and_many_texts_under_one_id(spark):
     assert n == {(7, 0): 10_000, (8, 0): 10_000, (9, 260): 1}
 
 
+def test_documents_are_cut_together(monkeypatch):
+    """Short documents share the arrays and the batches that are made for them, and each is cut as if it were alone."""
+    class Frame:
+        def mapInArrow(self, rows, _):
+            return rows
+
+    def cuts(texts):
+        docs = pa.RecordBatch.from_arrays(
+            [pa.array([i for i, _ in texts], pa.int64()), pa.array([-i for i, _ in texts], pa.int64()),
+             pa.array([t for _, t in texts], pa.binary())], ["doc_id", "tid", "text"])
+        return list(substring.cut(Frame(), 20, frozenset())(iter([docs.slice(0, 100), docs.slice(100)])))
+
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randrange(40)}" for _ in range(n)).encode()
+    texts = [(i, text(rng.randrange(60))) for i in range(300)]
+    texts += [(300, None), (301, b""), (302, text(20)), (303, b"same " * 50), (304, text(30) + b" " + b"again " * 60)]
+    texts += [(400 + i, t) for i, t in texts]
+    together = cuts(texts)
+    assert len(together) == 1
+    alone = [b for t in texts for b in cuts([t])]
+    assert pa.Table.from_batches(together).equals(pa.Table.from_batches(alone).combine_chunks())
+    for n in (1, 100, 5000):
+        monkeypatch.setattr(substring, "TOGETHER", n)
+        assert pa.Table.from_batches(cuts(texts)).combine_chunks().equals(pa.Table.from_batches(alone).combine_chunks())
+
+
+@pytest.mark.parametrize("window", (5, 20))
+def test_stretches_are_those_of_marked_words(window):
+    rng = random.Random(9)
+    marks = [(rng.randrange(40), rng.randrange(400), rng.randrange(1, 16)) for _ in range(150)]
+    gone = {(r, w) for r, s, n in marks for w in range(s, s + n + window - 1)}
+    got = substring.stretches(np.array([m[0] for m in marks]), np.array([s << 11 | n for _, s, n in marks]), window)
+    got = list(zip(*(x.tolist() for x in got), strict=True))
+    assert {(r, w) for r, s, e in got for w in range(s, e)} == gone
+    assert got == sorted(got) and all((r, s - 1) not in gone and (r, e) not in gone for r, s, e in got)
+    none = substring.stretches(*[np.zeros(0, np.int64)] * 2, window)
+    assert [len(x) for x in none] == [0, 0, 0]
+
+
 def test_index_finds_earlier_starts():
     rng = np.random.default_rng(2)
     for top in (2, 5, 300):
