@@ -54,3 +54,10 @@ def test_small_files_are_read_by_few_tasks(spark, tmp_path):
     scanned = ST.scan_assets(spark, f"{tmp_path}/t")
     assert scanned.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert scanned.select("file_name").distinct().count() == 3000 and {bytes(r.content) for r in scanned.collect()} == {b"x\n"}
+
+
+def test_markup_is_measured_where_it_is_read(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "<p>é</p>"), (2, None)], "i int, html string")
+    ST.lay_files(rows.select(F.to_json(F.struct("i")).alias("value"), F.concat("i", F.lit(".json")).alias("file_name")), f"{tmp_path}/meta")
+    ST.lay_files(rows.select(F.col("html").alias("value"), F.concat("i", F.lit(".html")).alias("file_name")), f"{tmp_path}/html")
+    assert sorted(map(tuple, ST.scan_tree(spark, str(tmp_path), "i int", n=F.octet_length("html")).collect())) == [("1", 1, 10), ("2", 2, 1)]
